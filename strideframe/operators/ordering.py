@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import shuffle_width
+from ..session import settle, shuffle_width
 
 MAX_RANGES = 1024
 
@@ -83,40 +83,58 @@ def exact_quantiles(
     )
 
 
-def heavy_left_join(
-    left: DataFrame, right: DataFrame, key: str, weight: str = "cnt", heavy: int = 1000
-) -> DataFrame:
+HOT_KEYS = 128
+
+
+def spread_left_join(left: DataFrame, right: DataFrame, key: str, weight: str = "cnt") -> DataFrame:
     """Left join on ``key`` where a few keys may own most of the left rows.
 
     ``right`` has one row per key and ``weight`` = how many left rows it has.
-    Keys with at least 1/``heavy`` of the rows cannot number more than
-    ``heavy``: that part is broadcast. The rest is shuffled; NULL keys skip both.
+    Keys with at least 1/``HOT_KEYS`` of those rows cannot number more than
+    ``HOT_KEYS``; that bounded list travels as a map, left rows of such keys
+    (and of NULL) take a share by row hash, and the right row is repeated per
+    share. Everything else is a plain shuffle join, in one pass over ``left``.
     """
+    width = max(2, min(MAX_RANGES, shuffle_width(left.sparkSession)))
     total = right.agg(F.sum(weight)).scalar()
-    marked = right.withColumn("hot_", F.col(weight) * heavy >= total)
-    hot = marked.filter("hot_").drop("hot_", weight)
-    cold = marked.filter(~F.col("hot_")).drop("hot_", weight)
-    extra = [c for c in hot.columns if c != key]
-    hit = left.join(F.broadcast(hot), key)
-    rest = left.filter(F.col(key).isNotNull()).join(F.broadcast(hot.select(key)), key, "left_anti")
-    rest = rest.join(cold, key, "left")
-    none = left.filter(F.col(key).isNull())
-    for c in extra:
-        none = none.withColumn(c, F.lit(None).cast(hot.schema[c].dataType))
-    order = [*left.columns, *extra]
-    return hit.select(order).unionByName(rest.select(order)).unionByName(none.select(order))
-
-
-def percentile_rank(
-    df: DataFrame, value: str, out: str, eligible: Column | None = None
-) -> DataFrame:
-    """Average-tie rank / n among eligible rows that have a value, 0.5 for all others."""
-    ok = F.col(value).isNotNull() if eligible is None else F.col(value).isNotNull() & F.coalesce(eligible, F.lit(False))
-    keyed = df.withColumn("prv_", F.when(ok, F.col(value).cast("double")))
-    cum = cumulative_counts(keyed.select("prv_"), "prv_")
-    ranks = cum.select("prv_", "cnt", ((F.col("before") + (F.col("cnt") + 1) / 2) / F.col("total")).alias("rank_"))
-    joined = heavy_left_join(keyed, ranks, "prv_")
-    return joined.withColumn(out, F.coalesce(F.col("rank_"), F.lit(0.5))).drop("prv_", "rank_")
+    shares = F.greatest(F.lit(1), F.ceil(F.col(weight) * width / total)).cast("int")
+    sized = right.withColumn("hot_", F.col(weight) * HOT_KEYS >= total).withColumn(
+        "shares_", F.when(F.col("hot_"), shares).otherwise(1)
+    )
+    hot = sized.filter("hot_").agg(F.map_from_entries(F.collect_list(F.struct(key, "shares_")))).scalar()
+    simple = [c for c, t in left.dtypes if not t.startswith(("map", "array", "struct", "variant"))]
+    mine = F.when(F.col(key).isNull(), F.lit(width)).otherwise(F.coalesce(F.col("hot_")[F.col(key)], F.lit(1)))
+    salted = left.withColumn("hot_", hot).withColumn("share_", F.pmod(F.xxhash64(*simple), mine).cast("int")).drop("hot_")
+    copies = sized.withColumn("share_", F.explode(F.sequence(F.lit(0), F.col("shares_") - 1))).drop("hot_", "shares_", weight)
+    return salted.join(copies, [key, "share_"], "left").drop("share_")
+
+
+def percentile_ranks(df: DataFrame, ranks: dict[str, str], eligible: Column | None = None) -> DataFrame:
+    """Average-tie rank / n among eligible rows that have a value, 0.5 for all others.
+
+    ``ranks`` maps output column to value column. All values are counted in one
+    pass; the table of distinct values is written once because every join and
+    its list of hot values read it again.
+    """
+    ok = F.lit(True) if eligible is None else F.coalesce(eligible, F.lit(False))
+    pairs = F.explode(F.array(*[
+        F.struct(F.lit(out).alias("which"), F.col(v).cast("double").alias("val_")) for out, v in ranks.items()
+    ]))
+    long = df.filter(ok).select(pairs.alias("p_")).select("p_.*")
+    cum = settle(cumulative_counts(long, "val_", ["which"]), "ranks")
+    done = df
+    for out, v in ranks.items():
+        one = cum.filter(F.col("which") == out).select(
+            F.col("val_").alias("prv_"), "cnt", ((F.col("before") + (F.col("cnt") + 1) / 2) / F.col("total")).alias("rank_")
+        )
+        keyed = done.withColumn("prv_", F.when(ok, F.col(v).cast("double")))
+        joined = spread_left_join(keyed, one, "prv_")
+        done = joined.withColumn(out, F.coalesce("rank_", F.lit(0.5))).drop("prv_", "rank_")
+    return done
+
+
+def percentile_rank(df: DataFrame, value: str, out: str, eligible: Column | None = None) -> DataFrame:
+    return percentile_ranks(df, {out: value}, eligible)
 
 
 def chunked_total(

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import blank, col, composite_flag, first_label
-from .ordering import heavy_left_join
+from .ordering import spread_left_join
 
 # Fixed values of the rule sets.
 WIDTH_RANGE_M = (0.5, 6.0)
@@ -84,7 +84,7 @@ def duplicate_key_flag(df: DataFrame, key: str, label: str, flag: str, out: str)
     """
     repeats = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("cnt")).filter("cnt > 1")
     repeats = repeats.withColumn("rep_", F.lit(True))
-    joined = heavy_left_join(df, repeats, key)
+    joined = spread_left_join(df, repeats, key)
     return joined.withColumn(out, F.when(F.coalesce("rep_", F.lit(False)), label).otherwise(F.col(flag))).drop("rep_")
 
 

@@ -118,6 +118,39 @@ LAYERS: dict[str, tuple[str, dict[str, str]]] = {
         "luminwatt": "CASE c_custkey%6 WHEN 0 THEN NULL WHEN 1 THEN '0' WHEN 2 THEN '500' WHEN 3 THEN 'n/a' ELSE '70.5' END",
         "px": "((c_custkey*2999)%100003)/10", "py": "((c_custkey*6007+11)%99991)/10",
     }),
+    "features": ("orders", {
+        "segment_id": "o_orderkey",
+        "walk_path_class": "CASE o_orderkey%3 WHEN 0 THEN 'footpath' WHEN 1 THEN 'shared_use' ELSE 'other' END",
+        "width_m": "CASE WHEN o_orderkey%11=0 THEN NULL WHEN o_orderkey%23=0 THEN 0.0e0 ELSE 0.3e0+(o_orderkey%63)*0.1e0 END",
+        "width_qa_flag": "CASE WHEN o_orderkey%11=0 THEN 'missing' WHEN o_orderkey%23=0 THEN 'zero' WHEN o_orderkey%63<2 THEN 'too_narrow' WHEN o_orderkey%63>57 THEN 'too_wide' ELSE 'ok' END",
+        "surface_material": "CASE o_orderkey%8 WHEN 0 THEN NULL WHEN 1 THEN 'Concrete' WHEN 2 THEN 'Spray Seal' WHEN 3 THEN 'Timber' WHEN 4 THEN 'Gravel' WHEN 5 THEN 'To be determined' WHEN 6 THEN 'Not Applicable' ELSE 'Granite' END",
+        "speed_corridor_max_kmh": "CASE WHEN o_custkey%7=0 THEN NULL ELSE 30+5*(o_custkey%17) END",
+        "speed_corridor_line_m": "CASE WHEN o_custkey%7=0 THEN NULL ELSE (o_orderkey%40)*0.7e0 END",
+        "graffiti_count_25m": "CASE WHEN o_orderkey%5=0 THEN 0 ELSE o_custkey%6 END",
+        "graffiti_count_25m_365d": "CASE WHEN o_orderkey%5=0 OR o_custkey%6=0 THEN 0 ELSE o_orderkey%3 END",
+        "graffiti_days_since_last": "CASE WHEN o_orderkey%5=0 OR o_orderkey%19=0 THEN NULL ELSE o_orderkey%1500 END",
+        "school_crossing_within_20m": "CASE WHEN o_orderkey%31=0 THEN NULL ELSE o_orderkey%9=0 END",
+        "school_crossing_within_50m": "CASE WHEN o_orderkey%31=0 THEN NULL ELSE o_orderkey%9<4 END",
+        "uhi18_m": "CASE WHEN o_orderkey%8=0 THEN NULL ELSE floor(o_totalprice/500)/100 END",
+        "uhi_join_method": "CASE WHEN o_orderkey%8=0 THEN 'missing' WHEN o_orderkey%12=1 THEN 'nearest' ELSE 'intersection' END",
+        "canopy_dense_pct": "CASE WHEN o_orderkey%4=0 THEN 0.0e0 ELSE (o_custkey%40)*1.1e0 END",
+        "canopy_medium_pct": "CASE WHEN o_orderkey%4=0 THEN 0.0e0 ELSE (o_custkey%23)*0.9e0 END",
+        "canopy_sparse_pct": "CASE WHEN o_orderkey%4=0 THEN NULL ELSE (o_custkey%13)*0.03e0 END",
+        "canopy_cover_pct": "CASE WHEN o_orderkey%4=0 THEN 0.0e0 ELSE (o_custkey%40)*1.1e0+(o_custkey%23)*0.9e0+(o_custkey%13)*0.03e0 END",
+        "fountain_nearest_m": "CASE WHEN o_orderkey%13=0 THEN NULL ELSE (o_orderkey%500)*1.3e0 END",
+        "bench_count_50m": "CASE WHEN o_orderkey%17=0 THEN NULL ELSE o_orderkey%4 END",
+        "bench_nearest_m": "CASE WHEN o_orderkey%29=0 THEN NULL ELSE (o_orderkey%220)*1.0e0 END",
+        "streetlight_nearest_m": "CASE WHEN o_orderkey%6=0 THEN NULL ELSE (o_orderkey%97)*0.61e0 END",
+        "park_light_nearest_m": "CASE WHEN o_orderkey%10<7 THEN NULL ELSE (o_custkey%89)*0.83e0 END",
+        "streetlight_count_30m": "CASE WHEN o_orderkey%6=0 THEN 0 ELSE o_custkey%9 END",
+        "park_light_count_50m": "CASE WHEN o_orderkey%10<7 THEN NULL ELSE o_custkey%3 END",
+        "length_m": "CAST(20+(o_orderkey%97)*10 AS DOUBLE)",
+        "crash_ped_count_25m": "CASE WHEN o_orderkey%3=0 THEN 0 ELSE o_custkey%4 END",
+        "crash_night_count_25m_5y": "CASE WHEN o_orderkey%3=0 THEN NULL WHEN o_custkey%4<2 THEN 0 ELSE o_custkey%4 END",
+        "crossing_flag": "CASE WHEN o_orderkey%31=0 OR o_orderkey%9>=4 THEN 'gap' ELSE 'ok' END",
+        "score_eligible": "CASE WHEN o_orderkey%41=0 THEN NULL ELSE o_orderkey%43<>0 END",
+        "suburb": "o_orderpriority", "ward": "o_orderstatus",
+    }),
     "areas": ("nation", {
         "area_id": "n_nationkey", "area_name": "n_name", "region_id": "n_regionkey",
         "uhi18_m": "CASE WHEN n_nationkey%12=11 THEN NULL ELSE n_nationkey/5-1 END",
