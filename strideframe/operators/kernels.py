@@ -12,7 +12,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, StructType
 
 
 def _num(a: pa.Array) -> np.ndarray:
@@ -184,3 +184,102 @@ def _corridor_share(ring: pa.Array, ax: pa.Array, ay: pa.Array, bx: pa.Array, by
 ring_point_distance = _ring_point.asNondeterministic()
 ring_piece_distance = _ring_piece.asNondeterministic()
 ring_corridor_share = _corridor_share.asNondeterministic()
+
+
+def overlay_area(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """Common area of two rings per row.
+
+    Each side carries a signed strip down to a base line; the common area is
+    the sum over side pairs of the strips' overlap, so concave rings need no
+    cutting into parts.
+    """
+    ia, ax1, ay1, ax2, ay2, sa, ca = _edges(a)
+    ib, bx1, by1, bx2, by2, sb, cb = _edges(b)
+    n = len(ca)
+
+    def turn(i, x1, y1, x2, y2):
+        return np.where(np.bincount(i, weights=(x2 - x1) * (y2 + y1), minlength=n) >= 0, 1.0, -1.0)
+
+    orient = turn(ia, ax1, ay1, ax2, ay2) * turn(ib, bx1, by1, bx2, by2)
+    # all side pairs of a row: repeat each a-side for every b-side of the same row
+    reps = cb[ia]
+    left = np.repeat(np.arange(len(ia)), reps)
+    first = np.cumsum(reps) - reps
+    right = sb[ia[left]] + (np.arange(len(left)) - first[left])
+    p1, q1, p2, q2 = ax1[left], ay1[left], ax2[left], ay2[left]
+    u1, v1, u2, v2 = bx1[right], by1[right], bx2[right], by2[right]
+    lo = np.maximum(np.minimum(p1, p2), np.minimum(u1, u2))
+    hi = np.minimum(np.maximum(p1, p2), np.maximum(u1, u2))
+    ok = hi > lo
+    if not ok.any():
+        return np.zeros(n)
+    p1, q1, p2, q2, u1, v1, u2, v2, lo, hi = (z[ok] for z in (p1, q1, p2, q2, u1, v1, u2, v2, lo, hi))
+    row = ia[left[ok]]
+    base = np.full(n, np.inf)
+    np.minimum.at(base, ia, ay1)
+    np.minimum.at(base, ib, by1)
+    base = base[row]
+
+    def height(x, x1, y1, x2, y2):
+        return y1 + (y2 - y1) * (x - x1) / (x2 - x1) - base
+
+    f0, f1 = height(lo, p1, q1, p2, q2), height(hi, p1, q1, p2, q2)
+    g0, g1 = height(lo, u1, v1, u2, v2), height(hi, u1, v1, u2, v2)
+    d0, d1 = f0 - g0, f1 - g1
+    w = hi - lo
+    flat = np.minimum(f0, g0) + np.minimum(f1, g1)
+    crossing = d0 * d1 < 0
+    t = np.where(crossing, d0 / np.where(crossing, d0 - d1, 1.0), 0.0)
+    mid = f0 + (f1 - f0) * t
+    area = np.where(
+        crossing,
+        (np.minimum(f0, g0) + mid) * t * w / 2 + (mid + np.minimum(f1, g1)) * (1 - t) * w / 2,
+        flat * w / 2,
+    )
+    sign = np.where((p2 > p1) == (u2 > u1), 1.0, -1.0)
+    return np.maximum(0.0, np.bincount(row, weights=area * sign, minlength=n) * orient)
+
+
+@F.arrow_udf(DoubleType())
+def _overlay(a: pa.Array, b: pa.Array) -> pa.Array:
+    return pa.array(overlay_area(a, b), from_pandas=True)
+
+
+ring_overlay_area = _overlay.asNondeterministic()
+
+
+def simplify(xs: np.ndarray, ys: np.ndarray, tolerance: float) -> np.ndarray:
+    """Kept vertices of one line after dropping those closer than the tolerance to the chord."""
+    keep = np.zeros(len(xs), dtype=bool)
+    keep[[0, -1]] = True
+    todo = [(0, len(xs) - 1)]
+    while todo:
+        i, j = todo.pop()
+        if j - i < 2:
+            continue
+        mid = slice(i + 1, j)
+        d = _segment_point(xs[mid], ys[mid], xs[i], ys[i], xs[j], ys[j])
+        k = int(np.argmax(d))
+        if d[k] > tolerance:
+            keep[i + 1 + k] = True
+            todo += [(i, i + 1 + k), (i + 1 + k, j)]
+    return keep
+
+
+@F.arrow_udf(ArrayType(StructType().add("x", DoubleType()).add("y", DoubleType())))
+def _simplified(line: pa.Array, tolerance: pa.Array) -> pa.Array:
+    if isinstance(line, pa.ChunkedArray):
+        line = line.combine_chunks()
+    flat = line.flatten()
+    x, y = _num(flat.field("x")), _num(flat.field("y"))
+    tol = _num(tolerance)
+    counts = np.nan_to_num(line.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+    ends = np.cumsum(counts)
+    keep = np.concatenate([simplify(x[e - c:e], y[e - c:e], t) for c, e, t in zip(counts, ends, tol) if c > 0] or [np.zeros(0, bool)])
+    sizes = np.add.reduceat(np.concatenate([keep.astype(np.int64), [0]]), np.minimum(ends - counts, len(keep))) * (counts > 0)
+    offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+    values = pa.StructArray.from_arrays([pa.array(x[keep]), pa.array(y[keep])], names=["x", "y"])
+    return pa.ListArray.from_arrays(offsets, values)
+
+
+simplified_line = _simplified

@@ -215,3 +215,85 @@ def points_in_areas(points: DataFrame, areas: DataFrame, area_key: str, aggs: di
     pairs = box_point_pairs(areas, at_positions(points, pre), side)
     inside = geo.in_ring(geo.ring_edges(F.col("ring")), F.col("px"), F.col("py"))
     return pairs.filter(inside).groupBy(area_key).agg(*[v.alias(k) for k, v in aggs.items()])
+
+
+def area_pieces(segments: DataFrame, areas: DataFrame, side: float) -> DataFrame:
+    """Common area of every segment and area outline that overlap."""
+    right = areas.select(*[F.col(c).alias("r" + c) for c in ("minx", "miny", "maxx", "maxy")], F.col("ring").alias("aring"),
+                         *[c for c in areas.columns if c not in ("minx", "miny", "maxx", "maxy", "ring")])
+    pairs = box_box_pairs(segments.select(*SHAPE), right, side)
+    return pairs.withColumn("piece", K.ring_overlay_area("ring", "aring")).filter(F.col("piece") > 0)
+
+
+def heat_stats(segments: DataFrame, heat: DataFrame, side: float, nearest_m: float = 50.0) -> DataFrame:
+    """Area-weighted heat, cover share and dominant code; nearest centre within reach as fallback."""
+    heat = heat.filter(F.col("uhi18_m").isNotNull()).select("area_id", "uhi18_m", "veg_pct", "minx", "miny", "maxx", "maxy", "ring")
+    sized = segments.select("segment_id", geo.ring_area(F.col("ring")).alias("full_"))
+    stats = area_pieces(segments, heat, side).groupBy("segment_id").agg(
+        (F.sum(F.col("uhi18_m") * F.col("piece")) / F.sum("piece")).alias("mean_"), F.sum("piece").alias("got_"),
+        F.max_by("area_id", F.struct(F.round("piece", 6), -F.col("area_id"))).alias("code_"),
+        (F.sum(F.col("veg_pct") * F.col("piece")) / F.sum("piece")).alias("veg_"),
+    )
+    near = nearest_point(
+        segments.join(stats.select("segment_id"), "segment_id", "left_anti")
+        .withColumns({"minx": F.col("x"), "maxx": F.col("x"), "miny": F.col("y"), "maxy": F.col("y")})
+        .withColumn("ring", geo.box_ring("x", "y", "x", "y")),
+        heat.select("area_id", "uhi18_m", ((F.col("minx") + F.col("maxx")) / 2).alias("px"), ((F.col("miny") + F.col("maxy")) / 2).alias("py")),
+        "area_id", nearest_m, max(nearest_m, 25.0), "heat_distance", {"uhi18_m": "nu_", "area_id": "nc_"},
+    )
+    out = sized.join(stats, "segment_id", "left").join(near, "segment_id", "left")
+    return out.select(
+        # equal readings must stay equal for the rank later on, whatever the piece sizes
+        "segment_id", F.round(F.coalesce("mean_", "nu_"), 9).alias("uhi18_m"), (F.col("got_") / F.abs("full_") * 100).alias("uhi_overlap_pct"),
+        F.coalesce("code_", "nc_").alias("uhi_mesh_block_code"), F.col("veg_").alias("per_any_veg_pct"),
+        F.when(F.col("mean_").isNotNull(), "intersection").when(F.col("nu_").isNotNull(), "nearest").otherwise("missing").alias("uhi_join_method"),
+    )
+
+
+def canopy_stats(segments: DataFrame, density: DataFrame, side: float) -> DataFrame:
+    """Share of each segment under dense, medium and sparse cover."""
+    kinds = ("dense", "medium", "sparse")
+    shapes = density.select(F.lower("tree_density").alias("kind"), "minx", "miny", "maxx", "maxy", "ring").filter(F.col("kind").isin(*kinds))
+    sums = area_pieces(segments, shapes, side).groupBy("segment_id").agg(
+        *[F.sum(F.when(F.col("kind") == k, F.col("piece")).otherwise(0.0)).alias(f"{k}_") for k in kinds])
+    full = F.abs(geo.ring_area(F.col("ring")))
+    out = segments.select("segment_id", full.alias("full_")).join(sums, "segment_id", "left").select(
+        "segment_id", *[F.coalesce(F.col(f"{k}_") / F.col("full_") * 100, F.lit(0.0)).alias(f"canopy_{k}_pct") for k in kinds])
+    d, m, s = (F.col(f"canopy_{k}_pct") for k in kinds)
+    return out.withColumns({
+        "canopy_cover_pct": d + m + s,
+        "canopy_class_dominant": F.when(F.greatest(d, m, s) <= 0, None).when((d >= m) & (d >= s), "dense").when(m >= s, "medium").otherwise("sparse"),
+    })
+
+
+def capsule_ring(x1: Column, y1: Column, x2: Column, y2: Column, r: float, quarter: int = 16) -> Column:
+    """Outline of a straight piece buffered by r, arcs drawn with ``quarter`` chords per quarter turn."""
+    turn = F.atan2(y2 - y1, x2 - x1)
+    half = [i / (2 * quarter) * 3.141592653589793 for i in range(2 * quarter + 1)]
+
+    def arc(cx, cy, offset):
+        return [F.struct((cx + r * F.cos(turn + offset + a)).alias("x"), (cy + r * F.sin(turn + offset + a)).alias("y")) for a in half]
+
+    return F.array(*arc(x2, y2, -1.5707963267948966), *arc(x1, y1, 1.5707963267948966))
+
+
+def way_scores(ways: DataFrame, segments: DataFrame, streams: tuple[str, ...], buffer_m: float = 12.0, side: float = 200.0) -> DataFrame:
+    """Ways scored from the segments around them, weighted by common area, NULL streams skipped.
+
+    ``ways`` has one straight piece per row (``way_id, x1..y2``).
+    """
+    ends = [F.col(c) for c in ("x1", "y1", "x2", "y2")]
+    buf = ways.select("way_id", "x1", "y1", "x2", "y2",
+                      (F.least("x1", "x2") - buffer_m).alias("minx"), (F.least("y1", "y2") - buffer_m).alias("miny"),
+                      (F.greatest("x1", "x2") + buffer_m).alias("maxx"), (F.greatest("y1", "y2") + buffer_m).alias("maxy"))
+    right = segments.select(*[F.col(c).alias("r" + c) for c in ("minx", "miny", "maxx", "maxy")], F.col("ring").alias("sring"), *streams)
+    pairs = box_box_pairs(buf, right, side).withColumn("wring", capsule_ring(*ends, buffer_m))
+    hit = pairs.withColumn("w", K.ring_overlay_area("wring", "sring")).filter(F.col("w") > 0)
+    hit = hit.withColumn("run", K.ring_corridor_share("sring", *ends, F.lit(float(buffer_m))) * geo.span(ends[2] - ends[0], ends[3] - ends[1]))
+    sums = hit.groupBy("way_id").agg(
+        F.sum("run").alias("run_"),
+        *[F.try_divide(F.sum(F.col(s) * F.col("w")), F.sum(F.when(F.col(s).isNotNull(), F.col("w")))).alias(s) for s in streams])
+    length = ways.groupBy("way_id").agg(F.sum(geo.span(ends[2] - ends[0], ends[3] - ends[1])).alias("length_m"))
+    return length.join(sums, "way_id", "left").select(
+        "way_id", "length_m", *streams,
+        F.coalesce(F.least(F.lit(1.0), F.try_divide(F.col("run_"), F.col("length_m"))), F.lit(0.0)).alias("score_coverage"))

@@ -1,4 +1,4 @@
 """All query modules, imported for their registrations."""
 
-from . import ingest_queries, join_queries, scoring_queries  # noqa: F401
+from . import harmonise_queries, ingest_queries, join_queries, line_queries, scoring_queries  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
