@@ -2,9 +2,141 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from itertools import chain
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import col
+from ..session import settle
+
+# Fixed values of the cost model.
+PATH_CLASSES = (
+    "footway", "path", "pedestrian", "steps", "corridor", "bridleway", "track", "cycleway", "crossing", "sidewalk",
+)
+ROUTE_PATH_CLASSES = (*PATH_CLASSES, "service", "living_street")
+ROAD_COST = {
+    "living_street": 1.25, "service": 1.25, "residential": 1.75, "unclassified": 1.75, "tertiary": 1.85,
+    "tertiary_link": 1.85, "secondary": 2.0, "secondary_link": 2.0, "primary": 2.0, "primary_link": 2.0,
+    "trunk": 2.0, "trunk_link": 2.0, "motorway": 3.0, "motorway_link": 3.0,
+}
+ROAD_COST_DEFAULT = 1.6
+AWAY_TRAILS = ("path", "cycleway", "track", "bridleway", "pedestrian")
+AWAY_FOOTWAYS = ("footway", "steps", "corridor", "sidewalk")
+AWAY_COST = {
+    "living_street": 1.5, "service": 1.5, "residential": 2.5, "unclassified": 2.5, "tertiary": 2.8,
+    "tertiary_link": 2.8, "secondary": 3.0, "secondary_link": 3.0, "primary": 3.0, "primary_link": 3.0,
+    "trunk": 3.0, "trunk_link": 3.0, "motorway": 4.0, "motorway_link": 4.0,
+}
+AWAY_COST_DEFAULT = 2.4
+AWAY_TRAIL_COST, AWAY_FOOTWAY_COST, AWAY_CROSSING_COST = 0.75, 1.45, 0.85
+SIDEWALK_ROADS = (
+    "residential", "unclassified", "living_street", "tertiary", "tertiary_link", "secondary", "secondary_link",
+    "primary", "primary_link",
+)
+CENTRELINE_ROADS = (*SIDEWALK_ROADS, "trunk", "trunk_link", "motorway", "motorway_link")
+MAX_DETOUR, MAX_DETOUR_AWAY, MAX_DETOUR_PATHISH, PATHISH_MIN = 1.15, 1.6, 1.20, 0.70
+WALK_MPS = 1.3
+IMPORTANCE = (10, 100)
+
+
+def road_class(c: str | Column) -> Column:
+    """First tag of a class text, lower case, ``unknown`` when empty."""
+    first = F.lower(F.trim(F.element_at(F.split(col(c), ";"), 1)))
+    return F.coalesce(F.nullif(first, F.lit("")), F.lit("unknown"))
+
+
+def _lookup(table: dict[str, float]) -> Column:
+    return F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in table.items()))
+
+
+def class_multiplier(highway: str | Column, away: bool | Column = False) -> Column:
+    """Cost per metre by class, in the normal or the away-from-roads mode."""
+    hw = road_class(highway)
+    normal = F.when(hw.isin(*PATH_CLASSES), 1.0).otherwise(F.coalesce(_lookup(ROAD_COST)[hw], F.lit(ROAD_COST_DEFAULT)))
+    other = (
+        F.when(hw.isin(*AWAY_TRAILS), AWAY_TRAIL_COST).when(hw == "crossing", AWAY_CROSSING_COST)
+        .when(hw.isin(*AWAY_FOOTWAYS), AWAY_FOOTWAY_COST).otherwise(F.coalesce(_lookup(AWAY_COST)[hw], F.lit(AWAY_COST_DEFAULT)))
+    )
+    if isinstance(away, Column):
+        return F.when(away, other).otherwise(normal)
+    return other if away else normal
+
+
+def norm_score(score: str | Column, p10, p90) -> Column:
+    """0-1 between the network percentiles, 0.5 for a missing score."""
+    s, lo, hi = col(score), p10 if isinstance(p10, Column) else F.lit(float(p10)), p90 if isinstance(p90, Column) else F.lit(float(p90))
+    pos = (s - lo) / F.greatest(F.lit(1e-6), hi - lo)
+    return F.when(s.isNull(), 0.5).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), pos)))
+
+
+def edge_cost(length, score, p10, p90, highway, away: bool | Column = False, swing: float = 1.0) -> Column:
+    return (
+        F.greatest(F.lit(1.0), col(length)) * (1.0 + swing * (0.5 - norm_score(score, p10, p90))) * class_multiplier(highway, away)
+    )
+
+
+def importance(c: str | Column) -> Column:
+    """Slider value clamped to the allowed band."""
+    v = F.coalesce(F.rint(col(c).cast("double")), F.lit(float(IMPORTANCE[0])))
+    return F.greatest(F.lit(float(IMPORTANCE[0])), F.least(F.lit(float(IMPORTANCE[1])), v))
+
+
+def blended_norm(parts: list[tuple[Column, Column, Column, Column]]) -> Column:
+    """Weighted mean of normalised streams; (score, p10, p90, weight); NULL when all are missing."""
+    num = sum((F.when(s.isNull(), 0.0).otherwise(norm_score(s, lo, hi) * w) for s, lo, hi, w in parts), F.lit(0.0))
+    den = sum((F.when(s.isNull(), 0.0).otherwise(w) for s, _, _, w in parts), F.lit(0.0))
+    return F.when(den > 0, F.try_divide(num, den))
+
+
+def preference_cost(length, highway, streams: list[tuple[Column, Column, Column, Column]], away: bool | Column = False, swing: float = 1.0, reused: Column | None = None, reuse: float = 3.0) -> Column:
+    """Edge cost under a resident's weights; no stream at all leaves length and class."""
+    s = F.coalesce(blended_norm(streams), F.lit(0.5))
+    cost = F.greatest(F.lit(1.0), col(length)) * (1.0 + swing * (0.5 - s)) * class_multiplier(highway, away)
+    return F.when(reused, cost * reuse).otherwise(cost) if reused is not None else cost
+
+
+def contrast_preferences(mode: str | Column, acc: str | Column, shade: str | Column, dark: str | Column) -> dict[str, Column]:
+    """Weights of the opposite walk: the dominant stream goes to the floor, the other to the top."""
+    lo, hi = (float(v) for v in IMPORTANCE)
+    night = col(mode) == "night"
+    second = F.when(night, importance(dark)).otherwise(importance(shade))
+    leads = second >= importance(acc)
+    other = F.when(leads, lo).otherwise(hi)
+    return {
+        "alt_accessibility": F.when(leads, hi).otherwise(lo),
+        "alt_shade": F.when(night, 0.0).otherwise(other),
+        "alt_dark": F.when(night, other).otherwise(0.0),
+        "alt_stream": F.when(leads, "accessibility").when(night, "afterDark").otherwise("shadeHeat"),
+    }
+
+
+def undirected_edges(pieces: DataFrame, ax: Column, ay: Column, bx: Column, by: Column, cost: str, digits: int, order: list[str]) -> DataFrame:
+    """Vertex pairs to edges ``u < v``; loops dropped, the cheapest of parallel edges kept."""
+
+    def node(x, y):
+        return F.concat_ws("_", F.round(x, digits).cast("string"), F.round(y, digits).cast("string"))
+
+    e = pieces.withColumn("a_", node(ax, ay)).withColumn("b_", node(bx, by)).filter("a_ <> b_")
+    e = e.withColumns({"u": F.least("a_", "b_"), "v": F.greatest("a_", "b_")})
+    rest = [c for c in e.columns if c not in ("a_", "b_", "u", "v")]
+    return e.groupBy("u", "v").agg(F.min_by(F.struct(*rest), F.struct(cost, *order)).alias("e")).select("u", "v", "e.*")
+
+
+def both_ways(edges: DataFrame) -> DataFrame:
+    flip = edges.withColumns({"u": F.col("v"), "v": F.col("u")})
+    return edges.unionByName(flip)
+
+
+def node_table(edges: DataFrame, blend: Column, length: str = "length_m", highway: str = "highway") -> DataFrame:
+    """Degree, path contact and length-weighted blend of the edges at every node."""
+    w = F.greatest(F.lit(1.0), F.col(length))
+    e = both_ways(edges).withColumns({"b_": blend, "w_": w})
+    path = road_class(highway).isin(*[c for c in PATH_CLASSES if c != "crossing"])
+    return e.groupBy(F.col("u").alias("node")).agg(
+        F.count(F.lit(1)).alias("degree"), F.max(path).alias("on_paths"),
+        F.try_divide(F.sum(F.col("b_") * F.col("w_")), F.sum(F.when(F.col("b_").isNotNull(), F.col("w_")))).alias("blend"))
+
 
 def side_votes(pieces: DataFrame, way: str, street: str) -> DataFrame:
     """Side per way by length-weighted vote; a weak vote follows its street.
@@ -17,3 +149,74 @@ def side_votes(pieces: DataFrame, way: str, street: str) -> DataFrame:
     weak = (F.abs("vote") < 0.6 * F.col("m")) & (F.col("sv") != 0)
     pick = F.when(weak, F.when(F.col("sv") >= 0, 1).otherwise(-1)).when(F.col("vote") >= 0, 1).otherwise(-1)
     return per_way.filter("vote IS NOT NULL").join(per_street, street).select(way, pick.alias("side"))
+
+
+def sidewalk_edges(pieces: DataFrame, way: str, street: str, offset: float = 4.5, ring_skip: float = 150.0) -> DataFrame:
+    """Road pieces with pavement alongside become sidewalk edges moved to the voted side.
+
+    ``pieces``: way, ``i``, street, ends, ``len``, ``side`` (NULL = no pavement
+    near), ``highway``. Gaps between the first and last match of a way are
+    filled; short closed ways stay roads.
+    """
+    roads = pieces.filter(road_class("highway").isin(*SIDEWALK_ROADS))
+    shape = roads.groupBy(way).agg(
+        F.min_by(F.struct("x1", "y1"), F.col("i")).alias("a_"), F.max_by(F.struct(F.col("x2").alias("x1"), F.col("y2").alias("y1")), F.col("i")).alias("b_"),
+        F.sum("len").alias("way_m"), F.min(F.when(F.col("side").isNotNull(), F.col("i"))).alias("lo"), F.max(F.when(F.col("side").isNotNull(), F.col("i"))).alias("hi"))
+    ring = (F.col("a_") == F.col("b_")) & (F.col("way_m") < ring_skip)
+    live = roads.join(shape.filter(~ring), way)
+    sides = side_votes(live.select(way, street, "len", "side"), way, street).withColumnRenamed("side", "use_")
+    conv = live.filter("i BETWEEN lo AND hi").join(sides, way)
+    ex, ey = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    n = F.when(F.col("len") > 0, F.col("len")).otherwise(1.0)
+    ox, oy = -ey / n * F.col("use_") * offset, ex / n * F.col("use_") * offset
+    return conv.select(
+        way, "i", road_class("highway").alias("sidewalk_of"), F.lit("sidewalk").alias("highway"), "len",
+        (F.col("x1") + ox).alias("x1"), (F.col("y1") + oy).alias("y1"), (F.col("x2") + ox).alias("x2"), (F.col("y2") + oy).alias("y2"))
+
+
+def batch_paths(edges: DataFrame, requests: DataFrame, max_rounds: int = 60, settle_every: int = 1) -> DataFrame:
+    """Cheapest path cost per request (``od_id, src, dst``) over ``edges(u, v, cost)``.
+
+    Labels (request, node, cost, previous node) relax along the edges for all
+    requests at once. A label that already costs more than the best known
+    arrival of its request is dropped, so the search stays inside the radius of
+    the answer. Stops when no label improved. State lives in the shared folder.
+    """
+    arcs = settle(both_ways(edges.select("u", "v", "cost")).groupBy("u", "v").agg(F.min("cost").alias("cost")), "arcs")
+    labels = requests.select("od_id", F.col("src").alias("node"), F.lit(0.0).alias("g"), F.lit(None).cast(requests.schema["src"].dataType).alias("prev"), F.lit(0).alias("round"))
+    labels = settle(labels, "labels")
+    goals = requests.select("od_id", F.col("dst").alias("node"))
+    for step in range(1, max_rounds + 1):
+        front = labels.filter(F.col("round") == step - 1)
+        if front.limit(1).count() == 0:
+            break
+        best = labels.join(goals, ["od_id", "node"]).select("od_id", F.col("g").alias("best_"))
+        grown = (
+            front.join(arcs, front.node == arcs.u).select("od_id", F.col("v").alias("node"), (F.col("g") + F.col("cost")).alias("g"), F.col("u").alias("prev"))
+            .join(best, "od_id", "left").filter(F.col("best_").isNull() | (F.col("g") < F.col("best_"))).drop("best_")
+            .withColumn("round", F.lit(step))
+        )
+        # an old label wins a tie, so nothing is relaxed twice at the same cost
+        merged = labels.unionByName(grown).groupBy("od_id", "node").agg(
+            F.min_by(F.struct("g", "prev", "round"), F.struct("g", "round", "prev")).alias("l")).select("od_id", "node", "l.*")
+        labels = settle(merged, "labels")
+    return labels
+
+
+def trace_paths(labels: DataFrame, requests: DataFrame, max_hops: int = 200) -> DataFrame:
+    """Edges of each found path, walked back from the goal: od_id, hop, u, v."""
+    at = requests.join(labels.select("od_id", F.col("node").alias("dst")), ["od_id", "dst"]).select("od_id", F.col("dst").alias("node"))
+    steps = None
+    for hop in range(max_hops):
+        nxt = settle(at.join(labels, ["od_id", "node"]).filter("prev IS NOT NULL").select("od_id", F.lit(hop).alias("hop"), F.col("prev").alias("u"), F.col("node").alias("v")), "hop")
+        if nxt.limit(1).count() == 0:
+            break
+        steps = nxt if steps is None else steps.unionByName(nxt)
+        at = nxt.select("od_id", F.col("u").alias("node"))
+    return steps
+
+
+def choose_route(detour: Column, pathish: Column, cap: Column | float, away: Column) -> Column:
+    """Which of the drawn routes to keep: ``score``, or ``fallback`` when the detour is too long."""
+    keep = (pathish >= PATHISH_MIN) & (detour <= MAX_DETOUR_PATHISH) & ~away
+    return F.when(detour <= cap, "score").when(F.coalesce(keep, F.lit(False)), "score").otherwise("fallback")

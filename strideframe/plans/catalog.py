@@ -1,4 +1,6 @@
 """All query modules, imported for their registrations."""
 
-from . import harmonise_queries, ingest_queries, join_queries, line_queries, scoring_queries  # noqa: F401
+from . import (  # noqa: F401
+    graph_queries, harmonise_queries, ingest_queries, join_queries, line_queries, route_queries, scoring_queries,
+)  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

@@ -82,7 +82,7 @@ def rq_07(spark, sf):
     return v.select("route_id", F.round("worst_spur_m", 4).alias("worst_spur_m"), F.round("total_spur_m", 4).alias("total_spur_m"))
 
 
-@query("rq_06_pair_overlap", f"""WITH {_SAMPLES}, c AS (SELECT route_id, count(*) AS cn FROM sm GROUP BY 1), s AS (SELECT sm.*, cn, route_id%500 AS req FROM sm JOIN c USING (route_id)),
+@query("rq_06_pair_overlap", f"""WITH {_SAMPLES}, c AS (SELECT route_id, count(*) AS cn FROM sm GROUP BY 1), s AS (SELECT sm.*, cn, (route_id%63)*100000+CAST(floor(route_id/252) AS BIGINT) AS req FROM sm JOIN c USING (route_id)),
  a AS (SELECT * FROM s WHERE n % greatest(1,cn//16)=0 AND cn>=4), b AS (SELECT * FROM s WHERE n % greatest(1,cn//20)=0 AND cn>=4),
  na AS (SELECT route_id, count(*) AS k FROM a GROUP BY 1)
 SELECT a.route_id AS route_a, b.route_id AS route_b, round(count(DISTINCT a.n)/max(k),6) AS overlap FROM a JOIN b ON a.req=b.req AND a.route_id<>b.route_id AND power(a.px-b.px,2)+power(a.py-b.py,2)<=3025 JOIN na ON na.route_id=a.route_id GROUP BY 1,2""")
@@ -90,7 +90,7 @@ def rq_06(spark, sf):
     """Only pairs that come near each other appear; all others overlap by nothing."""
     s = N.samples(routes(spark, sf), ["route_id"], 28.0)
     a, b = N.every_kth(s, ["route_id"], 16).filter("size_ >= 4"), N.every_kth(s, ["route_id"], 20).filter("size_ >= 4")
-    req = F.col("route_id") % 500
+    req = (F.col("route_id") % 63) * 100000 + F.floor(F.col("route_id") / 252)
     left = N._around(a.select("route_id", "n", "px", "py", req.alias("req")), 55.0)
     right = N._cells(b.select(F.col("route_id").alias("route_b"), F.col("px").alias("qx"), F.col("py").alias("qy"), req.alias("req"), "px", "py"), 55.0).drop("px", "py")
     near = left.join(right, ["req", "cx", "cy"]).filter("route_id <> route_b").filter(
@@ -118,15 +118,15 @@ _W = {"route_overlap": "CASE WHEN on_>=0.5 THEN on_ WHEN by_>=0.5 THEN by_ END",
 
 
 def _route_sql(weight: str) -> str:
-    return cte("segments").rstrip() + f""", {_RS}, u AS (SELECT *, {_W[weight]} AS u FROM wt WHERE by_>0), m AS (SELECT route_id, sum(d*u)/sum(u) FILTER (WHERE d IS NOT NULL) AS day, sum(nn*u)/sum(u) FILTER (WHERE nn IS NOT NULL) AS night, sum(a*u)/sum(u) AS acc,
+    return cte("segments").rstrip() + f""", {_RS}, u AS (SELECT *, {_W[weight]} AS u FROM wt WHERE by_>1e-6), m AS (SELECT route_id, sum(d*u)/sum(u) FILTER (WHERE d IS NOT NULL) AS day, sum(nn*u)/sum(u) FILTER (WHERE nn IS NOT NULL) AS night, sum(a*u)/sum(u) AS acc,
  sum(u) AS mm, count(*) AS hits, sum(CASE WHEN cl='shared_use' THEN u ELSE 0 END)/sum(u) AS sh FROM u GROUP BY 1)
-SELECT route_id, round(distance_m,4) AS distance_m, round(day,5) AS day_index_score, round(night,5) AS night_index_score, round(acc,5) AS accessibility_score, round(least(1,coalesce(mm/distance_m,0)),6) AS coverage_ratio,
- round(coalesce(mm/distance_m,0),6) AS coverage_raw, coalesce(hits,0) AS segment_hits, round(coalesce(sh,0),6) AS shared_use_ratio, CASE WHEN coalesce(mm/distance_m,0)>=0.35 THEN 'full' ELSE 'reduced' END AS confidence FROM rl LEFT JOIN m USING (route_id)"""
+SELECT route_id, round(distance_m,4) AS distance_m, round(day,7) AS day_index_score, round(night,7) AS night_index_score, round(acc,7) AS accessibility_score, round(least(1,coalesce(mm/distance_m,0)),8) AS coverage_ratio,
+ round(coalesce(mm/distance_m,0),8) AS coverage_raw, coalesce(hits,0) AS segment_hits, round(coalesce(sh,0),8) AS shared_use_ratio, CASE WHEN coalesce(mm/distance_m,0)>=0.35 THEN 'full' ELSE 'reduced' END AS confidence FROM rl LEFT JOIN m USING (route_id)"""
 
 
 def _route_out(d):
-    return d.select("route_id", F.round("distance_m", 4).alias("distance_m"), *[F.round(c, 5).alias(c) for c in R.STREAMS],
-                    *[F.round(c, 6).alias(c) for c in ("coverage_ratio", "coverage_raw", "shared_use_ratio")], "segment_hits", "confidence")
+    return d.select("route_id", F.round("distance_m", 4).alias("distance_m"), *[F.round(c, 7).alias(c) for c in R.STREAMS],
+                    *[F.round(c, 8).alias(c) for c in ("coverage_ratio", "coverage_raw", "shared_use_ratio")], "segment_hits", "confidence")
 
 
 @query("jn_18_route_scores", _route_sql("route_overlap"))
@@ -141,7 +141,7 @@ def jn_20(spark, sf):
     return _route_out(R.score_routes(p, scored_segments(spark, sf), "route_id", weight="segment_length"))
 
 
-@query("jn_19_route_mode_confidence", cte("segments").rstrip() + f""", {_RS}, h AS (SELECT route_id, CASE segment_id%3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE NULL END AS conf FROM wt WHERE by_>0),
+@query("jn_19_route_mode_confidence", cte("segments").rstrip() + f""", {_RS}, h AS (SELECT route_id, CASE segment_id%3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE NULL END AS conf FROM wt WHERE by_>1e-6),
  c AS (SELECT route_id, conf, count(*) AS n FROM h WHERE conf IS NOT NULL GROUP BY 1,2), b AS (SELECT route_id, conf FROM (SELECT *, row_number() OVER (PARTITION BY route_id ORDER BY n DESC, conf) AS rn FROM c) WHERE rn=1)
 SELECT route_id, coalesce(conf,'reduced') AS confidence FROM rl LEFT JOIN b USING (route_id)""")
 def jn_19(spark, sf):
@@ -149,7 +149,7 @@ def jn_19(spark, sf):
     p = N.pieces(routes(spark, sf), ["route_id"])
     k = F.col("segment_id")
     segs = segment_shapes(spark, sf).withColumn("conf", F.when(k % 3 == 0, "high").when(k % 3 == 1, "medium"))
-    hit = R.route_segment_weights(p, segs, "route_id", 20.0, ["conf"]).filter("by_ > 0")
+    hit = R.route_segment_weights(p, segs, "route_id", 20.0, ["conf"]).filter("by_ > 1e-6")
     mode = A.frequent_value(hit, ["route_id"], "conf", "confidence", "reduced")
     return p.select("route_id").distinct().join(mode, "route_id", "left").withColumn("confidence", F.coalesce("confidence", F.lit("reduced")))
 
