@@ -68,14 +68,14 @@ def gr_01(spark, sf):
 
 @query("gr_01_edges_from_lines", f"""WITH {ROUTES_CTE}, k AS (SELECT route_id, i, CAST(round(x1/200) AS BIGINT)||'_'||CAST(round(y1/200) AS BIGINT) AS a, CAST(round(x2/200) AS BIGINT)||'_'||CAST(round(y2/200) AS BIGINT) AS b, greatest(1,sqrt(power(x2-x1,2)+power(y2-y1,2))) AS len FROM pc),
  m AS (SELECT least(a,b) AS u, greatest(a,b) AS v, route_id, i, len FROM k WHERE a<>b)
-SELECT u, v, route_id, CAST(i AS INTEGER) AS i, round(len,5) AS length_m FROM (SELECT *, row_number() OVER (PARTITION BY u,v ORDER BY round(len,6), route_id, i) AS rn FROM m) WHERE rn=1""")
+SELECT u, v, route_id, CAST(i AS INTEGER) AS i, round(len,6) AS length_m FROM (SELECT *, row_number() OVER (PARTITION BY u,v ORDER BY round(len,6), route_id, i) AS rn FROM m) WHERE rn=1""")
 def gr_01b(spark, sf):
     """Vertices rounded to nodes, consecutive vertices to edges, cheapest parallel edge kept."""
     p = N.pieces(routes(spark, sf), ["route_id"])
     length = F.round(F.greatest(F.lit(1.0), geo.span(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))), 6)
     p = p.select("route_id", "i", length.alias("len"), *[F.round(F.col(c) / 200).cast("bigint").alias(c) for c in ("x1", "y1", "x2", "y2")])
     e = G.undirected_edges(p, F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"), "len", 0, ["route_id", "i"])
-    return e.select("u", "v", "route_id", "i", F.round("len", 5).alias("length_m"))
+    return e.select("u", "v", "route_id", "i", F.col("len").alias("length_m"))
 
 
 @query("gr_02_normalised_scores", f"WITH {EDGES_CTE}, {_PCT} SELECT edge_id, round({_norm('day_index_score','d1','d9')},8) AS day_norm, round({_norm('lighting_score','l1','l9')},8) AS light_norm FROM edges, pq")

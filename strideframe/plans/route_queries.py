@@ -34,10 +34,10 @@ def rq_02(spark, sf):
     return cards(spark, sf).select("od_id", "card", F.round(R.efficiency_weight(), 8).alias("trip_weight"), F.round(R.efficiency_weight(R.OUTING_EFFICIENCY), 8).alias("outing_weight"))
 
 
-@query("rq_03_trip_rank_score", f"WITH {_BASE} SELECT od_id, card, round(match,6) AS match_score, CAST(bonus AS DOUBLE) AS shared_bonus FROM b3")
+@query("rq_03_trip_rank_score", f"WITH {_BASE} SELECT od_id, card, round(match,8) AS match_score, CAST(bonus AS DOUBLE) AS shared_bonus FROM b3")
 def rq_03(spark, sf):
     c = R.scored_cards(cards(spark, sf), "od_id")
-    return c.select("od_id", "card", F.round("match_score", 6).alias("match_score"), R.shared_bonus().alias("shared_bonus"))
+    return c.select("od_id", "card", F.round("match_score", 8).alias("match_score"), R.shared_bonus().alias("shared_bonus"))
 
 
 def ranked(spark, sf):
