@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import settle
+
 BOX = ("minx", "miny", "maxx", "maxy")
 CELL_TARGET = 50_000
 
@@ -208,13 +210,35 @@ def nearest_pairs(
     ).withColumn("gx", F.col("c_.gx")).withColumn("gy", F.col("c_.gy"))
     near_x = _gap(F.col("bx0"), F.col("bx1"), F.col("qx0"), F.col("qx1"))
     near_y = _gap(F.col("by0"), F.col("by1"), F.col("qy0"), F.col("qy1"))
-    pairs = (
+    pairs = settle(
         wanted.join(coarse, ["lvl", "gx", "gy"])
         .filter(near_x * near_x + near_y * near_y <= F.col("u_") * F.col("u_") * (1 + 1e-9))
-        .select("lcx", "lcy", "rcx", "rcy")
+        .select("lcx", "lcy", "rcx", "rcy", "qx0", "qy0", "qx1", "qy1"),
+        "cell-pairs",
+    )
+    # per left row: a first exact distance from the closest cell, then only what can beat it
+    cx_gap = _gap(F.col("minx"), F.col("maxx"), F.col("qx0"), F.col("qx1"))
+    cy_gap = _gap(F.col("miny"), F.col("maxy"), F.col("qy0"), F.col("qy1"))
+    cell_gap = F.sqrt(cx_gap * cx_gap + cy_gap * cy_gap)
+    spans = lefts.select(left_id, "lcx", "lcy", "minx", "miny", "maxx", "maxy").join(pairs, ["lcx", "lcy"])
+    first = (
+        spans.groupBy(left_id)
+        .agg(F.min_by(F.struct("rcx", "rcy"), F.struct(cell_gap, F.col("rcx"), F.col("rcy"))).alias("c_"))
+        .select(left_id, "c_.rcx", "c_.rcy")
+    )
+    probe = left.join(first, left_id).join(rights, ["rcx", "rcy"])
+    limit = settle(
+        probe.withColumn("dist_", distance).groupBy(left_id)
+        .agg(F.least(F.min("dist_"), F.lit(float(max_distance))).alias("limit_")),
+        "limits",
+    )
+    rx_gap = _gap(F.col("minx"), F.col("maxx"), F.col(r0), F.col(r2))
+    ry_gap = _gap(F.col("miny"), F.col("maxy"), F.col(r1), F.col(r3))
+    slack = F.col("limit_") + 1e-6
+    rows = (
+        lefts.join(limit, left_id).join(pairs, ["lcx", "lcy"]).filter(cell_gap <= slack)
+        .join(rights, ["rcx", "rcy"]).filter(rx_gap * rx_gap + ry_gap * ry_gap <= slack * slack)
     )
-    # rows
-    rows = lefts.join(pairs, ["lcx", "lcy"]).join(rights, ["rcx", "rcy"])
     rows = rows.withColumn("dist_", distance).filter(F.col("dist_") <= max_distance)
     return (
         rows.groupBy(left_id)

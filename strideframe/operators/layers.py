@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from . import kernels as K
-from .grid import box_box_pairs, box_point_pairs, nearest_pairs
+from .grid import box_box_pairs, box_point_pairs, cell_side, nearest_pairs
 
 # Fixed values of the joins, metres.
 CORRIDOR_M = 25.0
@@ -70,9 +70,13 @@ def nearest_point(
     segments: DataFrame, points: DataFrame, key: str, max_distance: float, side: float, out: str,
     extra: dict[str, str] | None = None, px: str = "px", py: str = "py",
 ) -> DataFrame:
-    """Distance to the nearest point (ties to the smallest key) and columns of that point."""
+    """Distance to the nearest point (ties to the smallest key) and columns of that point.
+
+    ``side`` is the widest cell; denser layers get narrower ones by measure.
+    """
     extra = extra or {}
     pos = at_positions(points, {"best_": F.min_by(F.struct(*dict.fromkeys([key, *extra])), F.col(key))}, px, py)
+    side = min(side, cell_side(points, px, py, per_cell=16.0))
     pos = pos.select("*", *[F.col(c).alias(n) for c, n in (("px", "rminx"), ("py", "rminy"), ("px", "rmaxx"), ("py", "rmaxy"))])
     dist = F.round(K.ring_point_distance("ring", "px", "py"), 6)
     near = nearest_pairs(
@@ -296,4 +300,4 @@ def way_scores(ways: DataFrame, segments: DataFrame, streams: tuple[str, ...], b
     length = ways.groupBy("way_id").agg(F.sum(geo.span(ends[2] - ends[0], ends[3] - ends[1])).alias("length_m"))
     return length.join(sums, "way_id", "left").select(
         "way_id", "length_m", *streams,
-        F.coalesce(F.least(F.lit(1.0), F.try_divide(F.col("run_"), F.col("length_m"))), F.lit(0.0)).alias("score_coverage"))
+        F.least(F.lit(1.0), F.coalesce(F.try_divide(F.col("run_"), F.col("length_m")), F.lit(0.0))).alias("score_coverage"))

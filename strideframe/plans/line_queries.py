@@ -120,13 +120,13 @@ _W = {"route_overlap": "CASE WHEN on_>=0.5 THEN on_ WHEN by_>=0.5 THEN by_ END",
 def _route_sql(weight: str) -> str:
     return cte("segments").rstrip() + f""", {_RS}, u AS (SELECT *, {_W[weight]} AS u FROM wt WHERE by_>1e-6), m AS (SELECT route_id, sum(d*u)/sum(u) FILTER (WHERE d IS NOT NULL) AS day, sum(nn*u)/sum(u) FILTER (WHERE nn IS NOT NULL) AS night, sum(a*u)/sum(u) AS acc,
  sum(u) AS mm, count(*) AS hits, sum(CASE WHEN cl='shared_use' THEN u ELSE 0 END)/sum(u) AS sh FROM u GROUP BY 1)
-SELECT route_id, round(distance_m,4) AS distance_m, round(day,7) AS day_index_score, round(night,7) AS night_index_score, round(acc,7) AS accessibility_score, round(least(1,coalesce(mm/distance_m,0)),9) AS coverage_ratio,
- round(coalesce(mm/distance_m,0),9) AS coverage_raw, coalesce(hits,0) AS segment_hits, round(coalesce(sh,0),9) AS shared_use_ratio, CASE WHEN coalesce(mm/distance_m,0)>=0.35 THEN 'full' ELSE 'reduced' END AS confidence FROM rl LEFT JOIN m USING (route_id)"""
+SELECT route_id, round(distance_m,4) AS distance_m, round(day,6) AS day_index_score, round(night,6) AS night_index_score, round(acc,6) AS accessibility_score, round(least(1,coalesce(mm/distance_m,0)),9) AS coverage_ratio,
+ round(coalesce(mm/distance_m,0),9) AS coverage_raw, coalesce(hits,0) AS segment_hits, round(coalesce(sh,0),7) AS shared_use_ratio, CASE WHEN coalesce(mm/distance_m,0)>=0.35 THEN 'full' ELSE 'reduced' END AS confidence FROM rl LEFT JOIN m USING (route_id)"""
 
 
 def _route_out(d):
-    return d.select("route_id", F.round("distance_m", 4).alias("distance_m"), *[F.round(c, 7).alias(c) for c in R.STREAMS],
-                    *[F.round(c, 9).alias(c) for c in ("coverage_ratio", "coverage_raw", "shared_use_ratio")], "segment_hits", "confidence")
+    return d.select("route_id", F.round("distance_m", 4).alias("distance_m"), *[F.round(c, 6).alias(c) for c in R.STREAMS],
+                    *[F.round(c, 9).alias(c) for c in ("coverage_ratio", "coverage_raw")], F.round("shared_use_ratio", 7).alias("shared_use_ratio"), "segment_hits", "confidence")
 
 
 @query("jn_18_route_scores", _route_sql("route_overlap"))
@@ -169,12 +169,12 @@ def jn_22(spark, sf):
     from .join_queries import touching
     from .bindings import zone_lines
     segs, z = segment_shapes(spark, sf), zone_lines(spark, sf)
-    g1 = touching(segs, z, 15.0).agg(F.count(F.lit(1)).alias("near")).crossJoin(segs.agg(F.count(F.lit(1)).alias("n"), F.sum("length_m").alias("m")))
     ways = z.select(F.col("zone_id").alias("route_id"), F.lit(0).alias("i"), "x1", "y1", "x2", "y2")
     axes = segs.select(F.col("minx").alias("x1"), F.col("y").alias("y1"), F.col("maxx").alias("x2"), F.col("y").alias("y2"))
     c = N.covered_metres(ways, R.cover_intervals(ways, axes, "route_id", 15.0), ["route_id"])
-    g2 = c.agg(F.round(F.sum("covered_m") / F.sum("length_m"), 6).alias("g2_length_share"))
-    return g1.select(F.round(F.col("near") / F.col("n"), 6).alias("g1_feature_share"), "n").crossJoin(g2)
+    near = touching(segs, z, 15.0).agg(F.count(F.lit(1))).scalar()
+    g2 = c.agg(F.round(F.sum("covered_m") / F.sum("length_m"), 6)).scalar()
+    return segs.agg(F.count(F.lit(1)).alias("n")).select("n", F.round(near / F.col("n"), 6).alias("g1_feature_share"), g2.alias("g2_length_share"))
 
 
 # --- windows along routes ----------------------------------------------------
@@ -242,12 +242,11 @@ def win_11(spark, sf):
     s = N.samples(routes(spark, sf), ["route_id"], 28.0)
     spread, w, home = O.with_halo(s, ["route_id"], "n", 2, 2)
 
-    def pick(c, off):
-        one, two = F.lag if off < 0 else F.lead, None
-        near, far = one(c, 1).over(w), one(c, 2).over(w)
-        return F.coalesce(far, near, F.col(c)) if two is None else None
+    def pick(c, side):
+        """Two rows away, else the last row there is on that side."""
+        return F.coalesce(side(c, 2).over(w), side(c, 1).over(w), F.col(c))
 
-    d = spread.withColumns({"ax": pick("px", -1), "ay": pick("py", -1), "cx": pick("px", 1), "cy": pick("py", 1)}).filter(home)
+    d = spread.withColumns({"ax": pick("px", F.lag), "ay": pick("py", F.lag), "cx": pick("px", F.lead), "cy": pick("py", F.lead)}).filter(home)
     e1, n1, e2, n2 = F.col("px") - F.col("ax"), F.col("py") - F.col("ay"), F.col("cx") - F.col("px"), F.col("cy") - F.col("py")
     l1, l2 = geo.span(e1, n1), geo.span(e2, n2)
     turn = F.when((l1 < 1) | (l2 < 1), 0.0).otherwise(F.degrees(F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), F.try_divide(e1 * e2 + n1 * n2, l1 * l2))))))

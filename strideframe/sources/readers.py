@@ -25,13 +25,13 @@ def read_feature_collection(spark: SparkSession, path: str, properties: str, coo
     return docs.select(F.explode("features").alias("f")).filter("f.geometry IS NOT NULL").select("f.properties.*", "f.geometry")
 
 
-def read_csv_text(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """Header CSV, every column as text, rows with a wrong number of fields skipped."""
+def read_csv_text(spark: SparkSession, path: str, columns: list[str], header: bool = True) -> DataFrame:
+    """CSV, every column as text, rows with a wrong number of fields skipped."""
     schema = StructType()
     for c in columns:
         schema = schema.add(c, StringType())
     return (
-        spark.read.schema(schema).option("header", True).option("mode", "DROPMALFORMED").option("columnPruning", False).csv(path)
+        spark.read.schema(schema).option("header", header).option("mode", "DROPMALFORMED").option("columnPruning", False).csv(path)
     )
 
 
