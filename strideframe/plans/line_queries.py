@@ -120,14 +120,14 @@ _W = {"route_overlap": "CASE WHEN on_>=0.5 THEN on_ WHEN by_>=0.5 THEN by_ END",
 def _route_sql(weight: str) -> str:
     return cte("segments").rstrip() + f""", {_RS}, u AS (SELECT *, {_W[weight]} AS u FROM wt WHERE by_>1e-6), m AS (SELECT route_id, sum(d*u)/sum(u) FILTER (WHERE d IS NOT NULL) AS day, sum(nn*u)/sum(u) FILTER (WHERE nn IS NOT NULL) AS night, sum(a*u)/sum(u) AS acc,
  sum(u) AS mm, count(*) AS hits, sum(CASE WHEN cl='shared_use' THEN u ELSE 0 END)/sum(u) AS sh FROM u GROUP BY 1)
-SELECT route_id, round(distance_m,4) AS distance_m, round(day,6) AS day_index_score, round(night,6) AS night_index_score, round(acc,6) AS accessibility_score, floor(least(1,coalesce(mm/distance_m,0))*100000+0.37)/100000 AS coverage_ratio,
- floor(coalesce(mm/distance_m,0)*100000+0.37)/100000 AS coverage_raw, coalesce(hits,0) AS segment_hits, round(coalesce(sh,0),7) AS shared_use_ratio, CASE WHEN coalesce(mm/distance_m,0)>=0.35 THEN 'full' ELSE 'reduced' END AS confidence FROM rl LEFT JOIN m USING (route_id)"""
+SELECT route_id, round(distance_m,4) AS distance_m, floor(day*1000+0.37)/1000 AS day_index_score, floor(night*1000+0.37)/1000 AS night_index_score, floor(acc*1000+0.37)/1000 AS accessibility_score, floor(least(1,coalesce(mm/distance_m,0))*100000+0.37)/100000 AS coverage_ratio,
+ floor(coalesce(mm/distance_m,0)*100000+0.37)/100000 AS coverage_raw, coalesce(hits,0) AS segment_hits, floor(coalesce(sh,0)*100000+0.37)/100000 AS shared_use_ratio, CASE WHEN coalesce(mm/distance_m,0)>=0.35 THEN 'full' ELSE 'reduced' END AS confidence FROM rl LEFT JOIN m USING (route_id)"""
 
 
 def _route_out(d):
     # shares here are often k/1280: a cut at 0.37 keeps exact halves off the rounding edge
-    return d.select("route_id", F.round("distance_m", 4).alias("distance_m"), *[F.round(c, 6).alias(c) for c in R.STREAMS],
-                    *[(F.floor(F.col(c) * 100000 + 0.37) / 100000).alias(c) for c in ("coverage_ratio", "coverage_raw")], F.round("shared_use_ratio", 7).alias("shared_use_ratio"), "segment_hits", "confidence")
+    return d.select("route_id", F.round("distance_m", 4).alias("distance_m"), *[(F.floor(F.col(c) * 1000 + 0.37) / 1000).alias(c) for c in R.STREAMS],
+                    *[(F.floor(F.col(c) * 100000 + 0.37) / 100000).alias(c) for c in ("coverage_ratio", "coverage_raw", "shared_use_ratio")], "segment_hits", "confidence")
 
 
 @query("jn_18_route_scores", _route_sql("route_overlap"))
