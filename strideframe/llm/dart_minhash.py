@@ -9,9 +9,11 @@ per document are enough, whatever its length, and two documents agree on a
 coordinate with the probability of their weighted Jaccard similarity.
 
 Coordinates are joined in bands. A bucket is never expanded into pairs: its
-most connected member is compared with the others, pairs are verified on exact
-shingle weights, and members that stay apart go through further rounds with
-more leaders until nothing is open.
+most connected member is compared with the others on exact shingle weights, and
+what links is one component from then on. Only in buckets that still hold
+several components are the members outside the largest one compared with all
+others, block against block, so every two texts that share a bucket end up in
+one component or are known to be too far apart.
 """
 
 from __future__ import annotations
@@ -22,8 +24,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from strideframe.llm import textbytes as tb
 from strideframe.session import settle
@@ -34,6 +36,8 @@ BANDS, ROWS = 20, 4
 SIZE = BANDS * ROWS
 #: lowest slab of ranks, as a power of two; slabs double up to a height of TALLEST
 FLOOR, TALLEST = -6, 32.0
+#: members of a bucket that one comparison block holds: outliers, and all
+BLOCK_OUT, BLOCK_ALL = 256, 1024
 
 _U = np.uint64
 _SCALE = 2.0**-64
@@ -179,14 +183,17 @@ def _weights_of(docs: DataFrame, size: int, counted: bool) -> DataFrame:
     return docs.select("t").mapInArrow(scan, "fp binary, packed binary")
 
 
+def _unpacked(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(packed) // 12
+    return np.frombuffer(packed, np.uint64, n), np.frombuffer(packed, np.float32, n, 8 * n).astype(float)
+
+
 def similarity(a: bytes, b: bytes) -> float:
     """Weighted Jaccard similarity of two packed shingle lists."""
-    n, m = len(a) // 12, len(b) // 12
-    x, y = np.frombuffer(a, np.uint64, n), np.frombuffer(b, np.uint64, m)
-    wx, wy = np.frombuffer(a, np.float32, n, 8 * n), np.frombuffer(b, np.float32, m, 8 * m)
-    both, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+    (x, wx), (y, wy) = _unpacked(a), _unpacked(b)
+    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
     low = float(np.minimum(wx[i], wy[j]).sum())
-    return low / (float(wx.sum()) + float(wy.sum()) - low) if n and m else 0.0
+    return low / (float(wx.sum()) + float(wy.sum()) - low) if len(x) and len(y) else 0.0
 
 
 def _verified(pairs: DataFrame, packed: DataFrame, least: float) -> DataFrame:
@@ -221,7 +228,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def members(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, least: float = SIMILARITY, n_bands: int = BANDS, rows: int = ROWS, counted: bool = False) -> DataFrame:
-    """One row per document: doc_id, class_id, n_links, fp, head (fp of the kept text).
+    """One row per document: doc_id, class_id, fp, head (fp of the kept text).
 
     See ``classes`` for the meaning.
     """
@@ -236,61 +243,80 @@ def members(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: i
     wanted = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("t")).join(ids.select(F.col("doc_id").alias("w")).distinct(), F.expr("i <=> w"), "left_semi")
     packed = settle(_weights_of(wanted, size, counted).join(ids.select("fp"), "fp", "left_semi").dropDuplicates(["fp"]), "packed")
     spots = settle(spots.select("key", "fp").join(degree, "fp"), "spots")
-    links, tried, roots, leaders = None, None, None, 1
-    while True:
-        pairs = _leader_pairs(spots, roots, tried, leaders)
-        pairs = settle(pairs, "pairs")
-        if pairs.isEmpty():
-            break
-        good = settle(_verified(pairs, packed, least), "links")
-        links = good if links is None else links.unionByName(good)
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        roots = components(links)
-        leaders *= 4
-    return _result(made, texts, links, roots)
-
-
-def _leader_pairs(spots: DataFrame, roots: DataFrame | None, tried: DataFrame | None, leaders: int) -> DataFrame:
-    """Untried pairs between a bucket's leaders and its members of other components.
-
-    Leaders are the members with most company overall; after the first round
-    they come from components that the bucket does not yet hold together.
+    links = settle(_verified(settle(_leader_pairs(spots), "pairs"), packed, least), "links")
+    rest = settle(_split_links(spots, components(links), packed, least), "links")
+    links = links.unionByName(rest)
+    return _result(made, texts, components(links))
+
+
+def _leader_pairs(spots: DataFrame) -> DataFrame:
+    """Pairs of each bucket's leader, its member with most company overall, with the other members."""
+    lead = spots.groupBy("key").agg(F.max_by("fp", F.struct("degree", "fp")).alias("lead"))
+    pairs = spots.join(lead, "key").filter("fp <> lead")
+    return pairs.select(F.least("fp", "lead").alias("a"), F.greatest("fp", "lead").alias("b")).distinct()
+
+
+def _split_links(spots: DataFrame, roots: DataFrame, packed: DataFrame, least: float) -> DataFrame:
+    """Links between components that share a bucket, one per outlier and component.
+
+    Outliers of a bucket are its members outside its largest component; they
+    meet all members of other components. Both sides are cut into blocks of
+    bounded size. Buckets of two are settled, their only pair was compared.
     """
-    if roots is None:
-        lead = spots.groupBy("key").agg(F.max_by("fp", F.struct("degree", "fp")).alias("lead"))
-        pairs = spots.join(lead, "key").filter("fp <> lead")
-        return pairs.select(F.least("fp", "lead").alias("a"), F.greatest("fp", "lead").alias("b")).distinct()
-    known = spots.join(roots, "fp", "left").select("key", "fp", "degree", F.coalesce("root", "fp").alias("root"))
-    split = known.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
-    known = known.join(split, "key", "left_semi")
-    done = tried.select(F.col("a").alias("fp")).union(tried.select(F.col("b").alias("fp"))).groupBy("fp").agg(F.count("*").alias("met"))
-    order = W.partitionBy("key").orderBy("met", F.desc("degree"), "fp")
-    fresh = known.join(done, "fp", "left").withColumn("met", F.coalesce("met", F.lit(0))).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= leaders)
-    fresh = fresh.select("key", F.col("fp").alias("lead"), F.col("root").alias("lead_root"))
-    pairs = known.join(fresh, "key").filter("root <> lead_root").select(F.least("fp", "lead").alias("a"), F.greatest("fp", "lead").alias("b")).distinct()
-    return pairs.join(tried, ["a", "b"], "left_anti")
-
-
-def _result(made: DataFrame, texts: DataFrame, links: DataFrame | None, roots: DataFrame | None) -> DataFrame:
-    none = F.lit(0).cast("bigint")
-    if links is None:
-        member = texts.select("fp", F.col("doc_id").alias("class_id"), none.alias("n_links"), F.col("fp").alias("head"))
-    else:
-        ends = links.select(F.col("a").alias("fp")).union(links.select(F.col("b").alias("fp"))).groupBy("fp").agg(F.count("*").alias("n_links"))
-        tied = roots.join(texts.select("fp", "doc_id"), "fp")
-        least = tied.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.min_by("fp", F.struct(F.col("doc_id").isNull(), "doc_id", "fp")).alias("head"))
-        tied = tied.join(least, "root").select("fp", "class_id", "head").join(ends, "fp")
-        member = texts.select("fp", "doc_id").join(tied, "fp", "left").select("fp", F.when(F.col("head").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", none).alias("n_links"), F.coalesce("head", "fp").alias("head"))
-    alone = made.filter("fp IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), none.alias("n_links"), "fp", F.col("fp").alias("head"))
-    return made.filter("fp IS NOT NULL").select("doc_id", "fp").join(member, "fp").select("doc_id", "class_id", "n_links", "fp", "head").union(alone)
+    known = spots.join(roots, "fp", "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
+    sizes = known.groupBy("key", "root").agg(F.count("*").alias("n"))
+    split = sizes.groupBy("key").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("root", F.struct("n", "root")).alias("main")).filter("n > 2 AND most < n")
+    split = split.select("key", "main", F.ceil((F.col("n") - F.col("most")) / BLOCK_OUT).alias("outs"), F.ceil(F.col("n") / BLOCK_ALL).alias("alls"))
+    marked = settle(known.join(split, "key"), "split")
+    share = F.xxhash64("fp")
+    full = marked.join(packed, "fp").select("key", "fp", "root", "main", "outs", "alls", "packed")
+    left = full.filter("root <> main").withColumn("o", F.pmod(share, "outs")).withColumn("m", F.explode(F.sequence(F.lit(0).cast("long"), F.col("alls") - 1)))
+    right = full.withColumn("m", F.pmod(share, "alls")).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("outs") - 1)))
+    unit, rest = ["key", "o", "m"], ["fp", "root", "packed"]
+
+    def meet(outs: pa.Table, alls: pa.Table) -> pa.Table:
+        if not outs.num_rows or not alls.num_rows:
+            return pa.table({"a": pa.array([], pa.binary()), "b": pa.array([], pa.binary())})
+        sets = [_unpacked(p.as_py()) for p in alls.column("packed")]
+        sizes = np.array([len(x) for x, _ in sets])
+        flat, weight = np.concatenate([x for x, _ in sets] or [np.zeros(0, np.uint64)]), np.concatenate([w for _, w in sets] or [np.zeros(0)])
+        vocab, at = np.unique(flat, return_inverse=True)
+        total = np.array([w.sum() for _, w in sets])
+        begin = np.concatenate(([0], np.cumsum(sizes)[:-1])).astype(np.int64)
+        names, owner = alls.column("fp").to_pylist(), alls.column("root").to_pylist()
+        found: dict[tuple[bytes, bytes], bytes] = {}
+        for fp, root, p in zip(*[outs.column(f"out_{c}").to_pylist() for c in rest], strict=True):
+            x, w = _unpacked(p)
+            mine = np.zeros(len(vocab))
+            spot = np.minimum(np.searchsorted(vocab, x), len(vocab) - 1)
+            there = vocab[spot] == x
+            mine[spot[there]] = w[there]
+            low = np.add.reduceat(np.minimum(mine[at], weight), begin)
+            for k in np.flatnonzero(low >= least * (total + w.sum() - low) * (1 - 1e-12)):
+                if owner[k] != root:
+                    found[fp, owner[k]] = min(found.get((fp, owner[k]), names[k]), names[k])
+        return pa.table({"a": pa.array([min(k[0], v) for k, v in found.items()], pa.binary()), "b": pa.array([max(k[0], v) for k, v in found.items()], pa.binary())})
+
+    # own names for one side: both come from the same rows
+    left = left.select(*[F.col(c).alias(f"out_{c}") for c in [*unit, *rest]])
+    pairs = left.groupBy(*[f"out_{c}" for c in unit]).cogroup(right.select(*unit, *rest).groupBy(*unit)).applyInArrow(meet, "a binary, b binary")
+    return pairs.distinct()
+
+
+def _result(made: DataFrame, texts: DataFrame, roots: DataFrame) -> DataFrame:
+    tied = roots.join(texts.select("fp", "doc_id"), "fp")
+    best = tied.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.min_by("fp", F.struct(F.col("doc_id").isNull(), "doc_id", "fp")).alias("head"))
+    tied = tied.join(best, "root").select("fp", "class_id", "head")
+    member = texts.select("fp", "doc_id").join(tied, "fp", "left").select("fp", F.when(F.col("head").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("head", "fp").alias("head"))
+    alone = made.filter("fp IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), "fp", F.col("fp").alias("head"))
+    return made.filter("fp IS NOT NULL").select("doc_id", "fp").join(member, "fp").select("doc_id", "class_id", "fp", "head").union(alone)
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, least: float = SIMILARITY, n_bands: int = BANDS, rows: int = ROWS, counted: bool = False) -> DataFrame:
-    """One row per document: doc_id, class_id, n_links, is_kept.
+    """One row per document: doc_id, class_id, is_kept.
 
-    ``class_id`` is the least doc_id of the class; ``n_links`` counts verified
-    links between the document's text and other texts; ``is_kept`` marks the
-    rows of the class's kept text that carry class_id. Equal word sequences are
+    ``class_id`` is the least doc_id of the class; ``is_kept`` marks the rows of
+    the class's kept text that carry class_id. Equal word sequences are
     one text. Texts without words (null, empty, punctuation only) form no class:
     class_id is their own id and they are kept. Fewer words than ``size`` make
     one shingle. A null doc_id takes part and counts as the largest. Repeated
@@ -298,7 +324,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: i
     of 1. An empty table gives an empty result.
     """
     m = members(docs, doc_id, text, size, least, n_bands, rows, counted)
-    return m.select("doc_id", "class_id", "n_links", (F.expr("fp <=> head") & F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("is_kept"))
+    return m.select("doc_id", "class_id", (F.expr("fp <=> head") & F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("is_kept"))
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, least: float = SIMILARITY, n_bands: int = BANDS, rows: int = ROWS, counted: bool = False) -> DataFrame:
@@ -318,7 +344,8 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", siz
                 made += fingerprints(tb.words(t), t.n)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.binary())], names=[*batch.schema.names, fp])
 
-    marked = docs.mapInArrow(scan, docs.schema.add(fp, "binary"))
+    wordless = F.col(text).isNull() | ~F.col(text).rlike("[0-9A-Za-z]|[^\\x00-\\x7F]")
+    marked = docs.filter(~wordless).mapInArrow(scan, StructType([*docs.schema.fields, StructField(fp, BinaryType())]))
     head = head.select(F.col("fp").alias(fp), F.col("id").alias(i))
-    kept = marked.filter(F.col(fp).isNotNull()).join(head, fp).filter(F.col(doc_id).eqNullSafe(F.col(i))).dropDuplicates([fp])
-    return kept.select(*docs.columns).union(marked.filter(F.col(fp).isNull()).select(*docs.columns))
+    kept = marked.join(head, fp).filter(F.col(doc_id).eqNullSafe(F.col(i))).dropDuplicates([fp])
+    return kept.select(*docs.columns).union(docs.filter(wordless))

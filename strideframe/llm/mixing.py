@@ -23,7 +23,7 @@ from strideframe.session import settle
 
 MOST_PASSES = 3
 #: rows per slice of a source's order
-SLICE_ROWS = 20_000
+SLICE_ROWS = 4_000
 WORD = "[^\\x20\\x09-\\x0D]+"
 #: per rank of source, repeating: weight at the start and at the end of training, straight between
 SCHEDULES = ((1.5, 0.5), (2.0, 2.0), (1.5, 4.5))
@@ -134,9 +134,9 @@ def training_order(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     All columns are kept; ``position`` (0..1) and ``pass`` (from 1) follow, under
     a longer name if the documents have such a column. Documents that the mix
-    does not take are left out.
+    does not take are left out. The documents are read twice, once for their
+    sizes and once for their texts.
     """
-    docs = settle(docs, "mix-input")
     p = plan(docs, doc_id, text, source, **options).filter("n_passes > 0").select("doc_id", "source", "size", "positions")
     own = [free_name(docs.columns, n) for n in ("mix_size", "position", "pass")]
     sized = docs.withColumn(own[0], word_count(F.col(text))).alias("d")

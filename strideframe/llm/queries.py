@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strideframe.llm import dart_minhash, fm_index, line_crf, mixing, secret_lexer
+from strideframe.llm import consensus_html, dart_minhash, fm_index, line_crf, mixing, pivot_search, pu_toxicity, rank_profiles, secret_lexer, warc_bundles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -60,6 +60,26 @@ def dart_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dart_minhash.classes(_table(spark, sf_dir, "documents"))
 
 
+_WARC_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS digest FROM pages),
+f AS (SELECT digest, min(page_id) AS first FROM p GROUP BY digest),
+hexed AS (
+  SELECT page_id, octet_length(encode(body))::BIGINT AS payload_bytes, digest, first, page_id IS NOT DISTINCT FROM first AS is_first FROM p JOIN f USING (digest))
+SELECT page_id, payload_bytes,
+  list_reduce(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    (('0x' || substr(digest, (5 * i // 4 + 1)::INT, 2))::INT >> (3 - (5 * i) % 4)::INT) % 32 + 1, 1)), lambda a, b: a || b) AS payload_digest,
+  CASE WHEN is_first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN NOT is_first THEN first END AS refers_to
+FROM hexed
+"""
+
+
+@_query("op3_warc_bundles", _WARC_SQL)
+def warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, index = warc_bundles.archive(_table(spark, sf_dir, "pages"))
+    records = warc_bundles.read_bundles(spark, folder, index)
+    return records.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @_query("op4_assignment_secrets")
 def assignment_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_lexer.find_secrets(_table(spark, sf_dir, "documents"))
@@ -94,3 +114,37 @@ def line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     scored = line_crf.scores(docs, line_crf.train(docs, _table(spark, sf_dir, "labels")))
     return scored.select("doc_id", line_crf.in_fold(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= line_crf.THRESHOLD).cast("int").alias("predicted"))
+
+
+@_query("op7_consensus_html")
+def consensus_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return consensus_html.extract(_table(spark, sf_dir, "pages"))
+
+
+@_query("op8_pu_toxicity")
+def pu_toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    scored = pu_toxicity.scores(docs, pu_toxicity.train(docs, _table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", line_crf.in_fold(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= pu_toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+_TOP_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+"""
+
+
+@_query("op9_pivot_top_k", _TOP_SQL)
+def pivot_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_search.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+@_query("op10_rank_order_language")
+def rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = rank_profiles.identify(docs, rank_profiles.train(docs))
+    held_out = line_crf.in_fold(F.col("doc_id"), rank_profiles.FOLDS, rank_profiles.HELD_OUT)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
