@@ -15,9 +15,9 @@ from strideframe.session import settle
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Leaves the documents whose lines are mostly good; a null text has no good line and goes."""
+    """Leaves the documents whose lines are mostly good, as the labelled ones among them teach."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return line_crf.good_documents(docs, line_crf.train(spark.read.parquet(f"{sf_dir}/documents.parquet"), labels))
+    return line_crf.good_documents(docs, line_crf.train(docs, labels))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -128,7 +128,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_i
     row_blocks, query_blocks = max(1, -(-n // block_rows)), max(1, -(-m // block_queries))
     rows = settle(_packed(base, F.pmod(F.xxhash64("vec_id", "v"), F.lit(row_blocks)).cast("long"), "row_block", anchor), "row-blocks")
     ask = settle(_packed(asked, F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).cast("long"), "query_block", anchor), "query-blocks")
-    ask = ask.select("query_block", *[F.col(c).alias(f"q_{c}") for c in ("ids", "width", "m", "far")], F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))).cast("long").alias("row_block"))
+    ask = ask.select("query_block", *[F.col(c).alias(f"q_{c}") for c in ("ids", "width", "m", "far")], F.explode(F.sequence(F.lit(0).cast("long"), F.lit(row_blocks - 1).cast("long"))).alias("row_block"))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -26,7 +26,9 @@ POSITIVES, UNLABELLED = 2000, 6000
 BITS = 18
 BEGINNINGS = (5, 6)
 THRESHOLD = 0.5
-EPOCHS, BATCH = 30, 512
+STEPS, RATE, DECAY = 300, 0.05, 2e-4
+#: standard errors by which a feature must differ between positives and unlabelled texts
+SIGNIFICANT = 4.0
 
 
 def features(t: tb.Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -58,52 +60,56 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.margin(code, bounds), -50, 50)))
 
 
-def _pick(code: np.ndarray, bounds: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    size = bounds[rows + 1] - bounds[rows]
-    out = np.concatenate(([0], np.cumsum(size)))
-    return code[np.repeat(bounds[rows] - out[:-1], size) + np.arange(out[-1])], out
-
-
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
-def fit(positive: tuple[np.ndarray, np.ndarray], unlabelled: tuple[np.ndarray, np.ndarray], prior: float, epochs: int = EPOCHS, batch: int = BATCH, rate: float = 0.02, decay: float = 2e-5, seed: int = 7) -> Model:
-    """Minimises prior * R+(P) + max(0, R-(U) - prior * R-(P)) with the logistic loss, by Adam."""
-    rng = np.random.default_rng(seed)
-    size = 1 << BITS
+def informative(positive: tuple[np.ndarray, np.ndarray], unlabelled: tuple[np.ndarray, np.ndarray], least: float = SIGNIFICANT) -> np.ndarray:
+    """Features whose share of texts differs between the samples by at least ``least`` standard errors.
+
+    Most words say nothing; left in, their small weights add up in long texts.
+    """
+    size, n, m = 1 << BITS, len(positive[1]) - 1, len(unlabelled[1]) - 1
+    p, u = (np.bincount(positive[0], minlength=size) + 0.5) / (n + 1), (np.bincount(unlabelled[0], minlength=size) + 0.5) / (m + 1)
+    both = (p * n + u * m) / (n + m)
+    return np.abs(p - u) >= least * np.sqrt(both * (1 - both) * (1 / n + 1 / m))
+
+
+def _only(code: np.ndarray, bounds: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Features that have a place, by place."""
+    own = place[code]
+    kept = np.concatenate(([0], np.cumsum(own >= 0)))
+    return own[own >= 0], kept[bounds]
+
+
+def fit(positive: tuple[np.ndarray, np.ndarray], unlabelled: tuple[np.ndarray, np.ndarray], prior: float, steps: int = STEPS, rate: float = RATE, decay: float = DECAY) -> Model:
+    """Minimises prior * R+(P) + max(0, R-(U) - prior * R-(P)) with the logistic loss, by Adam.
+
+    Every step uses both samples whole: a risk estimated on small batches falls
+    below zero by chance and turns steps around.
+    """
+    chosen = np.flatnonzero(informative(positive, unlabelled))
+    place = np.full(1 << BITS, -1)
+    place[chosen] = np.arange(len(chosen))
+    (pc, pb), (uc, ub) = _only(*positive, place), _only(*unlabelled, place)
+    size, n_pos, n_un = len(chosen), len(pb) - 1, len(ub) - 1
     theta, m, v = np.zeros(size + 1), np.zeros(size + 1), np.zeros(size + 1)
-    n_pos, n_un = len(positive[1]) - 1, len(unlabelled[1]) - 1
-    step, model = 0, Model(theta[:-1], 0.0)
-    # rare features carry little evidence: scale each by how many sampled texts hold it
-    seen = np.bincount(positive[0], minlength=size) + np.bincount(unlabelled[0], minlength=size)
-    scale = np.append(np.minimum(1.0, np.sqrt(seen / 10.0)), 1.0)
-    rounds = max(1, n_un // batch)
-    for _ in range(epochs):
-        for rows in np.array_split(rng.permutation(n_un), rounds):
-            own = rng.choice(n_pos, size=min(n_pos, max(16, batch // 2)), replace=False)
-            pc, pb = _pick(*positive, own)
-            uc, ub = _pick(*unlabelled, rows)
-            w = theta * scale
-            zp, zu = _sums(w[pc], pb) + w[-1], _sums(w[uc], ub) + w[-1]
-            # gradients of log(1 + exp(-z)) and log(1 + exp(z)), as mean over texts
-            up, down, other = (_sigmoid(zp) - 1) / len(own), _sigmoid(zp) / len(own), _sigmoid(zu) / len(rows)
-            negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-            if negative >= 0:
-                gp, gu = prior * (up - down), other
-            else:
-                gp, gu = prior * down, -other
-            grad = np.zeros(size + 1)
-            np.add.at(grad, pc, np.repeat(gp, np.diff(pb)))
-            np.add.at(grad, uc, np.repeat(gu, np.diff(ub)))
-            grad[-1] = gp.sum() + gu.sum()
-            grad = grad * scale + decay * theta
-            step += 1
-            m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
-            theta = theta - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    w = theta * scale
-    model = Model(w[:-1], float(w[-1]))
-    return model
+    for step in range(1, steps + 1):
+        zp, zu = _sums(theta[pc], pb) + theta[-1], _sums(theta[uc], ub) + theta[-1]
+        # slopes of log(1 + exp(-z)) and log(1 + exp(z)), as mean over texts
+        up, down, other = (_sigmoid(zp) - 1) / n_pos, _sigmoid(zp) / n_pos, _sigmoid(zu) / n_un
+        if np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean() >= 0:
+            gp, gu = prior * (up - down), other
+        else:
+            gp, gu = prior * down, -other
+        grad = np.bincount(pc, np.repeat(gp, np.diff(pb)), size + 1) + np.bincount(uc, np.repeat(gu, np.diff(ub)), size + 1)
+        grad[-1] = gp.sum() + gu.sum()
+        grad[:-1] += decay * theta[:-1]
+        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
+        theta = theta - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+    weights = np.zeros(1 << BITS)
+    weights[chosen] = theta[:-1]
+    return Model(weights, float(theta[-1]))
 
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", mark: str = "toxic", positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model | None:

@@ -41,6 +41,7 @@ _TARGET = re.compile(r"""(?:^|[\s{(\[,;])(?:export\s+|const\s+|let\s+|var\s+|fin
 _PART = re.compile(r"""(?P<lit>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`)|(?P<ref>\$?\{?[A-Za-z_][\w.]*\}?)""")
 _JOIN = re.compile(r"\s*(?:\+|\.\.?|<>|&)\s*")
 _BARE = re.compile(r"[A-Za-z0-9+/_.=~!@#%^*-]+")
+_MASK = re.compile(r"<[\w -]*>|\*+|\$?\{+[\w. ]*\}+|%\w+%", re.ASCII)
 _SPLIT = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z0-9])(?=[A-Z])")
 
 Span = tuple[int, int, int]
@@ -67,7 +68,7 @@ def literal_score(value: str) -> float:
         return 0.0
     bits = -sum(n / len(value) * math.log2(n / len(value)) for n in Counter(value).values())
     kinds = sum(bool(re.search(p, value)) for p in (r"[a-z]", r"[A-Z]", r"[0-9]", r"[^A-Za-z0-9]"))
-    return min(1.0, bits / 4) * (0.5 + 0.25 * min(2, kinds - 1)) if kinds > 1 else 0.35 * min(1.0, bits / 4)
+    return min(1.0, bits / 3) * (0.6 + 0.2 * min(2, kinds - 1)) if kinds > 1 else 0.35 * min(1.0, bits / 3)
 
 
 def lex(text: str) -> Iterator[tuple[str, list[tuple[str, int, int]]]]:
@@ -113,7 +114,7 @@ def lexed_spans(text: str, covered: list[Span], threshold: float = THRESHOLD) ->
         return []
     out = set()
     for name, parts in lex(text):
-        weight = name_score(name)
+        weight, parts = name_score(name), [p for p in parts if not _MASK.fullmatch(p[0])]
         if weight and weight * literal_score("".join(v for v, _, _ in parts)) >= threshold:
             out.update((a, b, 3) for v, a, b in parts if len(v) >= 4)
     return sorted(s for s in out if not any(a < s[1] and s[0] < b for a, b, _ in covered))

@@ -41,7 +41,7 @@ def test_learns_from_positives_and_unlabelled_alone():
 
 
 def test_held_out_toxicity(spark):
-    sf = "/root/testdata/check_s" if False else "/root/testdata/sf0.1"
+    sf = "/root/testdata/sf0.1"
     got = {r.doc_id: r for r in queries.QUERIES["op8_pu_toxicity"](spark, sf).collect()}
     labels = [(r.doc_id, r.toxic) for r in spark.read.parquet(f"{sf}/labels.parquet").collect()]
     assert all(r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for i, r in got.items())
