@@ -104,7 +104,7 @@ def fit(positive: tuple[np.ndarray, np.ndarray], unlabelled: tuple[np.ndarray, n
             gp, gu = prior * down, -other
         grad = np.bincount(pc, np.repeat(gp, np.diff(pb)), size + 1) + np.bincount(uc, np.repeat(gu, np.diff(ub)), size + 1)
         grad[-1] = gp.sum() + gu.sum()
-        grad[:-1] += decay * theta[:-1]
+        grad = grad + decay * np.append(theta[:-1], 0)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         theta = theta - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     weights = np.zeros(1 << BITS)

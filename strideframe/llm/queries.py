@@ -76,7 +76,7 @@ FROM hexed
 @_query("op3_warc_bundles", _WARC_SQL)
 def warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, index = warc_bundles.archive(_table(spark, sf_dir, "pages"))
-    records = warc_bundles.read_bundles(spark, folder, index)
+    records = warc_bundles.read_bundles(folder, index)
     return records.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

@@ -80,16 +80,22 @@ def seek_table(frames: list[tuple[int, int]]) -> bytes:
     return struct.pack("<II", SKIPPABLE, len(body)) + body
 
 
-def frames_of(bundle: bytes) -> list[tuple[int, int, int]]:
-    """(offset, compressed size, size) of each frame, from the footer of a bundle."""
-    count, flags, magic = struct.unpack("<IBI", bundle[-9:])
+def frames_of(bundle) -> list[tuple[int, int, int]]:
+    """(offset, compressed size, size) of each frame, from the footer of an open bundle."""
+    size = bundle.size()
+    bundle.seek(size - 9)
+    count, flags, magic = struct.unpack("<IBI", bundle.read(9))
     if magic != SEEKABLE or flags:
         raise ValueError("no seek table")
+    bundle.seek(size - 17 - 8 * count)
+    table = bundle.read(8 + 8 * count)
+    if struct.unpack("<I", table[:4])[0] != SKIPPABLE:
+        raise ValueError("frames and seek table do not meet")
     at, out = 0, []
-    for packed, size in struct.iter_unpack("<II", bundle[len(bundle) - 9 - 8 * count:-9]):
-        out.append((at, packed, size))
+    for packed, whole in struct.iter_unpack("<II", table[8:]):
+        out.append((at, packed, whole))
         at += packed
-    if struct.unpack("<I", bundle[at:at + 4])[0] != SKIPPABLE:
+    if at != size - 17 - 8 * count:
         raise ValueError("frames and seek table do not meet")
     return out
 
@@ -142,7 +148,8 @@ def with_firsts(pages: DataFrame, key: str, payload: str, url: str | None, least
     base = pages.select(F.col(key).cast("bigint").alias("key"), (F.col(url) if url else F.lit(None).cast("string")).alias("url"), body.alias("payload"))
     base = base.withColumn("digest", F.when(F.octet_length("payload") >= least, F.sha1("payload")))
     firsts = base.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("key").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    return base.join(firsts, "digest", "left").select("key", "url", "payload", "first", (F.col("first").isNull() | F.col("key").eqNullSafe(F.col("first"))).alias("is_first"))
+    # a merge join at every size: what is shuffled then follows the input
+    return base.join(firsts.hint("merge"), "digest", "left").select("key", "url", "payload", "first", (F.col("first").isNull() | F.col("key").eqNullSafe(F.col("first"))).alias("is_first"))
 
 
 def write_bundles(pages: DataFrame, folder: str, key: str = "page_id", payload: str = "html", url: str | None = "url", least: int = 0, frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES, level: int = LEVEL, date: str = DATE) -> DataFrame:
@@ -173,37 +180,42 @@ def write_bundles(pages: DataFrame, folder: str, key: str = "page_id", payload:
     return settle(with_firsts(pages, key, payload, url, least).mapInArrow(scan, INDEX), "warc-index")
 
 
-def read_bundles(spark, folder: str, index: DataFrame) -> DataFrame:
+def read_bundles(folder: str, index: DataFrame) -> DataFrame:
     """Every record of the bundles that the index names: key, url, record_type, record_id, payload, payload_bytes, payload_digest, refers_to.
 
-    A stored payload is checked against its header's digest.
+    A stored payload is checked against its header's digest. Tasks open bundles
+    by name and hold one frame at a time; bundles are not shuffled.
     """
     named = index.select("bundle").distinct()
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder) if not named.isEmpty() else None
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = fs.FileSystem.from_uri(folder)
         for batch in batches:
-            for content in batch.column(0):
-                bundle = content.as_buffer().to_pybytes()
-                for at, packed, _ in frames_of(bundle):
-                    data = zstandard.ZstdDecompressor().decompress(bundle[at:at + packed])
-                    rows, pos = [], 0
-                    while pos < len(data):
-                        head, body, pos = parse(data, pos)
-                        digest = head["WARC-Payload-Digest"].removeprefix("sha1:")
-                        response = head["WARC-Type"] == "response"
-                        if response and (digest_of(body) != digest or len(body) != int(head["X-Payload-Length"])):
-                            raise ValueError(f"damaged record {head['WARC-Record-ID']}")
-                        key, refers = head.get("X-Record-Key"), head.get("X-Refers-To-Key")
-                        rows.append((None if key is None else int(key), head.get("WARC-Target-URI"), head["WARC-Type"], head["WARC-Record-ID"], body if response else None, int(head["X-Payload-Length"]), digest, None if refers is None else int(refers)))
-                    kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.int64()]
-                    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["key", "url", "record_type", "record_id", "payload", "payload_bytes", "payload_digest", "refers_to"])
-
-    schema = "key long, url string, record_type string, record_id string, payload binary, payload_bytes long, payload_digest string, refers_to long"
-    if files is None:
-        return spark.createDataFrame([], schema)
-    files = files.select(F.regexp_extract("path", "[^/]+$", 0).alias("bundle"), "content").join(named, "bundle", "left_semi")
-    return files.select("content").mapInArrow(scan, schema)
+            for name in batch.column(0).to_pylist():
+                with store.open_input_file(f"{root}/{name}") as f:
+                    for at, packed, _ in frames_of(f):
+                        f.seek(at)
+                        rows = list(_records(zstandard.ZstdDecompressor().decompress(f.read(packed))))
+                        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(_RECORD_KINDS)], names=_RECORD_NAMES)
+
+    return named.mapInArrow(scan, "key long, url string, record_type string, record_id string, payload binary, payload_bytes long, payload_digest string, refers_to long")
+
+
+_RECORD_NAMES = ["key", "url", "record_type", "record_id", "payload", "payload_bytes", "payload_digest", "refers_to"]
+_RECORD_KINDS = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.int64()]
+
+
+def _records(data: bytes) -> Iterator[tuple]:
+    """The records of a frame; a stored payload that its digest does not fit raises."""
+    at = 0
+    while at < len(data):
+        head, body, at = parse(data, at)
+        digest = head["WARC-Payload-Digest"].removeprefix("sha1:")
+        response = head["WARC-Type"] == "response"
+        if response and (digest_of(body) != digest or len(body) != int(head["X-Payload-Length"])):
+            raise ValueError(f"damaged record {head['WARC-Record-ID']}")
+        key, refers = head.get("X-Record-Key"), head.get("X-Refers-To-Key")
+        yield (None if key is None else int(key), head.get("WARC-Target-URI"), head["WARC-Type"], head["WARC-Record-ID"], body if response else None, int(head["X-Payload-Length"]), digest, None if refers is None else int(refers))
 
 
 def read_record(folder: str, entry) -> tuple[dict[str, str], bytes]:

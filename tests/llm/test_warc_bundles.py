@@ -30,7 +30,7 @@ ROWS = [(3, "<p>a</p>"), (1, "<p>a</p>"), (2, None), (4, ""), (5, "é" * 5000),
 @pytest.mark.parametrize("options", [{}, {"frame_bytes": 1, "bundle_bytes": 200}])
 def test_round_trip(spark, options):
     folder, index = wb.archive(_pages(spark, ROWS), **options)
-    got = wb.read_bundles(spark, folder, index).collect()
+    got = wb.read_bundles(folder, index).collect()
     assert sorted(((r.key, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got), key=str) == _brute(ROWS)
     bodies = dict(ROWS)
     assert all(bytes(r.payload).decode() == (bodies[r.key] or "") for r in got if r.record_type == "response" and r.key is not None)
@@ -49,18 +49,18 @@ def test_one_record_is_read_by_its_frame(spark):
 
 def test_small_payloads_are_all_responses(spark):
     folder, index = wb.archive(_pages(spark, ROWS), least=100)
-    got = wb.read_bundles(spark, folder, index).collect()
+    got = wb.read_bundles(folder, index).collect()
     assert {r.record_type for r in got} == {"response"}
 
 
 def test_files_no_index_names_are_not_read(spark):
     folder, index = wb.archive(_pages(spark, ROWS))
-    before = wb.read_bundles(spark, folder, index).count()
+    before = wb.read_bundles(folder, index).count()
     with open(folder.removeprefix("file://") + "/part-99999-1-00000.warc.zst", "wb") as f:
         f.write(b"left by a lost task")
-    assert wb.read_bundles(spark, folder, index).count() == before
+    assert wb.read_bundles(folder, index).count() == before
 
 
 def test_empty_table(spark):
     folder, index = wb.archive(_pages(spark, []))
-    assert index.count() == 0 and wb.read_bundles(spark, folder, index).count() == 0
+    assert index.count() == 0 and wb.read_bundles(folder, index).count() == 0
