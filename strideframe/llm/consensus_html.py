@@ -35,6 +35,9 @@ MARKS = {
 }
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "menu", "menubar", "form"}
 
+#: parts that the pages of a host are dealt to
+SHARES = 64
+
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.DOTALL)
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"?|'[^']*'?|[^\s>]+))?", re.IGNORECASE)
 _WORDS = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
@@ -211,5 +214,8 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", markup
             texts = [Page(source.as_py() or "").text(path.as_py()) for source, path in zip(batch.column(2), batch.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    joined = base.join(winner, "host", "left").select("page_id", "url", "markup", "path")
+    # a host may own a third of all pages: its pages take one of many shares, its one row of votes is repeated for each
+    base = base.withColumn("share", F.pmod(F.xxhash64("page_id", "url", "markup"), F.lit(SHARES)).cast("int"))
+    winner = winner.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
+    joined = base.join(winner, ["host", "share"], "left").select("page_id", "url", "markup", "path")
     return joined.mapInArrow(scan, f"page_id {kind}, url string, text string, n_chars long")
