@@ -38,7 +38,7 @@ ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dial
 #: parts that the pages of a host are dealt to
 SHARES = 64
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.DOTALL)
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:=\s*(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))|[^>])*)(?:>|\Z)", re.DOTALL)
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"?|'[^']*'?|[^\s>]+))?", re.IGNORECASE)
 _WORDS = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
 

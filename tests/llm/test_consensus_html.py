@@ -22,6 +22,7 @@ def test_truncated_and_broken_markup():
     assert ch.Page("<article><p>One.</p><script>var x").text(None) == "One."
     assert ch.Page("just words, no markup").text(None) == "just words, no markup"
     assert ch.Page("<p>a</b></div><p>b").text(None) == "a\n\nb"
+    assert ch.Page("<p title=don't>One.</p><p data-x='a>b'>It's two.</p>").text(None) == "One.\n\nIt's two."
     for t in ("", "<", "<<<>>>", "<a", "<!--", "</", "<p", "<div class='x"):
         ch.Page(t).text(None)
 
