@@ -1,8 +1,9 @@
 """Geometry and geodesy as native columns.
 
-Points are ``struct<x,y>``, lines ``array<struct<x,y>>`` and polygons one ring
-per row in the same array type, left open. Holes and multi-parts are rows of
-their own. Nothing here leaves the JVM.
+Points are ``struct<x,y>``, lines ``array<struct<x,y>>`` and plain polygons one
+open ring in the same array type. Polygons with holes or several parts are
+``parts``: an array of parts, each an array of rings, the outline first and its
+holes after it. Nothing here leaves the JVM.
 """
 
 from __future__ import annotations
@@ -226,6 +227,24 @@ def ring_area(ring: Column) -> Column:
     )
 
 
+def parts_area(parts: Column) -> Column:
+    """Area of all parts, holes taken off; rings may turn either way."""
+    def one(part):
+        rings = F.transform(part, lambda r: F.abs(ring_area(r)))
+        return 2 * rings[0] - F.aggregate(rings, F.lit(0.0), lambda acc, a: acc + a)
+
+    return F.aggregate(F.transform(F.filter(parts, lambda p: F.size(p) > 0), one), F.lit(0.0), lambda acc, a: acc + a)
+
+
+def in_parts(parts: Column, px: Column, py: Column) -> Column:
+    """Whether a point lies inside the outline of some part and in none of its holes."""
+    def one(part):
+        inside = F.transform(part, lambda r: in_ring(ring_edges(r), px, py))
+        return F.size(part).__gt__(0) & inside[0] & ~F.exists(F.slice(inside, 2, F.greatest(F.size(part) - 1, F.lit(0))), lambda x: x)
+
+    return F.exists(parts, one)
+
+
 def line_length(line: Column) -> Column:
     return F.aggregate(
         line_edges(line),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import col
-from ..session import settle
+from ..session import discard, settle
 
 # Fixed values of the cost model.
 PATH_CLASSES = (
@@ -174,46 +174,55 @@ def sidewalk_edges(pieces: DataFrame, way: str, street: str, offset: float = 4.5
         (F.col("x1") + ox).alias("x1"), (F.col("y1") + oy).alias("y1"), (F.col("x2") + ox).alias("x2"), (F.col("y2") + oy).alias("y2"))
 
 
-def batch_paths(edges: DataFrame, requests: DataFrame, max_rounds: int = 60, settle_every: int = 1) -> DataFrame:
+def batch_paths(edges: DataFrame, requests: DataFrame) -> DataFrame:
     """Cheapest path cost per request (``od_id, src, dst``) over ``edges(u, v, cost)``.
 
     Labels (request, node, cost, previous node) relax along the edges for all
-    requests at once. A label that already costs more than the best known
-    arrival of its request is dropped, so the search stays inside the radius of
-    the answer. Stops when no label improved. State lives in the shared folder.
+    requests at once, until no label improves, however many edges a path has. A
+    label that already costs more than the best known arrival of its request is
+    dropped, so the search stays inside the radius of the answer. Only labels
+    that changed in the last step travel. Each step's state is written to the
+    shared folder, and the state before it is dropped.
     """
     arcs = settle(both_ways(edges.select("u", "v", "cost")).groupBy("u", "v").agg(F.min("cost").alias("cost")), "arcs")
     labels = requests.select("od_id", F.col("src").alias("node"), F.lit(0.0).alias("g"), F.lit(None).cast(requests.schema["src"].dataType).alias("prev"), F.lit(0).alias("round"))
     labels = settle(labels, "labels")
-    goals = requests.select("od_id", F.col("dst").alias("node"))
-    for step in range(1, max_rounds + 1):
-        front = labels.filter(F.col("round") == step - 1)
-        if front.limit(1).count() == 0:
-            break
-        best = labels.join(goals, ["od_id", "node"]).select("od_id", F.col("g").alias("best_"))
-        grown = (
-            front.join(arcs, front.node == arcs.u).select("od_id", F.col("v").alias("node"), (F.col("g") + F.col("cost")).alias("g"), F.col("u").alias("prev"))
-            .join(best, "od_id", "left").filter(F.col("best_").isNull() | (F.col("g") < F.col("best_"))).drop("best_")
-            .withColumn("round", F.lit(step))
-        )
-        # an old label wins a tie, so nothing is relaxed twice at the same cost
-        merged = labels.unionByName(grown).groupBy("od_id", "node").agg(
-            F.min_by(F.struct("g", "prev", "round"), F.struct("g", "round", "prev")).alias("l")).select("od_id", "node", "l.*")
-        labels = settle(merged, "labels")
+    goals = settle(requests.select("od_id", F.col("dst").alias("node")), "goals")
+    step = 0
+    while not labels.filter(F.col("round") == step).isEmpty():
+        step += 1
+        old, labels = labels, settle(_relax(labels, arcs, goals, step), "labels")
+        discard(old)
     return labels
 
 
-def trace_paths(labels: DataFrame, requests: DataFrame, max_hops: int = 200) -> DataFrame:
-    """Edges of each found path, walked back from the goal: od_id, hop, u, v."""
+def _relax(labels: DataFrame, arcs: DataFrame, goals: DataFrame, step: int) -> DataFrame:
+    """One more edge for every label of the step before."""
+    front = labels.filter(F.col("round") == step - 1)
+    best = labels.join(goals, ["od_id", "node"]).select("od_id", F.col("g").alias("best_"))
+    grown = (
+        front.join(arcs, front.node == arcs.u).select("od_id", F.col("v").alias("node"), (F.col("g") + F.col("cost")).alias("g"), F.col("u").alias("prev"))
+        .join(best, "od_id", "left").filter(F.col("best_").isNull() | (F.col("g") < F.col("best_"))).drop("best_")
+        .withColumn("round", F.lit(step))
+    )
+    # an old label wins a tie, so nothing is relaxed twice at the same cost
+    return labels.unionByName(grown).groupBy("od_id", "node").agg(
+        F.min_by(F.struct("g", "prev", "round"), F.struct("g", "round", "prev")).alias("l")).select("od_id", "node", "l.*")
+
+
+def trace_paths(labels: DataFrame, requests: DataFrame) -> DataFrame:
+    """Edges of each found path, walked back from the goal to its start: od_id, hop, u, v.
+
+    A request whose goal is its start, or was not reached, has no edges.
+    """
     at = requests.join(labels.select("od_id", F.col("node").alias("dst")), ["od_id", "dst"]).select("od_id", F.col("dst").alias("node"))
-    steps = None
-    for hop in range(max_hops):
+    steps, hop = None, 0
+    while True:
         nxt = settle(at.join(labels, ["od_id", "node"]).filter("prev IS NOT NULL").select("od_id", F.lit(hop).alias("hop"), F.col("prev").alias("u"), F.col("node").alias("v")), "hop")
-        if nxt.limit(1).count() == 0:
-            break
         steps = nxt if steps is None else steps.unionByName(nxt)
-        at = nxt.select("od_id", F.col("u").alias("node"))
-    return steps
+        if nxt.isEmpty():
+            return steps
+        at, hop = nxt.select("od_id", F.col("u").alias("node")), hop + 1
 
 
 def choose_route(detour: Column, pathish: Column, cap: Column | float, away: Column) -> Column:

@@ -18,6 +18,7 @@ from ..session import settle
 
 BOX = ("minx", "miny", "maxx", "maxy")
 CELL_TARGET = 50_000
+TRACT = 500.0
 
 
 def box_cells(minx: Column, miny: Column, maxx: Column, maxy: Column, side: float) -> Column:
@@ -38,27 +39,32 @@ def by_cell(df: DataFrame, side: float, pad: float = 0.0, box: Sequence[str] = B
 
 
 def split_hot_cells(
-    many: DataFrame, few: DataFrame, share_key: Column, target: int = CELL_TARGET
-) -> tuple[DataFrame, DataFrame]:
-    """Spread cells with more than ``target`` rows of ``many`` over several shares.
+    left: DataFrame, right: DataFrame, left_key: Column, right_key: Column, target: int = CELL_TARGET
+) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Spread cells with more than ``target`` rows on either side over a grid of shares.
 
-    Rows of ``many`` take one share by hash of ``share_key``; rows of ``few``
-    are repeated for every share of their cell. The list of hot cells is at
-    most rows/target long, and only those cells are touched.
+    In a cell that is a times ``target`` on the left and b times on the right,
+    a left row takes one of a shares by hash and is repeated b times, a right
+    row takes one of b and is repeated a times, so each pair meets once and no
+    task holds more than ``target`` rows of either side. The list of hot cells
+    is at most rows/target long, and only those cells are touched.
     """
-    hot = (
-        many.groupBy("cx", "cy")
-        .agg(F.count(F.lit(1)).alias("n_"))
-        .filter(F.col("n_") > target)
-        .select("cx", "cy", F.ceil(F.col("n_") / target).cast("int").alias("shares_"))
-    )
-    a = many.join(hot, ["cx", "cy"], "left").withColumn(
-        "share_", F.coalesce(F.pmod(F.xxhash64(share_key), F.col("shares_")).cast("int"), F.lit(0))
-    )
-    b = few.join(hot, ["cx", "cy"], "left").withColumn(
-        "share_", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("shares_"), F.lit(1)) - 1))
-    )
-    return a.drop("shares_"), b.drop("shares_")
+    cells = left.select("cx", "cy", F.lit(1).alias("l_"), F.lit(0).alias("r_")).unionByName(right.select("cx", "cy", F.lit(0).alias("l_"), F.lit(1).alias("r_")))
+    counts = cells.groupBy("cx", "cy").agg(F.sum("l_").alias("l_"), F.sum("r_").alias("r_"))
+    hot = counts.filter((F.col("l_") > target) & (F.col("r_") > 0) | (F.col("r_") > target) & (F.col("l_") > 0)).select(
+        "cx", "cy", *[F.greatest(F.lit(1), F.ceil(F.col(c) / target)).cast("int").alias(f"{c}shares") for c in ("l_", "r_")])
+
+    def shared(df: DataFrame, key: Column, own: str, other: str) -> DataFrame:
+        mine = F.coalesce(F.pmod(F.xxhash64(key), F.col(f"{own}shares")).cast("int"), F.lit(0))
+        theirs = F.explode(F.sequence(F.lit(0), F.coalesce(F.col(f"{other}shares"), F.lit(1)) - 1))
+        return df.join(hot, ["cx", "cy"], "left").withColumn(f"{own}share", mine).withColumn(f"{other}share", theirs).drop("l_shares", "r_shares")
+
+    return shared(left, left_key, "l_", "r_"), shared(right, right_key, "r_", "l_"), ["cx", "cy", "l_share", "r_share"]
+
+
+def _row_key(df: DataFrame) -> Column:
+    """The plain columns of a row, to hash it by."""
+    return F.struct(*[c for c, t in df.dtypes if not t.startswith(("map", "array", "struct", "variant"))])
 
 
 def box_point_pairs(
@@ -78,8 +84,7 @@ def box_point_pairs(
     right = points.withColumn("cx", F.floor(F.col(px) / side)).withColumn("cy", F.floor(F.col(py) / side))
     keys = ["cx", "cy"]
     if split:
-        right, left = split_hot_cells(right, left, F.struct(px, py))
-        keys = keys + ["share_"]
+        left, right, keys = split_hot_cells(left, right, _row_key(left), F.struct(px, py))
     inside = (
         (F.col(px) >= F.col("minx") - pad)
         & (F.col(px) <= F.col("maxx") + pad)
@@ -104,14 +109,14 @@ def box_box_pairs(
     """
     a = by_cell(left, side, pad, lbox)
     b = by_cell(right, side, 0.0, rbox)
-    b, a = split_hot_cells(b, a, F.struct(*[c for c in rbox]))
+    a, b, keys = split_hot_cells(a, b, _row_key(a), _row_key(b))
     lx0, ly0, lx1, ly1 = (F.col(c) for c in lbox)
     rx0, ry0, rx1, ry1 = (F.col(c) for c in rbox)
     meet = (rx0 <= lx1 + pad) & (rx1 >= lx0 - pad) & (ry0 <= ly1 + pad) & (ry1 >= ly0 - pad)
     owner = (F.col("cx") == F.floor(F.greatest(lx0 - pad, rx0) / side)) & (
         F.col("cy") == F.floor(F.greatest(ly0 - pad, ry0) / side)
     )
-    return a.join(b, ["cx", "cy", "share_"]).filter(meet & owner).drop("cx", "cy", "share_")
+    return a.join(b, keys).filter(meet & owner).drop(*keys)
 
 
 def _gap(lo1: Column, hi1: Column, lo2: Column, hi2: Column) -> Column:
@@ -248,11 +253,16 @@ def nearest_pairs(
 
 
 def cell_side(points: DataFrame, px: str, py: str, per_cell: float = 2.0, floor: float = 1.0) -> float:
-    """Cell side that leaves a few distinct positions per cell, from one aggregate row."""
+    """Cell side that leaves a few distinct positions per cell, from one aggregate row.
+
+    The area counted is that of occupied tracts of ``TRACT`` metres, so a few
+    points far out, or empty land between clusters, do not widen the cells.
+    """
+    tract = F.struct(F.floor(F.col(px) / TRACT), F.floor(F.col(py) / TRACT))
     row = points.agg(
-        F.min(px), F.max(px), F.min(py), F.max(py), F.approx_count_distinct(F.struct(px, py))
+        F.min(px), F.max(px), F.min(py), F.max(py), F.approx_count_distinct(F.struct(px, py)), F.approx_count_distinct(tract)
     ).first()
     if row is None or row[0] is None:
         return floor
-    area = max(1.0, row[1] - row[0]) * max(1.0, row[3] - row[2])
+    area = min(max(1.0, row[1] - row[0]) * max(1.0, row[3] - row[2]), max(1, row[5]) * TRACT * TRACT)
     return max(floor, (area * per_cell / max(1, row[4])) ** 0.5)

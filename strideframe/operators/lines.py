@@ -7,13 +7,15 @@ and stop at the first hit (semi join).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from ..functions import geo
-from .ordering import chunked_total
 
 
 def pieces(lines: DataFrame, key: Sequence[str], line: str = "line") -> DataFrame:
@@ -21,30 +23,78 @@ def pieces(lines: DataFrame, key: Sequence[str], line: str = "line") -> DataFram
     return lines.select(*key, F.posexplode(geo.line_edges(F.col(line))).alias("i", "e")).select(*key, "i", "e.*")
 
 
-def along(piece_rows: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Pieces with their length and the distance at their end."""
-    length = geo.span(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
-    p = piece_rows.withColumn("len", length)
-    return chunked_total(p, key, "i", F.col("len"), "end_m").withColumn("start_m", F.col("end_m") - F.col("len"))
+_MEASURED = ArrayType(StructType([StructField("i", IntegerType()), *[StructField(c, DoubleType()) for c in ("x1", "y1", "x2", "y2", "len", "end_m", "start_m")]]))
+_SAMPLED = ArrayType(StructType([StructField("n", LongType()), *[StructField(c, DoubleType()) for c in ("along", "px", "py", "total")]]))
+
+
+def _lines_of(line: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """x and y of each line of a batch; a NULL line has no points."""
+    line = line.combine_chunks() if isinstance(line, pa.ChunkedArray) else line
+    flat = line.flatten()
+    x, y = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("x", "y"))
+    ends = np.cumsum(np.nan_to_num(line.value_lengths().to_numpy(zero_copy_only=False)).astype(int))
+    for lo, hi in zip(np.concatenate([[0], ends[:-1]]), ends, strict=True):
+        yield x[lo:hi], y[lo:hi]
+
+
+def _as_lists(sizes: list[int], columns: dict[str, np.ndarray]) -> pa.Array:
+    offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+    return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(c) for c in columns.values()], names=list(columns)))
+
+
+def _stacked(parts: list[np.ndarray], dtype: type = float) -> np.ndarray:
+    return np.concatenate(parts) if parts else np.zeros(0, dtype)
+
+
+@F.arrow_udf(_MEASURED)
+def _measure(line: pa.Array) -> pa.Array:
+    sizes, cols = [], [[] for _ in range(7)]
+    for x, y in _lines_of(line):
+        length = np.hypot(np.diff(x), np.diff(y))
+        end = np.cumsum(length)
+        sizes.append(len(length))
+        for c, v in zip(cols, (x[:-1], y[:-1], x[1:], y[1:], length, end, end - length), strict=True):
+            c.append(v[:len(length)])
+    number = _stacked([np.arange(n, dtype=np.int32) for n in sizes], np.int32)
+    return _as_lists(sizes, {"i": number, **{n: _stacked(c) for n, c in zip(("x1", "y1", "x2", "y2", "len", "end_m", "start_m"), cols, strict=True)}})
+
+
+@F.arrow_udf(_SAMPLED)
+def _sample(line: pa.Array, step: pa.Array) -> pa.Array:
+    sizes, cols = [], [[] for _ in range(5)]
+    for (x, y), s in zip(_lines_of(line), step.to_numpy(zero_copy_only=False), strict=True):
+        length = np.hypot(np.diff(x), np.diff(y))
+        if not len(length):
+            sizes.append(0)
+            continue
+        end = np.cumsum(length)
+        reach = np.floor(end / s + 1e-9)
+        n = np.arange(int(reach[-1]) + 1)
+        i = np.searchsorted(reach, n)
+        share = np.where(length[i] > 0, (n * s - (end - length)[i]) / np.where(length[i] > 0, length[i], 1), 0).clip(0, 1)
+        sizes.append(len(n) + 1)
+        px, py = x[i] + share * (x[i + 1] - x[i]), y[i] + share * (y[i + 1] - y[i])
+        for c, v in zip(cols, (np.append(n, len(n)), np.append(n * s, end[-1]), np.append(px, x[-1]), np.append(py, y[-1]), np.full(len(n) + 1, end[-1])), strict=True):
+            c.append(v)
+    names = ("n", "along", "px", "py", "total")
+    return _as_lists(sizes, {n: _stacked(c, np.int64 if n == "n" else float) for n, c in zip(names, cols, strict=True)})
+
+
+def along(lines: DataFrame, key: Sequence[str], line: str = "line") -> DataFrame:
+    """Pieces in draw order with their length and the distance at their start and end.
+
+    Measured in the row of the line: nothing is shuffled.
+    """
+    return lines.select(*key, F.explode(_measure(F.col(line))).alias("e")).select(*key, "e.*")
 
 
 def samples(lines: DataFrame, key: Sequence[str], step: float, line: str = "line") -> DataFrame:
     """Points every ``step`` metres from the start, plus the end point.
 
     Columns: key, ``n`` (0, 1, 2 ...), ``along``, ``px``, ``py``, ``total``.
+    Measured in the row of the line: nothing is shuffled.
     """
-    a = along(pieces(lines, key, line), key)
-    total = a.groupBy(*key).agg(F.max("end_m").alias("total"))
-    first = F.when(F.col("i") == 0, F.lit(0)).otherwise(F.floor(F.col("start_m") / step + 1e-9) + 1)
-    last = F.floor(F.col("end_m") / step + 1e-9)
-    ks = a.withColumn("n", F.explode(F.when(last >= first, F.sequence(first.cast("bigint"), last.cast("bigint")))))
-    f = F.try_divide(F.col("n") * step - F.col("start_m"), F.col("len"))
-    f = F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0), f)), F.lit(0.0))
-    inner = ks.select(*key, "n", (F.col("n") * step).alias("along"),
-                      (F.col("x1") + f * (F.col("x2") - F.col("x1"))).alias("px"), (F.col("y1") + f * (F.col("y2") - F.col("y1"))).alias("py"))
-    ends = a.groupBy(*key).agg(F.max_by(F.struct("x2", "y2", "end_m"), F.col("i")).alias("z")).select(
-        *key, (F.floor(F.col("z.end_m") / step + 1e-9) + 1).alias("n"), F.col("z.end_m").alias("along"), F.col("z.x2").alias("px"), F.col("z.y2").alias("py"))
-    return inner.unionByName(ends).join(total, list(key))
+    return lines.select(*key, F.explode(_sample(F.col(line), F.lit(float(step)))).alias("s")).select(*key, "s.*")
 
 
 def _cells(df: DataFrame, side: float) -> DataFrame:
@@ -97,8 +147,11 @@ def spur_measure(
     live = s.join(size.filter("n_all >= 10"), list(key)).filter("off_start")
     late = live.filter((F.col("n") >= 2) & (F.col("along") >= stub) & (F.col("along") <= F.col("total") - stub))
     early = live.filter(F.col("along") >= stub * 0.5)
-    e = _cells(early, near).select(*key, "cx", "cy", F.col("n").alias("m"), F.col("along").alias("e_along"), F.col("px").alias("ex"), F.col("py").alias("ey"))
-    pair = _around(late.select(*key, "n", "along", "px", "py"), near).join(e, [*key, "cx", "cy"])
+    # partners lie 2 x shortest to 2 x longest further along: slices of that width keep circling walkers from meeting themselves
+    slice_ = F.floor(F.col("along") / (2 * longest))
+    e = _cells(early, near).select(*key, "cx", "cy", slice_.alias("slice"), F.col("n").alias("m"), F.col("along").alias("e_along"), F.col("px").alias("ex"), F.col("py").alias("ey"))
+    later = _around(late.select(*key, "n", "along", "px", "py"), near).withColumn("slice", F.explode(F.array(slice_, slice_ - 1)))
+    pair = later.join(e, [*key, "cx", "cy", "slice"])
     sep = F.col("along") - F.col("e_along")
     pair = pair.filter((sep >= 2 * shortest) & (sep <= 2 * longest) & (geo.span(F.col("px") - F.col("ex"), F.col("py") - F.col("ey")) <= near))
     tips = smp.select(*key, F.col("n").alias("t"), F.col("px").alias("tx"), F.col("py").alias("ty"))

@@ -4,7 +4,7 @@ A plain window without partitions, or partitioned by a key that holds a third
 of all rows, sorts that whole group in one task. Everything here first shrinks
 the data to distinct values, cuts them into ranges of about equal width, works
 inside each range and adds an offset per range. The offset table has at most
-(groups x ranges) rows.
+(groups x ranges) rows. A NULL group is a group like any other.
 """
 
 from __future__ import annotations
@@ -16,14 +16,31 @@ from pyspark.sql import functions as F
 
 from ..session import settle, shuffle_width
 
-MAX_RANGES = 1024
+#: most parts that a hot key is split into
+MAX_SHARES = 1024
+#: distinct values per range, and split points that one list may hold
+RANGE_ROWS, MAX_MARKS = 250_000, 4096
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys where NULL equals NULL; the key columns appear once."""
+    l, r = left.alias("l_"), right.alias("r_")
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(f"l_.{k}").eqNullSafe(F.col(f"r_.{k}"))
+    rest = [F.col(f"r_.{c}") for c in right.columns if c not in keys]
+    return l.join(r, same, how).select(*[F.col(f"l_.{c}") for c in left.columns], *rest)
 
 
 def range_bounds(df: DataFrame, value: str, ranges: int | None = None) -> Column:
-    """Array of split points as a scalar subquery; at most ``MAX_RANGES`` numbers."""
-    n = ranges or min(MAX_RANGES, max(2, shuffle_width(df.sparkSession)))
+    """Array of split points as a scalar subquery.
+
+    Their number follows the measured number of rows; only above
+    ``MAX_MARKS * RANGE_ROWS`` distinct values do ranges grow instead.
+    """
+    n = ranges or min(MAX_MARKS, max(2, shuffle_width(df.sparkSession), -(-df.count() // RANGE_ROWS)))
     marks = F.array(*[F.lit(i / n) for i in range(1, n)])
-    return df.agg(F.percentile_approx(F.col(value).cast("double"), marks, 10000)).scalar()
+    return df.agg(F.percentile_approx(F.col(value).cast("double"), marks, max(10000, 8 * n))).scalar()
 
 
 def cumulative_counts(
@@ -31,8 +48,7 @@ def cumulative_counts(
 ) -> DataFrame:
     """Distinct values with count, number of rows before them and group total.
 
-    Columns: ``group..., value, cnt, before, total``. NULL values are left out;
-    group columns must not be NULL.
+    Columns: ``group..., value, cnt, before, total``. NULL values are left out.
     """
     group = list(group)
     live = df.filter(F.col(value).isNotNull())
@@ -55,7 +71,7 @@ def cumulative_counts(
         F.coalesce(F.sum("sum_").over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("off_"),
         F.sum("sum_").over(whole).alias("total"),
     )
-    return local.join(offsets, [*group, "rng_"]).select(
+    return null_safe_join(local, offsets, [*group, "rng_"]).select(
         *group, value, "cnt", (F.col("in_") + F.col("off_")).alias("before"), "total"
     )
 
@@ -95,7 +111,7 @@ def spread_left_join(left: DataFrame, right: DataFrame, key: str, weight: str =
     (and of NULL) take a share by row hash, and the right row is repeated per
     share. Everything else is a plain shuffle join, in one pass over ``left``.
     """
-    width = max(2, min(MAX_RANGES, shuffle_width(left.sparkSession)))
+    width = max(2, min(MAX_SHARES, shuffle_width(left.sparkSession)))
     total = right.agg(F.sum(weight)).scalar()
     shares = F.greatest(F.lit(1), F.ceil(F.col(weight) * width / total)).cast("int")
     sized = right.withColumn("hot_", F.col(weight) * HOT_KEYS >= total).withColumn(
@@ -109,32 +125,39 @@ def spread_left_join(left: DataFrame, right: DataFrame, key: str, weight: str =
     return salted.join(copies, [key, "share_"], "left").drop("share_")
 
 
-def percentile_ranks(df: DataFrame, ranks: dict[str, str], eligible: Column | None = None) -> DataFrame:
+def percentile_ranks(df: DataFrame, ranks: dict[str, str], eligible: Column | None = None, key: str | None = None) -> DataFrame:
     """Average-tie rank / n among eligible rows that have a value, 0.5 for all others.
 
     ``ranks`` maps output column to value column. All values are counted in one
-    pass; the table of distinct values is written once because every join and
-    its list of hot values read it again.
+    pass. With a ``key`` that is unique per row only (key, value) pairs meet the
+    table of values, for all ranks at once, and the wide rows are joined once;
+    without one they meet it rank by rank.
     """
     ok = F.lit(True) if eligible is None else F.coalesce(eligible, F.lit(False))
     pairs = F.explode(F.array(*[
         F.struct(F.lit(out).alias("which"), F.col(v).cast("double").alias("val_")) for out, v in ranks.items()
     ]))
-    long = df.filter(ok).select(pairs.alias("p_")).select("p_.*")
+    long = df.filter(ok).select(*([key] if key else []), pairs.alias("p_")).select(*([key] if key else []), "p_.*")
+    place = ((F.col("before") + (F.col("cnt") + 1) / 2) / F.col("total")).alias("rank_")
+    if key:
+        long = settle(long.filter("val_ IS NOT NULL"), "values")
+        keyed = F.concat_ws(" ", "which", F.col("val_").cast("string"))
+        cum = settle(cumulative_counts(long.drop(key), "val_", ["which"]).select(keyed.alias("prv_"), "cnt", place), "ranks")
+        met = spread_left_join(long.withColumn("prv_", keyed), cum, "prv_")
+        wide = met.groupBy(key).agg(*[F.max(F.when(F.col("which") == out, F.col("rank_"))).alias(out) for out in ranks])
+        return df.join(wide, key, "left").withColumns({out: F.coalesce(out, F.lit(0.5)) for out in ranks})
     cum = settle(cumulative_counts(long, "val_", ["which"]), "ranks")
     done = df
     for out, v in ranks.items():
-        one = cum.filter(F.col("which") == out).select(
-            F.col("val_").alias("prv_"), "cnt", ((F.col("before") + (F.col("cnt") + 1) / 2) / F.col("total")).alias("rank_")
-        )
+        one = cum.filter(F.col("which") == out).select(F.col("val_").alias("prv_"), "cnt", place)
         keyed = done.withColumn("prv_", F.when(ok, F.col(v).cast("double")))
         joined = spread_left_join(keyed, one, "prv_")
         done = joined.withColumn(out, F.coalesce("rank_", F.lit(0.5))).drop("prv_", "rank_")
     return done
 
 
-def percentile_rank(df: DataFrame, value: str, out: str, eligible: Column | None = None) -> DataFrame:
-    return percentile_ranks(df, {out: value}, eligible)
+def percentile_rank(df: DataFrame, value: str, out: str, eligible: Column | None = None, key: str | None = None) -> DataFrame:
+    return percentile_ranks(df, {out: value}, eligible, key)
 
 
 def chunked_total(
@@ -149,7 +172,7 @@ def chunked_total(
     across = Window.partitionBy(*group).orderBy("chk_").rowsBetween(Window.unboundedPreceding, -1)
     off = sums.select(*group, "chk_", F.coalesce(F.sum("sum_").over(across), F.lit(0.0)).alias("off_"))
     return (
-        local.join(off, [*group, "chk_"])
+        null_safe_join(local, off, [*group, "chk_"])
         .withColumn(out, F.col("run_") + F.col("off_"))
         .drop("chk_", "val_", "run_", "off_")
     )
@@ -178,4 +201,4 @@ def top_k(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int,
 
 def group_min(df: DataFrame, group: Sequence[str], aggs: Sequence[Column]) -> DataFrame:
     """Attach group aggregates by partial aggregation and a join, not by a window."""
-    return df.join(df.groupBy(*group).agg(*aggs), list(group))
+    return null_safe_join(df, df.groupBy(*group).agg(*aggs), list(group))

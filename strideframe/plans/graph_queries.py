@@ -178,15 +178,48 @@ def path_requests(spark, sf):
     return table(spark, sf, "supplier").select(k.alias("od_id"), (k * 13 % 1000).alias("src"), (k * 13 % 1000 + 20 + k % 30).alias("dst"))
 
 
-@query("gr_10_batch_shortest_paths")
+_ARCS = EDGES_CTE.replace("{orders}", "orders") + """, arcs AS MATERIALIZED (SELECT u, v, min(length_m) AS cost FROM (SELECT u, v, length_m FROM edges UNION ALL SELECT v, u, length_m FROM edges) GROUP BY 1,2),
+ req AS (SELECT s_suppkey AS od_id, s_suppkey*13%1000 AS src, s_suppkey*13%1000+20+s_suppkey%30 AS dst FROM supplier)"""
+
+
+@query("gr_10_batch_shortest_paths", f"""WITH RECURSIVE {_ARCS},
+ lab(od_id, node, g) USING KEY (od_id, node) AS (SELECT od_id, src, 0e0 FROM req UNION
+  SELECT n.od_id, n.node, n.g FROM (SELECT l.od_id, a.v AS node, min(l.g+a.cost) AS g FROM lab l JOIN arcs a ON l.node=a.u GROUP BY 1,2) n
+   LEFT JOIN recurring.lab o ON o.od_id=n.od_id AND o.node=n.node WHERE o.g IS NULL OR n.g<o.g)
+SELECT req.od_id, src, dst, round(g,4) AS cost FROM req LEFT JOIN lab ON lab.od_id=req.od_id AND lab.node=req.dst""")
 def gr_10(spark, sf):
-    """Iterative, so no check SQL here; tested against a plain search on small graphs."""
+    """Cheapest cost of every request; a goal that no path reaches has none."""
     e = edges(spark, sf).select("u", "v", F.col("length_m").alias("cost"))
     req = path_requests(spark, sf)
     lab = G.batch_paths(e, req)
     return req.join(lab.select("od_id", F.col("node").alias("dst"), F.round("g", 4).alias("cost")), ["od_id", "dst"], "left").select("od_id", "src", "dst", "cost")
 
 
+_TRACED = EDGES_CTE.replace("{orders}", "orders") + f""", twoway AS (SELECT u, v, length_m, {_HW} AS hw, length_m+edge_id/1e7 AS cost FROM edges UNION ALL SELECT v, u, length_m, {_HW}, length_m+edge_id/1e7 FROM edges),
+ arcs AS MATERIALIZED (SELECT u, v, min(cost) AS cost, arg_min(length_m, cost) AS length_m, arg_min(hw, cost) AS hw FROM twoway GROUP BY 1,2),
+ req AS (SELECT s_suppkey AS od_id, s_suppkey*13%1000 AS src, s_suppkey*13%1000+20+s_suppkey%30 AS dst FROM supplier),
+ lab(od_id, node, g, prev) USING KEY (od_id, node) AS (SELECT od_id, src, 0e0, NULL::BIGINT FROM req UNION
+  SELECT n.od_id, n.node, n.g, n.prev FROM (SELECT l.od_id, a.v AS node, min(l.g+a.cost) AS g, arg_min(l.node, l.g+a.cost) AS prev FROM lab l JOIN arcs a ON l.node=a.u GROUP BY 1,2) n
+   LEFT JOIN recurring.lab o ON o.od_id=n.od_id AND o.node=n.node WHERE o.g IS NULL OR n.g<o.g),
+ walk(od_id, u, v) AS (SELECT lab.od_id, prev, node FROM lab JOIN req ON lab.od_id=req.od_id AND node=dst WHERE prev IS NOT NULL
+  UNION ALL SELECT w.od_id, l.prev, l.node FROM walk w JOIN lab l ON l.od_id=w.od_id AND l.node=w.u WHERE l.prev IS NOT NULL)"""
+
+
+@query("gr_11_traced_routes", f"""WITH RECURSIVE {_TRACED} SELECT od_id, round(sum(length_m),3) AS distance_m, round(sum(length_m)/1.3,3) AS duration_s, count(*) AS n_edges,
+ round(sum(CASE WHEN hw IN {_PATHS} OR hw IN ('service','living_street') THEN length_m ELSE 0 END)/sum(length_m),6) AS pathish_share FROM walk JOIN arcs USING (u, v) GROUP BY 1""")
+def gr_11_traced(spark, sf):
+    """Routes from the edges of searched paths: search, walk back, measure. Costs carry a trace of the edge number, so the cheapest path is one."""
+    cost = F.col("length_m") + F.col("edge_id") / 1e7
+    e = G.both_ways(edges(spark, sf).select("u", "v", "length_m", G.road_class("highway").alias("hw"), cost.alias("cost")))
+    arcs = e.groupBy("u", "v").agg(F.min_by(F.struct("length_m", "hw", "cost"), F.col("cost")).alias("e")).select("u", "v", "e.*")
+    req = path_requests(spark, sf)
+    hops = G.trace_paths(G.batch_paths(arcs.select("u", "v", "cost"), req), req)
+    p = hops.join(arcs, ["u", "v"])
+    total = F.sum("length_m")
+    share = F.sum(F.when(F.col("hw").isin(*G.ROUTE_PATH_CLASSES), F.col("length_m")).otherwise(0.0)) / total
+    return p.groupBy("od_id").agg(F.round(total, 3).alias("distance_m"), F.round(total / G.WALK_MPS, 3).alias("duration_s"), F.count(F.lit(1)).alias("n_edges"), F.round(share, 6).alias("pathish_share"))
+
+
 _TRIP = f"""{EDGES_CTE}, path AS (SELECT edge_id, u%300 AS od_id, length_m, {_HW} AS hw FROM edges)"""
 
 

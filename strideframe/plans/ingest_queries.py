@@ -142,12 +142,12 @@ def prj_13(spark, sf):
 
 
 @query("prj_14_explode_parts", """
-SELECT conv_id, CAST(part_no AS INTEGER) AS part_no, part FROM (
+SELECT conv_id, turn, CAST(part_no AS INTEGER) AS part_no, part FROM (
   SELECT conv_id, turn, unnest(string_split(text, '.')) AS part, unnest(range(len(string_split(text,'.')))) AS part_no FROM conversations
-  WHERE turn=0) WHERE trim(part) <> ''""")
+  ) WHERE trim(part) <> ''""")
 def prj_14(spark, sf):
-    c = table(spark, sf, "conversations").filter("turn = 0")
-    parts = c.select("conv_id", F.posexplode(F.split("text", "\\.", -1)).alias("part_no", "part"))
+    c = table(spark, sf, "conversations")
+    parts = c.select("conv_id", "turn", F.posexplode(F.split("text", "\\.", -1)).alias("part_no", "part"))
     return parts.filter(F.trim("part") != "")
 
 
@@ -270,16 +270,17 @@ def flt_09(spark, sf):
     return table(spark, sf, "orders").filter(F.coalesce(flag, F.lit(False))).select("o_orderkey")
 
 
-@query("flt_10_repeatable_sample")
+@query("flt_10_repeatable_sample", cte("lights") + "SELECT light_id, wattage_w FROM lights ORDER BY md5('42:'||light_id), light_id, wattage_w NULLS FIRST LIMIT 8000")
 def flt_10(spark, sf):
-    """n rows by hash order of the key: the same rows on every run, kept by a top-n, not a full sort."""
+    """n rows by hash order of the seed and key: the same rows on every run and engine, kept by a top-n, not a full sort."""
     t = layer(spark, sf, "lights").select("light_id", "wattage_w")
-    return t.orderBy(F.xxhash64("light_id", F.lit(42)), "light_id", "wattage_w").limit(8000)
+    return t.orderBy(F.md5(F.concat(F.lit("42:"), F.col("light_id").cast("string"))), "light_id", "wattage_w").limit(8000)
 
 
-@query("flt_11_every_kth_by_hash")
+@query("flt_11_every_kth_by_hash", cte("segments") + "SELECT segment_id FROM segments WHERE ('0x'||substr(md5(segment_id::VARCHAR),1,7))::BIGINT % 3 = 0")
 def flt_11(spark, sf):
-    return layer(spark, sf, "segments").filter(F.pmod(F.xxhash64("segment_id"), F.lit(3)) == 0).select("segment_id")
+    share = F.conv(F.substring(F.md5(F.col("segment_id").cast("string")), 1, 7), 16, 10).cast("bigint")
+    return layer(spark, sf, "segments").filter(share % 3 == 0).select("segment_id")
 
 
 @query("flt_12_class_filter_with_fallback", cte("segments") + """
@@ -565,9 +566,9 @@ def agg_15(spark, sf):
 
 @query("agg_16_reporting_levels", cte("segments") + """SELECT CASE grouping(suburb,ward) WHEN 1 THEN 'small' WHEN 2 THEN 'large' ELSE 'whole' END AS level, suburb, ward,
  count(*) AS n, round(sum(length_m)/1000,1) AS length_km, round(avg(width_m),6) AS mean_width, count(*) FILTER (WHERE walk_path_class='shared_use') AS shared_use
- FROM segments WHERE suburb IS NOT NULL GROUP BY GROUPING SETS ((suburb),(ward),())""")
+ FROM segments GROUP BY GROUPING SETS ((suburb),(ward),()) HAVING grouping(suburb,ward)=3 OR (grouping(suburb,ward)=1 AND suburb IS NOT NULL) OR (grouping(suburb,ward)=2 AND ward IS NOT NULL)""")
 def agg_16(spark, sf):
-    return A.reporting_levels(layer(spark, sf, "segments").filter("suburb IS NOT NULL"), "suburb", "ward", [
+    return A.reporting_levels(layer(spark, sf, "segments"), "suburb", "ward", [
         F.count(F.lit(1)).alias("n"), F.round(F.sum("length_m") / 1000, 1).alias("length_km"),
         F.round(F.avg("width_m"), 6).alias("mean_width"), F.count_if(F.col("walk_path_class") == "shared_use").alias("shared_use")])
 

@@ -10,7 +10,7 @@ from ..operators import quality as Q
 from ..session import scratch_path
 from ..sources import readers as I
 from ..sources import sinks as K
-from ..sources.wkb import LINE, POINT, POLYGON
+from ..sources.wkb import LINE, MULTIPOLYGON, POINT, POLYGON
 from ..streaming import sessions as T
 from .bindings import cte, layer, segment_shapes, table
 from .registry import query
@@ -85,6 +85,45 @@ def snk_01(spark, sf):
     return r.select("segment_id", F.size("coords").alias("corners"), F.round(b["minx"], 4).alias("minx"), F.round(b["maxy"], 4).alias("maxy"))
 
 
+def _outlines(spark, sf):
+    """Segments as a box with a hole (two of three) or as two boxes side by side."""
+    w, h = F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny")
+
+    def box(x1, y1, x2, y2):
+        return F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in ((x1, y1), (x2, y1), (x2, y2), (x1, y2))])
+
+    x, y = F.col("minx"), F.col("miny")
+    outline, hole = box(x, y, F.col("maxx"), F.col("maxy")), box(x + w / 4, y + h / 4, x + w / 2, y + h / 2)
+    left, right = box(x, y, x + w / 4, F.col("maxy")), box(x + w / 2, y, F.col("maxx"), F.col("maxy"))
+    split = F.col("segment_id") % 3 == 0
+    parts = F.when(split, F.array(F.array(left), F.array(right))).otherwise(F.array(F.array(outline, hole)))
+    return layer(spark, sf, "segments").select("segment_id", parts.alias("parts"), F.when(split, MULTIPOLYGON).otherwise(POLYGON).alias("kind"))
+
+
+_BOX = "(maxx-minx)*(maxy-miny)"
+
+
+@query("snk_01_geoparquet_parts", cte("segments") + f"""SELECT segment_id, CASE WHEN segment_id%3=0 THEN 2 ELSE 1 END AS n_parts, CASE WHEN segment_id%3=0 THEN 1 ELSE 2 END AS n_rings,
+ round({_BOX}*CASE WHEN segment_id%3=0 THEN 0.75 ELSE 0.9375 END,6) AS area, segment_id%3=0 AS has_point_of_hole FROM segments""")
+def snk_01_parts(spark, sf):
+    """Holes and several parts survive the bytes: counts, area, and a point in the hole or in the second part."""
+    path = scratch_path(spark, "parts")
+    K.write_geo_parts(_outlines(spark, sf), path, "parts", F.col("kind"))
+    g = I.read_geo_parts(spark, path).join(layer(spark, sf, "segments").select("segment_id", "minx", "miny", "maxx", "maxy"), "segment_id")
+    # a spot in the hole of the first kind, in the right-hand box of the second
+    x, y = F.when(F.col("segment_id") % 3 == 0, 0.75).otherwise(0.375), F.lit(0.375)
+    inside = geo.in_parts(F.col("parts"), F.col("minx") + (F.col("maxx") - F.col("minx")) * x, F.col("miny") + (F.col("maxy") - F.col("miny")) * y)
+    return g.select("segment_id", F.size("parts").alias("n_parts"), F.size(F.col("parts")[0]).alias("n_rings"), F.round(geo.parts_area(F.col("parts")), 6).alias("area"), inside.alias("has_point_of_hole"))
+
+
+@query("prj_14_geometry_parts", cte("segments") + f"""SELECT segment_id, 0 AS part_no, round({_BOX}*0.9375,6) AS area FROM segments WHERE segment_id%3<>0
+ UNION ALL SELECT segment_id, 0, round({_BOX}*0.25,6) FROM segments WHERE segment_id%3=0 UNION ALL SELECT segment_id, 1, round({_BOX}*0.5,6) FROM segments WHERE segment_id%3=0""")
+def prj_14_parts(spark, sf):
+    """One row per part of a geometry, with its holes."""
+    p = _outlines(spark, sf).select("segment_id", F.posexplode("parts").alias("part_no", "part"))
+    return p.select("segment_id", "part_no", F.round(geo.parts_area(F.array("part")), 6).alias("area"))
+
+
 @query("src_04_parquet_in_sql", "SELECT p_partkey, CASE WHEN p_type IN ('LARGE','PROMO') THEN 'shared_use' ELSE 'footpath' END AS path_class FROM part")
 def src_04(spark, sf):
     return spark.sql("SELECT p_partkey, CASE WHEN p_type IN ('LARGE','PROMO') THEN 'shared_use' ELSE 'footpath' END AS path_class FROM {part}", part=table(spark, sf, "part"))
@@ -101,10 +140,16 @@ def _osm(spark, sf):
     node = F.struct(F.lit("node").alias("type"), (k % 700).alias("id"), F.when(k % 7 == 0, None).otherwise((k % 700).cast("double")).alias("lon"), ((k % 700) / 2).alias("lat"),
                     F.create_map(F.lit("crossing"), F.lit("unmarked"), F.lit("highway"), F.lit("crossing")).alias("tags"), none.alias("geometry"))
     path = scratch_path(spark, "osm")
-    z.select(F.to_json(F.struct(F.array(way, node).alias("elements"))).alias("value")).write.text(path)
+    I.land_documents(_indented(z.select((k % 32).alias("part"), F.explode(F.array(way, node)).alias("e")), "elements"), "value", path)
     return path
 
 
+def _indented(rows, name):
+    """Documents of many elements with a line break after every comma and brace, as files from a service come."""
+    docs = rows.groupBy("part").agg(F.collect_list("e").alias(name)).select(F.to_json(F.struct(name)).alias("doc"))
+    return docs.select(F.regexp_replace("doc", r'(\{|,)(?=")', "$1\n  ").alias("value"))
+
+
 @query("src_05_osm_ways", cte("speed_zones") + "SELECT zone_id AS osm_id, CASE WHEN zone_id%2=0 THEN 'footway' ELSE 'path' END AS highway, 'way '||zone_id AS name, 2 AS n_points, round(x2,3) AS x_end FROM speed_zones WHERE zone_id%10<>0")
 def src_05(spark, sf):
     w = I.read_osm_ways(spark, _osm(spark, sf))
@@ -116,9 +161,9 @@ def src_06(spark, sf):
     return I.read_osm_crossings(spark, _osm(spark, sf))
 
 
-@query("src_07_od_pairs", "SELECT 'OD-'||c_custkey AS id, c_name AS label, c_custkey%2=0 AS verified, CAST(c_custkey AS DOUBLE) AS olng, c_custkey/4 AS olat, c_acctbal AS dlng, CAST(c_nationkey AS DOUBLE) AS dlat FROM customer WHERE c_custkey%3=0")
+@query("src_07_od_pairs", "SELECT 'OD-'||c_custkey AS id, c_name AS label, c_custkey%2=0 AS verified, CAST(c_custkey AS DOUBLE) AS olng, c_custkey/4 AS olat, c_acctbal AS dlng, CAST(c_nationkey AS DOUBLE) AS dlat FROM customer")
 def src_07(spark, sf):
-    c = table(spark, sf, "customer").filter("c_custkey%3=0")
+    c = table(spark, sf, "customer")
     k = F.col("c_custkey")
 
     def place(name, *xy):
@@ -127,7 +172,7 @@ def src_07(spark, sf):
     pair = F.struct(F.concat(F.lit("OD-"), k.cast("string")).alias("id"), F.col("c_name").alias("label"), (k % 2 == 0).alias("verified"),
                     place("a", k, k / 4).alias("origin"), place("b", F.col("c_acctbal"), F.col("c_nationkey")).alias("destination"))
     path = scratch_path(spark, "od")
-    c.select(F.to_json(F.struct(F.lit("sample").alias("name"), F.array(pair).alias("pairs"))).alias("value")).write.text(path)
+    I.land_documents(_indented(c.select((k % 16).alias("part"), pair.alias("e")), "pairs"), "value", path)
     return I.read_od_pairs(spark, path)
 
 
@@ -140,13 +185,15 @@ def src_08(spark, sf):
     return I.newest_rows(spark, [a, b], "od_id bigint, run string, v double", ["od_id"])
 
 
-@query("src_09_paged_until_short", "SELECT o_orderkey AS id, o_totalprice AS v FROM orders WHERE o_orderkey < 3*500-1 OR (o_orderkey BETWEEN 3*500-1 AND 4*500-1 AND o_orderkey<2*500)")
+@query("src_09_paged_until_short", """WITH p AS (SELECT o_orderkey AS id, o_totalprice AS v, o_orderkey//500 AS page FROM orders WHERE o_orderkey<>1499),
+ n AS (SELECT page, count(*) AS n, max(page) OVER () AS last FROM p GROUP BY page)
+SELECT id, v, n < 500 AND page < last AS short_page FROM p JOIN n USING (page)""")
 def src_09(spark, sf):
-    """Page 2 misses its last row, so it is short and closes the list."""
+    """One page misses a row: its rows are kept and flagged, and so are all that follow."""
     path = scratch_path(spark, "pages")
     o = table(spark, sf, "orders").filter("o_orderkey <> 1499").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("v"), F.floor(F.col("o_orderkey") / 500).cast("int").alias("page"))
     o.write.json(path)
-    return I.read_pages(spark, path, "id bigint, v double", 500).select("id", "v")
+    return I.read_pages(spark, path, "id bigint, v double", 500).select("id", "v", "short_page")
 
 
 @query("src_10_result_csv", "SELECT 'OD-'||o_custkey AS od_id, CASE WHEN o_orderkey%2=0 THEN 'control' ELSE 'challenger' END AS engine, max(round(o_totalprice/50000,3)) AS day_display FROM orders GROUP BY 1,2")

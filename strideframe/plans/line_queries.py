@@ -25,7 +25,7 @@ _ALONG = f"{ROUTES_CTE}, al AS (SELECT *, len, sum(len) OVER (PARTITION BY route
 
 @query("win_06_distance_along", f"WITH {_ALONG} SELECT route_id, CAST(i AS INTEGER) AS i, round(end_m,5) AS end_m FROM al")
 def win_06(spark, sf):
-    a = N.along(N.pieces(routes(spark, sf), ["route_id"]), ["route_id"])
+    a = N.along(routes(spark, sf), ["route_id"])
     return a.select("route_id", "i", F.round("end_m", 5).alias("end_m"))
 
 
@@ -235,8 +235,8 @@ def win_10(spark, sf):
     return r.join(g, ["route_id", "run"]).filter(keep).select("route_id", "n", "s")
 
 
-@query("win_11_turn_damping", f"""WITH {_SAMPLES}, z AS (SELECT route_id, n, px, py, max(n) OVER (PARTITION BY route_id) AS last FROM sm), t AS (SELECT z.route_id, z.n, z.px-a.px AS e1, z.py-a.py AS n1, c.px-z.px AS e2, c.py-z.py AS n2 FROM z
- JOIN z a ON a.route_id=z.route_id AND a.n=greatest(0,z.n-2) JOIN z c ON c.route_id=z.route_id AND c.n=least(z.last,z.n+2)),
+@query("win_11_turn_damping", f"""WITH {_SAMPLES}, t AS (SELECT route_id, n, px-coalesce(lag(px,2) OVER w, lag(px,1) OVER w, px) AS e1, py-coalesce(lag(py,2) OVER w, lag(py,1) OVER w, py) AS n1,
+ coalesce(lead(px,2) OVER w, lead(px,1) OVER w, px)-px AS e2, coalesce(lead(py,2) OVER w, lead(py,1) OVER w, py)-py AS n2 FROM sm WINDOW w AS (PARTITION BY route_id ORDER BY n)),
  g AS (SELECT route_id, n, CASE WHEN sqrt(e1*e1+n1*n1)<1 OR sqrt(e2*e2+n2*n2)<1 THEN 0 ELSE degrees(acos(least(1,greatest(-1,(e1*e2+n1*n2)/(sqrt(e1*e1+n1*n1)*sqrt(e2*e2+n2*n2)))))) END AS turn FROM t)
 SELECT route_id, n, round(turn,2) AS turn, round(greatest(0,1-turn/45),3) AS damping FROM g""")
 def win_11(spark, sf):

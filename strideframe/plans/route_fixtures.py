@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.routes import LIKE_POINTS, even_points
 from .bindings import table
 
 ROUTE_POINTS = """SELECT l_orderkey AS route_id, l_linenumber AS pos,
@@ -34,6 +35,17 @@ ROUTES_CTE = f"rp AS ({sql_of(ROUTE_POINTS)}), pc AS (SELECT route_id, rn-1 AS i
 CARDS_CTE = f"cards AS ({sql_of(CARDS)})"
 
 
+#: straight ways of the cards, in degrees: cards of a request start together and end more or less apart
+CARD_WAY = {"x1": "145e0+(od_id%1000)/1e4", "y1": "-38e0+(od_id%777)/1e4", "x2": "145.01e0+(od_id%1000)/1e4+((card*7+od_id)%5)*0.0007e0", "y2": "-37.995e0+(od_id%777)/1e4-((card*3+od_id)%4)*0.0005e0"}
+
+
+def card_points(cards: DataFrame) -> DataFrame:
+    """Cards with seven even points of their way."""
+    e = {k: F.expr(v) for k, v in CARD_WAY.items()}
+    line = F.array(F.struct(e["x1"].alias("x"), e["y1"].alias("y")), F.struct(e["x2"].alias("x"), e["y2"].alias("y")))
+    return cards.withColumn("points", even_points(line, F.lit(LIKE_POINTS)))
+
+
 def cards(spark: SparkSession, sf: str) -> DataFrame:
     return spark.sql(CARDS, lineitem=table(spark, sf, "lineitem"))
 

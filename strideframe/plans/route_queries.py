@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..operators import ordering as O
@@ -9,7 +11,7 @@ from ..operators import reports as P
 from ..operators import routes as R
 from .bindings import table
 from .registry import query
-from .route_fixtures import CARDS_CTE, cards
+from .route_fixtures import CARD_WAY, CARDS_CTE, card_points, cards
 
 _IMP = "greatest(10,least(100,{}))"
 _HEAT = "coalesce(heat_shade_score,(day_index_score-0.6e0*accessibility_score)/0.4e0)"
@@ -160,41 +162,42 @@ def _greedy_sql(order, clash, rounds, where="true"):
     return out + " " + " UNION ALL ".join(parts)
 
 
-_CLASH = "abs(c.distance_m-p.distance_m)/greatest(c.distance_m,p.distance_m,1)<=0.22 AND abs(c.duration_s-p.duration_s)<500"
-
-
-def _clash(c, p):
-    d = F.abs(c["distance_m"] - p["distance_m"]) / F.greatest(c["distance_m"], p["distance_m"], F.lit(1.0))
-    return (d <= 0.22) & (F.abs(c["duration_s"] - p["duration_s"]) < 500)
+_WAY = {p: {k: re.sub(r"\b(od_id|card)\b", rf"{p}.\1", v) for k, v in CARD_WAY.items()} for p in "cp"}
+_GAP = "sqrt(" + "+".join(f"power(({_WAY['c'][f'{k}1']}-({_WAY['p'][f'{k}1']}))*(1-t/6e0)+({_WAY['c'][f'{k}2']}-({_WAY['p'][f'{k}2']}))*(t/6e0),2)" for k in "xy") + ")"
+_GAPS = f"list_transform(range(7), lambda t: {_GAP})"
+_CLASH = f"abs(c.distance_m-p.distance_m)/greatest(c.distance_m,p.distance_m,1)<=0.22 AND (len(list_filter({_GAPS}, lambda d: d<0.0011))>=5 OR list_sum({_GAPS})/7<0.0007)"
 
 
 @query("rq_10_greedy_distinct", f"WITH {CARDS_CTE} {_greedy_sql('round(distance_m,6)', _CLASH, 3)}")
 def rq_10(spark, sf):
-    c = cards(spark, sf).withColumn("o1", F.round("distance_m", 6))
-    return R.greedy_picks(c, "od_id", "card", ["o1"], _clash, 3, ["distance_m", "duration_s"])
+    """Shortest first, then the shortest that runs another way: seven points of each are compared."""
+    c = card_points(cards(spark, sf)).withColumn("o1", F.round("distance_m", 6))
+    return R.greedy_picks(c, "od_id", "card", ["o1"], R.same_way, 3, ["distance_m", "points"])
 
 
 @query("rq_23_ordered_distinct", f"WITH {CARDS_CTE} {_greedy_sql('CASE card WHEN 2 THEN 0 WHEN 4 THEN 1 ELSE 2 END', _CLASH, 3, 'card IN (2,3,4)')}")
 def rq_23(spark, sf):
     """Best, complement, away: kept only when distinct from the ones before."""
-    c = cards(spark, sf).filter("card IN (2,3,4)").withColumn("o1", F.when(F.col("card") == 2, 0).when(F.col("card") == 4, 1).otherwise(2))
-    return R.greedy_picks(c, "od_id", "card", ["o1"], _clash, 3, ["distance_m", "duration_s"])
+    c = card_points(cards(spark, sf).filter("card IN (2,3,4)")).withColumn("o1", F.when(F.col("card") == 2, 0).when(F.col("card") == 4, 1).otherwise(2))
+    return R.greedy_picks(c, "od_id", "card", ["o1"], R.same_way, 3, ["distance_m", "points"])
 
 
 @query("rq_20_preference_battery", f"""WITH {_BASE}, alt AS (SELECT *, CASE WHEN accessibility_score IS NULL AND st IS NULL THEN NULL ELSE (coalesce(accessibility_score*wb,0)+coalesce(st*wa,0))/(CASE WHEN accessibility_score IS NULL THEN 0 ELSE wb END+CASE WHEN st IS NULL THEN 0 ELSE wa END) END AS p2 FROM b3),
  k AS (SELECT od_id, arg_max(card,(round(pref,6),-card)) FILTER (WHERE pref IS NOT NULL) AS best, arg_max(card,(round(p2,6),-card)) FILTER (WHERE p2 IS NOT NULL) AS best2, count(*) AS n FROM alt GROUP BY 1)
-SELECT od_id, best, best2, coalesce(best<>best2,false) AS moved, CASE WHEN n>1 THEN 1 ELSE 0 END+CASE WHEN best<>best2 THEN 2 ELSE 0 END AS usefulness FROM k""")
+ , w AS (SELECT k.*, coalesce(best<>best2 AND NOT ({{clash}}),false) AS moved FROM k LEFT JOIN cards c ON c.od_id=k.od_id AND c.card=k.best LEFT JOIN cards p ON p.od_id=k.od_id AND p.card=k.best2)
+SELECT od_id, best, best2, moved, CASE WHEN n>1 THEN 1 ELSE 0 END+CASE WHEN moved THEN 2 ELSE 0 END AS usefulness FROM w""".replace("{{clash}}", "{clash}").replace("{clash}", _CLASH))
 def rq_20(spark, sf):
     from ..functions.columns import weighted_present_mean
     a, b = R.active_weights()
-    c = cards(spark, sf).withColumns({"p1": R.preference_score(), "p2": weighted_present_mean([(F.col("accessibility_score"), b), (R.second_stream(), a)])})
+    c = card_points(cards(spark, sf)).withColumns({"p1": R.preference_score(), "p2": weighted_present_mean([(F.col("accessibility_score"), b), (R.second_stream(), a)])})
 
     def top(p):
-        return F.max_by("card", F.when(F.col(p).isNotNull(), F.struct(F.round(p, 6), -F.col("card"))))
+        return F.max_by(F.struct("card", "distance_m", "points"), F.when(F.col(p).isNotNull(), F.struct(F.round(p, 6), -F.col("card"))))
 
-    k = c.groupBy("od_id").agg(top("p1").alias("best"), top("p2").alias("best2"), F.count(F.lit(1)).alias("n"))
-    moved = F.coalesce(F.col("best") != F.col("best2"), F.lit(False))
-    return k.select("od_id", "best", "best2", moved.alias("moved"), (F.when(F.col("n") > 1, 1).otherwise(0) + F.when(moved, 2).otherwise(0)).alias("usefulness"))
+    k = c.groupBy("od_id").agg(top("p1").alias("a"), top("p2").alias("b"), F.count(F.lit(1)).alias("n"))
+    # another card counts as another choice only if it runs another way
+    moved = F.coalesce((F.col("a.card") != F.col("b.card")) & ~R.same_way(F.col("a"), F.col("b")), F.lit(False))
+    return k.select("od_id", F.col("a.card").alias("best"), F.col("b.card").alias("best2"), moved.alias("moved"), (F.when(F.col("n") > 1, 1).otherwise(0) + F.when(moved, 2).otherwise(0)).alias("usefulness"))
 
 
 @query("rq_15_lateral_shift", """WITH p AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_partkey%9=0 THEN NULL ELSE (l_partkey%80)/2 END AS sw_d, (l_suppkey%41)-20 AS sw_lat, (l_partkey%30)/2 AS rd_d, CASE l_returnflag WHEN 'A' THEN 16 WHEN 'N' THEN 11 ELSE 7 END AS rd_t, (l_suppkey%7)-3 AS rd_lat, l_quantity<3 AS crossing, CASE WHEN l_quantity>45 THEN 2 END AS path_d FROM lineitem),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
 from ..functions import geo
-from .wkb import from_wkb
+from .wkb import only_ring, parts_from_wkb
 
 POSITION = "array<double>"
 
@@ -36,18 +36,31 @@ def read_csv_text(spark: SparkSession, path: str, columns: list[str], header: bo
 
 
 def read_geo_parquet(spark: SparkSession, path: str, metric: bool = False) -> DataFrame:
-    """Parquet with a WKB ``geometry`` in degrees; ``coords`` in degrees or metres."""
-    df = spark.read.parquet(path).withColumn("coords", from_wkb("geometry")).drop("geometry")
+    """Parquet with WKB geometries of one part and one ring in degrees; ``coords`` in degrees or metres.
+
+    Geometries with holes or several parts raise; ``read_geo_parts`` reads them.
+    """
+    df = spark.read.parquet(path).withColumn("coords", only_ring(parts_from_wkb("geometry"))).drop("geometry")
     if not metric:
         return df
     return df.withColumn("coords", F.transform("coords", lambda p: geo.to_metric(p["x"], p["y"])))
 
 
+def read_geo_parts(spark: SparkSession, path: str) -> DataFrame:
+    """Parquet with any WKB ``geometry``: ``parts`` of rings of coordinates, holes after each outline."""
+    return spark.read.parquet(path).withColumn("parts", parts_from_wkb("geometry")).drop("geometry")
+
+
 OSM = """elements array<struct<type:string,id:bigint,lon:double,lat:double,tags:map<string,string>,geometry:array<struct<lon:double,lat:double>>>>"""
 
 
+def land_documents(df: DataFrame, document: str, path: str, per_file: int = 1) -> None:
+    """Writes one JSON document per row, indented or not, ``per_file`` rows to a file."""
+    df.select(F.col(document).alias("value")).write.option("maxRecordsPerFile", per_file).mode("overwrite").text(path)
+
+
 def _elements(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(OSM).json(path).select(F.explode("elements").alias("e")).select("e.*")
+    return spark.read.schema(OSM).option("multiLine", True).option("mode", "FAILFAST").json(path).select(F.explode("elements").alias("e")).select("e.*")
 
 
 def read_osm_ways(spark: SparkSession, path: str) -> DataFrame:
@@ -65,7 +78,7 @@ def read_osm_crossings(spark: SparkSession, path: str) -> DataFrame:
 
 def read_od_pairs(spark: SparkSession, path: str) -> DataFrame:
     place = "struct<name:string,center:array<double>>"
-    docs = spark.read.schema(f"name string, pairs array<struct<id:string,label:string,verified:boolean,origin:{place},destination:{place}>>").json(path)
+    docs = spark.read.schema(f"name string, pairs array<struct<id:string,label:string,verified:boolean,origin:{place},destination:{place}>>").option("multiLine", True).option("mode", "FAILFAST").json(path)
     p = docs.select(F.explode("pairs").alias("p")).select("p.*")
     return p.select("id", "label", "verified", F.col("origin.center")[0].alias("olng"), F.col("origin.center")[1].alias("olat"),
                     F.col("destination.center")[0].alias("dlng"), F.col("destination.center")[1].alias("dlat"))
@@ -79,9 +92,15 @@ def newest_rows(spark: SparkSession, paths: list[str], schema: str, key: list[st
 
 
 def read_pages(spark: SparkSession, path: str, schema: str, page_size: int) -> DataFrame:
-    """Landed pages of a feature service, up to and with the first short one."""
+    """All landed pages of a feature service; ``short_page`` marks rows of a page that is short but not the last.
+
+    A fetcher stops asking at a short page. What has landed is read whole, and
+    a short page in the middle, which says that rows are missing, is flagged.
+    """
     rows = spark.read.schema(f"{schema}, page int").json(path)
-    short = rows.groupBy("page").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") < page_size).agg(F.min("page")).scalar()
-    return rows.filter(F.coalesce(F.col("page") <= short, F.lit(True)))
+    sizes = rows.groupBy("page").agg(F.count(F.lit(1)).alias("n_"))
+    last = sizes.agg(F.max("page")).scalar()
+    flagged = sizes.select("page", ((F.col("n_") < page_size) & (F.col("page") < last)).alias("short_page"))
+    return rows.join(flagged, "page", "left").withColumn("short_page", F.coalesce("short_page", F.lit(False)))
 
 

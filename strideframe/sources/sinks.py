@@ -7,13 +7,18 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .wkb import to_wkb
+from .wkb import parts_to_wkb, to_wkb
 
 
 def write_geo_parquet(df: DataFrame, path: str, coords: str, kind: int) -> None:
     df.withColumn("geometry", to_wkb(F.col(coords), F.lit(kind))).drop(coords).write.mode("overwrite").parquet(path)
 
 
+def write_geo_parts(df: DataFrame, path: str, parts: str, kind: Column) -> None:
+    """Any geometries as WKB: ``parts`` of rings of coordinates, of a kind per row."""
+    df.withColumn("geometry", parts_to_wkb(F.col(parts), kind)).drop(parts).write.mode("overwrite").parquet(path)
+
+
 def feature_json(geometry: Column, properties: list[str]) -> Column:
     return F.to_json(F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), F.struct(*properties).alias("properties")))
 

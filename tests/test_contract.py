@@ -67,3 +67,21 @@ def test_streamed_sessions_equal_batch_for_closed_ones(spark):
     got = sessions.run_appends(sessions.usage_sessions(stream), "sessions")
     assert got.count() > 0
     assert got.exceptAll(batch).count() == 0
+
+
+def test_indented_documents_are_read_whole(spark, tmp_path):
+    doc = {"elements": [{"type": "way", "id": 7, "tags": {"highway": "path"}, "geometry": [{"lon": 1.0, "lat": 2.0}, {"lon": 1.5, "lat": 2.5}]}, {"type": "node", "id": 8, "lon": 1.0, "lat": 2.0, "tags": {"crossing": "zebra"}}]}
+    (tmp_path / "osm.json").write_text(json.dumps(doc, indent=2))
+    assert [r.osm_id for r in readers.read_osm_ways(spark, str(tmp_path / "osm.json")).collect()] == [7]
+    assert [r.osm_id for r in readers.read_osm_crossings(spark, str(tmp_path / "osm.json")).collect()] == [8]
+    place = {"name": "p", "center": [145.0, -38.0]}
+    pairs = {"name": "sample", "pairs": [{"id": f"OD-{k}", "label": "x", "verified": True, "origin": place, "destination": place} for k in range(3)]}
+    (tmp_path / "od.json").write_text(json.dumps(pairs, indent=2))
+    assert readers.read_od_pairs(spark, str(tmp_path / "od.json")).count() == 3
+
+
+def test_pages_after_a_short_one_are_kept_and_flagged(spark, tmp_path):
+    rows = [(i, p) for p, n in ((0, 3), (1, 2), (2, 3), (3, 1)) for i in range(n)]
+    spark.createDataFrame(rows, "id long, page int").write.json(f"{tmp_path}/pages")
+    got = readers.read_pages(spark, f"{tmp_path}/pages", "id bigint", 3).collect()
+    assert len(got) == len(rows) and {r.page for r in got if r.short_page} == {1}

@@ -85,5 +85,20 @@ def test_simplify_keeps_ends_and_tolerance():
 def test_wkb_round_trip():
     for kind, xy in ((wkb.POINT, [(1.5, -2)]), (wkb.LINE, [(0, 0), (3, 4), (5, 5)]), (wkb.POLYGON, L_SHAPE)):
         xy = np.array(xy, float)
-        assert np.array_equal(wkb.decode(wkb.encode(xy, kind)), xy)
-    assert wkb.encode(np.array([(1.0, 2.0)]), 1).hex() == "0101000000000000000000f03f0000000000000040"
+        (ring,), = wkb.decode(wkb.encode([[xy]], kind))
+        assert np.array_equal(ring, xy)
+    assert wkb.encode([[np.array([(1.0, 2.0)])]], 1).hex() == "0101000000000000000000f03f0000000000000040"
+
+
+def test_wkb_keeps_holes_and_parts_and_refuses_what_it_does_not_know():
+    import pytest
+    square, hole = np.array([(0, 0), (4, 0), (4, 4), (0, 4)], float), np.array([(1, 1), (2, 1), (2, 2)], float)
+    cases = [(wkb.POLYGON, [[square, hole]]), (wkb.MULTIPOLYGON, [[square, hole], [square + 9]]), (wkb.MULTILINE, [[hole], [square]]), (wkb.MULTIPOINT, [[hole[:1]], [hole[1:2]]])]
+    for kind, parts in cases:
+        back = wkb.decode(wkb.encode(parts, kind))
+        assert [[r.tolist() for r in p] for p in back] == [[r.tolist() for r in p] for p in parts]
+    big = b"\x00" + (1).to_bytes(4, "big") + np.array([1.5, 2.5], ">f8").tobytes()
+    assert wkb.decode(big)[0][0].tolist() == [[1.5, 2.5]]
+    for bad in (b"\x01\x07\0\0\0\0\0\0\0", b"\x01" + (1001).to_bytes(4, "little") + bytes(24)):
+        with pytest.raises(ValueError):
+            wkb.decode(bad)

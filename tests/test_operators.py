@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strideframe.functions import geo
-from strideframe.operators import corridor, graph, grid, layers, lines, ordering, outings, quality, routes, scoring
+from strideframe.operators import aggregates, corridor, graph, grid, layers, lines, ordering, outings, quality, routes, scoring
 
 
 def box_segments(spark, rows):
@@ -44,11 +44,11 @@ def test_hot_cells_are_split_without_loss(scene, monkeypatch):
     segs, points, sdf, pdf = scene
     few = grid.by_cell(sdf.select("segment_id", *grid.BOX), 500.0)
     many = pdf.withColumn("cx", F.floor(F.col("px") / 500)).withColumn("cy", F.floor(F.col("py") / 500))
-    a, b = grid.split_hot_cells(many, few, F.col("pid"), target=20)
-    assert a.select("share_").distinct().count() > 3
+    a, b, keys = grid.split_hot_cells(many, few, F.col("pid"), F.col("segment_id"), target=20)
+    assert a.select("l_share").distinct().count() > 3
     plain = few.join(many, ["cx", "cy"]).count()
-    assert b.join(a, ["cx", "cy", "share_"]).count() == plain
-    assert a.count() == len(points)
+    assert b.join(a, keys).count() == plain
+    assert a.select("pid").distinct().count() == len(points)
 
 
 @pytest.mark.parametrize("reach", [150.0, 2500.0])
@@ -237,7 +237,7 @@ def test_greedy_picks_one_hot_request(spark):
 
 def test_compass_turns_stay_in_the_box(spark):
     s = spark.createDataFrame([(1, 145.3, -38.1), (2, 145.419, -37.951)], "start_id long, lng double, lat double").withColumn("via_m", F.lit(600.0))
-    t = outings.compass_turns(s)
+    t = outings.compass_turns(s, "start_id")
     n = {r.start_id: r["count"] for r in t.groupBy("start_id").count().collect()}
     assert n[1] == 72 and n.get(2, 0) < 72
     d = t.select(geo.haversine("lng", "lat", "alng", "alat").alias("d"), "radius").toPandas()
@@ -248,3 +248,61 @@ def test_destination_and_bearing_agree(spark):
     r = spark.range(1).select(geo.destination(F.lit(145.3), F.lit(-38.1), F.lit(1000.0), F.lit(77.0)).alias("d"))
     r = r.select(geo.haversine(F.lit(145.3), F.lit(-38.1), "d.lng", "d.lat").alias("m"), geo.bearing(F.lit(145.3), F.lit(-38.1), "d.lng", "d.lat").alias("b")).first()
     assert r.m == pytest.approx(1000) and r.b == pytest.approx(77, abs=1e-3)
+
+
+def test_paths_longer_than_any_fixed_number_of_steps(spark):
+    edges = spark.createDataFrame([(i, i + 1, 1.0) for i in range(64)], "u long, v long, cost double").coalesce(1)
+    requests = spark.createDataFrame([(1, 0, 55), (2, 0, 64), (3, 7, 7)], "od_id long, src long, dst long").coalesce(1)
+    lab = graph.batch_paths(edges, requests)
+    got = {r.od_id: r.g for r in requests.join(lab.withColumnRenamed("node", "dst"), ["od_id", "dst"]).collect()}
+    assert got == {1: 55.0, 2: 64.0, 3: 0.0}
+
+
+def test_traced_paths_of_requests_that_stand_still(spark):
+    edges = spark.createDataFrame([(1, 2, 1.0)], "u long, v long, cost double")
+    requests = spark.createDataFrame([(1, 1, 1), (2, 1, 9)], "od_id long, src long, dst long")
+    hops = graph.trace_paths(graph.batch_paths(edges, requests), requests)
+    assert hops.columns == ["od_id", "hop", "u", "v"] and hops.count() == 0
+
+
+def test_null_is_a_group_of_its_own(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 3.0), (None, 5.0), (None, 7.0), (None, None)], "g string, v double")
+    assert {r.g: r.m for r in ordering.exact_quantiles(df, "v", {"m": 0.5}, ["g"]).collect()} == {"a": 2.0, None: 6.0}
+    s = {r.g: (r.median, r.n, r.null_count) for r in aggregates.score_summary(df, "v", ["g"]).collect()}
+    assert s == {"a": (2.0, 2, 0), None: (6.0, 3, 1)}
+    assert {(r.g, r.n) for r in ordering.group_min(df, ["g"], [F.count("*").alias("n")]).collect()} == {("a", 2), (None, 3)}
+
+
+def test_segments_without_a_suburb_count_for_their_ward_and_the_whole(spark):
+    df = spark.createDataFrame([("s", "w", 1), (None, "w", 1), (None, None, 1)], "suburb string, ward string, x int")
+    rows = {(r.level, r.suburb, r.ward): r.n for r in aggregates.reporting_levels(df, "suburb", "ward", [F.count("*").alias("n")]).collect()}
+    assert rows == {("small", "s", None): 1, ("large", None, "w"): 2, ("whole", None, None): 3}
+
+
+@pytest.mark.parametrize("when, lat, lng, want", [
+    # equinox noon on the equator, solstice noon on a tropic, and their midnights
+    ("2024-03-20 12:07:00", 0.0, 0.0, 89.6), ("2024-06-20 12:02:00", 23.44, 0.0, 89.9), ("2024-06-20 00:02:00", -23.44, 0.0, -89.9), ("2024-12-21 12:00:00", -66.56, 0.0, 46.9),
+])
+def test_sun_stands_where_almanacs_say(spark, when, lat, lng, want):
+    got = spark.sql(f"SELECT TIMESTAMP '{when}' AS t").select(scoring.solar_elevation(F.col("t"), lat, lng).alias("e")).first().e
+    assert abs(got - want) < 0.4
+
+
+def test_lines_are_measured_without_a_shuffle(spark):
+    df = line_df(spark, [(0, 0), (3, 4), (3, 4), (3, 10)])
+    plan = lines.samples(df, ["route_id"], 2.0)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    s = {r.n: (r.along, round(r.px, 6), round(r.py, 6)) for r in lines.samples(df, ["route_id"], 2.0).collect()}
+    assert s[0] == (0.0, 0.0, 0.0) and s[5] == (10.0, 3.0, 9.0) and s[6] == (11.0, 3.0, 10.0) and len(s) == 7
+
+
+@pytest.mark.parametrize("hot_side", ["left", "right"])
+def test_hot_cells_are_split_on_either_side(spark, hot_side):
+    many = spark.range(900).select(F.col("id").alias("a"), F.lit(0).alias("cx"), F.lit(0).alias("cy")).union(spark.range(900, 1000).select("id", F.lit(1), F.lit(1)))
+    few = spark.createDataFrame([(k, k % 2, k % 2) for k in range(10)], "b long, cx int, cy int")
+    left, right = (many, few) if hot_side == "left" else (few, many)
+    keys = [F.col(left.columns[0]), F.col(right.columns[0])]
+    l, r, on = grid.split_hot_cells(left, right, *keys, target=50)
+    assert l.groupBy(*on).count().agg(F.max("count")).first()[0] <= 120 and r.groupBy(*on).count().agg(F.max("count")).first()[0] <= 120
+    got = sorted(tuple(x) for x in l.join(r, on).select("a", "b").collect())
+    assert got == sorted((a, b) for a in range(1000) for b in range(10) if (a >= 900) == (b % 2 == 1))
