@@ -10,7 +10,7 @@ from ..operators import corridor as R
 from ..operators import lines as N
 from ..operators import ordering as O
 from .bindings import cte, layer, segment_shapes, table
-from .join_queries import corridor_sql, rect_clip
+from .join_queries import RECT_PIECE, corridor_sql, line_pairs_sql, rect_clip
 from .registry import query
 from .route_fixtures import ROUTES_CTE, routes
 
@@ -155,18 +155,46 @@ def jn_19(spark, sf):
     return p.select("route_id").distinct().join(mode, "route_id", "left").withColumn("confidence", F.coalesce("confidence", F.lit("reduced")))
 
 
-@query("jn_21_line_coverage")
+def _disc(n: str) -> str:
+    """Interval of a piece inside the disc around one end of a way, clipped to the piece; NULL if they do not meet."""
+    root = f"sqrt(greatest(b{n}*b{n}-uu*c{n},0))"
+    lo, hi = f"(-b{n}-{root})/uu", f"(-b{n}+{root})/uu"
+    ok = f"b{n}*b{n}-uu*c{n}>=0 AND {hi}>=0 AND {lo}<=1"
+    return f"CASE WHEN {ok} THEN greatest({lo},0) END AS lo{n}, CASE WHEN {ok} THEN least({hi},1) END AS hi{n}"
+
+
+def _slab(c0: str, cu: str, lo: str, hi: str) -> tuple[str, str]:
+    t1, t2, flat = f"({lo}-{c0})/nullif({cu},0)", f"({hi}-{c0})/nullif({cu},0)", f"{c0} BETWEEN {lo} AND {hi}"
+    return f"CASE WHEN {cu}<>0 THEN least({t1},{t2}) WHEN {flat} THEN 0 ELSE 2 END", f"CASE WHEN {cu}<>0 THEN greatest({t1},{t2}) WHEN {flat} THEN 1 ELSE -1 END"
+
+
+def _cover_sql(pieces: str, lines: str, r: int, key: str = "route_id") -> str:
+    """CTEs up to s(key, i, share): share of each piece within r of any line; lines have u1, v1, u2, v2."""
+    (l0, h0), (l1, h1) = _slab("a0", "au", "0", "vv"), _slab("k0", "ku", f"-{r}*sqrt(vv)", f"{r}*sqrt(vv)")
+    return f"""j AS (SELECT {key}, i, x1 AS ax, y1 AS ay, x2-x1 AS ux, y2-y1 AS uy, u1, v1, u2, v2, u2-u1 AS vx, v2-v1 AS vy FROM {pieces} JOIN {lines} ON least(x1,x2)<=greatest(u1,u2)+{r} AND greatest(x1,x2)>=least(u1,u2)-{r} AND least(y1,y2)<=greatest(v1,v2)+{r} AND greatest(y1,y2)>=least(v1,v2)-{r}),
+ k AS (SELECT {key}, i, ux*ux+uy*uy AS uu, vx*vx+vy*vy AS vv, (ax-u1)*ux+(ay-v1)*uy AS b1, (ax-u1)*(ax-u1)+(ay-v1)*(ay-v1)-{r * r} AS c1, (ax-u2)*ux+(ay-v2)*uy AS b2, (ax-u2)*(ax-u2)+(ay-v2)*(ay-v2)-{r * r} AS c2,
+  (ax-u1)*vx+(ay-v1)*vy AS a0, ux*vx+uy*vy AS au, (ax-u1)*vy-(ay-v1)*vx AS k0, ux*vy-uy*vx AS ku FROM j),
+ d AS (SELECT *, {_disc('1')}, {_disc('2')}, greatest({l0},{l1},0) AS slo, least({h0},{h1},1) AS shi FROM k WHERE uu>0),
+ g AS (SELECT {key}, i, least(lo1,lo2,CASE WHEN vv>0 AND slo<=shi THEN slo END) AS lo, greatest(hi1,hi2,CASE WHEN vv>0 AND slo<=shi THEN shi END) AS hi FROM d),
+ f AS (SELECT {key}, i, greatest(0,hi-greatest(lo,coalesce(max(hi) OVER (PARTITION BY {key}, i ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0))) AS fresh FROM g WHERE lo IS NOT NULL AND hi>lo),
+ s AS (SELECT {key}, i, sum(fresh) AS share FROM f GROUP BY 1,2)"""
+
+
+@query("jn_21_line_coverage", cte("speed_zones").rstrip() + f""", {ROUTES_CTE}, ways AS (SELECT DISTINCT x1 AS u1, y1 AS v1, x2 AS u2, y2 AS v2 FROM speed_zones), {_cover_sql('pc', 'ways', 60)}
+SELECT route_id, round(sum(len),4) AS length_m, round(least(1,sum(coalesce(share,0)*len)/sum(len)),6) AS coverage FROM (SELECT *, sqrt(power(x2-x1,2)+power(y2-y1,2)) AS len FROM pc) LEFT JOIN s USING (route_id, i) GROUP BY 1""")
 def jn_21(spark, sf):
-    """No check SQL: a union of capsule intervals per piece; tested against dense sampling."""
+    """Share of each route within 60 m of a way: the union of capsule intervals per piece."""
     p = N.pieces(routes(spark, sf), ["route_id"])
     z = layer(spark, sf, "speed_zones")
     c = N.covered_metres(p, R.cover_intervals(p, z, "route_id", 60.0), ["route_id"])
     return c.select("route_id", F.round("length_m", 4).alias("length_m"), F.round(F.least(F.lit(1.0), F.col("covered_m") / F.col("length_m")), 6).alias("coverage"))
 
 
-@query("jn_22_layer_agreement")
+@query("jn_22_layer_agreement", cte("segments", "speed_zones").rstrip() + f""", ways AS (SELECT zone_id AS route_id, 0 AS i, x1, y1, x2, y2 FROM speed_zones), axes AS (SELECT DISTINCT minx AS u1, (miny+maxy)/2 AS v1, maxx AS u2, (miny+maxy)/2 AS v2 FROM segments),
+ {_cover_sql('ways', 'axes', 15)}, near AS (SELECT count(DISTINCT segment_id) AS n FROM ({line_pairs_sql('speed_zones', 'zone_id', 15)}) WHERE {RECT_PIECE}<=15)
+SELECT (SELECT count(*) FROM segments) AS n, round((SELECT n FROM near)/(SELECT count(*) FROM segments),6) AS g1_feature_share, round(sum(coalesce(share,0)*len)/sum(len),6) AS g2_length_share FROM (SELECT *, sqrt(power(x2-x1,2)+power(y2-y1,2)) AS len FROM ways) LEFT JOIN s USING (route_id, i)""")
 def jn_22(spark, sf):
-    """Share of segments near a way, and share of way length near a segment axis; no check SQL (interval union)."""
+    """Share of segments near a way, and share of way length near a segment axis."""
     from .join_queries import touching
     from .bindings import zone_lines
     segs, z = segment_shapes(spark, sf), zone_lines(spark, sf)
