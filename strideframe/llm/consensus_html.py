@@ -39,18 +39,25 @@ ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dial
 SHARES = 64
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:=\s*(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))|[^>])*)(?:>|\Z)", re.DOTALL)
-_ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"?|'[^']*'?|[^\s>]+))?", re.IGNORECASE)
+_ATTRIBUTE = re.compile(r"([^\s/>=]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]+))?)?|=")
+_NAMES = {"class", "id", "role", "hidden", "aria-hidden", "style"}
 _WORDS = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
 
 Block = tuple[tuple[int, ...], str, int]
 
 
+def _attributes(text: str) -> dict[str, str]:
+    """The wanted attributes, read one after another as name or name=value; the first of a name counts."""
+    found: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(text):
+        if m[1] and (name := m[1].lower()) in _NAMES:
+            found.setdefault(name, m[2] or m[3] or m[4] or "")
+    return found
+
+
 def _beside(tag: str, attributes: str) -> tuple[bool, str]:
     """Whether an element stands beside the article, and its classes for the path."""
-    found = {}
-    if attributes:
-        for m in _ATTRIBUTE.finditer(attributes):
-            found.setdefault(m[1].lower(), (m[2] or "").strip("\"'"))
+    found = _attributes(attributes) if attributes else {}
     classes = found.get("class", "")
     if tag in ASIDE:
         return True, classes

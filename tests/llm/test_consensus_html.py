@@ -55,3 +55,9 @@ def test_odd_rows(spark):
     got = {(r.page_id, r.n_chars) for r in ch.extract(docs).collect()}
     assert got == {(1, 0), (None, 5), (2, 0), (3, 6 * 200_000 - 1), (4, 0)}
     assert ch.extract(docs.limit(0)).count() == 0
+
+
+def test_attributes_are_names_not_words_in_values():
+    page = """<div><p>The <a href="/hidden-lake">Hidden Lake</a>, seen <a href="page?id=search">here</a>.</p><p title="a hidden gem">A gem.</p><p data-role="form" data-style='display:none' data-hidden=1>Kept.</p>
+<p href="/identity" id=sidebar>Gone.</p><p title='x'hidden>Gone.</p><p HIDDEN = "">Gone.</p><p a = b style = "color:red; display : none">Gone.</p><p aria-hidden=true>Gone.</p></div>"""
+    assert ch.Page(page).text(None) == "The Hidden Lake, seen here.\n\nA gem.\n\nKept."
