@@ -33,6 +33,17 @@ MARKS = {
     "newsletter", "subscribe", "subscription", "signup", "login", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "sidebar", "side", "widget", "header", "masthead", "topbar", "footer", "bottom", "copyright",
     "comment", "comments", "disqus", "replies", "respond", "share", "sharing", "social", "related", "recommended", "recommendations", "pagination", "pager", "tags", "toolbar", "skip", "form", "search", "hidden",
 }
+#: words before and after a mark in the name of a part, as in site-footer, related-posts or post-comments
+BEFORE = {"global", "inner", "left", "main", "outer", "primary", "right", "secondary", "site", "top"}
+BEFORE_TEXT = {"article", "entry", "page", "post"}
+AFTER = {"area", "bar", "block", "blocks", "box", "btn", "button", "buttons", "container", "icons", "inner", "item", "items", "left", "link", "links", "list", "outer", "panel", "posts", "right", "section", "slot", "top", "unit", "widgets", "wrap", "wrapper"}
+#: marks that are also plain or layout words: no mark by leading a longer name
+LOOSE = {"hidden", "side", "header", "form", "search", "alert", "notice", "notices", "social", "share", "sharing", "tags", "related", "bottom", "comment", "skip", "menu", "banner", "promotion", "consent", "login", "navigation", "replies", "respond"}
+#: marks of text that is no article wherever it stands and however long it is
+FOREIGN = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsense", "sponsor", "sponsored", "promo", "promotion", "cookie", "cookies", "consent", "gdpr", "newsletter", "subscribe", "subscription"}
+#: marks of text by readers or about other pages: often long, and made of articles of their own
+OTHERS = {"comment", "comments", "disqus", "replies", "respond", "related", "recommended", "recommendations"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "menu", "menubar", "form"}
 
 #: parts that the pages of a host are dealt to
@@ -55,18 +66,40 @@ def _attributes(text: str) -> dict[str, str]:
     return found
 
 
-def _beside(tag: str, attributes: str) -> tuple[bool, str]:
-    """Whether an element stands beside the article, and its classes for the path."""
+def _marks(token: str, whole: bool) -> set[str]:
+    """The marks that name a part beside the article: the token itself, its leading word, or a mark among words for parts."""
+    token = token.lower() if whole else token
+    words = [w.lower() for w in _WORDS.split(token) if w]
+    named = MARKS.intersection(words)
+    if not named or whole and token not in MARKS:
+        return set()
+    if words[0] in MARKS - LOOSE:
+        return named
+    # the header of a post or page holds its title
+    before = BEFORE if "header" in named else BEFORE | BEFORE_TEXT
+    first = next(i for i, w in enumerate(words) if w in MARKS)
+    last = max(i for i, w in enumerate(words) if w in MARKS)
+    fits = all(w in before for w in words[:first]) and all(w in MARKS for w in words[first:last]) and all(w in AFTER for w in words[last + 1:])
+    return named if fits else set()
+
+
+def _beside(tag: str, attributes: str) -> tuple[bool, set[str], dict[str, str]]:
+    """Whether an element never holds the article, the marks in its class and id, and its attributes."""
     found = _attributes(attributes) if attributes else {}
-    classes = found.get("class", "")
-    if tag in ASIDE:
-        return True, classes
-    if found.get("role", "").lower() in ROLES or "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", ""), re.IGNORECASE):
-        return True, classes
-    if tag in ("html", "body", "article", "main"):
-        return False, classes
-    words = {w.lower() for w in _WORDS.split(f"{classes} {found.get('id', '')}")}
-    return bool(words & MARKS), classes
+    role = found.get("role", "").strip().lower()
+    if tag in ASIDE or role in ROLES or "hidden" in found or found.get("aria-hidden", "").strip().lower() == "true" or re.search(r"display\s*:\s*none", found.get("style", ""), re.IGNORECASE):
+        return True, set(), found
+    if tag in ("html", "body", "article", "main") or role == "main":
+        return False, set(), found
+    classes = found.get("class", "").split()
+    # headings and words in a line are marked by whole classes alone; ids of headings and sections are anchors
+    whole = tag in HEADINGS or tag not in BLOCK
+    named = set().union(*(_marks(c, whole) for c in classes))
+    if tag in HEADINGS:
+        named -= LOOSE - {"hidden"}
+    if not whole and tag != "section" and "section" not in classes:
+        named |= _marks(found.get("id", ""), False)
+    return False, named, found
 
 
 def _step(tag: str, classes: str) -> str:
@@ -75,6 +108,11 @@ def _step(tag: str, classes: str) -> str:
     return ".".join([tag, *named])
 
 
+def _prose(text: str, linked: int) -> int:
+    """How much prose a block holds: its text outside links, and its punctuation."""
+    return max(0, len(text) - 2 * linked) + 10 * sum(text.count(c) for c in ".,;")
+
+
 class Page:
     """Blocks of a page and its containers.
 
@@ -87,18 +125,51 @@ class Page:
         self.paths: list[str] = ["", ]
         self._text: list[str] = []
         self._linked = 0
+        # marked elements: their marks; the marked elements around each block, and around each article or main
+        self._marked: list[set[str]] = []
+        self._around: list[tuple[int, ...]] = []
+        self._articles: list[tuple[str, tuple[int, ...]]] = []
         self._read(source)
+        if self._marked:
+            dropped = self._dropped()
+            self.blocks = [b for b, around in zip(self.blocks, self._around, strict=True) if dropped.isdisjoint(around)]
 
-    def _flush(self, inside: tuple[int, ...]) -> None:
+    def _flush(self, inside: tuple[int, ...], marks: tuple[int, ...]) -> None:
         text = " ".join(html.unescape("".join(self._text)).split())
         if text:
             self.blocks.append((inside, text, self._linked))
+            self._around.append(marks)
         self._text, self._linked = [], 0
 
+    def _dropped(self) -> set[int]:
+        """Marked elements to leave out: all but those around the article.
+
+        A marked element stays if it encloses a main, the page's only article,
+        or, without either, most of the prose. Where nothing else is left, all
+        stay but advertising and consent.
+        """
+        every = set(range(len(self._marked)))
+        foreign = {k for k in every if self._marked[k] & FOREIGN}
+        plain = {k for k in every - foreign if not self._marked[k] & OTHERS}
+        kept = {k for tag, around in self._articles if tag == "main" for k in around}
+        articles = [set(around) - kept for _, around in self._articles]
+        if articles and all(articles):
+            kept |= min((a for a in articles if a <= plain), key=len, default=set())
+        if not any(set(around) <= kept for _, around in self._articles):
+            prose = [_prose(text, linked) for _, text, linked in self.blocks]
+            held = dict.fromkeys(plain, 0)
+            for around, n in zip(self._around, prose, strict=True):
+                for k in plain.intersection(around):
+                    held[k] += n
+            kept |= {k for k, n in held.items() if 2 * n > sum(prose)}
+        if not any(kept.issuperset(around) for around in self._around):
+            kept |= every - foreign
+        return every - kept
+
     def _read(self, source: str) -> None:
-        # open elements: tag, containers around its text, whether it stands beside the article
-        stack: list[tuple[str, tuple[int, ...], bool]] = []
-        inside, beside, links, at, size = (0,), False, 0, 0, len(source)
+        # open elements: tag, containers around its text, whether it stands beside the article, marked elements around its text
+        stack: list[tuple[str, tuple[int, ...], bool, tuple[int, ...]]] = []
+        inside, beside, marks, links, at, size = (0,), False, (), 0, 0, len(source)
         while at < size:
             m = _TAG.search(source, at)
             piece = source[at:m.start() if m else size]
@@ -115,14 +186,17 @@ class Page:
             if m[1]:
                 depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
                 if tag in BLOCK and not beside:
-                    self._flush(inside)
+                    self._flush(inside, marks)
                 if depth is None:
                     continue
                 if tag not in BLOCK and any(s[0] in BLOCK for s in stack[depth + 1:]):
                     continue
                 links = max(0, links - sum(s[0] == "a" for s in stack[depth:]))
                 del stack[depth:]
-                inside, beside = (stack[-1][1], stack[-1][2]) if stack else ((0,), False)
+                before = marks
+                inside, beside, marks = stack[-1][1:] if stack else ((0,), False, ())
+                if marks != before:
+                    self._flush(inside, before)
                 continue
             if tag in RAW:
                 stop = re.compile(rf"</{re.escape(tag)}[\s/>]", re.IGNORECASE).search(source, at)
@@ -133,32 +207,38 @@ class Page:
                     self._text.append(" ")
                 continue
             if tag in BLOCK and not beside:
-                self._flush(inside)
+                self._flush(inside, marks)
             if tag in VOID or m[3].endswith("/"):
                 continue
             if tag in BLOCK:
                 # an open paragraph or item ends where another block begins
                 while stack and (stack[-1][0] == "p" or stack[-1][0] == tag == "li" or stack[-1][0] in ("dt", "dd") and tag in ("dt", "dd")):
                     stack.pop()
-                    inside, beside = (stack[-1][1], stack[-1][2]) if stack else ((0,), False)
-            mark, classes = _beside(tag, m[3])
-            now = beside or mark
-            if mark and not beside:
-                self._flush(inside)
-            if tag in CONTAINER and not now:
-                self.paths.append(f"{self.paths[inside[-1]]}>{_step(tag, classes)}")
+                    inside, beside, marks = stack[-1][1:] if stack else ((0,), False, ())
+            never, named, found = _beside(tag, m[3])
+            # classes in code are those of its colours
+            named = named if named and not any(s[0] in ("pre", "code") for s in stack) else ()
+            if (never or named) and not beside:
+                self._flush(inside, marks)
+            beside = beside or never
+            if named and not beside:
+                self._marked.append(named)
+                marks = (*marks, len(self._marked) - 1)
+            if tag in CONTAINER and not beside:
+                self.paths.append(f"{self.paths[inside[-1]]}>{_step(tag, found.get('class', ''))}")
                 inside = (*inside, len(self.paths) - 1)
+            if (tag in ("article", "main") or found.get("role", "").strip().lower() == "main") and not beside:
+                self._articles.append(("article" if tag == "article" else "main", marks))
             links += tag == "a"
-            stack.append((tag, inside, now))
-            beside = now
+            stack.append((tag, inside, beside, marks))
         if not beside:
-            self._flush(inside)
+            self._flush(inside, marks)
 
     def container_scores(self) -> dict[int, float]:
         """Prose in each container: text outside links counts whole for the nearest, less for those around it."""
         out: dict[int, float] = {}
         for inside, text, linked in self.blocks:
-            prose = max(0, len(text) - 2 * linked) + 10 * sum(text.count(c) for c in ".,;")
+            prose = _prose(text, linked)
             for distance, c in enumerate(reversed(inside)):
                 out[c] = out.get(c, 0.0) + prose * (1.0, 0.75, 0.5)[min(distance, 2)]
         return out

@@ -57,6 +57,30 @@ def test_odd_rows(spark):
     assert ch.extract(docs.limit(0)).count() == 0
 
 
+PROSE = "<p>A paragraph of the article, with commas, and a good length.</p><p>A second one, which ends here.</p>"
+PROSE_TEXT = "A paragraph of the article, with commas, and a good length.\n\nA second one, which ends here."
+COMMENTS = "<ol class='comment-list'><li><article class='comment-body'><p>" + "A reader writes much, on and on, with commas, and more. " * 9 + "</p></article></ol>"
+
+
+def test_layout_classes_around_the_article_drop_nothing():
+    for wrapper in ("overflow-hidden", "content-sidebar-wrap", "layout has-sidebar", "fixed-header", "sidebar", "hidden", "site-header", "sidebar-left", "side-by-side", "form-group"):
+        for inner in (f"<article>{PROSE}</article>", f"<main>{PROSE}</main>", f"<div role=main>{PROSE}</div>", f"<div>{PROSE}</div>"):
+            for rest in ("", "<div class='sidebar'><p>Aside.</p></div>", COMMENTS):
+                assert ch.Page(f"<body><div class='{wrapper}'>{inner}{rest}</div></body>").text(None) == PROSE_TEXT, (wrapper, inner, rest)
+    assert ch.Page(f"<div class=comments>{PROSE}</div>").text(None) == PROSE_TEXT
+
+
+def test_anchors_headings_and_code_are_kept():
+    page = "<article><h2 id='search-algorithms'>Search</h2><p>One, two.</p><section id='side-effects'><h2 id=search class=header>Side effects</h2><p>Three.</p></section><section id='related'><p>Four.</p></section><pre><code>x <span class='token comment'># why</span></code></pre></article>"
+    assert ch.Page(page).text(None) == "Search\n\nOne, two.\n\nSide effects\n\nThree.\n\nFour.\n\nx # why"
+
+
+def test_marked_parts_still_go():
+    for mark in ("class='ad'", "class='site-footer'", "class='related-posts x'", "class=post-comments", "id=sidebar", "class='cookie-notice'", "class=mainNav", "class='share-buttons'", "id='newsletter-signup'"):
+        assert ch.Page(f"<body><div class=entry>{PROSE}<div {mark}><p>Beside it.</p></div></div></body>").text(None) == PROSE_TEXT, mark
+    assert ch.Page("<div class='cookie-notice'><p>We use cookies.</p></div>").text(None) == ""
+
+
 def test_attributes_are_names_not_words_in_values():
     page = """<div><p>The <a href="/hidden-lake">Hidden Lake</a>, seen <a href="page?id=search">here</a>.</p><p title="a hidden gem">A gem.</p><p data-role="form" data-style='display:none' data-hidden=1>Kept.</p>
 <p href="/identity" id=sidebar>Gone.</p><p title='x'hidden>Gone.</p><p HIDDEN = "">Gone.</p><p a = b style = "color:red; display : none">Gone.</p><p aria-hidden=true>Gone.</p></div>"""
