@@ -1,7 +1,7 @@
 """Secrets in texts: fixed base patterns, and a lexer for assignments.
 
-The lexer reads source and configuration syntax line by line into pairs of a
-name and a value, follows constants through later lines (``key = PART_A +
+The lexer reads source and configuration syntax into pairs of a name and a
+value, with sigils, types and literals over line ends, follows constants through later lines (``key = PART_A +
 "..."``), and scores the literals that reach a name by how sensitive the name
 is and how random the literal looks. Base matches always stay; the lexer adds
 spans for literals that no base match covers.
@@ -37,10 +37,29 @@ PLACEHOLDERS = {"changeme", "password", "secret", "token", "example", "placehold
 THRESHOLD = 0.6
 SHORTEST = 8
 
-_TARGET = re.compile(r"""(?:^|[\s{(\[,;])(?:export\s+|const\s+|let\s+|var\s+|final\s+|static\s+|set\s+)*(?P<quote>["']?)(?P<name>[A-Za-z_][\w.\-]{0,99})(?P=quote)\s*(?:\[["'](?P<item>[\w.\-]+)["']\])?\s*(?P<op>=>|:=|=(?!=)|:(?![:/]))\s*""")
-_PART = re.compile(r"""(?P<lit>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`)|(?P<ref>\$?\{?[A-Za-z_][\w.]*\}?)""")
-_JOIN = re.compile(r"\s*(?:\+|\.\.?|<>|&)\s*")
+_LITERAL = r"""(?:[rRbBfFuUL@$]{0,2}(?P<q>\"\"\"|'''|"|'|`)|r(?P<raw>#+)")"""
+_TYPE = r"""(?:&\s*)?(?:'\w+\s+)?(?:mut\s+|dyn\s+)?(?:\[\d*\]|[*?])*[A-Za-z_](?:[\w.]|::)*+(?:<[^<>=\n]*>|\[[^\[\]=\n]*\])?(?:\[\d*\])*[?!]?(?:\s*\|\s*[\w.]+)*"""
+_TARGET = re.compile(r"""(?:^|[\s{(\[,;<])(?:export\s+|const\s+|let\s+|var\s+|val\s+|my\s+|our\s+|local\s+|final\s+|static\s+|set\s+)*+
+    (?:--?(?=[A-Za-z])|[$@%&:*]{0,2})(?:(?:env|script|global|private|local):)?(?P<quote>["']?)(?P<name>[A-Za-z_](?:->|::|[\w.\-])*+)(?P=quote)
+    (?:\s*(?:\[\s*["':]?|\{\s*["']?)(?P<item>[A-Za-z_][\w.\-]*+)["']?\s*[\]}]|\[\s*\d*\s*\])*+
+    (?:\s*[?!]?:\s*(?P<type>TYPE)(?:\s+=(?![=>~])|=(?=\s*(?:LITERAL|\()))|\s+(?P<go>TYPE)\s*=(?=\s*(?:LITERAL))|\s*(?P<op>=>|:=|<-|(?:\?\??|\+|\|\|)?=(?!=)|:(?![:/])))[^\S\n]*
+    """.replace("TYPE", _TYPE).replace("LITERAL", r"""[rRbBfFuUL@$]{0,2}["'`]|r\#+"|$"""), re.VERBOSE | re.MULTILINE)
+#: types that follow a name in Go; before a name, any other word may be a type
+_GO_TYPES = re.compile(r"(?:\[\d*\]|\*)*(?:string|byte|rune|any|error)")
+_QUOTE = re.compile(_LITERAL)
+_STOPS = {
+    '"""': re.compile(r'(?:[^"\\]|\\[\s\S]|"(?!""))*+(?=""")'), "'''": re.compile(r"(?:[^'\\]|\\[\s\S]|'(?!''))*+(?=''')"),
+    '"': re.compile(r'(?:[^"\\\n]|\\[\s\S])*+(?=")'), "'": re.compile(r"(?:[^'\\\n]|\\[\s\S])*+(?=')"), "`": re.compile(r"[^`]*+(?=`)"),
+}
+_REF = re.compile(r"[$@]?\{?(?P<ref>[A-Za-z_][\w.]*)\}?")
+_OPEN = re.compile(r"\(\s*(?=[rRbBfFuUL@$]{0,2}[\"'`]|r#+\")")
+_NEXT_LINE = re.compile(r"\\?\r?\n\s*(?=[(rRbBfFuUL@$]{0,2}\s*[\"'`]|r#+\")")
+_NAME_FOLLOWS = re.compile(r"[^\S\n]*(?::|=)")
+_JOIN = re.compile(r"\s*(?:\+|\.\.?|<>|&)\s*|[^\S\n]*\\\r?\n\s*(?=[\"'])|[^\S\n]+(?=[\"'])")
+_BESIDE = re.compile(r"\s*(?:(?:\+|\.\.?|<>|&)\s*)?(?=[^\s)])")
+_BLOCK = re.compile(r"[|>][+-]?\d?[^\S\n]*\r?\n(?P<lines>(?P<indent>[^\S\n]+)\S.*(?:\n(?:(?P=indent).*|[^\S\n]*(?=\n)))*)")
 _BARE = re.compile(r"[A-Za-z0-9+/_.=~!@#%^*-]+")
+_WORDY = re.compile(r"[A-Za-z]*+\d{0,4}(?:[_\-./: ]++[A-Za-z]*+\d{0,4})*+")
 _MASK = re.compile(r"<[\w -]*>|\*+|\$?\{+[\w. ]*\}+|%\w+%", re.ASCII)
 _SPLIT = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z0-9])(?=[A-Z])")
 
@@ -63,61 +82,116 @@ def name_score(name: str) -> float:
 
 
 def literal_score(value: str) -> float:
-    """How much a literal looks like a secret: length, mixture of characters, no word or placeholder."""
-    if len(value) < SHORTEST or value.lower().strip("<>{}[]*_-.") in PLACEHOLDERS or any(c.isspace() for c in value) or len(set(value)) < 4:
+    """How much a literal looks like a secret: length, mixture of characters, no placeholder."""
+    if len(value) < SHORTEST or value.lower().strip("<>{}[]*_-. ") in PLACEHOLDERS or len(set(value)) < 3:
         return 0.0
     bits = -sum(n / len(value) * math.log2(n / len(value)) for n in Counter(value).values())
     kinds = sum(bool(re.search(p, value)) for p in (r"[a-z]", r"[A-Z]", r"[0-9]", r"[^A-Za-z0-9]"))
     return min(1.0, bits / 3) * (0.6 + 0.2 * min(2, kinds - 1)) if kinds > 1 else 0.35 * min(1.0, bits / 3)
 
 
-def lex(text: str) -> Iterator[tuple[str, list[tuple[str, int, int]]]]:
-    """Name and literals (value, start, end) of each assignment, constants followed.
-
+def pair_score(name: str, value: str, quoted: bool = True) -> float:
+    """How likely a name holds a secret in this value: the product of both scores."""
+    return name_score(name) * literal_score(value)
+
+
+def _literal(text: str, at: int) -> tuple[int, int, int] | None:
+    """Start and end of the content of the literal at a position, and the end of the literal."""
+    if not (m := _QUOTE.match(text, at)):
+        return None
+    if m["raw"]:
+        stop = text.find('"' + m["raw"], m.end())
+        return (m.end(), stop, stop + 1 + len(m["raw"])) if stop >= 0 else None
+    q = m["q"]
+    if (s := _STOPS[q].match(text, m.end())) is None:
+        return None
+    return m.end(), s.end(), s.end() + len(q)
+
+
+def _parts(text: str, at: int, constants: dict[str, list[tuple[str, int, int]]]) -> tuple[list[tuple[str, int, int]], int]:
+    """Literals, constants followed, that are joined from a position on, and where they end; line ends pass in brackets and next to an operator."""
+    parts: list[tuple[str, int, int]] = []
+    seen = bracket = False
+    if m := _NEXT_LINE.match(text, at):
+        first = _literal(text, m.end())
+        if first is None or not _NAME_FOLLOWS.match(text, first[2]):
+            at = m.end()
+    if m := _OPEN.match(text, at):
+        at, bracket = m.end(), True
+    pos = at
+    while True:
+        if lit := _literal(text, pos):
+            parts.append((text[lit[0]:lit[1]], lit[0], lit[1]))
+            seen, pos = True, lit[2]
+        elif m := _REF.match(text, pos):
+            known = constants.get(m["ref"])
+            if known is None and not seen:
+                break
+            parts += known or []
+            pos = m.end()
+        else:
+            break
+        if not (j := (_BESIDE if bracket else _JOIN).match(text, pos)):
+            break
+        pos = j.end()
+    return parts, pos
+
+
+def lex(text: str) -> Iterator[tuple[str, list[tuple[str, int, int]], int, bool]]:
+    """Name and literals (value, start, end) of each assignment, constants followed; where the value begins, and whether it is quoted.
+
+    A target may have a sigil, dashes or a type; literals may go over line ends.
     A constant holds the literals last assigned to its name, so a chain of
     assignments costs its length; a name that is assigned from itself keeps
     each literal once.
     """
     constants: dict[str, list[tuple[str, int, int]]] = {}
     at = 0
-    for line in text.split("\n"):
-        if "=" in line or ":" in line:
-            begin = 0
-            while m := _TARGET.search(line, begin):
-                name, pos, parts, literal_seen = m["item"] or m["name"], m.end(), [], False
-                while p := _PART.match(line, pos):
-                    if p["lit"]:
-                        parts.append((p["lit"][1:-1], at + p.start() + 1, at + p.end() - 1))
-                        literal_seen = True
-                    else:
-                        known = constants.get(p["ref"].strip("${}"))
-                        if known is None and not literal_seen:
-                            break
-                        parts += known or []
-                    pos = p.end()
-                    if not (j := _JOIN.match(line, pos)):
-                        break
-                    pos = j.end()
-                if not parts and (b := _BARE.match(line, m.end())):
-                    parts, pos = [(b[0].rstrip(".,;"), at + b.start(), at + b.start() + len(b[0].rstrip(".,;")))], b.end()
+    while at < len(text):
+        stop = text.find("\n", at)
+        stop = len(text) if stop < 0 else stop
+        begin = at
+        if text.find("=", at, stop) >= 0 or text.find(":", at, stop) >= 0 or text.find("<-", at, stop) >= 0:
+            while begin <= stop and (m := _TARGET.search(text, begin, stop)):
+                name, own = m["item"] or m["name"], m["name"]
+                if m["go"] and not _GO_TYPES.fullmatch(m["go"]) and name_score(m["go"]) >= name_score(name):
+                    # a type and a name: the type is not the target
+                    name = own = m["go"]
+                parts, pos = _parts(text, m.end(), constants)
+                quoted = bool(parts)
+                if not parts and m["op"] == ":" and (b := _BLOCK.match(text, m.end())):
+                    parts, pos, quoted = [(b["lines"].strip(), b.start("lines") + len(b["indent"]), b.start("lines") + len(b["lines"].rstrip()))], b.end(), True
+                if not parts and m["type"] and any(c.isdigit() for c in m["type"]):
+                    parts, pos = [(m["type"], m.start("type"), m.end("type"))], m.end()
+                elif not parts and (b := _BARE.match(text, m.end(), stop)):
+                    value = b[0].rstrip(".,;")
+                    parts, pos = [(value, b.start(), b.start() + len(value))], b.end()
+                    # unspaced, as in environments and flags, and no name of something sensitive: as good as quoted
+                    quoted = m["op"] == "=" and m[0].endswith("=") and not m[0][:-1].endswith(" ") and b.end() == len(text[:stop].rstrip()) and not name_score(value)
                 if parts:
                     parts = list(dict.fromkeys(parts))
-                    constants[m["name"]] = parts
-                    yield name, parts
+                    constants[own] = parts
+                    yield name, parts, m.end(), quoted
                 begin = max(pos, m.end())
-        at += len(line) + 1
+                if begin > stop:
+                    # a literal went over line ends: go on behind it
+                    stop = text.find("\n", begin)
+                    stop = len(text) if stop < 0 else stop
+        at = stop + 1
 
 
 def lexed_spans(text: str, covered: list[Span], threshold: float = THRESHOLD) -> list[Span]:
-    """Literals whose name and look together reach the threshold and that no given span covers."""
-    if "=" not in text and ":" not in text:
+    """Literals whose name and look together reach the threshold and that no given span covers whole."""
+    if "=" not in text and ":" not in text and "<-" not in text:
         return []
     out = set()
-    for name, parts in lex(text):
-        weight, parts = name_score(name), [p for p in parts if not _MASK.fullmatch(p[0])]
-        if weight and weight * literal_score("".join(v for v, _, _ in parts)) >= threshold:
+    for name, parts, begin, quoted in lex(text):
+        if not name_score(name):
+            continue
+        parts = [p for p in parts if not _MASK.fullmatch(p[0])]
+        if pair_score(name, "".join(v for v, _, _ in parts), quoted) >= threshold:
             out.update((a, b, 3) for v, a, b in parts if len(v) >= 4)
-    return sorted(s for s in out if not any(a < s[1] and s[0] < b for a, b, _ in covered))
+    return sorted(s for s in out if not any(a <= s[0] and s[1] <= b for a, b, _ in covered))
 
 
 def spans(text: str | None) -> list[Span]:

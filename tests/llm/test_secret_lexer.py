@@ -71,3 +71,30 @@ def test_odd_rows(odd_docs, no_docs):
     assert len(got) == odd_docs.count() and {r.spans for r in got} == {""}
     assert sl.mask_secrets(odd_docs).exceptAll(odd_docs).count() == 0
     assert sl.find_secrets(no_docs).count() == 0 and sl.mask_secrets(no_docs).count() == 0
+
+
+SYNTAX = {
+    'private_key: str = "aB3xY9zQ1w"': ["aB3xY9zQ1w"], "const privateKey: string = 'aB3xY9zQ1w'": ["aB3xY9zQ1w"], 'val pwd: String = "aB3xY9zQ1w"': ["aB3xY9zQ1w"],
+    'var privateKey string = "aB3xY9zQ1w"': ["aB3xY9zQ1w"], 'const PRIVATE_KEY: &str = "aB3xY9zQ1w";': ["aB3xY9zQ1w"], "static PWD: &'static str = \"aB3xY9zQ1w\";": ["aB3xY9zQ1w"],
+    'private_key: Optional[str] = "aB3xY9zQ1w"': ["aB3xY9zQ1w"], 'char *auth_key = "aB3xY9zQ1w";': ["aB3xY9zQ1w"], 'char pwd[32] = "aB3xY9zQ1w";': ["aB3xY9zQ1w"], 'final String privateKey = "aB3xY9zQ1w";': ["aB3xY9zQ1w"],
+    'const string privateKey = "aB3xY9zQ1w";': ["aB3xY9zQ1w"], '$passphrase = "aB3xY9zQ1w";': ["aB3xY9zQ1w"], "my $pwd = 'aB3xY9zQ1w';": ["aB3xY9zQ1w"], "@pwd = 'aB3xY9zQ1w'": ["aB3xY9zQ1w"], "run --auth-key=aB3xY9zQ1w now": ["aB3xY9zQ1w"],
+    '$this->privateKey = "aB3xY9zQ1w";': ["aB3xY9zQ1w"], "$env:PWD = 'aB3xY9zQ1w'": ["aB3xY9zQ1w"], ":auth_key => 'aB3xY9zQ1w'": ["aB3xY9zQ1w"], 'pwd <- "aB3xY9zQ1w"': ["aB3xY9zQ1w"],
+    'private_key = """\naB3xY9zQ1w\nbB3xY9zQ1w"""\n': ["\naB3xY9zQ1w\nbB3xY9zQ1w"], "pwd = (\n    'aB3xY9'\n    'zQ1w88'\n)\n": ["aB3xY9", "zQ1w88"], "pwd =\n  'aB3xY9zQ1w'": ["aB3xY9zQ1w"], 'pwd = "aB3xY9" +\n   "zQ1w88";': ["aB3xY9", "zQ1w88"],
+    "pwd = `aB3xY9\nzQ1w`": ["aB3xY9\nzQ1w"], 'pwd = r"aB3xY9zQ1w"': ["aB3xY9zQ1w"], 'let pwd = r#"aB3"xY9zQ1w"#;': ['aB3"xY9zQ1w'], "x" * 120 + "_pwd = 'aB3xY9zQ1w'": ["aB3xY9zQ1w"], "private_key: |\n  aB3xY9zQ1w\n  bB3xY9zQ1w\nnext: 1\n": ["aB3xY9zQ1w\n  bB3xY9zQ1w"],
+    "$pwd = 'aB3xY9';\n$auth_key = $pwd . 'zQ1w88';": ["aB3xY9", "zQ1w88"],
+}
+
+
+def test_syntax_of_targets_and_literals():
+    for text, want in SYNTAX.items():
+        assert lexed_of(text) == want, text
+        assert lexed_of("x = 1\n" + text + "\ny: 2\n") == want, text
+
+
+def test_keys_without_values_take_none_of_the_next_line():
+    assert lexed_of('auth_key:\n  "name": "aB3xY9zQ1w"\npwd:\n  user: bob\nAUTH_KEY=\nOTHER_NAME=aB3xY9zQ1w') == []
+
+
+def test_long_lines_are_read_in_linear_time():
+    for piece in ("a", " ", "a ", "a:", "a: b ", "'", '"""', "a='", "a = (", "[", "x[", "a: b | ", "$", "a->", "pwd: a."):
+        sl.spans(piece * (100_000 // len(piece)) + "=")
