@@ -35,7 +35,9 @@ NAME_WEIGHTS = {
 #: values that stand for a secret without being one
 PLACEHOLDERS = {"changeme", "password", "secret", "token", "example", "placeholder", "redacted", "none", "null", "true", "false", "undefined", "todo", "xxx", "yourpassword", "yourtoken", "test"}
 THRESHOLD = 0.6
-SHORTEST = 8
+#: from this weight on a name makes any literal a secret
+NEAR = 0.9
+SHORTEST = 6
 
 _LITERAL = r"""(?:[rRbBfFuUL@$]{0,2}(?P<q>\"\"\"|'''|"|'|`)|r(?P<raw>#+)")"""
 _TYPE = r"""(?:&\s*)?(?:'\w+\s+)?(?:mut\s+|dyn\s+)?(?:\[\d*\]|[*?])*[A-Za-z_](?:[\w.]|::)*+(?:<[^<>=\n]*>|\[[^\[\]=\n]*\])?(?:\[\d*\])*[?!]?(?:\s*\|\s*[\w.]+)*"""
@@ -90,9 +92,30 @@ def literal_score(value: str) -> float:
     return min(1.0, bits / 3) * (0.6 + 0.2 * min(2, kinds - 1)) if kinds > 1 else 0.35 * min(1.0, bits / 3)
 
 
+def looks_random(value: str) -> bool:
+    """Whether a literal is a secret by its look alone: letters and digits mixed, or cases, and no words or addresses."""
+    if "://" in value or len(set(value)) < 8 or any(c.isspace() for c in value) and "-----BEGIN" not in value:
+        return False
+    if re.search(r"[0-9]", value) and re.search(r"[A-Za-z]", value):
+        return not _WORDY.fullmatch(value)
+    return len(re.findall(r"[a-z](?=[A-Z])", value)) * 5 >= len(value)
+
+
 def pair_score(name: str, value: str, quoted: bool = True) -> float:
-    """How likely a name holds a secret in this value: the product of both scores."""
-    return name_score(name) * literal_score(value)
+    """How likely a name holds a secret in this value.
+
+    The product of both scores, or what one of them carries alone: a name of
+    weight near 1 any literal, a literal of random look any listed name. Spaces
+    and values of one kind count in literals under names near 1 that end in the
+    sensitive word; of unquoted values only those without spaces and other kinds.
+    """
+    weight, look = name_score(name), literal_score(value)
+    if not weight or not look:
+        return 0.0
+    if any(c.isspace() for c in value) and "-----BEGIN" not in value:
+        return weight if quoted and weight >= NEAR and name_score(_SPLIT.split(name.rstrip("0123456789_-."))[-1]) + name_score("".join(_SPLIT.split(name.rstrip("0123456789_-."))[-2:])) > 0 else 0.0
+    carried = weight if quoted and weight >= NEAR else look if looks_random(value) else 0.0
+    return max(weight * look, carried)
 
 
 def _literal(text: str, at: int) -> tuple[int, int, int] | None:
@@ -190,7 +213,8 @@ def lexed_spans(text: str, covered: list[Span], threshold: float = THRESHOLD) ->
             continue
         parts = [p for p in parts if not _MASK.fullmatch(p[0])]
         if pair_score(name, "".join(v for v, _, _ in parts), quoted) >= threshold:
-            out.update((a, b, 3) for v, a, b in parts if len(v) >= 4)
+            # a piece of one or two characters in the line itself tells nothing
+            out.update((a, b, 3) for v, a, b in parts if v and (len(v) > 2 or a < begin))
     return sorted(s for s in out if not any(a <= s[0] and s[1] <= b for a, b, _ in covered))
 
 

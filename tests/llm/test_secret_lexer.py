@@ -98,3 +98,23 @@ def test_keys_without_values_take_none_of_the_next_line():
 def test_long_lines_are_read_in_linear_time():
     for piece in ("a", " ", "a ", "a:", "a: b ", "'", '"""', "a='", "a = (", "[", "x[", "a: b | ", "$", "a->", "pwd: a."):
         sl.spans(piece * (100_000 // len(piece)) + "=")
+
+
+def test_strong_literals_carry_weak_names_and_strong_names_any_literal():
+    for text, want in {
+        'STRIPE_KEY = "sk_live_51H8xYzAbCd"': ["sk_live_51H8xYzAbCd"], 'master_key = "Zx81kLmQ92ab"': ["Zx81kLmQ92ab"], "ssh_key: 'k3j4h5g6f7d8'": ["k3j4h5g6f7d8"], 'hmac_key="9f8a7b6c5d4e"': ["9f8a7b6c5d4e"],
+        'signature = "MEUCIQDx8sT1vw"': ["MEUCIQDx8sT1vw"], "salt = 'a1b2c3d4e5'": ["a1b2c3d4e5"], 'key = "-----BEGIN KEY-----\\nMIIEvQ1BADANBgkqh"': ["-----BEGIN KEY-----\\nMIIEvQ1BADANBgkqh"],
+        'passphrase = "correcthorsebatterystaple"': ["correcthorsebatterystaple"], 'passphrase = "correct horse battery staple"': ["correct horse battery staple"], "db_pwd = 'abcdef'": ["abcdef"], "pwd: '12345678'": ["12345678"],
+        "pwd = 'abc12x'": ["abc12x"], "PASSPHRASE=correcthorsebatterystaple": ["correcthorsebatterystaple"], 'a = "Zq"\nb = "f9K2xZ"\nauth_key = a + b + "x1!"': ["Zq", "f9K2xZ", "x1!"],
+    }.items():
+        assert lexed_of(text) == want, text
+    for name in sl.NAME_WEIGHTS:
+        assert sl.pair_score(name, "k3J4-h5g6_F7d8") >= sl.THRESHOLD, name
+    text = 'secret = "correct horse battery staple"'
+    assert sl.masked(text) == "<redacted>".join(["secret = \"", '"'])
+
+
+def test_words_under_weak_names_are_no_secrets():
+    for text in ('primary_key = "customer_name"', "sort_key: 'created_at'", 'key = "step1_result"', 'pass = "second pass over rows"', 'key: "https://x.example/a1b2c3d4e5"', "passphrase = phrases", "passphrase: something like words",
+                 'pwd_prompt = "Type it in here"', 'passphrase="example"', "pwd = ''"):
+        assert lexed_of(text) == [], text
