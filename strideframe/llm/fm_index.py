@@ -8,7 +8,8 @@ once; surviving intervals are located by walking to the next kept position;
 hit words are merged into removal spans.
 
 Nothing is shuffled and nothing but test items travels: items go out in blocks
-of bounded size, and each further block is one more pass over the same rows.
+of bounded size, and each further block is one more pass over the same rows,
+written before the next block is sent.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strideframe.llm import textbytes as tb
+from strideframe.session import discard, settle
 
 WINDOW = 10
 SHARD_WORDS = 1_000_000
@@ -271,14 +273,22 @@ def item_blocks(items: DataFrame, item_id: str = "item_id", text: str = "text",
 
     The bound is per block, plus the longest single item. A null text has no words.
     """
-    slim = items.select(F.col(item_id).cast("string").alias("item_id"), F.col(text).alias("text")).filter("text IS NOT NULL").distinct()
-    size = slim.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    count = -(-size // block_bytes) or 1
+    slim = _slim(items, item_id, text)
+    count = _block_count(items, item_id, text, block_bytes)
     for k in range(count):
         part = slim if count == 1 else slim.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == k)
         yield [(r["item_id"], r["text"]) for r in part.collect()]
 
 
+def _slim(items: DataFrame, item_id: str, text: str) -> DataFrame:
+    return items.select(F.col(item_id).cast("string").alias("item_id"), F.col(text).alias("text")).filter("text IS NOT NULL").distinct()
+
+
+def _block_count(items: DataFrame, item_id: str, text: str, block_bytes: int) -> int:
+    size = _slim(items, item_id, text).agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    return -(-size // block_bytes) or 1
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), window: int = WINDOW,
                shard_words: int = SHARD_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Which words of each document stand in a window of a test item.
@@ -293,10 +303,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, text: str = "text", keep: tupl
     schema = docs.select(*keep).schema.simpleString()[7:-1]
     runs = "array<struct<start:bigint,stop:bigint>>"
     out_schema = f"{schema}{',' if schema else ''}n_words bigint,n_hit bigint,items array<string>,n_items bigint,runs {runs}"
-    blocks = list(item_blocks(items, text=text, block_bytes=block_bytes))
-    if len(blocks) > 1:
-        return _many_blocks(docs, blocks, text, keep, window, shard_words, out_schema)
-    shared = docs.sparkSession.sparkContext.broadcast(blocks[0])
+    if _block_count(items, "item_id", text, block_bytes) > 1:
+        return _many_blocks(docs, items, text, keep, window, shard_words, block_bytes, out_schema)
+    shared = docs.sparkSession.sparkContext.broadcast(next(item_blocks(items, text=text, block_bytes=block_bytes)))
     inner = tb.free_name(list(keep), "text")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,56 +326,105 @@ def _emit(table: pa.Table, keep: tuple[str, ...], texts: list, hashes: list, hit
     yield from pa.table(cols, names=[*keep, "n_words", "n_hit", "items", "n_items", "runs"]).to_batches()
 
 
-def _many_blocks(docs: DataFrame, blocks: list, text: str, keep: tuple[str, ...], window: int, shard_words: int, out_schema: str) -> DataFrame:
-    """One pass per block over rows that carry the words hit and items found so far."""
-    inner = tb.free_name(list(keep), "text")
-    seen, ids = tb.free_name([*keep, inner], "seen"), tb.free_name([*keep, inner], "ids")
-    df = docs.select(*keep, F.col(text).alias(inner), F.lit(b"").cast("binary").alias(seen), F.array().cast("array<string>").alias(ids))
-    between = df.schema.simpleString()[7:-1]
-    for k, block in enumerate(blocks):
-        shared, last = docs.sparkSession.sparkContext.broadcast(block), k == len(blocks) - 1
+def _bits(packed: bytes | None, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(packed, np.uint8), count=n).astype(bool) if packed else np.zeros(n, bool)
+
 
-        def scan(batches: Iterator[pa.RecordBatch], shared=shared, last=last) -> Iterator[pa.RecordBatch]:
+def _search_blocks(df: DataFrame, items: DataFrame, text: str, item_text: str, seen: str, ids: str | None, window: int, shard_words: int, block_bytes: int) -> DataFrame:
+    """One pass per block over rows that carry the words hit (bits in ``seen``) and the items found so far.
+
+    Each pass is written before the next block is collected, so driver and
+    tasks hold one block at any time.
+    """
+    settled = None
+    for block in item_blocks(items, text=item_text, block_bytes=block_bytes):
+        shared = df.sparkSession.sparkContext.broadcast(block)
+
+        def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             phrases = Phrases(shared.value, window)
-            for table, texts, hashes in _shards(batches, inner, shard_words):
+            for table, texts, hashes in _shards(batches, text, shard_words):
                 hit, found = _hits_of_shard(texts, hashes, phrases)
-                old = [np.unpackbits(np.frombuffer(b, np.uint8), count=len(h)).astype(bool) if b else np.zeros(len(h), bool) for b, h in zip(table.column(seen).to_pylist(), hashes, strict=True)]
-                hit = [a | b for a, b in zip(hit, old, strict=True)]
-                found = [f | set(x) for f, x in zip(found, table.column(ids).to_pylist(), strict=True)]
-                if last:
-                    yield from _emit(table, keep, texts, hashes, hit, found)
-                else:
-                    cols = [table.column(c) for c in [*keep, inner]] + [pa.array([np.packbits(h).tobytes() for h in hit], pa.binary()), pa.array([list(f) for f in found], pa.list_(pa.string()))]
-                    yield from pa.table(cols, names=[*keep, inner, seen, ids]).to_batches()
-
-        df = df.mapInArrow(scan, out_schema if last else between)
+                hit = [h | _bits(b, len(h)) for h, b in zip(hit, table.column(seen).to_pylist(), strict=True)]
+                at = table.schema.get_field_index(seen)
+                table = table.set_column(at, table.schema.field(at), pa.array([np.packbits(h).tobytes() if h.any() else b"" for h in hit], pa.binary()))
+                if ids:
+                    at = table.schema.get_field_index(ids)
+                    table = table.set_column(at, table.schema.field(at), pa.array([list(f | set(x)) for f, x in zip(found, table.column(ids).to_pylist(), strict=True)], table.schema.field(at).type))
+                yield from table.to_batches()
+
+        df = settle(df.mapInArrow(scan, df.schema), "leaks")
+        shared.destroy()
+        if settled is not None:
+            discard(settled)
+        settled = df
     return df
 
 
+def _many_blocks(docs: DataFrame, items: DataFrame, text: str, keep: tuple[str, ...], window: int, shard_words: int, block_bytes: int, out_schema: str) -> DataFrame:
+    """What all blocks hit, one after another."""
+    inner = tb.free_name(list(keep), "text")
+    seen = tb.free_name([*keep, inner], "seen")
+    ids = tb.free_name([*keep, inner, seen], "ids")
+    df = docs.select(*keep, F.col(text).alias(inner), F.lit(b"").cast("binary").alias(seen), F.array().cast("array<string>").alias(ids))
+    df = _search_blocks(df, items, inner, text, seen, ids, window, shard_words, block_bytes)
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, texts, hashes in _shards(batches, inner, shard_words):
+            hit = [_bits(b, len(h)) for b, h in zip(table.column(seen).to_pylist(), hashes, strict=True)]
+            yield from _emit(table, keep, texts, hashes, hit, [set(x) for x in table.column(ids).to_pylist()])
+
+    return df.mapInArrow(emit, out_schema)
+
+
+def _without_many_blocks(docs: DataFrame, items: DataFrame, text: str, window: int, shard_words: int, block_bytes: int) -> DataFrame:
+    """Hits of all blocks are cut together; texts that changed are searched again in all blocks until none is hit."""
+    columns = docs.columns
+    seen = tb.free_name(columns, "seen")
+    todo, done = docs, None
+    while True:
+        found = _search_blocks(todo.withColumn(seen, F.lit(b"").cast("binary")), items, text, text, seen, None, window, shard_words, block_bytes)
+        clean = found.filter(F.octet_length(seen) == 0).select(*columns)
+        done = clean if done is None else done.unionByName(clean)
+        changed = found.filter(F.octet_length(seen) > 0)
+        if changed.isEmpty():
+            return done
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at = batch.schema.get_field_index(text)
+                texts = batch.column(at).to_pylist()
+                for i, bits in enumerate(batch.column(batch.schema.get_field_index(seen)).to_pylist()):
+                    t = next(tb.slices(pa.array([texts[i]], pa.large_string())))
+                    texts[i] = cut(texts[i], _char_runs(texts[i], _bits(bits, len(tb.words(t).hash))))
+                batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+                yield batch.select(columns)
+
+        todo = changed.mapInArrow(scan, docs.schema)
+
+
 def without_leaks(docs: DataFrame, items: DataFrame, text: str = "text", window: int = WINDOW, shard_words: int = SHARD_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents with every hit word cut out, all their columns kept.
 
     Cutting may bring words together into a new window, so changed texts are
-    searched again until nothing is hit. A text that was all benchmark becomes
+    searched again until nothing is hit. Hits of all blocks are cut together. A text that was all benchmark becomes
     empty; null stays null; rows without hits are untouched.
     """
-    df = docs
-    for block in item_blocks(items, text=text, block_bytes=block_bytes):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
+    if _block_count(items, "item_id", text, block_bytes) > 1:
+        return _without_many_blocks(docs, items, text, window, shard_words, block_bytes)
+    shared = docs.sparkSession.sparkContext.broadcast(next(item_blocks(items, text=text, block_bytes=block_bytes)))
 
-        def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            phrases = Phrases(shared.value, window)
-            for table, texts, hashes in _shards(batches, text, shard_words):
-                todo = np.arange(len(texts))
-                while len(todo):
-                    hit, _ = _hits_of_shard([texts[i] for i in todo], [hashes[i] for i in todo], phrases)
-                    todo, hit = zip(*[(i, h) for i, h in zip(todo, hit, strict=True) if h.any()], strict=True) if any(h.any() for h in hit) else ([], [])
-                    for i, h in zip(todo, hit, strict=True):
-                        texts[i] = cut(texts[i], _char_runs(texts[i], h))
-                        t = next(tb.slices(pa.array([texts[i]], pa.large_string())))
-                        hashes[i] = tb.words(t).hash
-                at = table.schema.get_field_index(text)
-                yield from table.set_column(at, table.schema.field(at), pa.array(texts, table.schema.field(at).type)).to_batches()
-
-        df = df.mapInArrow(scan, docs.schema)
-    return df
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        phrases = Phrases(shared.value, window)
+        for table, texts, hashes in _shards(batches, text, shard_words):
+            todo = np.arange(len(texts))
+            while len(todo):
+                hit, _ = _hits_of_shard([texts[i] for i in todo], [hashes[i] for i in todo], phrases)
+                todo, hit = zip(*[(i, h) for i, h in zip(todo, hit, strict=True) if h.any()], strict=True) if any(h.any() for h in hit) else ([], [])
+                for i, h in zip(todo, hit, strict=True):
+                    texts[i] = cut(texts[i], _char_runs(texts[i], h))
+                    t = next(tb.slices(pa.array([texts[i]], pa.large_string())))
+                    hashes[i] = tb.words(t).hash
+            at = table.schema.get_field_index(text)
+            yield from table.set_column(at, table.schema.field(at), pa.array(texts, table.schema.field(at).type)).to_batches()
+
+    return docs.mapInArrow(scan, docs.schema)

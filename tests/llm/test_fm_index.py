@@ -83,3 +83,30 @@ def test_odd_rows(spark, odd_docs, no_docs):
     none = items.limit(0)
     assert {r.n_hit for r in fm.find_leaks(odd_docs, none).collect()} == {0}
     assert fm.without_leaks(odd_docs, none).exceptAll(odd_docs).count() == 0
+
+
+def test_removal_in_many_blocks_leaves_no_window_and_cuts_overlaps_whole(spark):
+    docs, texts, table, items = _case(spark)
+    out = {r.doc_id: r.text for r in fm.without_leaks(docs, table, block_bytes=100).collect()}
+    assert out == {r.doc_id: r.text for r in fm.without_leaks(docs, table).collect()}
+    items = spark.createDataFrame([(1, "a b"), (2, "x y"), (3, "p q r"), (4, "r s t")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "k a x y b k"), (2, "k x a b y k"), (3, "k p q r s t k"), (3, "k p q r s t k"), (4, None), (5, "k")], "doc_id long, text string")
+    for size in (3, 5):
+        got = sorted((r.doc_id, (r.text or "").split()) for r in fm.without_leaks(docs, items, block_bytes=size).collect())
+        assert got == [(1, ["k", "k"]), (2, ["k", "k"]), (3, ["k", "k"]), (3, ["k", "k"]), (4, []), (5, ["k"])], size
+
+
+def test_one_block_is_held_at_a_time(spark, monkeypatch):
+    """The next block is collected only after the pass over the block before it was written."""
+    log, blocks, settle = [], fm.item_blocks, fm.settle
+
+    def logged(*a, **k):
+        for b in blocks(*a, **k):
+            log.append("block")
+            yield b
+
+    monkeypatch.setattr(fm, "item_blocks", logged)
+    monkeypatch.setattr(fm, "settle", lambda *a: log.append("written") or settle(*a))
+    docs, texts, table, items = _case(spark)
+    fm.find_leaks(docs, table, block_bytes=100).count()
+    assert len(log) > 2 and log == ["block", "written"] * (len(log) // 2)
