@@ -117,7 +117,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
     Both samples are in a fixed shuffled order and leave out held-out
     documents. The class prior is the toxic share of the labelled training
-    documents. Null or contradictory labels teach nothing. None if there is no
+    documents, held between 0.01 and 0.9. Null or contradictory labels teach nothing. None if there is no
     positive or no other document; scores are then 0.
     """
     clear = labels.filter(F.col("doc_id").isNotNull() & F.col(mark).isin(0, 1) & ~in_fold(F.col("doc_id")))
