@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strideframe.llm import consensus_html, dart_minhash, fm_index, line_crf, mixing, pivot_search, pu_toxicity, rank_profiles, secret_lexer, warc_bundles
+from strideframe.llm import consensus_html, dart_minhash, fm_index, hilbert_clusters, line_crf, line_dedup, mixing, phrase_mining, pivot_search, pu_toxicity, rank_profiles, secret_lexer, warc_bundles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -148,3 +148,73 @@ def rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = rank_profiles.identify(docs, rank_profiles.train(docs))
     held_out = line_crf.in_fold(F.col("doc_id"), rank_profiles.FOLDS, rank_profiles.HELD_OUT)
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+_LINES_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+lines AS (SELECT k, i, l[i] AS line, translate(trim(l[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{_UP}', '{_LOW}') AS key FROM d, unnest(range(1, len(l) + 1)) AS r(i)),
+shared AS (SELECT key FROM lines WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT k) >= 10),
+told AS (SELECT k, count(*) AS n_dropped FROM lines JOIN shared USING (key) GROUP BY k),
+kept AS (SELECT k, string_agg(line, chr(10) ORDER BY i) AS t FROM lines ANTI JOIN shared USING (key) GROUP BY k)
+SELECT doc_id, len(l)::BIGINT AS n_lines, coalesce(n_dropped, 0)::BIGINT AS n_dropped, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN told USING (k) LEFT JOIN kept USING (k)
+"""
+
+
+@_query("op11_line_dedup", _LINES_SQL)
+def shared_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.without_shared_lines(_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
+
+
+def _cluster_sql(rounds: int = 3) -> str:
+    steps = ""
+    near = "SELECT * FROM (SELECT k, c, d, row_number() OVER (PARTITION BY k ORDER BY d, c) AS place FROM (SELECT k, c, list_sum(list_transform(range(1, 65), lambda i: (v.v[i] - w.v[i]) * (v.v[i] - w.v[i])))::BIGINT AS d FROM v, c{0} AS w)) WHERE place = 1"
+    for k in range(rounds):
+        steps += f"""a{k} AS ({near.format(k)}),
+s{k} AS (SELECT c, i, sum(v[i])::HUGEINT AS s, count(*)::HUGEINT AS n FROM a{k} JOIN v USING (k), unnest(range(1, 65)) AS r(i) GROUP BY c, i),
+m{k} AS (SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS v FROM s{k} GROUP BY c),
+c{k + 1} AS (SELECT c, coalesce(m.v, o.v) AS v FROM c{k} AS o LEFT JOIN m{k} AS m USING (c)),
+"""
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS k, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1 AS c, v FROM v QUALIFY c < 16),
+{steps}last AS ({near.format(rounds)})
+SELECT vec_id, last.c::INT AS cluster, d AS distance, (sum(d) OVER (PARTITION BY last.c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(w.v, ',')) AS centroid_sha256
+FROM last JOIN v USING (k) JOIN c{rounds} AS w ON w.c = last.c
+"""
+
+
+@_query("op12_hilbert_clusters", _cluster_sql())
+def hilbert_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = hilbert_clusters.clusters(_table(spark, sf_dir, "embeddings"))
+    digest = F.sha2(F.array_join(F.transform("centroid", lambda x: x.cast("string")), ","), 256)
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", digest.alias("centroid_sha256"))
+
+
+_PHRASE_SQL = rf"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '[.,;:!?
+-]')) AS p FROM documents),
+w AS (SELECT lang, regexp_extract_all(p, '[^ 	]+') AS w FROM pieces),
+f AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f FROM w, unnest(range(1, 5)) AS s(k), unnest(range(1, len(w) - k + 2)) AS r(i) GROUP BY ALL),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 30),
+held AS (
+  SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(a) AS holder FROM c, unnest(range(2, 4)) AS s(m), unnest(range(1, 4)) AS r(i) WHERE m < k AND i + m - 1 <= k GROUP BY ALL),
+kept AS (SELECT c.* FROM c LEFT JOIN held USING (lang, phrase) WHERE NOT coalesce(100::HUGEINT * holder >= 80::HUGEINT * a, false)),
+cut AS (SELECT lang, phrase, a, j, array_to_string(w[1:j], ' ') AS head, array_to_string(w[j + 1:], ' ') AS tail FROM kept, unnest(range(1, 4)) AS r(j) WHERE j < k),
+scored AS (
+  SELECT cut.lang, cut.phrase, cut.a, x.f AS l, y.f AS r, ((2000000::HUGEINT * cut.a) // (x.f + y.f))::BIGINT AS score, row_number() OVER (PARTITION BY cut.lang, cut.phrase ORDER BY (2000000::HUGEINT * cut.a) // (x.f + y.f), j) AS place
+  FROM cut JOIN f x ON x.lang = cut.lang AND x.phrase = head JOIN f y ON y.lang = cut.lang AND y.phrase = tail)
+SELECT lang, rank, phrase, a, l, r, n, score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM scored WHERE place = 1) JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+
+@_query("op13_phrase_mining", _PHRASE_SQL)
+def phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_mining.collocations(_table(spark, sf_dir, "documents"))
