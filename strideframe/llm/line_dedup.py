@@ -30,31 +30,36 @@ WHITE = " \t\n\x0b\x0c\r"
 
 def line_key(line: Column) -> Column:
     """The line without ASCII white space at its ends, A-Z lower-cased."""
-    return F.translate(F.btrim(line, F.lit(WHITE)), string.ascii_uppercase, string.ascii_lowercase)
+    bare = F.btrim(line, F.lit(WHITE))
+    # lower() does the same to plain ASCII, many times as fast
+    return F.when(F.length(bare) == F.octet_length(bare), F.lower(bare)).otherwise(F.translate(bare, string.ascii_uppercase, string.ascii_lowercase))
 
 
 def _digest(text: Column) -> Column:
     return F.unhex(F.md5(text))
 
 
-def shared_lines(docs: DataFrame, text: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """``(digest, n_docs)`` of the line keys that at least ``min_docs`` documents hold; each row of ``docs`` is a document."""
-    lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
-    keys = F.filter(F.transform(lines, line_key), lambda k: F.length(k) >= min_chars)
-    found = docs.select(F.explode(F.array_distinct(F.transform(keys, _digest))).alias("digest"))
-    return found.groupBy("digest").agg(F.count(F.lit(1)).alias("n_docs")).filter(F.col("n_docs") >= min_docs)
+def keyed_lines(docs: DataFrame, text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+    """``(row, fp, pos, digest)`` of every line whose key has ``min_chars`` or more; written, as row numbers are drawn here."""
+    whole = F.coalesce(F.col(text), F.lit(""))
+    lines = docs.select(F.monotonically_increasing_id().alias("row"), whole.alias("whole")).select("row", _digest(F.col("whole")).alias("fp"), F.posexplode(F.split("whole", "\n", -1)).alias("pos", "line"))
+    # the key has as many characters as the bare line, which is cheaper to ask for
+    keyed = lines.filter(F.length(F.btrim("line", F.lit(WHITE))) >= min_chars)
+    return settle(keyed.select("row", "fp", "pos", _digest(line_key(F.col("line"))).alias("digest")), "lines")
+
 
+def shared_lines(lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """``(digest, n_docs)`` of the line keys that at least ``min_docs`` documents hold; each row is a document."""
+    return lines.select("digest", "row").distinct().groupBy("digest").agg(F.count(F.lit(1)).alias("n_docs")).filter(F.col("n_docs") >= min_docs)
 
-def _lost_positions(docs: DataFrame, text: str, min_chars: int, min_docs: int) -> DataFrame:
+
+def _lost_positions(lines: DataFrame, min_docs: int) -> DataFrame:
     """``(fp, lost)``: the positions that a text loses, for the texts that lose any."""
-    shared = settle(shared_lines(docs, text, min_chars, min_docs), "shared-lines")
+    shared = settle(shared_lines(lines, min_docs), "shared-lines")
     heavy_from = (shared.agg(F.sum("n_docs").alias("n")).first()["n"] or 0) // HEAVY_SHARE + 1
     heavy = shared.filter(F.col("n_docs") >= heavy_from).select("digest", F.lit(True).alias("is_heavy"))
     light = shared.filter(F.col("n_docs") < heavy_from).select("digest")
-    whole = F.coalesce(F.col(text), F.lit(""))
-    lines = docs.select(_digest(whole).alias("fp"), F.posexplode(F.split(whole, "\n", -1)).alias("pos", "line"))
-    lines = lines.withColumn("key", line_key(F.col("line"))).filter(F.length("key") >= min_chars).select("fp", "pos", _digest(F.col("key")).alias("digest"))
-    told = lines.join(F.broadcast(heavy), "digest", "left")
+    told = lines.select("fp", "pos", "digest").join(F.broadcast(heavy), "digest", "left")
     lost = told.filter("is_heavy").select("fp", "pos").unionByName(told.filter("is_heavy IS NULL").join(light, "digest").select("fp", "pos"))
     return lost.groupBy("fp").agg(F.collect_set("pos").alias("lost"))
 
@@ -75,7 +80,7 @@ def without_shared_lines(docs: DataFrame, text: str = "text", keep: tuple[str, .
     taken = list(keep)
     names = [tb.free_name(taken, n) for n in ("fp", "whole")]
     fp, whole = names
-    lost = _lost_positions(docs, text, min_chars, min_docs).withColumnRenamed("fp", fp)
+    lost = _lost_positions(keyed_lines(docs, text, min_chars), min_docs).withColumnRenamed("fp", fp)
     rows = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias(whole)).withColumn(fp, _digest(F.col(whole)))
     lines = F.split(F.col(whole), "\n", -1)
     gone = F.coalesce(F.col("lost"), F.array().cast("array<int>"))
