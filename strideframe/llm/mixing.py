@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strideframe.llm.textbytes import free_name
-from strideframe.session import settle
+from strideframe.session import settle, shuffle_width
 
 MOST_PASSES = 3
 #: rows per slice of a source's order
@@ -70,9 +70,8 @@ def _running(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> Dat
     return local.join(ahead, "slice").select(*base, *[(F.col(n) + F.col(f"{n}_ahead")).alias(n) for n in sums])
 
 
-def _due(demand: Column) -> Column:
-    """Time in 0..1 at which a share 0..1 of the source's demand is due: the inverse of its integral."""
-    a, b = F.col("w0"), F.col("w1")
+def _due(demand: Column, a: Column, b: Column) -> Column:
+    """Time in 0..1 at which a share 0..1 of a source's demand is due: the inverse of its weight's integral from a to b."""
     mean, rise = (a + b) / 2, b - a
     straight = (F.sqrt(a * a + 2 * rise * mean * demand) - a) / rise
     return F.when(rise == 0, demand).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), straight)))
@@ -80,13 +79,13 @@ def _due(demand: Column) -> Column:
 
 def plan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", schedules: tuple[tuple[float, float], ...] = SCHEDULES,
          passes: int = MOST_PASSES, slice_rows: int = SLICE_ROWS) -> DataFrame:
-    """Per document: doc_id, source, size, copies, source_size, target, taken, n_passes, positions.
+    """Per distinct (doc_id, source, size): these, copies, source_size, target, w0, w1, begins, counts.
 
-    ``positions`` are the training times of the passes taken, ``n_passes`` their
-    number, ``taken`` is size times n_passes. A pass is taken if its middle lies
-    within the target, so a source misses its target by half a document at most.
-    Rows equal in doc_id, source and size stand together as one unit with their
-    number in ``copies``. Null text and empty text have size 0 and are never
+    Rows equal in all three stand one after another, their number in ``copies``.
+    ``begins`` are the words before the first of them in each pass, ``counts``
+    how many of them that pass takes: those whose middle lies within the target,
+    so a source misses its target by half a document at most, however many
+    copies a document has. Null text and empty text have size 0 and are never
     taken. A null source is a source of its own. The order within a source is by
     md5 of doc_id (null: of the empty text), then doc_id and size, so reruns agree.
     """
@@ -108,19 +107,27 @@ def plan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: st
     placed = placed.alias("l").join(targets.alias("r"), F.expr("l.source <=> r.source")).select("l.*", "r.source_size", "r.w0", "r.w1", "r.target")
     start = F.col("ahead") + F.col("to") - amount
     begins = F.transform(F.sequence(F.lit(0), F.lit(passes - 1)), lambda k: (start + k * F.col("source_size")).cast("double"))
-    taken = F.filter(begins, lambda x: (F.col("size") > 0) & (x + amount / 2 <= F.col("target")))
-    positions = F.transform(taken, lambda x: _due(x / F.col("target")))
-    placed = placed.withColumn("positions", positions).withColumn("n_passes", F.size("positions"))
-    return placed.select("doc_id", "source", "size", "copies", "source_size", "target", (F.col("size") * F.col("n_passes")).cast("bigint").alias("taken"), "n_passes", "positions")
+    room = F.transform("begins", lambda x: F.floor(F.try_divide(F.col("target") - x, F.col("size")) + 0.5))
+    counts = F.when(F.col("size") > 0, F.transform(room, lambda n: F.greatest(F.lit(0), F.least(F.col("copies"), n)))).otherwise(F.transform("begins", lambda x: F.lit(0).cast("bigint")))
+    return placed.withColumn("begins", begins).select("doc_id", "source", "size", "copies", "source_size", "target", "w0", "w1", "begins", counts.alias("counts"))
+
+
+def _positions(unit: Column, nth: Column) -> Column:
+    """Training times, with the pass, at which the ``nth`` (from 0) of equal documents is read."""
+    passes = F.transform(unit["begins"], lambda x, k: F.struct((k + 1).alias("pass"), F.get(unit["counts"], k).alias("count"), x.alias("begin")))
+    taken = F.filter(passes, lambda p: p["count"] > nth)
+    return F.transform(taken, lambda p: F.struct(p["pass"].alias("pass"), _due((p["begin"] + nth * unit["size"]) / unit["target"], unit["w0"], unit["w1"]).alias("position")))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """One row per document with its part in the mix, sorted by first training time.
 
-    Documents that are not taken come last.
+    ``taken`` is its size times the passes that take it. Documents that are not
+    taken come last.
     """
-    p = plan(docs, **options).withColumn("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    p = p.select("doc_id", "size", "source_size", "target", "taken", F.get("positions", F.lit(0)).alias("first_position"))
+    p = plan(docs, **options).withColumn("nth", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("copies") - 1)))
+    p = p.withColumn("positions", _positions(F.struct("size", "target", "w0", "w1", "begins", "counts"), F.col("nth")))
+    p = p.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("positions")).cast("bigint").alias("taken"), F.get("positions", F.lit(0))["position"].alias("first_position"))
     return in_order(p, F.col("first_position").asc_nulls_last(), F.col("doc_id").asc_nulls_last())
 
 
@@ -129,18 +136,36 @@ def in_order(df: DataFrame, *order: Column) -> DataFrame:
     return df.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
+def _numbered(rows: DataFrame, unit: str, nth: str) -> DataFrame:
+    """Rows numbered from 0 within their ``unit``; one of any size is spread over all parts."""
+    part = free_name(rows.columns, "part")
+    dealt = settle(rows.repartition(shuffle_width(rows.sparkSession)).withColumn(part, F.spark_partition_id()), "copies")
+    local = dealt.withColumn(nth, F.row_number().over(W.partitionBy(unit, part).orderBy(part)) - 1)
+    ahead = F.coalesce(F.sum("n").over(W.partitionBy(unit).orderBy(part).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sums = dealt.groupBy(unit, part).agg(F.count(F.lit(1)).alias("n")).select(unit, part, ahead.alias("ahead"))
+    return local.join(sums, [unit, part]).select(*rows.columns, (F.col(nth) + F.col("ahead")).alias(nth))
+
+
 def training_order(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
     """The documents as training reads them: one row per pass taken, in order of ``position``.
 
     All columns are kept; ``position`` (0..1) and ``pass`` (from 1) follow, under
     a longer name if the documents have such a column. Documents that the mix
-    does not take are left out. The documents are read twice, once for their
-    sizes and once for their texts.
+    does not take are left out; of equal ones as many are read as it takes. Null
+    and empty texts have size 0 and are left out too; null ids and sources are
+    values like others; an empty table gives an empty one. The documents are
+    read twice, once for their sizes and once for their texts.
     """
-    p = plan(docs, doc_id, text, source, **options).filter("n_passes > 0").select("doc_id", "source", "size", "positions")
-    own = [free_name(docs.columns, n) for n in ("mix_size", "position", "pass")]
-    sized = docs.withColumn(own[0], word_count(F.col(text))).alias("d")
-    same = F.col(f"d.`{doc_id}`").eqNullSafe(F.col("p.doc_id")) & F.col(f"d.`{source}`").cast("string").eqNullSafe(F.col("p.source")) & (F.col(f"d.`{own[0]}`") == F.col("p.size"))
-    joined = sized.join(p.alias("p"), same).select(*[F.col(f"d.`{c}`") for c in docs.columns], F.posexplode("p.positions").alias("nth", own[1]))
-    out = joined.select(*docs.columns, own[1], (F.col("nth") + 1).alias(own[2]))
-    return in_order(out, F.col(own[1]), F.col(doc_id))
+    p = plan(docs, doc_id, text, source, **options).filter("exists(counts, c -> c > 0)")
+    mix, nth, read, key, at, turn = (free_name(docs.columns, n) for n in ("mix_unit", "mix_nth", "mix_read", "mix_key", "position", "pass"))
+    own = [free_name(docs.columns, f"mix_{n}") for n in ("doc_id", "source", "size")]
+    unit = F.col(mix)
+    sized = docs.withColumn(nth, word_count(F.col(text)))
+    same = F.col(f"`{doc_id}`").eqNullSafe(F.col(own[0])) & F.col(f"`{source}`").cast("string").eqNullSafe(F.col(own[1])) & (F.col(nth) == F.col(own[2]))
+    p = p.select(*[F.col(n).alias(o) for n, o in zip(("doc_id", "source", "size"), own, strict=True)], F.struct("size", "copies", "target", "w0", "w1", "begins", "counts").alias(mix))
+    met = sized.join(p, same).drop(nth)
+    single = met.filter(unit["copies"] == 1).withColumns({key: F.lit(""), nth: F.lit(0).cast("bigint")})
+    many = met.filter(unit["copies"] > 1).withColumn(key, F.to_json(F.struct(*own)))
+    met = single.unionByName(_numbered(many, key, nth))
+    out = met.withColumn(read, F.explode(_positions(unit, F.col(nth)))).select(*docs.columns, F.col(read)["position"].alias(at), F.col(read)["pass"].alias(turn))
+    return in_order(out, F.col(at), F.col(doc_id))

@@ -45,7 +45,7 @@ placed AS (
     sum(size * copies) OVER (PARTITION BY u.source ORDER BY md5(coalesce(doc_id::VARCHAR, '')), doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) - size * copies AS start
   FROM units u JOIN targets t ON u.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target,
-  (size * ((start + size * copies / 2 <= target)::INT + (start + source_size + size * copies / 2 <= target)::INT + (start + 2 * source_size + size * copies / 2 <= target)::INT))::BIGINT AS taken
+  (size * coalesce(len(list_filter([0, 1, 2], lambda k: row < floor((target - (start + k * source_size)::DOUBLE) / nullif(size, 0) + 0.5))), 0))::BIGINT AS taken
 FROM placed, unnest(range(copies)) AS r(row)
 """
 
@@ -197,7 +197,8 @@ def hilbert_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PHRASE_SQL = rf"""
 WITH pieces AS (
   SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '[.,;:!?
--]')) AS p FROM documents),
+-
+]')) AS p FROM documents),
 w AS (SELECT lang, regexp_extract_all(p, '[^ 	]+') AS w FROM pieces),
 f AS (
   SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f FROM w, unnest(range(1, 5)) AS s(k), unnest(range(1, len(w) - k + 2)) AS r(i) GROUP BY ALL),

@@ -76,3 +76,20 @@ def test_odd_rows(spark, odd_docs, no_docs):
     sizes = {(r.doc_id, r.text): len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) for r in odd_docs.collect()}
     assert sum(sizes[(r.doc_id, r.text)] for r in out.collect()) == sum(r.taken for r in rows)
     assert mixing.mixed(no_docs).count() == 0 and mixing.training_order(no_docs).count() == 0
+
+
+@pytest.mark.parametrize("copies,size", [(10, 300), (1, 40), (7, 33)])
+def test_a_source_of_copies_meets_its_target_by_half_a_document(spark, copies, size):
+    """One row repeated makes up a source; ids and sources may be null."""
+    long, short = " ".join(["w"] * size), "w w w"
+    rows = [(None, long, "b")] * copies + [(5, short, "a")] * 40 + [(k, short, None) for k in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = mixing.mixed(docs).collect()
+    for n, source_size in ((size, size * copies), (3, 120), (3, 90)):
+        mine = [r for r in got if r.size == n and r.source_size == source_size]
+        assert mine and abs(sum(r.taken for r in mine) - mine[0].target) <= n / 2 + 1e-6
+        assert all(r.taken <= 3 * n for r in mine)
+    order = mixing.training_order(docs).collect()
+    for n, of in ((size, lambda r: r.source == "b"), (3, lambda r: r.source == "a"), (3, lambda r: r.source is None)):
+        assert sum(n for r in order if of(r)) == sum(r.taken for r in got if r.size == n and r.source_size == n * sum(of(x) for x in docs.collect()))
+    assert sorted(r["pass"] for r in order if r.source == "b")[0] == 1
