@@ -25,9 +25,10 @@ from strideframe.llm import textbytes as tb
 from strideframe.session import discard, settle
 
 WINDOW = 10
-SHARD_WORDS = 1_000_000
+SHARD_WORDS = 250_000
 KEEP_EVERY = 16
-BLOCK_BYTES = 16 << 20
+#: text of test items that one pass carries; a window costs about 100 bytes of memory, and there are fewer windows than half the bytes
+BLOCK_BYTES = 4 << 20
 
 
 def suffix_array(sym: np.ndarray) -> np.ndarray:
@@ -36,12 +37,12 @@ def suffix_array(sym: np.ndarray) -> np.ndarray:
     No two suffixes may be equal, which distinct separators ensure.
     """
     n = len(sym)
-    sa = np.argsort(sym, kind="stable")
+    narrow = np.int32 if n < 1 << 31 else np.int64
+    sa = np.argsort(sym, kind="stable").astype(narrow)
     lead = np.ones(n, dtype=bool)
     lead[1:] = sym[sa[1:]] != sym[sa[:-1]]
-    slots = np.arange(n)
-    rank = np.zeros(2 * n + 1, dtype=np.int64)
-    rank[sa] = np.maximum.accumulate(np.where(lead, slots, 0))
+    rank = np.zeros(n + 1, dtype=narrow)
+    rank[sa] = np.maximum.accumulate(np.where(lead, np.arange(n, dtype=narrow), 0))
     step = 1
     while True:
         single = lead.copy()
@@ -50,7 +51,7 @@ def suffix_array(sym: np.ndarray) -> np.ndarray:
         if not len(open_):
             return sa
         pos = sa[open_]
-        key = rank[pos] * (n + 1) + np.where(pos + step < n, rank[np.minimum(pos + step, n)] + 1, 0)
+        key = rank[pos].astype(np.int64) * (n + 1) + np.where(pos + step < n, rank[np.minimum(pos + step, n)] + 1, 0)
         order = np.argsort(key)
         pos, key = pos[order], key[order]
         sa[open_] = pos
@@ -74,7 +75,7 @@ class WaveletMatrix:
             full = np.zeros(pad, dtype=np.uint8)
             full[:n] = bit
             packed = np.packbits(full, bitorder="little").view(np.uint64)
-            ahead = np.zeros(len(packed), dtype=np.int64)
+            ahead = np.zeros(len(packed), dtype=np.int32 if n < 1 << 31 else np.int64)
             np.cumsum(np.bitwise_count(packed[:-1]), out=ahead[1:])
             self.rows.append((packed, ahead, n - int(bit.sum())))
             seq = np.concatenate((seq[~bit], seq[bit]))
@@ -118,7 +119,7 @@ class ShardIndex:
         is_word[stop] = False
         flat[is_word] = np.concatenate(hashes) if docs else flat
         self.vocab, ids = np.unique(flat[is_word], return_inverse=True)
-        order_sym = np.empty(n, dtype=np.int64)
+        order_sym = np.empty(n, dtype=np.int32 if n < 1 << 31 else np.int64)
         order_sym[stop] = np.arange(docs)
         order_sym[is_word] = ids + docs
         sa = suffix_array(order_sym)
@@ -131,7 +132,7 @@ class ShardIndex:
         kept[::keep_every] = True
         kept[self.starts] = True
         self.kept = kept[sa]
-        self.kept_before = np.cumsum(self.kept) - 1
+        self.kept_before = np.cumsum(self.kept, dtype=sa.dtype) - 1
         self.kept_position = sa[self.kept]
 
     def symbols(self, hashes: np.ndarray) -> np.ndarray:
@@ -174,26 +175,45 @@ class ShardIndex:
 
 
 class Phrases:
-    """Distinct windows of some test items, by length, with the items that hold them."""
+    """Distinct windows of some test items, by length, with the items that hold them.
+
+    Everything is arrays: a row of word hashes per window, and the places of its
+    items in ``names`` as one flat list with offsets.
+    """
 
     def __init__(self, items: list[tuple[str | None, str]], window: int = WINDOW):
-        by_length: dict[int, dict[bytes, set]] = {}
+        self.names = sorted({x for x, _ in items}, key=lambda x: (x is None, x))
+        at = {x: i for i, x in enumerate(self.names)}
+        rows: dict[int, list[np.ndarray]] = {}
+        owners: dict[int, list[np.ndarray]] = {}
         for t in tb.slices(pa.array([x for _, x in items], pa.large_string())):
             w = tb.words(t)
-            for i in range(t.n):
-                h = w.hash[w.bounds[i]:w.bounds[i + 1]]
-                size = min(window, len(h))
-                for k in range(len(h) - size + 1 if size else 0):
-                    by_length.setdefault(size, {}).setdefault(h[k:k + size].tobytes(), set()).add(items[t.first + i][0])
-        self.sets = [(size, np.array([np.frombuffer(k, np.uint64) for k in found]), [sorted(v, key=lambda x: (x is None, x)) for v in found.values()]) for size, found in sorted(by_length.items())]
+            count = np.diff(w.bounds)
+            who = np.array([at[items[t.first + i][0]] for i in range(t.n)], dtype=np.int32)
+            for size in np.unique(np.minimum(count, window)):
+                mine = np.flatnonzero(np.minimum(count, window) == size)
+                if size:
+                    made = count[mine] - size + 1
+                    text = np.repeat(mine, made)
+                    begin = w.bounds[:-1][text] + np.arange(len(text)) - np.repeat(np.cumsum(made) - made, made)
+                    rows.setdefault(int(size), []).append(np.lib.stride_tricks.sliding_window_view(w.hash, size)[begin])
+                    owners.setdefault(int(size), []).append(who[text])
+        self.sets = [(size, *self._distinct(np.concatenate(rows.pop(size)), np.concatenate(owners.pop(size)))) for size in sorted(rows)]
+
+    def _distinct(self, rows: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct rows, and per row a range of ``owners``."""
+        whole = np.ascontiguousarray(rows).view(np.dtype((np.void, rows.dtype.itemsize * rows.shape[1]))).ravel()
+        _, first, number = np.unique(whole, return_index=True, return_inverse=True)
+        pair = np.unique(number.astype(np.int64) * len(self.names) + owner)
+        return rows[first], np.searchsorted(pair // len(self.names), np.arange(len(first) + 1)).astype(np.int32), (pair % len(self.names)).astype(np.int32)
 
 
 def shard_hits(hashes: list[np.ndarray], phrases: Phrases) -> tuple[list[np.ndarray], list[set]]:
     """Per document which words are hit, and the ids of the items that occur."""
     index = ShardIndex(hashes)
-    edge = np.zeros(index.n + 1, dtype=np.int64)
+    edge = np.zeros(index.n + 1, dtype=np.int32)
     found: list[set] = [set() for _ in hashes]
-    for size, table, owners in phrases.sets:
+    for size, table, begin, owners in phrases.sets:
         which, low, high = index.search(table)
         if not len(which):
             continue
@@ -204,7 +224,7 @@ def shard_hits(hashes: list[np.ndarray], phrases: Phrases) -> tuple[list[np.ndar
         np.add.at(edge, position + size, -1)
         doc = np.searchsorted(index.starts, position, "right") - 1
         for d, p in np.unique(np.stack((doc, np.repeat(which, span))), axis=1).T:
-            found[d].update(owners[p])
+            found[d].update(phrases.names[k] for k in owners[begin[p]:begin[p + 1]])
     covered = np.cumsum(edge[:-1]) > 0
     return [covered[s:s + len(h)] for s, h in zip(index.starts, hashes, strict=True)], found
 
@@ -215,26 +235,35 @@ def _runs(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _shards(batches: Iterator[pa.RecordBatch], text: str, shard_words: int) -> Iterator[tuple[pa.Table, list[str | None], list[np.ndarray]]]:
-    """Rows in shards: the table, its texts, and each text's word hashes."""
+    """Rows in shards: the table, its texts, and each text's word hashes. One shard is held at a time."""
     rows: list[pa.RecordBatch] = []
     hashes: list[np.ndarray] = []
     total = 0
+
+    def shard() -> tuple[pa.Table, list[str | None], list[np.ndarray]]:
+        nonlocal rows, hashes, total
+        table, made = pa.Table.from_batches(rows), hashes
+        rows, hashes, total = [], [], 0
+        return table, table.column(text).to_pylist(), made
+
     for batch in batches:
         lo = 0
         for t in tb.slices(tb.column(batch, text)):
             w = tb.words(t)
-            hashes += [w.hash[w.bounds[i]:w.bounds[i + 1]] for i in range(t.n)]
+            # copies, so that a text's hashes do not keep its whole slice
+            hashes += [w.hash[w.bounds[i]:w.bounds[i + 1]].copy() for i in range(t.n)]
             total += len(w.hash)
             if total >= shard_words:
                 hi = t.first + t.n
-                table = pa.Table.from_batches([*rows, batch.slice(lo, hi - lo)])
-                yield table, table.column(text).to_pylist(), hashes
-                rows, hashes, total, lo = [], [], 0, hi
+                rows.append(batch.slice(lo, hi - lo))
+                lo = hi
+                yield shard()
         if lo < batch.num_rows:
             rows.append(batch.slice(lo))
+        del batch
     if rows:
-        table = pa.Table.from_batches(rows)
-        yield table, table.column(text).to_pylist(), hashes
+        yield shard()
+    tb.give_back()
 
 
 def _hits_of_shard(texts: list[str | None], hashes: list[np.ndarray], phrases: Phrases) -> tuple[list[np.ndarray], list[set]]:

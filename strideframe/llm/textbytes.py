@@ -7,6 +7,7 @@ single text, never the batch.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -138,3 +139,11 @@ def free_name(taken: list[str], wish: str) -> str:
     while name.lower() in have:
         name += "_"
     return name
+
+
+def give_back() -> None:
+    """Hands memory that Arrow and the C library keep for reuse back to the system; Python workers outlive their task."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
