@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager, nullcontext
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,14 +36,35 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame, name: str = "step") -> DataFrame:
+@contextmanager
+def arrow_batches(spark: SparkSession, size: str) -> Iterator[None]:
+    """Actions inside hand rows to Python in batches of about ``size``; the session's own setting holds again afterwards.
+
+    A batch is held by the JVM and by Python at once, and twice while it grows,
+    so wide rows in batches of the usual 64 MB cost some 200 MB per task.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, size)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
+def settle(df: DataFrame, name: str = "step", batch: str | None = None) -> DataFrame:
     """Cut lineage by writing to the shared folder and reading it back.
 
-    Survives the loss of any executor, unlike a local checkpoint.
+    Survives the loss of any executor, unlike a local checkpoint. ``batch`` is
+    the size of Arrow batches meanwhile (see ``arrow_batches``).
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.mode("overwrite").parquet(path)
+    with arrow_batches(spark, batch) if batch else nullcontext():
+        df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
