@@ -36,8 +36,11 @@ BANDS, ROWS = 20, 4
 SIZE = BANDS * ROWS
 #: lowest slab of ranks, as a power of two; slabs double up to a height of TALLEST
 FLOOR, TALLEST = -6, 32.0
-#: members of a bucket that one comparison block holds: outliers, and all
+#: members of a bucket that one comparison block holds, and bytes of their shingles: outliers, and all
 BLOCK_OUT, BLOCK_ALL = 256, 1024
+BLOCK_OUT_BYTES, BLOCK_ALL_BYTES = 2 << 20, 8 << 20
+#: rows that carry texts or shingles go to Python in batches of this size
+BATCH = "4m"
 
 _U = np.uint64
 _SCALE = 2.0**-64
@@ -232,7 +235,7 @@ def members(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: i
 
     See ``classes`` for the meaning.
     """
-    made = settle(sketch(docs, doc_id, text, size, n_bands, rows, counted), "sketch")
+    made = settle(sketch(docs, doc_id, text, size, n_bands, rows, counted), "sketch", BATCH)
     texts = made.filter("fp IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"))
     texts = settle(texts, "texts")
     listed = texts.select("fp", F.explode("keys").alias("key"))
@@ -241,10 +244,10 @@ def members(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: i
     degree = spots.groupBy("fp").agg(F.sum("n").alias("degree"))
     ids = texts.join(spots.select("fp").distinct(), "fp", "left_semi").select("fp", "doc_id")
     wanted = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("t")).join(ids.select(F.col("doc_id").alias("w")).distinct(), F.expr("i <=> w"), "left_semi")
-    packed = settle(_weights_of(wanted, size, counted).join(ids.select("fp"), "fp", "left_semi").dropDuplicates(["fp"]), "packed")
+    packed = settle(_weights_of(wanted, size, counted).join(ids.select("fp"), "fp", "left_semi").dropDuplicates(["fp"]), "packed", BATCH)
     spots = settle(spots.select("key", "fp").join(degree, "fp"), "spots")
-    links = settle(_verified(settle(_leader_pairs(spots), "pairs"), packed, least), "links")
-    rest = settle(_split_links(spots, components(links), packed, least), "links")
+    links = settle(_verified(settle(_leader_pairs(spots), "pairs"), packed, least), "links", BATCH)
+    rest = settle(_split_links(spots, components(links), packed, least), "links", BATCH)
     links = links.unionByName(rest)
     return _result(made, texts, components(links))
 
@@ -264,9 +267,17 @@ def _split_links(spots: DataFrame, roots: DataFrame, packed: DataFrame, least: f
     bounded size. Buckets of two are settled, their only pair was compared.
     """
     known = spots.join(roots, "fp", "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
-    sizes = known.groupBy("key", "root").agg(F.count("*").alias("n"))
-    split = sizes.groupBy("key").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("root", F.struct("n", "root")).alias("main")).filter("n > 2 AND most < n")
-    split = split.select("key", "main", F.ceil((F.col("n") - F.col("most")) / BLOCK_OUT).alias("outs"), F.ceil(F.col("n") / BLOCK_ALL).alias("alls"))
+    known = known.join(packed.select("fp", F.octet_length("packed").alias("bytes")), "fp")
+    sizes = known.groupBy("key", "root").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    main = F.max(F.struct("n", "root", "bytes"))
+    split = sizes.groupBy("key").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), main.alias("m")).filter("n > 2 AND m.n < n")
+
+    def blocks(n, size, most: int, most_bytes: int):
+        return F.ceil(F.greatest(n / most, size / most_bytes))
+
+    n, size = F.col("n"), F.col("bytes")
+    split = split.select("key", F.col("m.root").alias("main"), blocks(n - F.col("m.n"), size - F.col("m.bytes"), BLOCK_OUT, BLOCK_OUT_BYTES).alias("outs"), blocks(n, size, BLOCK_ALL, BLOCK_ALL_BYTES).alias("alls"))
+    known = known.drop("bytes")
     marked = settle(known.join(split, "key"), "split")
     share = F.xxhash64("fp")
     full = marked.join(packed, "fp").select("key", "fp", "root", "main", "outs", "alls", "packed")
