@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strideframe.session import settle
+
 # HTML element names and their roles.
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes", "template", "noscript"}
 BLOCK = {
@@ -46,8 +48,10 @@ OTHERS = {"comment", "comments", "disqus", "replies", "respond", "related", "rec
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "menu", "menubar", "form"}
 
-#: parts that the pages of a host are dealt to
-SHARES = 64
+#: the table of winning paths, a row per host, travels whole up to this size
+BROADCAST_BYTES = 16 << 20
+#: one page in so many makes a host a large one; no more hosts than this can be
+LARGE_SHARE = 1000
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:=\s*(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))|[^>])*)(?:>|\Z)", re.DOTALL)
 _ATTRIBUTE = re.compile(r"([^\s/>=]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]+))?)?|=")
@@ -123,6 +127,9 @@ class Page:
     def __init__(self, source: str):
         self.blocks: list[Block] = []
         self.paths: list[str] = ["", ]
+        #: the container around each container, and the containers that are articles
+        self._parent: list[int] = [0]
+        self._own_article: set[int] = set()
         self._text: list[str] = []
         self._linked = 0
         # marked elements: their marks; the marked elements around each block, and around each article or main
@@ -208,7 +215,7 @@ class Page:
                 continue
             if tag in BLOCK and not beside:
                 self._flush(inside, marks)
-            if tag in VOID or m[3].endswith("/"):
+            if tag in VOID or tag in ("svg", "math") and m[3].endswith("/"):
                 continue
             if tag in BLOCK:
                 # an open paragraph or item ends where another block begins
@@ -226,7 +233,10 @@ class Page:
                 marks = (*marks, len(self._marked) - 1)
             if tag in CONTAINER and not beside:
                 self.paths.append(f"{self.paths[inside[-1]]}>{_step(tag, found.get('class', ''))}")
+                self._parent.append(inside[-1])
                 inside = (*inside, len(self.paths) - 1)
+                if tag == "article":
+                    self._own_article.add(inside[-1])
             if (tag in ("article", "main") or found.get("role", "").strip().lower() == "main") and not beside:
                 self._articles.append(("article" if tag == "article" else "main", marks))
             links += tag == "a"
@@ -251,12 +261,32 @@ class Page:
         c = max(scores, key=lambda k: (scores[k], -k))
         return self.paths[c], scores[c]
 
+    def _whole(self, c: int) -> int:
+        """The container to take for a winning one: its article, headline, lead and siblings included.
+
+        Without an article, one around it as long as that is not the page itself
+        and adds only blocks of its own, without links: no other container.
+        """
+        at = c
+        while at:
+            if at in self._own_article:
+                return at
+            at = self._parent[at]
+        while True:
+            around = self._parent[c]
+            if not around or self.paths[around].rsplit(">", 1)[-1].split(".")[0] in ("html", "body"):
+                return c
+            if any(linked or inside[-1] != around for inside, _, linked in self.blocks if around in inside and c not in inside):
+                return c
+            c = around
+
     def text(self, path: str | None) -> str:
         """Blocks inside the containers with that path, joined; of the page's own best if there are none."""
         wanted = {i for i, p in enumerate(self.paths) if p == path} if path is not None else set()
         if not any(wanted.intersection(b[0]) for b in self.blocks):
             own = self.best()[0]
             wanted = {i for i, p in enumerate(self.paths) if p == own}
+        wanted = {self._whole(c) for c in wanted}
         return "\n\n".join(b[1] for b in self.blocks if wanted.intersection(b[0]))
 
 
@@ -276,13 +306,28 @@ def votes(pages: DataFrame, url: str = "url", markup: str = "html") -> DataFrame
                 if score > 0:
                     t = tally.setdefault((host.as_py(), path), [0, 0.0])
                     t[0] += 1
-                    t[1] += min(score, 1e6)
+                    t[1] += score
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in tally], pa.string()), pa.array([k[1] for k in tally], pa.string()), pa.array([int(v[0]) for v in tally.values()], pa.int64()), pa.array([round(v[1]) for v in tally.values()], pa.int64())], names=["host", "path", "n", "weight"])
 
     cast = pages.select(host_of(F.col(url)).alias("host"), F.col(markup).alias("markup")).mapInArrow(scan, "host string, path string, n long, weight long")
     return cast.groupBy("host", "path").agg(F.sum("n").alias("n"), F.sum("weight").alias("weight"))
 
 
+def _with_path(base: DataFrame, winner: DataFrame) -> DataFrame:
+    """Pages with their host's path. Pages stay where they are if the winners are few enough to travel.
+
+    Otherwise winners of large hosts still do, which a share of all pages
+    bounds in number, and only pages of the other hosts are shuffled.
+    """
+    size = winner.agg(F.sum(F.octet_length("host") + F.octet_length("path")).alias("bytes"), F.sum("n").alias("n")).first()
+    if (size["bytes"] or 0) <= BROADCAST_BYTES:
+        return base.join(F.broadcast(winner.select("host", "path")), "host", "left")
+    large = winner.filter(F.col("n") * LARGE_SHARE >= size["n"]).select("host", F.col("path").alias("large"))
+    told = base.join(F.broadcast(large), "host", "left")
+    rest = told.filter("large IS NULL").join(winner.select("host", "path"), "host", "left").drop("large")
+    return told.filter("large IS NOT NULL").withColumnRenamed("large", "path").unionByName(rest)
+
+
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", markup: str = "html") -> DataFrame:
     """page_id, url, text, n_chars: the main text of each page, one row per page.
 
@@ -292,7 +337,8 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", markup
     is read as far as it goes. Repeated rows get equal results.
     """
     # the path of most votes: highest count, then weight, then the first in order
-    winner = votes(pages, url, markup).groupBy("host").agg(F.min_by("path", F.struct((-F.col("n")).alias("n"), (-F.col("weight")).alias("w"), "path")).alias("path"))
+    winner = votes(pages, url, markup).groupBy("host").agg(F.min_by("path", F.struct((-F.col("n")).alias("n"), (-F.col("weight")).alias("w"), "path")).alias("path"), F.sum("n").alias("n"))
+    winner = settle(winner, "winners")
     kind = pages.schema[page_id].dataType.simpleString()
     base = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(markup).alias("markup"), host_of(F.col(url)).alias("host"))
 
@@ -301,8 +347,5 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", markup
             texts = [Page(source.as_py() or "").text(path.as_py()) for source, path in zip(batch.column(2), batch.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    # a host may own a third of all pages: its pages take one of many shares, its one row of votes is repeated for each
-    base = base.withColumn("share", F.pmod(F.xxhash64("page_id", "url", "markup"), F.lit(SHARES)).cast("int"))
-    winner = winner.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
-    joined = base.join(winner, ["host", "share"], "left").select("page_id", "url", "markup", "path")
+    joined = _with_path(base, winner).select("page_id", "url", "markup", "path")
     return joined.mapInArrow(scan, f"page_id {kind}, url string, text string, n_chars long")

@@ -85,3 +85,27 @@ def test_attributes_are_names_not_words_in_values():
     page = """<div><p>The <a href="/hidden-lake">Hidden Lake</a>, seen <a href="page?id=search">here</a>.</p><p title="a hidden gem">A gem.</p><p data-role="form" data-style='display:none' data-hidden=1>Kept.</p>
 <p href="/identity" id=sidebar>Gone.</p><p title='x'hidden>Gone.</p><p HIDDEN = "">Gone.</p><p a = b style = "color:red; display : none">Gone.</p><p aria-hidden=true>Gone.</p></div>"""
     assert ch.Page(page).text(None) == "The Hidden Lake, seen here.\n\nA gem.\n\nKept."
+
+
+def test_headline_lead_and_siblings_of_the_best_container_stay():
+    inner = f"<div class=content>{PROSE}</div>"
+    for around in ("article", "div class=post"):
+        page = f"<body><div class=teaser><p>Beside it.</p></div><{around}><h1>The title</h1><p>Lead.</p>{inner}<ul><li>After</ul></{around.split()[0]}></body>"
+        assert ch.Page(page).text(None) == f"The title\n\nLead.\n\n{PROSE_TEXT}\n\nAfter", around
+    # another container beside it, or links, are no part of it
+    assert ch.Page(f"<body><div class=page><div class=teaser><p>Beside it.</p></div>{inner}</div></body>").text(None) == PROSE_TEXT
+    assert ch.Page(f"<body><div class=page><p><a href=/x>Start page</a></p>{inner}</div></body>").text(None) == PROSE_TEXT
+
+
+def test_a_slash_at_the_end_of_a_tag_closes_nothing():
+    assert ch.Page(f"<div class=content><p>See <a href=http://x/>there</a>, and go on.</p>{PROSE}<div/>And <svg/>more.</div></div>").text(None) == f"See there, and go on.\n\n{PROSE_TEXT}\n\nAnd more."
+
+
+def test_many_hosts_are_joined_like_few(spark, monkeypatch):
+    rows = [(n, f"https://h{n % 40 if n % 3 else 0}.example/{n}", f"<body><div class='m{'ab'[n % 2]}'><p>Text {n}, with commas, and a length.</p></div><div class=other><p>{'x ' * (n % 50)}</p></div></body>") for n in range(300)]
+    docs = spark.createDataFrame([*rows, (None, None, None), (7, "no url", "<p>x</p>")], "page_id long, url string, html string")
+    want = sorted(map(str, ch.extract(docs).collect()))
+    monkeypatch.setattr(ch, "BROADCAST_BYTES", 0)
+    for share in (1, 5, 1000):
+        monkeypatch.setattr(ch, "LARGE_SHARE", share)
+        assert sorted(map(str, ch.extract(docs).collect())) == want
