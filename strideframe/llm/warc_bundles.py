@@ -31,6 +31,8 @@ from strideframe.session import scratch_path, settle
 FRAME_BYTES = 256 << 10
 BUNDLE_BYTES = 16 << 20
 LEVEL = 3
+#: digests of repeated payloads that may travel whole (some 100 bytes each), and tasks that bundles are read in at most
+BROADCAST_ROWS, MOST_TASKS = 200_000, 20_000
 DATE = "1970-01-01T00:00:00Z"
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
@@ -148,8 +150,10 @@ def with_firsts(pages: DataFrame, key: str, payload: str, url: str | None, least
     base = pages.select(F.col(key).cast("bigint").alias("key"), (F.col(url) if url else F.lit(None).cast("string")).alias("url"), body.alias("payload"))
     base = base.withColumn("digest", F.when(F.octet_length("payload") >= least, F.sha1("payload")))
     firsts = base.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("key").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    # a merge join at every size: what is shuffled then follows the input
-    return base.join(firsts.hint("merge"), "digest", "left").select("key", "url", "payload", "first", (F.col("first").isNull() | F.col("key").eqNullSafe(F.col("first"))).alias("is_first"))
+    firsts = settle(firsts, "firsts")
+    # payloads stay where they are as long as the digests that repeat are few enough to travel
+    few = firsts.count() <= BROADCAST_ROWS
+    return base.join(F.broadcast(firsts) if few else firsts, "digest", "left").select("key", "url", "payload", "first", (F.col("first").isNull() | F.col("key").eqNullSafe(F.col("first"))).alias("is_first"))
 
 
 def write_bundles(pages: DataFrame, folder: str, key: str = "page_id", payload: str = "html", url: str | None = "url", least: int = 0, frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES, level: int = LEVEL, date: str = DATE) -> DataFrame:
@@ -184,9 +188,11 @@ def read_bundles(folder: str, index: DataFrame) -> DataFrame:
     """Every record of the bundles that the index names: key, url, record_type, record_id, payload, payload_bytes, payload_digest, refers_to.
 
     A stored payload is checked against its header's digest. Tasks open bundles
-    by name and hold one frame at a time; bundles are not shuffled.
+    by name and hold one frame at a time; bundles are not shuffled, only their
+    names, as a rule one to a task.
     """
     named = index.select("bundle").distinct()
+    named = named.repartition(min(MOST_TASKS, max(1, named.count())))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(folder)

@@ -64,3 +64,17 @@ def test_files_no_index_names_are_not_read(spark):
 def test_empty_table(spark):
     folder, index = wb.archive(_pages(spark, []))
     assert index.count() == 0 and wb.read_bundles(folder, index).count() == 0
+
+
+def test_firsts_are_joined_alike_whatever_their_number(spark, monkeypatch):
+    monkeypatch.setattr(wb, "BROADCAST_ROWS", 0)
+    folder, index = wb.archive(_pages(spark, ROWS))
+    got = wb.read_bundles(folder, index).collect()
+    assert sorted(((r.key, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got), key=str) == _brute(ROWS)
+
+
+def test_bundles_are_read_in_tasks_of_their_own(spark):
+    folder, index = wb.archive(_pages(spark, [(k, f"page {k} " * 50) for k in range(400)]), bundle_bytes=2000, frame_bytes=500)
+    records = wb.read_bundles(folder, index)
+    bundles = index.select("bundle").distinct().count()
+    assert bundles >= 8 and records.rdd.getNumPartitions() == bundles
