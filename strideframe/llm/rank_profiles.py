@@ -22,10 +22,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strideframe.llm.line_crf import in_fold
+from strideframe.session import settle
 
 FOLDS, HELD_OUT = 4, 2
 #: most documents per language that profiles are built from
 SAMPLE_PER_LANGUAGE = 1000
+#: parts that a language is ranked in first; rows of the sample's ids that may travel whole
+SHARES, BROADCAST_ROWS = 64, 200_000
 PROFILE = 300
 LONGEST = 3
 UNKNOWN = "und"
@@ -111,8 +114,12 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     known = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t"), F.col(lang).alias("lang")).filter(F.col("t").isNotNull() & F.col("lang").isNotNull() & ~in_fold(F.col("doc_id"), FOLDS, HELD_OUT))
     mixed = F.xxhash64("doc_id")
     keyed = known.select("doc_id", "lang", mixed.alias("h"))
-    place = F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id"))
-    chosen = keyed.withColumn("place", place).filter(F.col("place") <= per_language).select("doc_id", "lang").distinct()
+    # the first of each share of a language, then the first of those: no task ranks a whole language
+    share = F.pmod(F.xxhash64("h"), F.lit(SHARES))
+    for group in (["lang", share], ["lang"]):
+        keyed = keyed.withColumn("place", F.row_number().over(W.partitionBy(*group).orderBy("h", "doc_id"))).filter(F.col("place") <= per_language).drop("place")
+    chosen = settle(keyed.select("doc_id", "lang").distinct(), "chosen")
+    few = chosen.count() <= BROADCAST_ROWS
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,7 +127,7 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
                 codes, counts = grams(t.as_py())
                 yield pa.RecordBatch.from_arrays([pa.array([l.as_py()] * len(codes), pa.string()), pa.array(codes.view(np.int64)), pa.array(counts, pa.int64())], names=["lang", "gram", "n"])
 
-    sample = known.join(chosen, ["doc_id", "lang"], "left_semi").select("lang", "t")
+    sample = known.join(F.broadcast(chosen) if few else chosen, ["doc_id", "lang"], "left_semi").select("lang", "t")
     total = sample.mapInArrow(scan, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     best = total.withColumn("place", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram"))).filter(F.col("place") <= size).toPandas()
     languages = sorted(best["lang"].unique())
