@@ -34,6 +34,8 @@ NAME_WEIGHTS = {
 }
 #: values that stand for a secret without being one
 PLACEHOLDERS = {"changeme", "password", "secret", "token", "example", "placeholder", "redacted", "none", "null", "true", "false", "undefined", "todo", "xxx", "yourpassword", "yourtoken", "test"}
+#: names that these words end are more sensitive than names that merely hold them
+LAST_WEIGHTS = {"pass": 0.85, "auth": 0.85, "pw": 0.85}
 THRESHOLD = 0.6
 #: from this weight on a name makes any literal a secret
 NEAR = 0.9
@@ -65,7 +67,16 @@ _WORDY = re.compile(r"[A-Za-z]*+\d{0,4}(?:[_\-./: ]++[A-Za-z]*+\d{0,4})*+")
 _MASK = re.compile(r"<[\w -]*>|\*+|\$?\{+[\w. ]*\}+|%\w+%", re.ASCII)
 _SPLIT = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z0-9])(?=[A-Z])")
 
+#: <add key="name" value="..."/> and <name>...</name>, with the value's element closed by the same name
+_XML_PAIR = re.compile(r"""<[A-Za-z][\w:.-]*\s(?=[^<>]*?\b(?:key|name|id)\s*=\s*(?P<q>["'])(?P<name>[A-Za-z_][\w.:-]*)(?P=q))(?=[^<>]*?\bvalue\s*=\s*(?P<v>["']))[^<>]*?\bvalue\s*=\s*(?P=v)(?P<value>(?:(?!(?P=v))[^<>\n])*)(?P=v)""")
+_XML_TEXT = re.compile(r"<(?P<name>[A-Za-z_][\w.:-]*)(?:\s[^<>]*)?>(?:<!\[CDATA\[)?[^\S\n]*(?P<value>[^<>\n]*?)[^\S\n]*(?:\]\]>)?</(?P=name)\s*>")
+_XML_NAMED = re.compile(r"""<[A-Za-z][\w:.-]*\s[^<>]*?\b(?:key|name|id)\s*=\s*(?P<q>["'])(?P<name>[A-Za-z_][\w.:-]*)(?P=q)[^<>]*(?<!/)>[^\S\n]*(?P<value>[^<>\n]+?)[^\S\n]*</""")
+_HEADER = re.compile(r"""\b(?:proxy-)?authorization["']?\s*[:=,]\s*["']?(?:bearer|basic|token|digest|apikey)\s+(?P<value>[A-Za-z0-9+/_.=~-]+)""", re.ASCII | re.IGNORECASE)
+_URL = re.compile(r"""(?<![A-Za-z0-9+.-])[A-Za-z][A-Za-z0-9+.-]{0,31}+://[^\s/@:"'<>]*+:(?P<value>[^\s/@"'<>]++)@[^\s/"'<>]""")
+
 Span = tuple[int, int, int]
+#: a literal (value, start, end), or what another name held, as a list of the same
+Part = tuple[str, int, int] | list
 
 
 def base_spans(text: str) -> list[Span]:
@@ -79,8 +90,9 @@ def base_spans(text: str) -> list[Span]:
 def name_score(name: str) -> float:
     """How sensitive a target name is: the best of its parts and of neighbouring parts joined."""
     parts = [p.lower() for p in _SPLIT.split(name) if p]
+    last = LAST_WEIGHTS.get(parts[-1], 0.0) if parts else 0.0
     joined = parts + [a + b for a, b in zip(parts, parts[1:], strict=False)]
-    return max((NAME_WEIGHTS.get(p, NAME_WEIGHTS.get(p.rstrip("s"), 0.0)) for p in joined), default=0.0)
+    return max(last, max((NAME_WEIGHTS.get(p, NAME_WEIGHTS.get(p.rstrip("s"), 0.0)) for p in joined), default=0.0))
 
 
 def literal_score(value: str) -> float:
@@ -131,9 +143,27 @@ def _literal(text: str, at: int) -> tuple[int, int, int] | None:
     return m.end(), s.end(), s.end() + len(q)
 
 
-def _parts(text: str, at: int, constants: dict[str, list[tuple[str, int, int]]]) -> tuple[list[tuple[str, int, int]], int]:
-    """Literals, constants followed, that are joined from a position on, and where they end; line ends pass in brackets and next to an operator."""
-    parts: list[tuple[str, int, int]] = []
+def expanded(parts: list[Part]) -> list[tuple[str, int, int]]:
+    """The literals of linked parts in order, each once, in time linear to the links."""
+    out: dict[tuple[str, int, int], None] = {}
+    seen, todo = {id(parts)}, [iter(parts)]
+    while todo:
+        for p in todo[-1]:
+            if isinstance(p, list):
+                if id(p) not in seen:
+                    seen.add(id(p))
+                    todo.append(iter(p))
+                    break
+            else:
+                out[p] = None
+        else:
+            todo.pop()
+    return list(out)
+
+
+def _parts(text: str, at: int, constants: dict[str, list[Part]]) -> tuple[list[Part], int]:
+    """Literals and constants that are joined from a position on, and where they end; line ends pass in brackets and next to an operator."""
+    parts: list[Part] = []
     seen = bracket = False
     if m := _NEXT_LINE.match(text, at):
         first = _literal(text, m.end())
@@ -150,7 +180,8 @@ def _parts(text: str, at: int, constants: dict[str, list[tuple[str, int, int]]])
             known = constants.get(m["ref"])
             if known is None and not seen:
                 break
-            parts += known or []
+            if known is not None:
+                parts.append(known)
             pos = m.end()
         else:
             break
@@ -160,15 +191,14 @@ def _parts(text: str, at: int, constants: dict[str, list[tuple[str, int, int]]])
     return parts, pos
 
 
-def lex(text: str) -> Iterator[tuple[str, list[tuple[str, int, int]], int, bool]]:
-    """Name and literals (value, start, end) of each assignment, constants followed; where the value begins, and whether it is quoted.
+def lex(text: str) -> Iterator[tuple[str, list[Part], int, bool]]:
+    """Name and linked parts of each assignment; where the value begins, and whether it is quoted.
 
     A target may have a sigil, dashes or a type; literals may go over line ends.
-    A constant holds the literals last assigned to its name, so a chain of
-    assignments costs its length; a name that is assigned from itself keeps
-    each literal once.
+    A constant is a link to what was last assigned to its name, so a chain of
+    assignments costs its length; ``expanded`` follows the links.
     """
-    constants: dict[str, list[tuple[str, int, int]]] = {}
+    constants: dict[str, list[Part]] = {}
     at = 0
     while at < len(text):
         stop = text.find("\n", at)
@@ -192,7 +222,6 @@ def lex(text: str) -> Iterator[tuple[str, list[tuple[str, int, int]], int, bool]
                     # unspaced, as in environments and flags, and no name of something sensitive: as good as quoted
                     quoted = m["op"] == "=" and m[0].endswith("=") and not m[0][:-1].endswith(" ") and b.end() == len(text[:stop].rstrip()) and not name_score(value)
                 if parts:
-                    parts = list(dict.fromkeys(parts))
                     constants[own] = parts
                     yield name, parts, m.end(), quoted
                 begin = max(pos, m.end())
@@ -203,19 +232,51 @@ def lex(text: str) -> Iterator[tuple[str, list[tuple[str, int, int]], int, bool]
         at = stop + 1
 
 
+def _markup(text: str) -> Iterator[tuple[str, str, int, int]]:
+    """Name, value and span of pairs in XML, authorisation headers and URLs."""
+    if "</" in text or "/>" in text:
+        for pattern in (_XML_PAIR, _XML_TEXT, _XML_NAMED):
+            for m in pattern.finditer(text):
+                yield m["name"].rsplit(":", 1)[-1], m["value"], m.start("value"), m.end("value")
+    if "://" in text and "@" in text:
+        for m in _URL.finditer(text):
+            yield "password", m["value"], m.start("value"), m.end("value")
+    if "uthorization" in text or "UTHORIZATION" in text:
+        for m in _HEADER.finditer(text):
+            yield "authkey", m["value"], m.start("value"), m.end("value")
+
+
 def lexed_spans(text: str, covered: list[Span], threshold: float = THRESHOLD) -> list[Span]:
-    """Literals whose name and look together reach the threshold and that no given span covers whole."""
-    if "=" not in text and ":" not in text and "<-" not in text:
-        return []
+    """Literals whose name and look together reach the threshold and that no given span covers whole.
+
+    A name that is assigned from itself is judged by its last such assignment.
+    """
     out = set()
-    for name, parts, begin, quoted in lex(text):
-        if not name_score(name):
-            continue
-        parts = [p for p in parts if not _MASK.fullmatch(p[0])]
-        if pair_score(name, "".join(v for v, _, _ in parts), quoted) >= threshold:
-            # a piece of one or two characters in the line itself tells nothing
-            out.update((a, b, 3) for v, a, b in parts if v and (len(v) > 2 or a < begin))
-    return sorted(s for s in out if not any(a <= s[0] and s[1] <= b for a, b, _ in covered))
+    for name, value, a, b in _markup(text):
+        if name_score(name) and not _MASK.fullmatch(value) and pair_score(name, value) >= threshold:
+            out.add((a, b, 3))
+    if "=" in text or ":" in text or "<-" in text:
+        judged: dict[int, tuple[str, list[Part], int, bool]] = {}
+        last: dict[str, list[Part]] = {}
+        for name, parts, begin, quoted in lex(text):
+            if name_score(name):
+                before = last.get(name)
+                if before is not None and any(p is before for p in parts):
+                    judged.pop(id(before), None)
+                judged[id(parts)] = name, parts, begin, quoted
+                last[name] = parts
+        for name, parts, begin, quoted in judged.values():
+            literals = [p for p in expanded(parts) if not _MASK.fullmatch(p[0])]
+            if pair_score(name, "".join(v for v, _, _ in literals), quoted) >= threshold:
+                # a piece of one or two characters in the line itself tells nothing
+                out.update((a, b, 3) for v, a, b in literals if v and (len(v) > 2 or a < begin))
+    # of spans one in another the outer one stays
+    flat, reach = [], -1
+    for a, b, k in sorted(out, key=lambda x: (x[0], -x[1])):
+        if b > reach:
+            flat.append((a, b, k))
+            reach = b
+    return [x for x in flat if not any(a <= x[0] and x[1] <= b for a, b, _ in covered)]
 
 
 def spans(text: str | None) -> list[Span]:
@@ -269,7 +330,11 @@ def masked(text: str | None, mark: str = "<redacted>") -> str | None:
 
 
 def mask_secrets(docs: DataFrame, text: str = "text", mark: str = "<redacted>") -> DataFrame:
-    """The documents with secrets masked in ``text``; all other columns and all rows as they are."""
+    """The documents with secrets masked in ``text``; all other columns and all rows as they are.
+
+    Null stays null, empty stays empty; texts without secrets are untouched,
+    repeated rows get equal results, an empty table gives an empty one.
+    """
     field = docs.schema.names.index(text)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
