@@ -236,6 +236,37 @@ def parts_area(parts: Column) -> Column:
     return F.aggregate(F.transform(F.filter(parts, lambda p: F.size(p) > 0), one), F.lit(0.0), lambda acc, a: acc + a)
 
 
+def parts_centroid(parts: Column) -> Column:
+    """Centre of gravity of all parts, holes taken off; NULL without area."""
+    def moments(ring):
+        m = F.aggregate(
+            ring_edges(ring), F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y")),
+            lambda acc, e: F.struct(
+                (acc["a"] + (e["x1"] * e["y2"] - e["x2"] * e["y1"]) / 2).alias("a"),
+                (acc["x"] + (e["x1"] + e["x2"]) * (e["x1"] * e["y2"] - e["x2"] * e["y1"]) / 6).alias("x"),
+                (acc["y"] + (e["y1"] + e["y2"]) * (e["x1"] * e["y2"] - e["x2"] * e["y1"]) / 6).alias("y")))
+        return m
+
+    def signed(part):
+        def one(ring, i):
+            m = moments(ring)
+            turn = F.when((m["a"] >= 0) == (i == 0), 1.0).otherwise(-1.0)
+            return F.struct((m["a"] * turn).alias("a"), (m["x"] * turn).alias("x"), (m["y"] * turn).alias("y"))
+
+        return F.transform(part, one)
+
+    total = F.aggregate(
+        F.flatten(F.transform(parts, signed)), F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y")),
+        lambda acc, m: F.struct((acc["a"] + m["a"]).alias("a"), (acc["x"] + m["x"]).alias("x"), (acc["y"] + m["y"]).alias("y")),
+        lambda t: F.struct(F.try_divide(t["x"], t["a"]).alias("x"), F.try_divide(t["y"], t["a"]).alias("y")))
+    return total
+
+
+def parts_bounds(parts: Column) -> dict[str, Column]:
+    """Bounding box columns of all parts."""
+    return coord_bounds(F.flatten(F.transform(parts, lambda p: F.flatten(p))))
+
+
 def in_parts(parts: Column, px: Column, py: Column) -> Column:
     """Whether a point lies inside the outline of some part and in none of its holes."""
     def one(part):

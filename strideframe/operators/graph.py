@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from itertools import chain
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import geo
 from ..functions.columns import col
 from ..session import discard, settle
+from .grid import box_point_pairs
+from .ordering import top_k
 
 # Fixed values of the cost model.
 PATH_CLASSES = (
@@ -37,6 +41,7 @@ SIDEWALK_ROADS = (
 CENTRELINE_ROADS = (*SIDEWALK_ROADS, "trunk", "trunk_link", "motorway", "motorway_link")
 MAX_DETOUR, MAX_DETOUR_AWAY, MAX_DETOUR_PATHISH, PATHISH_MIN = 1.15, 1.6, 1.20, 0.70
 WALK_MPS = 1.3
+CROSSING_REACH_M, CROSSING_LINKS = 22.0, 6
 IMPORTANCE = (10, 100)
 
 
@@ -174,8 +179,59 @@ def sidewalk_edges(pieces: DataFrame, way: str, street: str, offset: float = 4.5
         (F.col("x1") + ox).alias("x1"), (F.col("y1") + oy).alias("y1"), (F.col("x2") + ox).alias("x2"), (F.col("y2") + oy).alias("y2"))
 
 
-def batch_paths(edges: DataFrame, requests: DataFrame) -> DataFrame:
-    """Cheapest path cost per request (``od_id, src, dst``) over ``edges(u, v, cost)``.
+def rebuilt_graph(
+    pieces: DataFrame, crossings: DataFrame, nodes: DataFrame, way: str, street: str, scores: tuple[str, str], bands: Column,
+    reach: float = CROSSING_REACH_M, most: int = CROSSING_LINKS, offset: float = 4.5, ring_skip: float = 150.0,
+) -> DataFrame:
+    """The whole walking graph after sidewalks and crossings, one row per edge, every cost anew.
+
+    ``pieces``: way, ``i``, street, nodes ``u, v``, ends ``x1..y2``, ``len``,
+    ``side``, ``highway`` and the day and night ``scores``. Of parallel pieces
+    the cheapest by day is the edge. An edge of a road class with a voted
+    pavement along one of its pieces becomes a sidewalk: its line moves to that
+    side (of the first way that votes), its length, nodes and scores stay. All
+    other edges stay as they are. ``crossings`` (``node, px, py``) are linked to
+    at most ``most`` of the ``nodes`` (``node, nx, ny``) within ``reach`` that
+    touch a walking path once sidewalks are made; links that are edges already
+    are left out, and new ones carry no scores. ``bands`` is a struct column
+    with ``d1, d9, n1, n9``, the scores' percentiles.
+    """
+    day, night = scores
+
+    def costs(df: DataFrame) -> DataFrame:
+        b = df.withColumn("pq_", bands)
+        return b.withColumns({
+            "cost_day": edge_cost("length_m", day, F.col("pq_.d1"), F.col("pq_.d9"), "highway"),
+            "cost_night": edge_cost("length_m", night, F.col("pq_.n1"), F.col("pq_.n9"), "highway"), "cost_distance": F.col("length_m")}).drop("pq_")
+
+    ends = ["x1", "y1", "x2", "y2"]
+    live = pieces.filter("u <> v").withColumns({"a_": F.least("u", "v"), "b_": F.greatest("u", "v"), "length_m": F.greatest(F.lit(1.0), F.col("len"))})
+    kept = costs(live.select(way, "i", "a_", "b_", "highway", "length_m", *scores, *ends)).groupBy("a_", "b_").agg(
+        F.min_by(F.struct(way, "i", "highway", "length_m", *scores, *ends), F.struct("cost_day", way, "i")).alias("e")).select(F.col("a_").alias("u"), F.col("b_").alias("v"), "e.*")
+    moved = sidewalk_edges(live, way, street, offset, ring_skip).select(way, "i", *[F.col(c).alias(f"m{c}") for c in ends])
+    moved = live.select(way, "i", F.col("a_").alias("u"), F.col("b_").alias("v")).join(moved, [way, "i"]).groupBy("u", "v").agg(
+        F.min_by(F.struct(*[f"m{c}" for c in ends]), F.struct(way, "i")).alias("m_"))
+    is_road = road_class("highway").isin(*SIDEWALK_ROADS)
+    turned = kept.join(moved, ["u", "v"], "left").withColumn("turned_", F.col("m_").isNotNull() & is_road)
+    base = turned.select(
+        "u", "v", way, "i", F.when(F.col("turned_"), F.lit("sidewalk")).otherwise(F.col("highway")).alias("highway"), F.when(F.col("turned_"), road_class("highway")).alias("sidewalk_of"),
+        F.lit(False).alias("synthetic"), "length_m", *scores, *[F.when(F.col("turned_"), F.col(f"m_.m{c}")).otherwise(F.col(c)).alias(c) for c in ends])
+    base = settle(base, "graph")
+    touch = both_ways(base.select("u", "v", "highway")).filter(road_class("highway").isin(*PATH_CLASSES)).select(F.col("u").alias("node")).distinct()
+    boxes = nodes.join(touch, "node", "left_semi").select("node", "nx", "ny", *[F.col(a).alias(b) for a, b in (("nx", "minx"), ("ny", "miny"), ("nx", "maxx"), ("ny", "maxy"))])
+    near = box_point_pairs(boxes, crossings.select(F.col("node").alias("cross"), "px", "py").distinct(), max(100.0, 4 * reach), reach)
+    gap = F.round(geo.span(F.col("px") - F.col("nx"), F.col("py") - F.col("ny")), 6)
+    near = near.withColumn("gap", gap).filter((F.col("gap") <= reach) & (F.col("cross") != F.col("node")))
+    links = top_k(near, ["cross"], [F.col("gap"), F.col("node")], most)
+    links = links.select(F.least("cross", "node").alias("u"), F.greatest("cross", "node").alias("v"), F.greatest(F.lit(1.0), F.col("gap")).alias("length_m"),
+                         *[F.when(F.col("cross") < F.col("node"), F.col(a)).otherwise(F.col(b)).alias(c) for a, b, c in (("px", "nx", "x1"), ("py", "ny", "y1"), ("nx", "px", "x2"), ("ny", "py", "y2"))])
+    links = links.dropDuplicates(["u", "v"]).join(base.select("u", "v"), ["u", "v"], "left_anti")
+    links = links.withColumns({"highway": F.lit("crossing"), "synthetic": F.lit(True)})
+    return costs(base.unionByName(links, allowMissingColumns=True))
+
+
+def batch_paths(edges: DataFrame, requests: DataFrame, key: Sequence[str] = ("od_id",), kind: Sequence[str] = (), overlay: DataFrame | None = None) -> DataFrame:
+    """Cheapest path cost per request (``key, src, dst``) over ``edges(u, v, cost)``.
 
     Labels (request, node, cost, previous node) relax along the edges for all
     requests at once, until no label improves, however many edges a path has. A
@@ -183,46 +239,175 @@ def batch_paths(edges: DataFrame, requests: DataFrame) -> DataFrame:
     dropped, so the search stays inside the radius of the answer. Only labels
     that changed in the last step travel. Each step's state is written to the
     shared folder, and the state before it is dropped.
+
+    ``kind`` names the columns of ``key`` that edges have too: a request walks
+    only edges of its kind, so searches under several costs run as one.
+    ``overlay`` (``key, u, v, factor``) makes single edges dearer for single
+    requests: the edge table stays shared, and only the small overlay is joined
+    to the labels that are about to use one of its edges.
     """
-    arcs = settle(both_ways(edges.select("u", "v", "cost")).groupBy("u", "v").agg(F.min("cost").alias("cost")), "arcs")
-    labels = requests.select("od_id", F.col("src").alias("node"), F.lit(0.0).alias("g"), F.lit(None).cast(requests.schema["src"].dataType).alias("prev"), F.lit(0).alias("round"))
+    key, kind = list(key), list(kind)
+    arcs = settle(both_ways(edges.select(*kind, "u", "v", "cost")).groupBy(*kind, "u", "v").agg(F.min("cost").alias("cost")), "arcs")
+    dear = settle(both_ways(overlay.select(*key, "u", "v", "factor")).distinct(), "overlay") if overlay is not None else None
+    labels = requests.select(*key, F.col("src").alias("node"), F.lit(0.0).alias("g"), F.lit(None).cast(requests.schema["src"].dataType).alias("prev"), F.lit(0).alias("round"))
     labels = settle(labels, "labels")
-    goals = settle(requests.select("od_id", F.col("dst").alias("node")), "goals")
+    goals = settle(requests.select(*key, F.col("dst").alias("node")), "goals")
     step = 0
     while not labels.filter(F.col("round") == step).isEmpty():
         step += 1
-        old, labels = labels, settle(_relax(labels, arcs, goals, step), "labels")
+        old, labels = labels, settle(_relax(labels, arcs, goals, step, key, kind, dear), "labels")
         discard(old)
     return labels
 
 
-def _relax(labels: DataFrame, arcs: DataFrame, goals: DataFrame, step: int) -> DataFrame:
+def _relax(labels: DataFrame, arcs: DataFrame, goals: DataFrame, step: int, key: list[str], kind: list[str], dear: DataFrame | None) -> DataFrame:
     """One more edge for every label of the step before."""
-    front = labels.filter(F.col("round") == step - 1)
-    best = labels.join(goals, ["od_id", "node"]).select("od_id", F.col("g").alias("best_"))
+    front = labels.filter(F.col("round") == step - 1).select(*key, F.col("node").alias("u"), "g")
+    best = labels.join(goals, [*key, "node"]).select(*key, F.col("g").alias("best_"))
+    grown = front.join(arcs, [*kind, "u"])
+    cost = F.col("cost")
+    if dear is not None:
+        grown = grown.join(dear, [*key, "u", "v"], "left")
+        cost = cost * F.coalesce("factor", F.lit(1.0))
     grown = (
-        front.join(arcs, front.node == arcs.u).select("od_id", F.col("v").alias("node"), (F.col("g") + F.col("cost")).alias("g"), F.col("u").alias("prev"))
-        .join(best, "od_id", "left").filter(F.col("best_").isNull() | (F.col("g") < F.col("best_"))).drop("best_")
+        grown.select(*key, F.col("v").alias("node"), (F.col("g") + cost).alias("g"), F.col("u").alias("prev"))
+        .join(best, key, "left").filter(F.col("best_").isNull() | (F.col("g") < F.col("best_"))).drop("best_")
         .withColumn("round", F.lit(step))
     )
     # an old label wins a tie, so nothing is relaxed twice at the same cost
-    return labels.unionByName(grown).groupBy("od_id", "node").agg(
-        F.min_by(F.struct("g", "prev", "round"), F.struct("g", "round", "prev")).alias("l")).select("od_id", "node", "l.*")
+    return labels.unionByName(grown).groupBy(*key, "node").agg(
+        F.min_by(F.struct("g", "prev", "round"), F.struct("g", "round", "prev")).alias("l")).select(*key, "node", "l.*")
 
 
-def trace_paths(labels: DataFrame, requests: DataFrame) -> DataFrame:
-    """Edges of each found path, walked back from the goal to its start: od_id, hop, u, v.
+def trace_paths(labels: DataFrame, requests: DataFrame, key: Sequence[str] = ("od_id",)) -> DataFrame:
+    """Edges of each found path, counted back from the goal to its start: key, hop, u, v.
 
-    A request whose goal is its start, or was not reached, has no edges.
+    A request whose goal is its start, or was not reached, has no edges. Jumps
+    of 1, 2, 4, ... edges are made by joining each with itself, then the goal is
+    spread over them from the longest down, so jobs grow with the logarithm of
+    the longest path. Labels that lead to no goal's path stay in the jumps; they
+    are as many as the search kept.
+    """
+    key = list(key)
+    goals = requests.join(labels.select(*key, F.col("node").alias("dst")), [*key, "dst"]).select(*key, F.col("dst").alias("node"), F.lit(0).alias("hop"))
+    first = settle(labels.filter("prev IS NOT NULL").select(*key, "node", F.col("prev").alias("up")), "jump")
+    jumps = [first]
+    while not jumps[-1].isEmpty():
+        half = jumps[-1]
+        jumps.append(settle(half.join(half.select(*key, F.col("node").alias("up"), F.col("up").alias("top")), [*key, "up"]).select(*key, "node", F.col("top").alias("up")), "jump"))
+    on_path = settle(goals, "on-path")
+    for power in range(len(jumps) - 2, -1, -1):
+        ahead = on_path.join(jumps[power], [*key, "node"]).select(*key, F.col("up").alias("node"), (F.col("hop") + (1 << power)).alias("hop"))
+        on_path = settle(on_path.unionByName(ahead), "on-path")
+    hops = settle(on_path.join(first, [*key, "node"]).select(*key, "hop", F.col("up").alias("u"), F.col("node").alias("v")), "hops")
+    for jump in jumps:
+        discard(jump)
+    return hops
+
+
+def used_edges(hops: DataFrame, key: Sequence[str] = ("od_id",)) -> DataFrame:
+    """Edges of paths whichever way they were walked, once each: key, u, v with u < v."""
+    return hops.select(*key, F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
+def circuits(edges: DataFrame, loops: DataFrame) -> DataFrame:
+    """Walks start - a - b - start, each leg shunning the edges of the legs before it.
+
+    ``loops``: ``od_id, variant, start, a, b, factor``; a used edge costs
+    ``factor`` times as much, a null factor leaves it alone. All loops and
+    variants of a leg are one search. Returns the hops of every leg: ``od_id,
+    variant, leg, hop, u, v``; a loop that a leg cannot close keeps the legs
+    before that one.
+    """
+    key = ["od_id", "variant"]
+    stops = ["start", "a", "b", "start"]
+    walked = None
+    for leg in range(3):
+        asked = loops.select(*key, F.col(stops[leg]).alias("src"), F.col(stops[leg + 1]).alias("dst"))
+        if walked is None:
+            dear = None
+        else:
+            done = walked.filter(F.col("leg") == leg).select(*key).distinct()
+            asked = asked.join(done, key, "left_semi") if leg else asked
+            dear = used_edges(walked, key).join(loops.filter("factor IS NOT NULL").select(*key, F.col("factor").cast("double").alias("factor")), key)
+        labels = batch_paths(edges, asked, key, overlay=dear)
+        hops = trace_paths(labels, asked, key).withColumn("leg", F.lit(leg + 1))
+        discard(labels)
+        walked = hops if walked is None else walked.unionByName(hops)
+    return walked.select(*key, "leg", "hop", "u", "v")
+
+
+def path_measures(hops: DataFrame, arcs: DataFrame, key: Sequence[str], kind: Sequence[str] = ()) -> DataFrame:
+    """Length, time, edges and share on walking classes of each path; ``arcs``: ``u, v, length_m, hw``."""
+    p = hops.join(arcs, [*kind, "u", "v"])
+    total = F.sum("length_m")
+    share = F.sum(F.when(F.col("hw").isin(*ROUTE_PATH_CLASSES), F.col("length_m")).otherwise(0.0)) / total
+    return p.groupBy(*key).agg(total.alias("distance_m"), (total / WALK_MPS).alias("duration_s"), F.count(F.lit(1)).alias("n_edges"), share.alias("pathish_share"))
+
+
+def leg_report(hops: DataFrame, arcs: DataFrame) -> DataFrame:
+    """Edges, metres, and metres on edges of earlier legs, for each leg of each loop and variant."""
+    key = ["od_id", "variant"]
+    legs = hops.select(*key, "leg", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).join(arcs.filter("u < v").select("u", "v", "length_m"), ["u", "v"])
+    seen = legs.groupBy(*key, "u", "v").agg(F.min("leg").alias("first_leg"))
+    again = F.when(F.col("first_leg") < F.col("leg"), F.col("length_m")).otherwise(0.0)
+    return legs.join(seen, [*key, "u", "v"]).groupBy(*key, "leg").agg(F.count(F.lit(1)).alias("n_edges"), F.sum("length_m").alias("distance_m"), F.sum(again).alias("reused_m"))
+
+
+def circuit_report(hops: DataFrame, arcs: DataFrame, band_s: tuple[float, float]) -> DataFrame:
+    """One row per loop and variant whose three legs close: time, whether it is in the band, metres walked before, and metres that two legs share."""
+    key = ["od_id", "variant"]
+    legs = hops.select(*key, "leg", "hop", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).join(arcs.filter("u < v").select("u", "v", "length_m"), ["u", "v"])
+    per_edge = legs.groupBy(*key, "u", "v").agg(
+        F.first("length_m").alias("length_m"), F.count(F.lit(1)).alias("walks"), *[F.max(F.when(F.col("leg") == k, 1).otherwise(0)).alias(f"l{k}") for k in (1, 2, 3)])
+    shared = {f"overlap_{a}{b}_m": F.sum(F.when((F.col(f"l{a}") == 1) & (F.col(f"l{b}") == 1), F.col("length_m")).otherwise(0.0)) for a, b in ((1, 2), (2, 3), (1, 3))}
+    total = F.sum(F.col("length_m") * F.col("walks"))
+    out = per_edge.groupBy(*key).agg(
+        total.alias("distance_m"), (F.sum(F.col("length_m") * (F.col("walks") - 1)) / total).alias("revisit_ratio"), *[v.alias(k) for k, v in shared.items()], *[F.max(f"l{k}").alias(f"l{k}") for k in (1, 2, 3)])
+    duration = F.col("distance_m") / WALK_MPS
+    return out.filter("l1 = 1 AND l2 = 1 AND l3 = 1").select(*key, "distance_m", duration.alias("duration_s"), duration.between(*band_s).alias("in_band"), "revisit_ratio", *shared)
+
+
+def drawn_routes(arcs: DataFrame, requests: DataFrame, away_factor: float = 3.0) -> DataFrame:
+    """The route to draw for each request, chosen among searched ones.
+
+    ``arcs``: ``kind, u, v, cost, length_m, hw``, one way each, with kinds
+    ``distance``, ``quality`` and one per profile. ``requests``: ``od_id, src,
+    dst, profile, base, away, cap``. Each request is searched by distance, by
+    quality and under its profile; one that keeps away from roads is first
+    searched under its ``base`` profile, and the edges of that path cost
+    ``away_factor`` as much in the search under its own.
+
+    Returns ``od_id, kept, distance_m, detour, pathish_share``: the profile's
+    route if its detour is within the cap (or it is mostly on paths), else the
+    base route for those who keep away, else the quality route. Requests without
+    a path have no row.
     """
-    at = requests.join(labels.select("od_id", F.col("node").alias("dst")), ["od_id", "dst"]).select("od_id", F.col("dst").alias("node"))
-    steps, hop = None, 0
-    while True:
-        nxt = settle(at.join(labels, ["od_id", "node"]).filter("prev IS NOT NULL").select("od_id", F.lit(hop).alias("hop"), F.col("prev").alias("u"), F.col("node").alias("v")), "hop")
-        steps = nxt if steps is None else steps.unionByName(nxt)
-        if nxt.isEmpty():
-            return steps
-        at, hop = nxt.select("od_id", F.col("u").alias("node")), hop + 1
+    key = ["od_id", "kind"]
+    edges = arcs.select("kind", "u", "v", "cost")
+    plain = requests.select("od_id", "src", "dst", F.explode(F.array(F.lit("distance"), F.lit("quality"), F.when(F.col("away"), F.col("base")).otherwise(F.col("profile")))).alias("kind"))
+    labels = batch_paths(edges, plain, key, ["kind"])
+    first = trace_paths(labels, plain, key)
+    discard(labels)
+    shy = requests.filter("away").select("od_id", "src", "dst", F.col("profile").alias("kind"), F.col("base"))
+    dear = used_edges(first, key).withColumnRenamed("kind", "base").join(shy.select("od_id", "kind", "base"), ["od_id", "base"]).select("od_id", "kind", "u", "v", F.lit(away_factor).alias("factor"))
+    labels = batch_paths(edges, shy, key, ["kind"], dear)
+    second = trace_paths(labels, shy, key)
+    discard(labels)
+    lengths = arcs.select("kind", "u", "v", "length_m", "hw")
+    drawn = path_measures(first.unionByName(second), lengths, key, ["kind"])
+
+    def as_(name: str, kind: Column) -> DataFrame:
+        return requests.select("od_id", kind.alias("kind")).join(drawn, key).select("od_id", F.struct("distance_m", "pathish_share").alias(name))
+
+    own, away = F.col("profile"), F.col("away")
+    out = requests.select("od_id", "away", "cap").join(as_("score", own), "od_id").join(as_("shortest", F.lit("distance")), "od_id").join(as_("quality", F.lit("quality")), "od_id")
+    out = out.join(as_("default", F.when(away, F.col("base"))), "od_id", "left")
+    detour = F.col("score.distance_m") / F.greatest(F.col("shortest.distance_m"), F.lit(1.0))
+    out = out.withColumn("kept", choose_route(detour, F.col("score.pathish_share"), F.col("cap"), away))
+    out = out.withColumn("kept", F.when(F.col("kept") == "score", "score").when(away & F.col("default").isNotNull(), "default").otherwise("quality"))
+    route = F.when(F.col("kept") == "score", F.col("score")).when(F.col("kept") == "default", F.col("default")).otherwise(F.col("quality"))
+    return out.select("od_id", "kept", route["distance_m"].alias("distance_m"), detour.alias("detour"), route["pathish_share"].alias("pathish_share"))
 
 
 def choose_route(detour: Column, pathish: Column, cap: Column | float, away: Column) -> Column:

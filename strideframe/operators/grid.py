@@ -5,6 +5,10 @@ by equality on the cell, and an exact predicate decides. Three things keep it
 even at scale: rows at the same position are aggregated before they are
 shuffled (callers do this), cells that hold too many rows are split into
 shares, and nearest-neighbour search compares cells before it compares rows.
+
+A box much wider than a cell is listed under cells of a coarser level (a quad
+tree: each level doubles the side), and the other side is listed under just the
+levels that occur, so no box needs more than ``MOST_CELLS`` cells of its level.
 """
 
 from __future__ import annotations
@@ -19,9 +23,12 @@ from ..session import settle
 BOX = ("minx", "miny", "maxx", "maxy")
 CELL_TARGET = 50_000
 TRACT = 500.0
+#: cells along the longer side of a box, at most; one more may be touched
+BOX_SPAN = 8
+MOST_CELLS = (BOX_SPAN + 1) ** 2
 
 
-def box_cells(minx: Column, miny: Column, maxx: Column, maxy: Column, side: float) -> Column:
+def box_cells(minx: Column, miny: Column, maxx: Column, maxy: Column, side: float | Column) -> Column:
     """Cells (cx, cy) a box meets."""
     xs = F.sequence(F.floor(minx / side), F.floor(maxx / side))
     ys = F.sequence(F.floor(miny / side), F.floor(maxy / side))
@@ -30,16 +37,34 @@ def box_cells(minx: Column, miny: Column, maxx: Column, maxy: Column, side: floa
     )
 
 
-def by_cell(df: DataFrame, side: float, pad: float = 0.0, box: Sequence[str] = BOX) -> DataFrame:
-    """One row per feature and cell its padded box meets."""
+def box_level(minx: Column, miny: Column, maxx: Column, maxy: Column, side: float) -> Column:
+    """Level of the cells a box is listed under: 0, or the first that it spans with ``BOX_SPAN`` cells."""
+    span = F.greatest(maxx - minx, maxy - miny) / (side * BOX_SPAN)
+    return F.when(span <= 1, 0).otherwise(F.ceil(F.log2(span)).cast("int"))
+
+
+def levels_of(df: DataFrame, side: float, pad: float = 0.0, box: Sequence[str] = BOX) -> Column:
+    """The levels that the boxes of a table have, as one small array (a level per doubling of size)."""
     a, b, c, d = (F.col(x) for x in box)
-    return df.withColumn("cell_", F.explode(box_cells(a - pad, b - pad, c + pad, d + pad, side))).select(
-        *df.columns, F.col("cell_.cx").alias("cx"), F.col("cell_.cy").alias("cy")
-    )
+    return df.select(box_level(a - pad, b - pad, c + pad, d + pad, side).alias("l_")).distinct().agg(F.sort_array(F.collect_list("l_"))).scalar()
+
+
+def by_cell(df: DataFrame, side: float, pad: float = 0.0, box: Sequence[str] = BOX, levels: Column | None = None) -> DataFrame:
+    """One row per feature and cell its padded box meets, at its own level (``own``) and at the coarser ones of ``levels``."""
+    a, b, c, d = (F.col(x) for x in box)
+    edges = (a - pad, b - pad, c + pad, d + pad)
+    listed = df.withColumn("own_", box_level(*edges, side))
+    if levels is None:
+        listed = listed.withColumn("lvl", F.col("own_"))
+    else:
+        listed = listed.withColumn("levels_", levels)
+        listed = listed.withColumn("lvl", F.explode(F.array_union(F.array("own_"), F.filter("levels_", lambda x: x > F.col("own_")))))
+    listed = listed.withColumn("cell_", F.explode(box_cells(*edges, F.lit(float(side)) * F.pow(F.lit(2.0), F.col("lvl")))))
+    return listed.select(*df.columns, "lvl", F.col("cell_.cx").alias("cx"), F.col("cell_.cy").alias("cy"), (F.col("lvl") == F.col("own_")).alias("own"))
 
 
 def split_hot_cells(
-    left: DataFrame, right: DataFrame, left_key: Column, right_key: Column, target: int = CELL_TARGET
+    left: DataFrame, right: DataFrame, left_key: Column, right_key: Column, target: int = CELL_TARGET, cell: Sequence[str] = ("cx", "cy")
 ) -> tuple[DataFrame, DataFrame, list[str]]:
     """Spread cells with more than ``target`` rows on either side over a grid of shares.
 
@@ -49,17 +74,18 @@ def split_hot_cells(
     task holds more than ``target`` rows of either side. The list of hot cells
     is at most rows/target long, and only those cells are touched.
     """
-    cells = left.select("cx", "cy", F.lit(1).alias("l_"), F.lit(0).alias("r_")).unionByName(right.select("cx", "cy", F.lit(0).alias("l_"), F.lit(1).alias("r_")))
-    counts = cells.groupBy("cx", "cy").agg(F.sum("l_").alias("l_"), F.sum("r_").alias("r_"))
+    cell = list(cell)
+    cells = left.select(*cell, F.lit(1).alias("l_"), F.lit(0).alias("r_")).unionByName(right.select(*cell, F.lit(0).alias("l_"), F.lit(1).alias("r_")))
+    counts = cells.groupBy(*cell).agg(F.sum("l_").alias("l_"), F.sum("r_").alias("r_"))
     hot = counts.filter((F.col("l_") > target) & (F.col("r_") > 0) | (F.col("r_") > target) & (F.col("l_") > 0)).select(
-        "cx", "cy", *[F.greatest(F.lit(1), F.ceil(F.col(c) / target)).cast("int").alias(f"{c}shares") for c in ("l_", "r_")])
+        *cell, *[F.greatest(F.lit(1), F.ceil(F.col(c) / target)).cast("int").alias(f"{c}shares") for c in ("l_", "r_")])
 
     def shared(df: DataFrame, key: Column, own: str, other: str) -> DataFrame:
         mine = F.coalesce(F.pmod(F.xxhash64(key), F.col(f"{own}shares")).cast("int"), F.lit(0))
         theirs = F.explode(F.sequence(F.lit(0), F.coalesce(F.col(f"{other}shares"), F.lit(1)) - 1))
-        return df.join(hot, ["cx", "cy"], "left").withColumn(f"{own}share", mine).withColumn(f"{other}share", theirs).drop("l_shares", "r_shares")
+        return df.join(hot, cell, "left").withColumn(f"{own}share", mine).withColumn(f"{other}share", theirs).drop("l_shares", "r_shares")
 
-    return shared(left, left_key, "l_", "r_"), shared(right, right_key, "r_", "l_"), ["cx", "cy", "l_share", "r_share"]
+    return shared(left, left_key, "l_", "r_"), shared(right, right_key, "r_", "l_"), [*cell, "l_share", "r_share"]
 
 
 def _row_key(df: DataFrame) -> Column:
@@ -78,13 +104,16 @@ def box_point_pairs(
 ) -> DataFrame:
     """Pairs of an area row and a point row inside the area's padded box.
 
-    A point lies in one cell, so no pair comes out twice.
+    An area is listed at its own level only, and a point lies in one cell of
+    each level that areas have, so no pair comes out twice.
     """
-    left = by_cell(areas, side, pad)
-    right = points.withColumn("cx", F.floor(F.col(px) / side)).withColumn("cy", F.floor(F.col(py) / side))
-    keys = ["cx", "cy"]
+    left = by_cell(areas, side, pad).drop("own")
+    right = points.withColumn("levels_", levels_of(areas, side, pad)).withColumn("lvl", F.explode("levels_")).drop("levels_")
+    width = F.lit(float(side)) * F.pow(F.lit(2.0), F.col("lvl"))
+    right = right.withColumns({"cx": F.floor(F.col(px) / width), "cy": F.floor(F.col(py) / width)})
+    keys = ["lvl", "cx", "cy"]
     if split:
-        left, right, keys = split_hot_cells(left, right, _row_key(left), F.struct(px, py))
+        left, right, keys = split_hot_cells(left, right, _row_key(left), F.struct(px, py), cell=keys)
     inside = (
         (F.col(px) >= F.col("minx") - pad)
         & (F.col(px) <= F.col("maxx") + pad)
@@ -101,22 +130,25 @@ def box_box_pairs(
     pad: float = 0.0,
     lbox: Sequence[str] = BOX,
     rbox: Sequence[str] = ("rminx", "rminy", "rmaxx", "rmaxy"),
+    on: Sequence[str] = (),
 ) -> DataFrame:
-    """Pairs whose boxes meet once the left one is padded.
+    """Pairs whose boxes meet once the left one is padded, and whose columns ``on`` are equal.
 
-    Both sides may span several cells; a pair is kept only in the cell that
-    holds the lower corner of the common box, so no duplicate has to be dropped.
+    Two boxes meet at the coarser of their levels, where one is at its own. Both
+    may span several cells there; a pair is kept only in the cell that holds the
+    lower corner of the common box, so no duplicate has to be dropped.
     """
-    a = by_cell(left, side, pad, lbox)
-    b = by_cell(right, side, 0.0, rbox)
-    a, b, keys = split_hot_cells(a, b, _row_key(a), _row_key(b))
+    a = by_cell(left, side, pad, lbox, levels_of(right, side, 0.0, rbox)).withColumnRenamed("own", "lown_")
+    b = by_cell(right, side, 0.0, rbox, levels_of(left, side, pad, lbox)).withColumnRenamed("own", "rown_")
+    a, b, keys = split_hot_cells(a, b, _row_key(a), _row_key(b), cell=("lvl", "cx", "cy", *on))
     lx0, ly0, lx1, ly1 = (F.col(c) for c in lbox)
     rx0, ry0, rx1, ry1 = (F.col(c) for c in rbox)
     meet = (rx0 <= lx1 + pad) & (rx1 >= lx0 - pad) & (ry0 <= ly1 + pad) & (ry1 >= ly0 - pad)
-    owner = (F.col("cx") == F.floor(F.greatest(lx0 - pad, rx0) / side)) & (
-        F.col("cy") == F.floor(F.greatest(ly0 - pad, ry0) / side)
+    width = F.lit(float(side)) * F.pow(F.lit(2.0), F.col("lvl"))
+    owner = (F.col("cx") == F.floor(F.greatest(lx0 - pad, rx0) / width)) & (
+        F.col("cy") == F.floor(F.greatest(ly0 - pad, ry0) / width)
     )
-    return a.join(b, keys).filter(meet & owner).drop(*keys)
+    return a.join(b, keys).filter((F.col("lown_") | F.col("rown_")) & meet & owner).drop(*[k for k in keys if k not in on], "lown_", "rown_")
 
 
 def _gap(lo1: Column, hi1: Column, lo2: Column, hi2: Column) -> Column:

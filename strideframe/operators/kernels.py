@@ -2,7 +2,8 @@
 
 Outlines have any number of vertices, so these few measures run in numpy over
 whole Arrow batches; grid joins have already cut the pairs down to neighbours.
-Rings come as ``array<struct<x,y>>``, left open. Each UDF is marked
+Outlines come as one open ring ``array<struct<x,y>>``, or as parts of rings
+with holes (``array<array<array<struct<x,y>>>>``). Each UDF is marked
 nondeterministic only to keep Spark from evaluating it twice when its result
 is both filtered and selected.
 """
@@ -19,19 +20,60 @@ def _num(a: pa.Array) -> np.ndarray:
     return a.to_numpy(zero_copy_only=False).astype(float, copy=False)
 
 
-def _edges(ring: pa.Array):
-    """Pair index, ends of every side, and where each pair's sides start."""
-    if isinstance(ring, pa.ChunkedArray):
-        ring = ring.combine_chunks()
-    counts = np.nan_to_num(ring.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
-    flat = ring.flatten()
-    x, y = _num(flat.field("x")), _num(flat.field("y"))
-    start = np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(np.int64)
-    pair = np.repeat(np.arange(len(counts)), counts)
-    nxt = np.arange(len(x)) + 1
-    last = (start + counts - 1)[counts > 0]
-    nxt[last] = start[counts > 0]
-    return pair, x, y, x[nxt], y[nxt], start, counts
+class _Sides:
+    """Sides of the outlines of a batch: row, ends, ring of each side, and where each row's sides start.
+
+    An outline is one open ring (``array<struct<x,y>>``) or parts of rings, the
+    outer ring of a part first and its holes after it. Crossing tests count the
+    sides of all rings of a row together, so holes and several parts need no
+    case of their own; areas sign each ring by its place in the part.
+    """
+
+    def __init__(self, shape: pa.Array):
+        if isinstance(shape, pa.ChunkedArray):
+            shape = shape.combine_chunks()
+        self.n = len(shape)
+        if pa.types.is_struct(shape.type.value_type):
+            row_of_ring, self.is_hole, rings = np.arange(self.n), np.zeros(self.n, bool), shape
+        else:
+            parts = shape.flatten()
+            rings = parts.flatten()
+            part_of_ring, nth = _places(_lengths(parts))
+            row_of_ring, self.is_hole = _places(_lengths(shape))[0][part_of_ring], nth > 0
+        sizes = _lengths(rings)
+        flat = rings.flatten()
+        self.x1, self.y1 = _num(flat.field("x")), _num(flat.field("y"))
+        self.ring, _ = _places(sizes)
+        start = np.cumsum(sizes) - sizes
+        nxt = np.arange(len(self.x1)) + 1
+        some = sizes > 0
+        nxt[(start + sizes - 1)[some]] = start[some]
+        self.x2, self.y2 = self.x1[nxt], self.y1[nxt]
+        self.row = row_of_ring[self.ring]
+        self.counts = np.bincount(self.row, minlength=self.n)
+        self.start = np.cumsum(self.counts) - self.counts
+
+    def signs(self) -> np.ndarray:
+        """Per side +1 or -1, so that strips below the sides of a row add up to its area whichever way its rings turn."""
+        n = len(self.is_hole)
+        turn = np.where(np.bincount(self.ring, weights=(self.x2 - self.x1) * (self.y2 + self.y1), minlength=n) >= 0, 1.0, -1.0)
+        return (turn * np.where(self.is_hole, -1.0, 1.0))[self.ring]
+
+
+def _lengths(lists: pa.Array) -> np.ndarray:
+    return np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+
+
+def _places(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For the elements of lists of these sizes: which list, and the place in it."""
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    return owner, np.arange(len(owner)) - (np.cumsum(sizes) - sizes)[owner]
+
+
+def _edges(shape: pa.Array):
+    """Row index, ends of every side, and where each row's sides start."""
+    s = _Sides(shape)
+    return s.row, s.x1, s.y1, s.x2, s.y2, s.start, s.counts
 
 
 def _segment_point(px, py, x1, y1, x2, y2):
@@ -153,8 +195,8 @@ def union_length(owner, lo, hi, n):
     return np.bincount(owner, weights=fresh, minlength=n)
 
 
-def corridor_share(ring: pa.Array, ax: pa.Array, ay: pa.Array, bx: pa.Array, by: pa.Array, radius: pa.Array) -> np.ndarray:
-    """Share of a piece inside a ring or within the radius of its sides."""
+def _corridor(ring: pa.Array, ax: pa.Array, ay: pa.Array, bx: pa.Array, by: pa.Array, radius: pa.Array):
+    """Spans of each piece inside an outline or within the radius of its sides: row, low, high, and the number of rows."""
     pair, x1, y1, x2, y2, _start, counts = _edges(ring)
     a, b = _num(ax), _num(ay)
     ux, uy, r = _num(bx) - a, _num(by) - b, _num(radius)
@@ -163,7 +205,12 @@ def corridor_share(ring: pa.Array, ax: pa.Array, ay: pa.Array, bx: pa.Array, by:
     if (r > 0).any():
         spans.append(_capsule_spans(*args, r[pair]))
     owner, lo, hi = (np.concatenate([s[i] for s in spans]) for i in range(3))
-    return union_length(owner.astype(np.int64), lo, hi, len(counts))
+    return owner.astype(np.int64), lo, hi, len(counts)
+
+
+def corridor_share(ring: pa.Array, ax: pa.Array, ay: pa.Array, bx: pa.Array, by: pa.Array, radius: pa.Array) -> np.ndarray:
+    """Share of a piece inside a ring or within the radius of its sides."""
+    return union_length(*_corridor(ring, ax, ay, bx, by, radius))
 
 
 @F.arrow_udf(DoubleType())
@@ -181,26 +228,49 @@ def _corridor_share(ring: pa.Array, ax: pa.Array, ay: pa.Array, bx: pa.Array, by
     return pa.array(corridor_share(ring, ax, ay, bx, by, r), from_pandas=True)
 
 
+@F.arrow_udf(ArrayType(StructType().add("lo", DoubleType()).add("hi", DoubleType())))
+def _corridor_spans(ring: pa.Array, ax: pa.Array, ay: pa.Array, bx: pa.Array, by: pa.Array, r: pa.Array) -> pa.Array:
+    owner, lo, hi, n = _corridor(ring, ax, ay, bx, by, r)
+    order = np.argsort(owner, kind="stable")
+    offsets = pa.array(np.searchsorted(owner[order], np.arange(n + 1)).astype(np.int32))
+    return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(lo[order]), pa.array(hi[order])], names=["lo", "hi"]))
+
+
+corridor_spans = _corridor_spans
+
+
+def capsule_span(ax, ay, bx, by, x1, y1, x2, y2, radius) -> pa.Array:
+    """Where a piece is within the radius of another one: ``lo, hi`` as shares of the piece, NULL where nowhere or in one point."""
+    a, b, c, d, e, f, g, h, r = (_num(v) for v in (ax, ay, bx, by, x1, y1, x2, y2, radius))
+    pair, lo, hi = _capsule_spans(np.arange(len(a)), e, f, g, h, a, b, c - a, d - b, r)
+    low, high, none = np.zeros(len(a)), np.zeros(len(a)), np.ones(len(a), bool)
+    low[pair], high[pair], none[pair] = lo, hi, False
+    return pa.StructArray.from_arrays([pa.array(low), pa.array(high)], names=["lo", "hi"], mask=pa.array(none))
+
+
+@F.arrow_udf(StructType().add("lo", DoubleType()).add("hi", DoubleType()))
+def _capsule_span(ax: pa.Array, ay: pa.Array, bx: pa.Array, by: pa.Array, x1: pa.Array, y1: pa.Array, x2: pa.Array, y2: pa.Array, r: pa.Array) -> pa.Array:
+    return capsule_span(ax, ay, bx, by, x1, y1, x2, y2, r)
+
+
+piece_capsule_span = _capsule_span.asNondeterministic()
 ring_point_distance = _ring_point.asNondeterministic()
 ring_piece_distance = _ring_piece.asNondeterministic()
 ring_corridor_share = _corridor_share.asNondeterministic()
 
 
 def overlay_area(a: pa.Array, b: pa.Array) -> np.ndarray:
-    """Common area of two rings per row.
+    """Common area of two outlines per row, holes and all parts counted.
 
     Each side carries a signed strip down to a base line; the common area is
     the sum over side pairs of the strips' overlap, so concave rings need no
-    cutting into parts.
+    cutting into parts, and a hole is a ring of the other sign.
     """
-    ia, ax1, ay1, ax2, ay2, sa, ca = _edges(a)
-    ib, bx1, by1, bx2, by2, sb, cb = _edges(b)
+    left_sides, right_sides = _Sides(a), _Sides(b)
+    ia, ax1, ay1, ax2, ay2, ca = left_sides.row, left_sides.x1, left_sides.y1, left_sides.x2, left_sides.y2, left_sides.counts
+    ib, bx1, by1, bx2, by2, sb, cb = right_sides.row, right_sides.x1, right_sides.y1, right_sides.x2, right_sides.y2, right_sides.start, right_sides.counts
+    fa, fb = left_sides.signs(), right_sides.signs()
     n = len(ca)
-
-    def turn(i, x1, y1, x2, y2):
-        return np.where(np.bincount(i, weights=(x2 - x1) * (y2 + y1), minlength=n) >= 0, 1.0, -1.0)
-
-    orient = turn(ia, ax1, ay1, ax2, ay2) * turn(ib, bx1, by1, bx2, by2)
     # all side pairs of a row: repeat each a-side for every b-side of the same row
     reps = cb[ia]
     left = np.repeat(np.arange(len(ia)), reps)
@@ -215,6 +285,7 @@ def overlay_area(a: pa.Array, b: pa.Array) -> np.ndarray:
         return np.zeros(n)
     p1, q1, p2, q2, u1, v1, u2, v2, lo, hi = (z[ok] for z in (p1, q1, p2, q2, u1, v1, u2, v2, lo, hi))
     row = ia[left[ok]]
+    ring_sign = fa[left[ok]] * fb[right[ok]]
     base = np.full(n, np.inf)
     np.minimum.at(base, ia, ay1)
     np.minimum.at(base, ib, by1)
@@ -237,7 +308,9 @@ def overlay_area(a: pa.Array, b: pa.Array) -> np.ndarray:
         flat * w / 2,
     )
     sign = np.where((p2 > p1) == (u2 > u1), 1.0, -1.0)
-    return np.maximum(0.0, np.bincount(row, weights=area * sign, minlength=n) * orient)
+    total = np.bincount(row, weights=area * sign * ring_sign, minlength=n)
+    # strips of outlines and holes cancel up to rounding: what is left of them is no area
+    return np.where(total > 1e-12 * np.bincount(row, weights=np.abs(area), minlength=n), total, 0.0)
 
 
 @F.arrow_udf(DoubleType())
@@ -248,6 +321,100 @@ def _overlay(a: pa.Array, b: pa.Array) -> pa.Array:
 ring_overlay_area = _overlay.asNondeterministic()
 
 
+def _column_spans(row, x1, y1, x2, y2, at, n_cols):
+    """For vertical lines ``at[row]``: per line the spans inside the sides' outlines, as (line, low, high). Lines of a row are ``row * n_cols + k``."""
+    side, k = np.divmod(np.arange(len(row) * n_cols), n_cols)
+    x = at[row[side], k]
+    hit = (x1[side] > x) != (x2[side] > x)
+    side, k, x = side[hit], k[hit], x[hit]
+    y = y1[side] + (y2[side] - y1[side]) * (x - x1[side]) / (x2[side] - x1[side])
+    line = row[side] * n_cols + k
+    order = np.lexsort((y, line))
+    return line[order][0::2], y[order][0::2], y[order][1::2]
+
+
+def _capsule_columns(row, x1, y1, x2, y2, r, at, n_cols):
+    """The same for pieces buffered by r: one span per piece and line, as a capsule is convex."""
+    piece, k = np.divmod(np.arange(len(row) * n_cols), n_cols)
+    x = at[row[piece], k]
+    ax, ay, bx, by, rr = x1[piece], y1[piece], x2[piece], y2[piece], r[row[piece]]
+    lo, hi = np.full(len(x), np.inf), np.full(len(x), -np.inf)
+    for cx, cy in ((ax, ay), (bx, by)):
+        half = np.sqrt(np.maximum(rr * rr - (x - cx) ** 2, 0.0))
+        on = np.abs(x - cx) <= rr
+        lo, hi = np.where(on, np.minimum(lo, cy - half), lo), np.where(on, np.maximum(hi, cy + half), hi)
+    length = np.hypot(bx - ax, by - ay)
+    safe = np.where(length > 0, length, 1.0)
+    ox, oy = -(by - ay) / safe * rr, (bx - ax) / safe * rr
+    for px, py, qx, qy in ((ax + ox, ay + oy, bx + ox, by + oy), (ax - ox, ay - oy, bx - ox, by - oy)):
+        # a long side of the body; of an upright one the discs say all
+        run = qx - px
+        on = (length > 0) & (run != 0) & (np.minimum(px, qx) <= x) & (x <= np.maximum(px, qx))
+        y = py + (qy - py) * (x - px) / np.where(run != 0, run, 1.0)
+        lo, hi = np.where(on, np.minimum(lo, y), lo), np.where(on, np.maximum(hi, y), hi)
+    keep = hi > lo
+    return (row[piece] * n_cols + k)[keep], lo[keep], hi[keep]
+
+
+def _bounds(owner, x, y, n, pad):
+    """Bounding box of each owner's points, widened by ``pad``; turned inside out without points."""
+    low_x, low_y, top_x, top_y = (np.full(n, v) for v in (np.inf, np.inf, -np.inf, -np.inf))
+    np.minimum.at(low_x, owner, x)
+    np.minimum.at(low_y, owner, y)
+    np.maximum.at(top_x, owner, x)
+    np.maximum.at(top_y, owner, y)
+    return low_x - pad, low_y - pad, top_x + pad, top_y + pad
+
+
+def buffered_overlay(line: pa.Array, shape: pa.Array, radius: pa.Array, columns: int = 64) -> np.ndarray:
+    """Area of a bent line's buffer inside an outline; ground that several pieces cover counts once.
+
+    The common box is cut into ``columns`` strips, and on the middle line of
+    each the spans of all capsules are united exactly and met with the spans of
+    the outline: |A and B| = |A| + |B| - |A or B|.
+    """
+    if isinstance(line, pa.ChunkedArray):
+        line = line.combine_chunks()
+    n = len(line)
+    sizes = _lengths(line)
+    flat = line.flatten()
+    x, y = _num(flat.field("x")), _num(flat.field("y"))
+    owner, nth = _places(sizes)
+    first = np.flatnonzero(nth < sizes[owner] - 1)
+    row, r = owner[first], _num(radius)
+    ax, ay, bx, by = x[first], y[first], x[first + 1], y[first + 1]
+    s = _Sides(shape)
+    u, v = _bounds(owner, x, y, n, r), _bounds(s.row, s.x1, s.y1, n, 0.0)
+    x0, y0, x3, y3 = np.maximum(u[0], v[0]), np.maximum(u[1], v[1]), np.minimum(u[2], v[2]), np.minimum(u[3], v[3])
+    live = (x3 > x0) & (y3 > y0)
+    width, height = np.where(live, x3 - x0, 0.0), np.where(live, y3 - y0, 1.0)
+    at = np.where(live, x0, 0.0)[:, None] + width[:, None] * (np.arange(columns) + 0.5) / columns
+    a = _capsule_columns(row, ax, ay, bx, by, r, at, columns)
+    b = _column_spans(s.row, s.x1, s.y1, s.x2, s.y2, at, columns)
+
+    def spans(parts):
+        """Spans as shares of the common box's height."""
+        own, lo, hi = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        of = own // columns
+        base, tall = np.where(live, y0, 0.0)[of], height[of]
+        lo, hi = np.clip((lo - base) / tall, 0, 1), np.clip((hi - base) / tall, 0, 1)
+        keep = hi > lo
+        return union_length(own[keep].astype(np.int64), lo[keep], hi[keep], n * columns)
+
+    both = (spans([a]) + spans([b]) - spans([a, b])).reshape(n, columns).sum(axis=1) / columns
+    return np.where(live, both * width * height, 0.0)
+
+
+@F.arrow_udf(DoubleType())
+def _buffered_overlay(line: pa.Array, shape: pa.Array, radius: pa.Array) -> pa.Array:
+    # strips multiply a row by their number, so a batch is taken in steps
+    steps = [buffered_overlay(line.slice(k, 512), shape.slice(k, 512), radius.slice(k, 512)) for k in range(0, len(line), 512)]
+    return pa.array(np.concatenate(steps or [np.zeros(0)]), from_pandas=True)
+
+
+buffered_line_area = _buffered_overlay.asNondeterministic()
+
+
 def simplify(xs: np.ndarray, ys: np.ndarray, tolerance: float) -> np.ndarray:
     """Kept vertices of one line after dropping those closer than the tolerance to the chord."""
     keep = np.zeros(len(xs), dtype=bool)

@@ -1,7 +1,8 @@
 """City layers joined onto path segments.
 
 A segment row carries ``segment_id``, its box ``minx..maxy``, an anchor point
-``x, y`` inside it and its outline ``ring``. Point layers are aggregated by
+``x, y`` inside it and its outline ``ring``. Outlines of segments and areas may
+be ``parts`` with holes instead (see ``outlined``). Point layers are aggregated by
 position before they travel, so any number of copies of one point is one row.
 """
 
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import geo
 from . import kernels as K
 from .grid import box_box_pairs, box_point_pairs, cell_side, nearest_pairs
+from .lines import covered_metres
 
 # Fixed values of the joins, metres.
 CORRIDOR_M = 25.0
@@ -24,6 +26,25 @@ SHAPE = ("segment_id", "minx", "miny", "maxx", "maxy", "ring")
 ANCHORED = (*SHAPE, "x", "y")
 
 
+def outlined(df: DataFrame) -> DataFrame:
+    """The rows with their outline in ``ring``: ``parts`` of rings with holes take its place where they are given."""
+    return df.withColumn("ring", F.col("parts")).drop("parts") if "parts" in df.columns else df
+
+
+def has_parts(df: DataFrame) -> bool:
+    return dict(df.dtypes)["ring"].startswith("array<array")
+
+
+def outline_area(df: DataFrame) -> Column:
+    """Area of the outline in ``ring``, of either kind."""
+    return geo.parts_area(F.col("ring")) if has_parts(df) else F.abs(geo.ring_area(F.col("ring")))
+
+
+def outline_holds(df: DataFrame, px: Column, py: Column) -> Column:
+    """Whether the outline in ``ring`` holds a point, of either kind."""
+    return geo.in_parts(F.col("ring"), px, py) if has_parts(df) else geo.in_ring(geo.ring_edges(F.col("ring")), px, py)
+
+
 def at_positions(points: DataFrame, aggs: dict[str, Column], px: str = "px", py: str = "py") -> DataFrame:
     """Points collapsed to distinct positions with their aggregates."""
     return (
@@ -35,7 +56,7 @@ def at_positions(points: DataFrame, aggs: dict[str, Column], px: str = "px", py:
 
 def near_pairs(segments: DataFrame, positions: DataFrame, radius: float, side: float | None = None) -> DataFrame:
     """Segment and position pairs within ``radius`` of the outline, distance included."""
-    pairs = box_point_pairs(segments.select(*SHAPE), positions, side or max(100.0, 4 * radius), radius)
+    pairs = box_point_pairs(outlined(segments).select(*SHAPE), positions, side or max(100.0, 4 * radius), radius)
     dist = K.ring_point_distance("ring", "px", "py")
     return pairs.withColumn("dist", dist).filter(F.col("dist") <= radius).drop("ring", *SHAPE[1:5])
 
@@ -80,7 +101,7 @@ def nearest_point(
     pos = pos.select("*", *[F.col(c).alias(n) for c, n in (("px", "rminx"), ("py", "rminy"), ("px", "rmaxx"), ("py", "rmaxy"))])
     dist = F.round(K.ring_point_distance("ring", "px", "py"), 6)
     near = nearest_pairs(
-        segments.select(*ANCHORED), pos, "segment_id", max_distance, side, dist,
+        outlined(segments).select(*ANCHORED), pos, "segment_id", max_distance, side, dist,
         F.col("best_").alias("best_"), F.col(f"best_.{key}"), anchor=("x", "y"),
     )
     return near.select("segment_id", F.col("distance").alias(out), *[F.col(f"best_.{c}").alias(n) for c, n in extra.items()])
@@ -109,7 +130,7 @@ def nearest_line(segments: DataFrame, lines: DataFrame, key: str, value: str, ma
     ends = [F.col(c) for c in ("x1", "y1", "x2", "y2")]
     dist = F.round(K.ring_piece_distance("ring", *ends), 6)
     near = nearest_pairs(
-        segments.select(*ANCHORED), pieces, "segment_id", max_distance, side, dist,
+        outlined(segments).select(*ANCHORED), pieces, "segment_id", max_distance, side, dist,
         F.struct(key, value).alias("best_"), F.col(key), anchor=("x", "y"), right_overhang=side / 2 + 1e-6,
     )
     return near.select("segment_id", F.col("distance").alias("speed_nearest_line_m"), F.col(f"best_.{value}").alias("speed_nearest_line_kmh"))
@@ -117,7 +138,7 @@ def nearest_line(segments: DataFrame, lines: DataFrame, key: str, value: str, ma
 
 def line_pairs(segments: DataFrame, lines: DataFrame, pad: float, side: float | None = None) -> DataFrame:
     """Segment and line-piece pairs whose boxes meet within ``pad``."""
-    return box_box_pairs(segments.select(*SHAPE), lines, side or max(200.0, 4 * pad), pad)
+    return box_box_pairs(outlined(segments).select(*SHAPE), lines, side or max(200.0, 4 * pad), pad)
 
 
 def line_length_inside(segments: DataFrame, lines: DataFrame, radius: float) -> DataFrame:
@@ -216,23 +237,26 @@ def tree_stats(segments: DataFrame, trees: DataFrame) -> DataFrame:
 
 def points_in_areas(points: DataFrame, areas: DataFrame, area_key: str, aggs: dict[str, Column], pre: dict[str, Column], side: float) -> DataFrame:
     """Aggregates of the points inside each area outline, for all areas in one join."""
+    areas = outlined(areas)
     pairs = box_point_pairs(areas, at_positions(points, pre), side)
-    inside = geo.in_ring(geo.ring_edges(F.col("ring")), F.col("px"), F.col("py"))
-    return pairs.filter(inside).groupBy(area_key).agg(*[v.alias(k) for k, v in aggs.items()])
+    return pairs.filter(outline_holds(areas, F.col("px"), F.col("py"))).groupBy(area_key).agg(*[v.alias(k) for k, v in aggs.items()])
 
 
 def area_pieces(segments: DataFrame, areas: DataFrame, side: float) -> DataFrame:
     """Common area of every segment and area outline that overlap."""
+    areas = outlined(areas)
     right = areas.select(*[F.col(c).alias("r" + c) for c in ("minx", "miny", "maxx", "maxy")], F.col("ring").alias("aring"),
                          *[c for c in areas.columns if c not in ("minx", "miny", "maxx", "maxy", "ring")])
-    pairs = box_box_pairs(segments.select(*SHAPE), right, side)
+    pairs = box_box_pairs(outlined(segments).select(*SHAPE), right, side)
     return pairs.withColumn("piece", K.ring_overlay_area("ring", "aring")).filter(F.col("piece") > 0)
 
 
 def heat_stats(segments: DataFrame, heat: DataFrame, side: float, nearest_m: float = 50.0) -> DataFrame:
     """Area-weighted heat, cover share and dominant code; nearest centre within reach as fallback."""
+    heat, segments = outlined(heat), outlined(segments)
     heat = heat.filter(F.col("uhi18_m").isNotNull()).select("area_id", "uhi18_m", "veg_pct", "minx", "miny", "maxx", "maxy", "ring")
-    sized = segments.select("segment_id", geo.ring_area(F.col("ring")).alias("full_"))
+    sized = segments.select("segment_id", outline_area(segments).alias("full_"))
+    centre = geo.parts_centroid(F.col("ring")) if has_parts(heat) else F.struct(((F.col("minx") + F.col("maxx")) / 2).alias("x"), ((F.col("miny") + F.col("maxy")) / 2).alias("y"))
     stats = area_pieces(segments, heat, side).groupBy("segment_id").agg(
         (F.sum(F.col("uhi18_m") * F.col("piece")) / F.sum("piece")).alias("mean_"), F.sum("piece").alias("got_"),
         F.max_by("area_id", F.struct(F.round("piece", 6), -F.col("area_id"))).alias("code_"),
@@ -242,13 +266,13 @@ def heat_stats(segments: DataFrame, heat: DataFrame, side: float, nearest_m: flo
         segments.join(stats.select("segment_id"), "segment_id", "left_anti")
         .withColumns({"minx": F.col("x"), "maxx": F.col("x"), "miny": F.col("y"), "maxy": F.col("y")})
         .withColumn("ring", geo.box_ring("x", "y", "x", "y")),
-        heat.select("area_id", "uhi18_m", ((F.col("minx") + F.col("maxx")) / 2).alias("px"), ((F.col("miny") + F.col("maxy")) / 2).alias("py")),
+        heat.withColumn("centre_", centre).select("area_id", "uhi18_m", F.col("centre_.x").alias("px"), F.col("centre_.y").alias("py")),
         "area_id", nearest_m, max(nearest_m, 25.0), "heat_distance", {"uhi18_m": "nu_", "area_id": "nc_"},
     )
     out = sized.join(stats, "segment_id", "left").join(near, "segment_id", "left")
     return out.select(
         # equal readings must stay equal for the rank later on, whatever the piece sizes
-        "segment_id", F.round(F.coalesce("mean_", "nu_"), 9).alias("uhi18_m"), (F.col("got_") / F.abs("full_") * 100).alias("uhi_overlap_pct"),
+        "segment_id", F.round(F.coalesce("mean_", "nu_"), 9).alias("uhi18_m"), (F.col("got_") / F.col("full_") * 100).alias("uhi_overlap_pct"),
         F.coalesce("code_", "nc_").alias("uhi_mesh_block_code"), F.col("veg_").alias("per_any_veg_pct"),
         F.when(F.col("mean_").isNotNull(), "intersection").when(F.col("nu_").isNotNull(), "nearest").otherwise("missing").alias("uhi_join_method"),
     )
@@ -257,11 +281,11 @@ def heat_stats(segments: DataFrame, heat: DataFrame, side: float, nearest_m: flo
 def canopy_stats(segments: DataFrame, density: DataFrame, side: float) -> DataFrame:
     """Share of each segment under dense, medium and sparse cover."""
     kinds = ("dense", "medium", "sparse")
+    density, segments = outlined(density), outlined(segments)
     shapes = density.select(F.lower("tree_density").alias("kind"), "minx", "miny", "maxx", "maxy", "ring").filter(F.col("kind").isin(*kinds))
     sums = area_pieces(segments, shapes, side).groupBy("segment_id").agg(
         *[F.sum(F.when(F.col("kind") == k, F.col("piece")).otherwise(0.0)).alias(f"{k}_") for k in kinds])
-    full = F.abs(geo.ring_area(F.col("ring")))
-    out = segments.select("segment_id", full.alias("full_")).join(sums, "segment_id", "left").select(
+    out = segments.select("segment_id", outline_area(segments).alias("full_")).join(sums, "segment_id", "left").select(
         "segment_id", *[F.coalesce(F.col(f"{k}_") / F.col("full_") * 100, F.lit(0.0)).alias(f"canopy_{k}_pct") for k in kinds])
     d, m, s = (F.col(f"canopy_{k}_pct") for k in kinds)
     return out.withColumns({
@@ -290,7 +314,7 @@ def way_scores(ways: DataFrame, segments: DataFrame, streams: tuple[str, ...], b
     buf = ways.select("way_id", "x1", "y1", "x2", "y2",
                       (F.least("x1", "x2") - buffer_m).alias("minx"), (F.least("y1", "y2") - buffer_m).alias("miny"),
                       (F.greatest("x1", "x2") + buffer_m).alias("maxx"), (F.greatest("y1", "y2") + buffer_m).alias("maxy"))
-    right = segments.select(*[F.col(c).alias("r" + c) for c in ("minx", "miny", "maxx", "maxy")], F.col("ring").alias("sring"), *streams)
+    right = outlined(segments).select(*[F.col(c).alias("r" + c) for c in ("minx", "miny", "maxx", "maxy")], F.col("ring").alias("sring"), *streams)
     pairs = box_box_pairs(buf, right, side).withColumn("wring", capsule_ring(*ends, buffer_m))
     hit = pairs.withColumn("w", K.ring_overlay_area("wring", "sring")).filter(F.col("w") > 0)
     hit = hit.withColumn("run", K.ring_corridor_share("sring", *ends, F.lit(float(buffer_m))) * geo.span(ends[2] - ends[0], ends[3] - ends[1]))
@@ -301,3 +325,25 @@ def way_scores(ways: DataFrame, segments: DataFrame, streams: tuple[str, ...], b
     return length.join(sums, "way_id", "left").select(
         "way_id", "length_m", *streams,
         F.least(F.lit(1.0), F.coalesce(F.try_divide(F.col("run_"), F.col("length_m")), F.lit(0.0))).alias("score_coverage"))
+
+
+def bent_way_scores(ways: DataFrame, segments: DataFrame, streams: tuple[str, ...], buffer_m: float = 12.0, side: float = 200.0) -> DataFrame:
+    """Ways with bends scored from the segments around them, weighted by common area, NULL streams skipped.
+
+    ``ways`` has a ``line`` per row (``way_id, line``). The area is that of the
+    whole way's buffer inside the outline: ground on both sides of a bend counts
+    once. ``score_coverage`` is the share of the way's length within the buffer
+    of any segment, stretches near several counted once.
+    """
+    pieces = ways.select("way_id", F.posexplode(geo.line_edges(F.col("line"))).alias("i", "e")).select("way_id", "i", "e.*")
+    boxed = pieces.select("*", F.least("x1", "x2").alias("minx"), F.least("y1", "y2").alias("miny"), F.greatest("x1", "x2").alias("maxx"), F.greatest("y1", "y2").alias("maxy"))
+    right = outlined(segments).select("segment_id", *[F.col(c).alias("r" + c) for c in ("minx", "miny", "maxx", "maxy")], F.col("ring").alias("sring"), *streams)
+    pairs = box_box_pairs(boxed, right, side, buffer_m)
+    ends = [F.col(c) for c in ("x1", "y1", "x2", "y2")]
+    met = pairs.groupBy("way_id", "segment_id").agg(F.any_value("sring").alias("sring"), *[F.any_value(c).alias(c) for c in streams])
+    hit = met.join(ways.select("way_id", "line"), "way_id").withColumn("w", K.buffered_line_area("line", "sring", F.lit(float(buffer_m)))).filter(F.col("w") > 1e-9)
+    sums = hit.groupBy("way_id").agg(*[F.try_divide(F.sum(F.col(s) * F.col("w")), F.sum(F.when(F.col(s).isNotNull(), F.col("w")))).alias(s) for s in streams], F.sum("w").alias("common_m2"))
+    spans = pairs.select("way_id", "i", F.explode(K.corridor_spans("sring", *ends, F.lit(float(buffer_m)))).alias("s")).select("way_id", "i", "s.lo", "s.hi")
+    covered = covered_metres(pieces, spans, ["way_id"])
+    return covered.join(sums, "way_id", "left").select(
+        "way_id", "length_m", *streams, F.coalesce("common_m2", F.lit(0.0)).alias("common_m2"), F.least(F.lit(1.0), F.coalesce(F.try_divide(F.col("covered_m"), F.col("length_m")), F.lit(0.0))).alias("score_coverage"))

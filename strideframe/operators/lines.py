@@ -7,7 +7,7 @@ and stop at the first hit (semi join).
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from ..functions import geo
+from .ordering import chunked_total, with_halo
 
 
 def pieces(lines: DataFrame, key: Sequence[str], line: str = "line") -> DataFrame:
@@ -191,3 +192,47 @@ def covered_metres(pieces_: DataFrame, intervals: DataFrame, key: Sequence[str])
     length = geo.span(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
     return pieces_.withColumn("len_", length).join(share, [*key, "i"], "left").groupBy(*key).agg(
         F.sum("len_").alias("length_m"), F.sum(F.coalesce("f_", F.lit(0.0)) * F.col("len_")).alias("covered_m"))
+
+
+def side_shift(smp: DataFrame, key: Sequence[str], raw: str, firm: float = 0.8, sharp: float = 45.0, weak: float = 0.15) -> DataFrame:
+    """Steady sideways shift of every sample of a line from raw proposals, NULL where there is none.
+
+    Proposals fade with the turn of the line and go out in sharp ones. A run of
+    proposals whose signs disagree too much is dropped, the minority signs of
+    the others too. The median of five and the mean of three smooth what is
+    left. Frames reach over a few samples and runs are counted in chunks, so a
+    line of any length is spread. Adds ``shift`` (0 where nothing is moved).
+    """
+    key = list(key)
+    spread, w, home = with_halo(smp, key, "n", 2, 2)
+
+    def two_off(c: str, step: Callable) -> Column:
+        return F.coalesce(step(c, 2).over(w), step(c, 1).over(w), F.col(c))
+
+    e1, n1 = F.col("px") - two_off("px", F.lag), F.col("py") - two_off("py", F.lag)
+    e2, n2 = two_off("px", F.lead) - F.col("px"), two_off("py", F.lead) - F.col("py")
+    at = spread.select("*", e1.alias("e1_"), n1.alias("n1_"), e2.alias("e2_"), n2.alias("n2_")).filter(home)
+    l1, l2 = geo.span(F.col("e1_"), F.col("n1_")), geo.span(F.col("e2_"), F.col("n2_"))
+    dot = (F.col("e1_") * F.col("e2_") + F.col("n1_") * F.col("n2_")) / (l1 * l2)
+    turn = F.when((l1 < 1) | (l2 < 1), 0.0).otherwise(F.degrees(F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), dot)))))
+    fade = F.greatest(F.lit(0.0), F.lit(1.0) - turn / sharp)
+    faded = at.withColumn("k_", fade).select(*smp.columns, F.when(F.round("k_", 12) > weak, F.col(raw) * F.col("k_")).alias("s_"))
+    runs = chunked_total(faded, key, "n", F.col("s_").isNull().cast("long"), "stretch_")
+    signs = runs.filter("s_ IS NOT NULL").groupBy(*key, "stretch_").agg(F.count_if(F.col("s_") > 0).alias("up_"), F.count_if(F.col("s_") < 0).alias("down_"))
+    agreed = runs.join(signs, [*key, "stretch_"], "left")
+    main = F.when(F.col("up_") >= F.col("down_"), 1).otherwise(-1)
+    trust = (F.greatest("up_", "down_") / F.greatest(F.lit(1), F.col("up_") + F.col("down_")) >= firm) & (F.col("s_") * main >= 0)
+    guarded = agreed.withColumn("g_", F.coalesce(F.when(trust, F.col("s_")), F.lit(0.0))).select(*smp.columns, "g_")
+    spread, w, home = with_halo(guarded, key, "n", 3, 3)
+    frame = F.array_sort(F.collect_list("g_").over(w.rowsBetween(-2, 2)))
+    mid = spread.withColumn("l_", frame).withColumn("m_", F.element_at("l_", (F.floor(F.size("l_") / 2) + 1).cast("int")))
+    return mid.withColumn("shift", F.avg("m_").over(w.rowsBetween(-1, 1))).filter(home).select(*smp.columns, "shift")
+
+
+def shift_report(shifted: DataFrame, key: Sequence[str], raw: str, least: float = 0.75) -> DataFrame:
+    """Per line: samples, share that looks on the road, share that is moved; lines of fewer than three samples have neither."""
+    n = F.count(F.lit(1))
+    look = F.count(raw)
+    out = shifted.groupBy(*key).agg(n.alias("n"), look.alias("look_"), F.count_if(F.abs(F.round("shift", 9)) >= least).alias("moved_"))
+    some = (F.col("n") >= 3) & (F.col("look_") > 0)
+    return out.select(*key, "n", F.when(some, F.col("look_") / F.col("n")).otherwise(0.0).alias("look_share"), F.when(some, F.col("moved_") / F.col("n")).otherwise(0.0).alias("moved_share"))

@@ -160,6 +160,24 @@ def percentile_rank(df: DataFrame, value: str, out: str, eligible: Column | None
     return percentile_ranks(df, {out: value}, eligible, key)
 
 
+def row_numbers(df: DataFrame, group: Sequence[str], order: Sequence[Column], out: str = "ord") -> DataFrame:
+    """Place of every row in its group, from 1, in an order without ties.
+
+    Rows are cut into ranges of (group, order); places inside a range are a
+    window over the range, and ranges before it add their counts. The ranges are
+    written, so their numbers hold; a group of any size is as many ranges as it
+    needs.
+    """
+    group = list(group)
+    part = f"{out}_part_"
+    cut = settle(df.repartitionByRange(shuffle_width(df.sparkSession), *group, *order).withColumn(part, F.spark_partition_id()), "ranges")
+    local = cut.withColumn("in_", F.row_number().over(Window.partitionBy(*group, part).orderBy(*order)))
+    before = Window.partitionBy(*(group or [F.lit(0)])).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    sums = cut.groupBy(*group, part).agg(F.count(F.lit(1)).alias("n_"))
+    offsets = sums.select(*group, part, F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("off_"))
+    return null_safe_join(local, offsets, [*group, part]).withColumn(out, F.col("in_") + F.col("off_")).drop(part, "in_", "off_")
+
+
 def chunked_total(
     df: DataFrame, group: Sequence[str], pos: str, value: Column, out: str, chunk: int = 65536
 ) -> DataFrame:

@@ -116,6 +116,18 @@ def snk_01_parts(spark, sf):
     return g.select("segment_id", F.size("parts").alias("n_parts"), F.size(F.col("parts")[0]).alias("n_rings"), F.round(geo.parts_area(F.col("parts")), 6).alias("area"), inside.alias("has_point_of_hole"))
 
 
+@query("agg_15_dissolved_outlines", cte("segments") + f"""SELECT suburb, count(*) AS members, sum(CASE WHEN segment_id%3=0 THEN 2 ELSE 1 END)::BIGINT AS n_parts, round(sum({_BOX}*CASE WHEN segment_id%3=0 THEN 0.75 ELSE 0.9375 END),5) AS area, min(ward) AS ward,
+ round(min(minx),4) AS west, round(max(maxy),4) AS north FROM segments WHERE suburb IS NOT NULL GROUP BY 1""")
+def agg_15_outlines(spark, sf):
+    """Outlines of a suburb's segments gathered into geometries of several parts, written as WKB and read again."""
+    path = scratch_path(spark, "areas")
+    own = _outlines(spark, sf).join(layer(spark, sf, "segments").select("segment_id", "suburb", "ward"), "segment_id")
+    K.write_geo_parts(A.dissolved(own, "suburb", "parts", "segment_id", [F.min("ward").alias("ward")], per_piece=100), path, "parts", F.lit(MULTIPOLYGON))
+    g = I.read_geo_parts(spark, path).withColumns(geo.parts_bounds(F.col("parts")))
+    return g.groupBy("suburb").agg(F.sum("n").alias("members"), F.sum(F.size("parts")).alias("n_parts"), F.round(F.sum(geo.parts_area(F.col("parts"))), 5).alias("area"), F.min("ward").alias("ward"),
+                                   F.round(F.min("minx"), 4).alias("west"), F.round(F.max("maxy"), 4).alias("north"))
+
+
 @query("prj_14_geometry_parts", cte("segments") + f"""SELECT segment_id, 0 AS part_no, round({_BOX}*0.9375,6) AS area FROM segments WHERE segment_id%3<>0
  UNION ALL SELECT segment_id, 0, round({_BOX}*0.25,6) FROM segments WHERE segment_id%3=0 UNION ALL SELECT segment_id, 1, round({_BOX}*0.5,6) FROM segments WHERE segment_id%3=0""")
 def prj_14_parts(spark, sf):
@@ -261,6 +273,21 @@ def st_02(spark, sf):
     return out.select(F.col("start_at").cast("timestamp_ntz").alias("start_at"), "n", "n_failed", F.round("sum_value", 4).alias("sum_value"), "max_value")
 
 
+_GROWTH = "ln(1.01e0/0.99e0)"
+_BUCKET = f"CASE WHEN value>0 THEN CAST(ceil(ln(value)/{_GROWTH}) AS INTEGER) ELSE {T.LOWEST} END"
+
+
+@query("st_02_timing_quantiles_stream", f"""WITH b AS (SELECT date_trunc('hour', ts) AS start_at, {_BUCKET} AS bucket, count(*) AS n FROM events WHERE value IS NOT NULL AND NOT isnan(value) GROUP BY 1,2),
+ c AS (SELECT *, sum(n) OVER (PARTITION BY start_at ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY start_at) AS total, CASE WHEN bucket={T.LOWEST} THEN 0 ELSE exp(bucket*{_GROWTH})*0.99e0 END AS mid FROM b)
+SELECT start_at, max(total)::BIGINT AS n, round(min(CASE WHEN upto>floor(0.5e0*(total-1)) THEN mid END),6) AS p50, round(min(CASE WHEN upto>floor(0.95e0*(total-1)) THEN mid END),6) AS p95 FROM c GROUP BY 1""")
+def st_02_timing(spark, sf):
+    """A streaming run whose state is a mergeable sketch per hour: median and 95th percentile of a timing."""
+    ev = T.open_stream(spark, sf).withWatermark("at", "2 hours")
+    counts = T.run_updates(T.timing_counts(ev), ["start_at", "bucket"], "timing")
+    out = T.timing_quantiles(counts, {"p50": 0.5, "p95": 0.95})
+    return out.select(F.col("start_at").cast("timestamp_ntz").alias("start_at"), "n", *[F.round(c, 6).alias(c) for c in ("p50", "p95")])
+
+
 @query("px_01_choice_win_rates", """SELECT l_returnflag AS scenario, 'discount' AS attribute, CAST(floor(l_discount*100) AS BIGINT) AS level, round(avg((l_linestatus='F')::INT),6) AS win_rate, count(*) AS n FROM lineitem GROUP BY 1,2,3
 UNION ALL SELECT l_returnflag, 'quantity', CAST(floor(l_quantity/10) AS BIGINT), round(avg((l_linestatus='F')::INT),6), count(*) FROM lineitem GROUP BY 1,2,3""")
 def px_01(spark, sf):

@@ -136,6 +136,16 @@ def jn_18(spark, sf):
     return _route_out(R.score_routes(p, scored_segments(spark, sf), "route_id"))
 
 
+@query("udf_01_route_score_function", f"WITH sc AS ({_route_sql('route_overlap')}) SELECT route_id, distance_m, day_index_score, confidence FROM sc WHERE route_id%7=0")
+def udf_01(spark, sf):
+    """The route score called from SQL as a table function."""
+    r = routes(spark, sf)
+    scores = _route_out(R.score_routes(N.pieces(r, ["route_id"]), scored_segments(spark, sf), "route_id"))
+    R.register_route_scores(spark, scores, "route_id", "strideframe_route_scores")
+    r.select("route_id").createOrReplaceTempView("strideframe_routes")
+    return spark.sql("SELECT r.route_id, s.distance_m, s.day_index_score, s.confidence FROM strideframe_routes r, LATERAL strideframe_route_scores(r.route_id) s WHERE r.route_id % 7 = 0")
+
+
 @query("jn_20_route_scores_by_segment_length", _route_sql("segment_length"))
 def jn_20(spark, sf):
     p = N.pieces(routes(spark, sf), ["route_id"])

@@ -6,11 +6,15 @@ batch table and on a stream with a watermark.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
 
+#: relative error of timing quantiles, and the bucket of values that have no logarithm
+ACCURACY, LOWEST = 0.01, -(1 << 30)
 EVENT_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
@@ -32,6 +36,36 @@ def outcome_rates(events: DataFrame, failed: Column, width: str = "1 hour") -> D
     ).select(F.col("w.start").alias("start_at"), "n", "n_failed", "sum_value", "max_value")
 
 
+def timing_counts(events: DataFrame, value: str = "value", width: str = "1 hour", accuracy: float = ACCURACY) -> DataFrame:
+    """Quantile sketch of a timing per window, as rows: counts of values in buckets that grow by a fixed factor.
+
+    The counts are the state of the stream under the watermark: sums, so they
+    merge in any order and a replayed batch adds nothing. A bucket is as wide
+    as ``accuracy`` allows on either side of its middle, whatever the values,
+    so a window has a few hundred buckets for each power of ten. Values of zero
+    and less share the bucket of the smallest number; missing ones have none.
+    """
+    growth = math.log((1 + accuracy) / (1 - accuracy))
+    bucket = F.when(F.col(value) > 0, F.ceil(F.log(F.col(value)) / growth).cast("int"))
+    live = events.filter(F.col(value).isNotNull() & ~F.isnan(value))
+    return live.groupBy(F.window("at", width).alias("w"), F.coalesce(bucket, F.lit(LOWEST)).alias("bucket")).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start_at"), "bucket", "n")
+
+
+def timing_quantiles(counts: DataFrame, qs: dict[str, float], accuracy: float = ACCURACY) -> DataFrame:
+    """Quantiles of each window from its bucket counts, within ``accuracy`` of the value of that rank.
+
+    The rank is floor(q * (n - 1)), from 0. The window over buckets holds one
+    time window's buckets, which ``accuracy`` bounds, never its events.
+    """
+    from pyspark.sql import Window
+
+    growth = math.log((1 + accuracy) / (1 - accuracy))
+    order = Window.partitionBy("start_at").orderBy("bucket")
+    ranked = counts.withColumns({"upto": F.sum("n").over(order), "total": F.sum("n").over(Window.partitionBy("start_at"))})
+    middle = F.when(F.col("bucket") == LOWEST, 0.0).otherwise(F.exp(F.col("bucket") * growth) * (1 - accuracy))
+    return ranked.groupBy("start_at").agg(F.max("total").alias("n"), *[F.min(F.when(F.col("upto") > F.floor(F.lit(q) * (F.col("total") - 1)), middle)).alias(name) for name, q in qs.items()])
+
+
 def open_stream(spark: SparkSession, folder: str, glob: str = "events.parquet") -> DataFrame:
     return with_event_time(spark.readStream.schema(EVENT_SCHEMA).option("pathGlobFilter", glob).parquet(folder))
 
