@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from ..functions import geo
+from .grid import box_point_pairs
 from .ordering import chunked_total, with_halo
 
 
@@ -236,3 +237,22 @@ def shift_report(shifted: DataFrame, key: Sequence[str], raw: str, least: float
     out = shifted.groupBy(*key).agg(n.alias("n"), look.alias("look_"), F.count_if(F.abs(F.round("shift", 9)) >= least).alias("moved_"))
     some = (F.col("n") >= 3) & (F.col("look_") > 0)
     return out.select(*key, "n", F.when(some, F.col("look_") / F.col("n")).otherwise(0.0).alias("look_share"), F.when(some, F.col("moved_") / F.col("n")).otherwise(0.0).alias("moved_share"))
+
+
+def sample_class_share(smp: DataFrame, probes: DataFrame, key: Sequence[str], probe: str, is_road: str, radius: float, least: int = 3, limit: float = 0.28, side: float = 200.0) -> DataFrame:
+    """Share of a line's samples whose nearest probe is a carriageway, and whether that rejects the line.
+
+    ``probes`` are straight pieces (``probe, x1..y2``) that are a road or not; a
+    sample without one in reach is unknown, and a line with fewer than ``least``
+    known samples has no share and is not rejected. Ties go to the smaller probe.
+    """
+    key = list(key)
+    boxed = probes.select(probe, is_road, "x1", "y1", "x2", "y2", F.least("x1", "x2").alias("minx"), F.least("y1", "y2").alias("miny"), F.greatest("x1", "x2").alias("maxx"), F.greatest("y1", "y2").alias("maxy"))
+    pairs = box_point_pairs(boxed, smp.select(*key, "n", "px", "py"), side, radius)
+    gap = F.round(geo.point_piece_distance(F.col("px"), F.col("py"), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")), 6)
+    near = pairs.withColumn("gap_", gap).filter(F.col("gap_") <= radius)
+    known = near.groupBy(*key, "n").agg(F.min_by(is_road, F.struct("gap_", probe)).alias("road_"))
+    per = known.groupBy(*key).agg(F.count(F.lit(1)).alias("known"), F.count_if("road_").alias("roads_"))
+    lines_ = smp.select(*key).distinct().join(per, key, "left")
+    share = F.when(F.col("known") >= least, F.col("roads_") / F.col("known"))
+    return lines_.select(*key, F.coalesce("known", F.lit(0)).alias("known"), share.alias("road_share"), F.coalesce(share > limit, F.lit(False)).alias("rejected"))

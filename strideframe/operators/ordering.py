@@ -53,7 +53,8 @@ def cumulative_counts(
     group = list(group)
     live = df.filter(F.col(value).isNotNull())
     cnt = F.count(F.lit(1)) if weight is None else F.sum(weight)
-    counts = live.groupBy(*group, value).agg(cnt.alias("cnt"))
+    # read three times: for their number, for the split points, and for the ranges
+    counts = settle(live.groupBy(*group, value).agg(cnt.alias("cnt")), "distinct-values")
     bounds = F.coalesce(range_bounds(counts, value), F.array().cast("array<double>"))
     cut = (
         counts.withColumn("bounds_", bounds)
