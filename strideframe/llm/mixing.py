@@ -79,13 +79,14 @@ def _due(demand: Column, a: Column, b: Column) -> Column:
 
 def plan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", schedules: tuple[tuple[float, float], ...] = SCHEDULES,
          passes: int = MOST_PASSES, slice_rows: int = SLICE_ROWS) -> DataFrame:
-    """Per distinct (doc_id, source, size): these, copies, source_size, target, w0, w1, begins, counts.
+    """Per distinct (doc_id, source, size): these, copies, source_size, target, w0, w1, begins, counts, n_passes, taken.
 
     Rows equal in all three stand one after another, their number in ``copies``.
     ``begins`` are the words before the first of them in each pass, ``counts``
     how many of them that pass takes: those whose middle lies within the target,
     so a source misses its target by half a document at most, however many
-    copies a document has. Null text and empty text have size 0 and are never
+    copies a document has. ``n_passes`` and ``taken`` are the passes and words
+    taken of a copy, the mean where copies differ. Null text and empty text have size 0 and are never
     taken. A null source is a source of its own. The order within a source is by
     md5 of doc_id (null: of the empty text), then doc_id and size, so reruns agree.
     """
@@ -109,7 +110,9 @@ def plan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: st
     begins = F.transform(F.sequence(F.lit(0), F.lit(passes - 1)), lambda k: (start + k * F.col("source_size")).cast("double"))
     room = F.transform("begins", lambda x: F.floor(F.try_divide(F.col("target") - x, F.col("size")) + 0.5))
     counts = F.when(F.col("size") > 0, F.transform(room, lambda n: F.greatest(F.lit(0), F.least(F.col("copies"), n)))).otherwise(F.transform("begins", lambda x: F.lit(0).cast("bigint")))
-    return placed.withColumn("begins", begins).select("doc_id", "source", "size", "copies", "source_size", "target", "w0", "w1", "begins", counts.alias("counts"))
+    out = placed.withColumn("begins", begins).select("doc_id", "source", "size", "copies", "source_size", "target", "w0", "w1", "begins", counts.alias("counts"))
+    out = out.withColumn("n_passes", F.aggregate("counts", F.lit(0).cast("bigint"), lambda a, n: a + n) / F.col("copies"))
+    return out.withColumn("taken", F.col("size") * F.col("n_passes"))
 
 
 def _positions(unit: Column, nth: Column) -> Column:
