@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from strideframe.operators import corridor, graph, lines, ordering, outings
+from strideframe.operators import corridor, graph, lines, ordering, outings, reports, routes
 from strideframe.operators import aggregates as A
 from strideframe.operators import kernels as K
 from strideframe.streaming import sessions as T
@@ -225,3 +225,35 @@ def test_timing_quantiles_are_within_a_hundredth(spark):
     for name, q in (("p50", 0.5), ("p95", 0.95)):
         want = ranked[int(q * (len(values) - 1))]
         assert abs(row[name] - want) <= 0.0101 * want
+
+
+def test_even_points_are_interpolated_like_the_plain_rule():
+    rng = np.random.default_rng(11)
+    shapes = [rng.uniform([145, -38], [145.1, -37.9], (k, 2)) for k in (2, 5, 1, 9)] + [np.zeros((0, 2)), np.repeat(rng.uniform(0, 1, (1, 2)), 3, axis=0), np.array([[0.0, 0], [0, 0], [1, 0], [1, 0], [1, 1]])]
+    xy = pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))
+    line = pa.array([[{"x": a, "y": b} for a, b in s] for s in shapes], xy)
+    got = routes.even_points.func(line, pa.array([7, 4, 3, 7, 7, 5, 5])).to_pylist()
+    assert got[4] is None
+    for s, k, g in zip(shapes, [7, 4, 3, 7, 7, 5, 5], got, strict=True):
+        if len(s):
+            a, b = s.T
+            far = np.concatenate([[0], np.cumsum(np.hypot(np.diff(a) * np.cos(np.radians((b[1:] + b[:-1]) / 2)), np.diff(b)))])
+            at = np.linspace(0, far[-1], k)
+            want = np.stack((np.interp(at, far, a), np.interp(at, far, b)), 1) if far[-1] else np.repeat(s[:1], k, axis=0)
+            assert np.allclose([(p["x"], p["y"]) for p in g], want, atol=1e-9)
+
+
+def test_road_share_of_samples(spark):
+    smp = spark.createDataFrame([(r, n, 10.0 * n, float(r)) for r in (1, 2, 3) for n in range(6)], "route_id int, n long, px double, py double")
+    probes = spark.createDataFrame([(7, True, 0.0, 2.0, 25.0, 2.0), (5, False, 0.0, 2.0, 60.0, 2.0), (9, True, 38.0, 2.5, 60.0, 2.5)], "pid int, road boolean, x1 double, y1 double, x2 double, y2 double")
+    got = {r.route_id: (r.known, r.road_share, r.rejected) for r in lines.sample_class_share(smp, probes, ["route_id"], "pid", "road", 1.0).collect()}
+    # a tie between two probes goes to the smaller one; the third route's samples 4 and 5 are nearer to the road beside the path
+    assert got == {1: (6, 0.0, False), 2: (6, 0.0, False), 3: (6, 2 / 6, True)}
+    assert {r.route_id: r.known for r in lines.sample_class_share(smp, probes.filter("pid = 7"), ["route_id"], "pid", "road", 0.5).collect()} == {1: 0, 2: 3, 3: 0}
+
+
+def test_engine_report_takes_the_best_of_each_side(spark):
+    rows = [(1, 10, False, 7.0, 900.0, 0.5), (1, 11, False, 7.0, 800.0, 0.4), (1, 12, True, 7.3, 1000.0, 0.9), (1, 13, True, None, 700.0, 0.9), (2, 20, False, 5.0, 100.0, 0.1), (3, 30, False, 5.0, 100.0, 0.1), (3, 31, True, 5.01, 110.0, 0.2)]
+    df = spark.createDataFrame(rows, "od int, route int, challenger boolean, day double, distance_m double, coverage_ratio double")
+    got = {r.od: (r.control_day, r.challenger_day, r.control_cover, r.detour, r.winner) for r in reports.engine_report(df, "od", "route", "day").collect()}
+    assert got == {1: (7.0, 7.3, 0.5, round(1000 / 700, 6), "challenger"), 3: (5.0, 5.01, 0.1, 1.1, "tie")}
