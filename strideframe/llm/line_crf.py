@@ -271,7 +271,11 @@ def scores(docs: DataFrame, model: Model | None, doc_id: str = "doc_id", text: s
 
 
 def good_documents(docs: DataFrame, model: Model | None, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The documents with a score of at least ``threshold``, all columns and rows as they are."""
+    """The documents with a score of at least ``threshold``, all columns and rows as they are.
+
+    Null and empty texts count as one empty line; repeated rows share their
+    fate; without a model every score is 0.5; an empty table gives an empty one.
+    """
     field = docs.schema.names.index(text)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
