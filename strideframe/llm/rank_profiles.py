@@ -129,7 +129,10 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
 
     sample = known.join(F.broadcast(chosen) if few else chosen, ["doc_id", "lang"], "left_semi").select("lang", "t")
     total = sample.mapInArrow(scan, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    best = total.withColumn("place", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram"))).filter(F.col("place") <= size).toPandas()
+    best, share = total, F.pmod(F.xxhash64("gram"), F.lit(SHARES))
+    for group in (["lang", share], ["lang"]):
+        best = best.withColumn("place", F.row_number().over(W.partitionBy(*group).orderBy(F.desc("n"), "gram"))).filter(F.col("place") <= size)
+    best = best.toPandas()
     languages = sorted(best["lang"].unique())
     codes = np.unique(best["gram"].to_numpy(np.int64).view(np.uint64)) if len(best) else np.zeros(0, np.uint64)
     places = np.full((len(codes), len(languages)), size, dtype=np.int64)
