@@ -306,3 +306,19 @@ def test_hot_cells_are_split_on_either_side(spark, hot_side):
     assert l.groupBy(*on).count().agg(F.max("count")).first()[0] <= 120 and r.groupBy(*on).count().agg(F.max("count")).first()[0] <= 120
     got = sorted(tuple(x) for x in l.join(r, on).select("a", "b").collect())
     assert got == sorted((a, b) for a in range(1000) for b in range(10) if (a >= 900) == (b % 2 == 1))
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sides_that_grow_are_not_broadcast(scene):
+    _, _, segs, pts = scene
+    near = layers.nearest_point(segs, pts, "pid", 600.0, 100.0, "d")
+    inside = grid.box_point_pairs(segs.select(*layers.SHAPE), pts, 100.0, 25.0, split=False)
+    for df in (near, inside):
+        assert "BroadcastHashJoin" not in plan_of(df)
+    # the short list of hot cells may be
+    boxes = segs.select(F.col("segment_id").alias("other"), *[F.col(c).alias("r" + c) for c in grid.BOX])
+    both = plan_of(grid.box_box_pairs(segs.select(*layers.SHAPE), boxes, 100.0))
+    assert "SortMergeJoin [lvl" in both
