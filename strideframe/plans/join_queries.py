@@ -287,7 +287,7 @@ def jn_28(spark, sf):
     nodes = nodes.groupBy("nx", "ny").agg(F.min("node_id").alias("node_id")).select(
         "*", F.col("nx").alias("rminx"), F.col("ny").alias("rminy"), F.col("nx").alias("rmaxx"), F.col("ny").alias("rmaxy"))
     d = F.round(geo.span(F.col("x") - F.col("nx"), F.col("y") - F.col("ny")), 6)
-    near = G.nearest_pairs(c, nodes, "crash_id", 600.0, 300.0, d, F.col("node_id"), F.col("node_id"), anchor=("x", "y"))
+    near = G.nearest_pairs(c, nodes, "crash_id", 600.0, min(300.0, G.cell_side(nodes, "nx", "ny", per_cell=4.0)), d, F.col("node_id"), F.col("node_id"), anchor=("x", "y"))
     return near.select("crash_id", "node_id", F.col("distance").alias("metres"))
 
 
