@@ -16,10 +16,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from ..functions import geo
-from .grid import box_point_pairs
+from .grid import box_cells, box_point_pairs
 from .ordering import chunked_total, with_halo
 
 
+#: width of the cells in which samples of a line meet, in radii
+CELL_RADII = 4.0
+
+
 def pieces(lines: DataFrame, key: Sequence[str], line: str = "line") -> DataFrame:
     """Consecutive vertex pairs in draw order."""
     return lines.select(*key, F.posexplode(geo.line_edges(F.col(line))).alias("i", "e")).select(*key, "i", "e.*")
@@ -110,18 +114,25 @@ def _around(df: DataFrame, side: float) -> DataFrame:
     return c.withColumn("o_", F.explode(off)).withColumn("cx", F.col("cx") + F.col("o_.i")).withColumn("cy", F.col("cy") + F.col("o_.j")).drop("o_")
 
 
+def listed_near(df: DataFrame, radius: float) -> DataFrame:
+    """The row listed in the cells its radius meets: cells ``CELL_RADII`` times as wide, so some two of them and not nine."""
+    x, y = F.col("px"), F.col("py")
+    c = df.withColumn("c_", F.explode(box_cells(x - radius, y - radius, x + radius, y + radius, CELL_RADII * radius)))
+    return c.select(*df.columns, F.col("c_.cx").alias("cx"), F.col("c_.cy").alias("cy"))
+
+
 def near_any(left: DataFrame, right: DataFrame, key: Sequence[str], radius: float, extra: Column | None = None) -> DataFrame:
     """Left samples with a right sample of the same key within ``radius``.
 
     Right columns are prefixed ``r_`` in ``extra``. One row per left sample at
     most, however many neighbours there are.
     """
-    r = _cells(right, radius).select(*[F.col(c).alias(c if c in (*key, "cx", "cy") else f"r_{c}") for c in [*right.columns, "cx", "cy"]])
+    r = _cells(right, CELL_RADII * radius).select(*[F.col(c).alias(c if c in (*key, "cx", "cy") else f"r_{c}") for c in [*right.columns, "cx", "cy"]])
     cond = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in (*key, "cx", "cy")]
     cond.append((F.col("px") - F.col("r_px")) * (F.col("px") - F.col("r_px")) + (F.col("py") - F.col("r_py")) * (F.col("py") - F.col("r_py")) <= radius * radius)
     if extra is not None:
         cond.append(extra)
-    hit = _around(left, radius).alias("l").join(r.alias("r"), cond, "left_semi")
+    hit = listed_near(left, radius).alias("l").join(r.alias("r"), cond, "left_semi")
     return hit.drop("cx", "cy").distinct()
 
 

@@ -322,3 +322,17 @@ def test_sides_that_grow_are_not_broadcast(scene):
     boxes = segs.select(F.col("segment_id").alias("other"), *[F.col(c).alias("r" + c) for c in grid.BOX])
     both = plan_of(grid.box_box_pairs(segs.select(*layers.SHAPE), boxes, 100.0))
     assert "SortMergeJoin [lvl" in both
+
+
+def test_near_samples_are_listed_in_few_cells(spark):
+    rng = np.random.default_rng(5)
+    rows = [(int(k) % 3, n, float(x), float(y)) for n, (k, x, y) in enumerate(zip(rng.integers(0, 9, 400), rng.uniform(-150, 150, 400), rng.uniform(-150, 150, 400), strict=True))]
+    a, b = rows[::2], [*rows[1::2], (0, 999, 60.0, 60.0)]
+    a += [(0, 1001, 45.0, 60.0), (0, 1002, 75.0, 60.0), (0, 1003, 60.0, 75.5), (0, 1001, 45.0, 60.0)]  # at the rim, beyond it, and twice
+    cols = "route_id long, n long, px double, py double"
+    left = spark.createDataFrame(a + [(0, 1004, None, 1.0)], cols)
+    hit = lines.near_any(left, spark.createDataFrame(b, cols).drop("n"), ["route_id"], 15.0)
+    want = {r[1] for r in a if any(r[0] == s[0] and (r[2] - s[2]) ** 2 + (r[3] - s[3]) ** 2 <= 225 for s in b)}
+    assert sorted(r["n"] for r in hit.collect()) == sorted(want)
+    listed = lines.listed_near(left.filter("px IS NOT NULL"), 15.0).count()
+    assert listed < 3 * (len(a))
