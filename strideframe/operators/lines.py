@@ -7,7 +7,7 @@ and stop at the first hit (semi join).
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -33,57 +33,65 @@ _MEASURED = ArrayType(StructType([StructField("i", IntegerType()), *[StructField
 _SAMPLED = ArrayType(StructType([StructField("n", LongType()), *[StructField(c, DoubleType()) for c in ("along", "px", "py", "total")]]))
 
 
-def _lines_of(line: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """x and y of each line of a batch; a NULL line has no points."""
-    line = line.combine_chunks() if isinstance(line, pa.ChunkedArray) else line
-    flat = line.flatten()
-    x, y = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("x", "y"))
-    ends = np.cumsum(np.nan_to_num(line.value_lengths().to_numpy(zero_copy_only=False)).astype(int))
-    for lo, hi in zip(np.concatenate([[0], ends[:-1]]), ends, strict=True):
-        yield x[lo:hi], y[lo:hi]
-
-
-def _as_lists(sizes: list[int], columns: dict[str, np.ndarray]) -> pa.Array:
+class _Runs:
+    """Pieces of a batch of lines: their line, ends, length and the distance at their end; a NULL line has none."""
+
+    def __init__(self, line: pa.Array):
+        line = line.combine_chunks() if isinstance(line, pa.ChunkedArray) else line
+        flat = line.flatten()
+        x, y = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("x", "y"))
+        size = np.nan_to_num(line.value_lengths().to_numpy(zero_copy_only=False)).astype(int)
+        self.count = np.maximum(size - 1, 0)
+        self.line = np.repeat(np.arange(len(size)), self.count)
+        first = np.cumsum(self.count) - self.count
+        self.i = np.arange(len(self.line)) - first[self.line]
+        v = (np.cumsum(size) - size)[self.line] + self.i
+        self.x1, self.y1, self.x2, self.y2 = x[v], y[v], x[v + 1], y[v + 1]
+        self.length = np.hypot(self.x2 - self.x1, self.y2 - self.y1)
+        self.end = self.length.copy()
+        # summed piece by piece, for all lines that have that many pieces at once
+        live, k = np.flatnonzero(self.count > 1), 1
+        while len(live):
+            at = first[live] + k
+            self.end[at] += self.end[at - 1]
+            k += 1
+            live = live[self.count[live] > k]
+        self.last = (first + self.count - 1)[self.count > 0]
+
+
+def _as_lists(sizes: np.ndarray, columns: dict[str, np.ndarray]) -> pa.Array:
     offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
     return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(c) for c in columns.values()], names=list(columns)))
 
 
-def _stacked(parts: list[np.ndarray], dtype: type = float) -> np.ndarray:
-    return np.concatenate(parts) if parts else np.zeros(0, dtype)
-
-
 @F.arrow_udf(_MEASURED)
 def _measure(line: pa.Array) -> pa.Array:
-    sizes, cols = [], [[] for _ in range(7)]
-    for x, y in _lines_of(line):
-        length = np.hypot(np.diff(x), np.diff(y))
-        end = np.cumsum(length)
-        sizes.append(len(length))
-        for c, v in zip(cols, (x[:-1], y[:-1], x[1:], y[1:], length, end, end - length), strict=True):
-            c.append(v[:len(length)])
-    number = _stacked([np.arange(n, dtype=np.int32) for n in sizes], np.int32)
-    return _as_lists(sizes, {"i": number, **{n: _stacked(c) for n, c in zip(("x1", "y1", "x2", "y2", "len", "end_m", "start_m"), cols, strict=True)}})
+    r = _Runs(line)
+    return _as_lists(r.count, {"i": r.i.astype(np.int32), "x1": r.x1, "y1": r.y1, "x2": r.x2, "y2": r.y2, "len": r.length, "end_m": r.end, "start_m": r.end - r.length})
 
 
 @F.arrow_udf(_SAMPLED)
 def _sample(line: pa.Array, step: pa.Array) -> pa.Array:
-    sizes, cols = [], [[] for _ in range(5)]
-    for (x, y), s in zip(_lines_of(line), step.to_numpy(zero_copy_only=False), strict=True):
-        length = np.hypot(np.diff(x), np.diff(y))
-        if not len(length):
-            sizes.append(0)
-            continue
-        end = np.cumsum(length)
-        reach = np.floor(end / s + 1e-9)
-        n = np.arange(int(reach[-1]) + 1)
-        i = np.searchsorted(reach, n)
-        share = np.where(length[i] > 0, (n * s - (end - length)[i]) / np.where(length[i] > 0, length[i], 1), 0).clip(0, 1)
-        sizes.append(len(n) + 1)
-        px, py = x[i] + share * (x[i + 1] - x[i]), y[i] + share * (y[i + 1] - y[i])
-        for c, v in zip(cols, (np.append(n, len(n)), np.append(n * s, end[-1]), np.append(px, x[-1]), np.append(py, y[-1]), np.full(len(n) + 1, end[-1])), strict=True):
-            c.append(v)
-    names = ("n", "along", "px", "py", "total")
-    return _as_lists(sizes, {n: _stacked(c, np.int64 if n == "n" else float) for n, c in zip(names, cols, strict=True)})
+    r, s = _Runs(line), np.asarray(step.to_numpy(zero_copy_only=False), float)
+    # a piece holds the samples after those that the piece before it reaches; the end point comes after its line's last
+    reach = np.floor(r.end / s[r.line] + 1e-9).astype(np.int64)
+    before = np.where(r.i > 0, np.concatenate([[-1], reach[:-1]])[:len(reach)], -1)
+    held = reach - before
+    is_end = np.zeros(len(r.line), np.int64)
+    is_end[r.last] = 1
+    piece = np.repeat(np.arange(len(r.line)), held + is_end)
+    nth = np.arange(len(piece)) - (np.cumsum(held + is_end) - held - is_end)[piece]
+    n = before[piece] + 1 + nth
+    end = nth == held[piece]
+    at, length = n * s[r.line[piece]], r.length[piece]
+    share = np.where(length > 0, (at - (r.end[piece] - length)) / np.where(length > 0, length, 1), 0).clip(0, 1)
+    total = np.zeros(len(r.count))
+    total[r.line[r.last]] = r.end[r.last]
+    total = total[r.line[piece]]
+    px = np.where(end, r.x2[piece], r.x1[piece] + share * (r.x2[piece] - r.x1[piece]))
+    py = np.where(end, r.y2[piece], r.y1[piece] + share * (r.y2[piece] - r.y1[piece]))
+    sizes = np.bincount(r.line[piece], minlength=len(r.count))
+    return _as_lists(sizes, {"n": n, "along": np.where(end, total, at), "px": px, "py": py, "total": total})
 
 
 def along(lines: DataFrame, key: Sequence[str], line: str = "line") -> DataFrame:

@@ -51,7 +51,10 @@ def cards(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def routes(spark: SparkSession, sf: str) -> DataFrame:
-    """One row per route with its line; a route has as many points as distinct line numbers."""
-    p = spark.sql(ROUTE_POINTS, lineitem=table(spark, sf, "lineitem"))
+    """One row per route with its line; a route has as many points as distinct line numbers.
+
+    Order lines travel once, by route: points and lines are grouped where they are.
+    """
+    p = spark.sql(ROUTE_POINTS, lineitem=table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber").repartition("l_orderkey"))
     r = p.groupBy("route_id").agg(F.array_sort(F.collect_list(F.struct("pos", "x", "y"))).alias("p"))
     return r.select("route_id", F.transform("p", lambda q: F.struct(q["x"].alias("x"), q["y"].alias("y"))).alias("line"))
