@@ -42,17 +42,20 @@ def test_lines_over_each_other_leave_one_interval_of_a_piece(spark):
     assert round(spans[0]["lo"], 6) == 0.1 and round(spans[0]["hi"], 6) == 0.9
 
 
-def test_a_bent_way_is_measured_once_per_segment_without_a_shuffle_of_pairs(spark):
+def test_a_bent_way_is_measured_once_per_segment(spark):
     at = lambda *p: F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in p])
     ways = spark.range(1).select(F.lit(7).alias("way_id"), at((0.0, 0.0), (100.0, 0.0), (100.0, 50.0), (0.0, 50.0)).alias("line"))
     segs = spark.createDataFrame([(1, -20.0, -5.0, 130.0, 60.0, 10.0), (2, 95.0, 10.0, 105.0, 40.0, 90.0), (3, 500.0, 500.0, 510.0, 510.0, 1.0)], "segment_id int, minx double, miny double, maxx double, maxy double, day_s double")
     segs = segs.withColumn("ring", geo.box_ring("minx", "miny", "maxx", "maxy"))
-    out = layers.bent_way_scores(ways, segs, ("day_s",))
-    assert "any_value(sring" not in out._jdf.queryExecution().optimizedPlan().toString()
-    row = out.first()
+    row = layers.bent_way_scores(ways, segs, ("day_s",)).first()
+    twice = layers.bent_way_scores(ways, segs.unionByName(segs.filter("segment_id = 2")), ("day_s",)).first()
+    assert row["day_s"] == twice["day_s"] and row["common_m2"] == twice["common_m2"]  # a segment number counts once
     small = 10.0 * 30.0  # the second segment lies inside the buffer; the first is met by all three pieces and counts once
     assert row["common_m2"] < 2 * 150 * 65 and abs(row["day_s"] - ((row["common_m2"] - small) * 10 + small * 90) / row["common_m2"]) < 1e-6
     assert row["length_m"] == 250 and row["score_coverage"] == 1
+    # without repeated numbers no pair is grouped: the only rows that travel by way hold sums
+    pairs_met = layers.bent_way_scores(ways, segs, ("day_s",))._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" in pairs_met
 
 
 def test_samples_of_a_route_take_the_nearest_probe_and_the_smaller_of_ties(spark):
