@@ -105,6 +105,22 @@ def _row_key(df: DataFrame) -> Column:
     return F.struct(*[c for c, t in df.dtypes if not t.startswith(("map", "array", "struct", "variant"))])
 
 
+def box_point_cells(
+    areas: DataFrame, points: DataFrame, side: float, pad: float = 0.0, px: str = "px", py: str = "py", split: bool = True,
+) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Areas and points listed by cell, and the columns that are equal where they meet.
+
+    An area is listed at its own level only, and a point lies in one cell of
+    each level that areas have, so no pair meets twice.
+    """
+    left = by_cell(areas, side, pad).drop("own")
+    right = points.withColumn("levels_", levels_of(areas, side, pad)).withColumn("lvl", F.explode("levels_")).drop("levels_")
+    width = F.lit(float(side)) * F.pow(F.lit(2.0), F.col("lvl"))
+    right = right.withColumns({"cx": F.floor(F.col(px) / width), "cy": F.floor(F.col(py) / width)})
+    keys = ["lvl", "cx", "cy"]
+    return split_hot_cells(left, right, _row_key(left), F.struct(px, py), cell=keys) if split else (left, right, keys)
+
+
 def box_point_pairs(
     areas: DataFrame,
     points: DataFrame,
@@ -117,17 +133,9 @@ def box_point_pairs(
 ) -> DataFrame:
     """Pairs of an area row and a point row inside the area's padded box.
 
-    An area is listed at its own level only, and a point lies in one cell of
-    each level that areas have, so no pair comes out twice. Pairs come area by
-    area in a cell, or point by point (``by_point``).
+    Pairs come area by area in a cell, or point by point (``by_point``).
     """
-    left = by_cell(areas, side, pad).drop("own")
-    right = points.withColumn("levels_", levels_of(areas, side, pad)).withColumn("lvl", F.explode("levels_")).drop("levels_")
-    width = F.lit(float(side)) * F.pow(F.lit(2.0), F.col("lvl"))
-    right = right.withColumns({"cx": F.floor(F.col(px) / width), "cy": F.floor(F.col(py) / width)})
-    keys = ["lvl", "cx", "cy"]
-    if split:
-        left, right, keys = split_hot_cells(left, right, _row_key(left), F.struct(px, py), cell=keys)
+    left, right, keys = box_point_cells(areas, points, side, pad, px, py, split)
     inside = (
         (F.col(px) >= F.col("minx") - pad)
         & (F.col(px) <= F.col("maxx") + pad)
@@ -138,6 +146,21 @@ def box_point_pairs(
     return met.filter(inside).drop(*keys)
 
 
+def box_box_cells(
+    left: DataFrame,
+    right: DataFrame,
+    side: float,
+    pad: float = 0.0,
+    lbox: Sequence[str] = BOX,
+    rbox: Sequence[str] = ("rminx", "rminy", "rmaxx", "rmaxy"),
+    on: Sequence[str] = (),
+) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides listed by cell, whether at their own level (``lown_``, ``rown_``), and the columns that are equal where they meet."""
+    a = by_cell(left, side, pad, lbox, levels_of(right, side, 0.0, rbox)).withColumnRenamed("own", "lown_")
+    b = by_cell(right, side, 0.0, rbox, levels_of(left, side, pad, lbox)).withColumnRenamed("own", "rown_")
+    return split_hot_cells(a, b, _row_key(a), _row_key(b), cell=("lvl", "cx", "cy", *on))
+
+
 def box_box_pairs(
     left: DataFrame,
     right: DataFrame,
@@ -153,9 +176,7 @@ def box_box_pairs(
     may span several cells there; a pair is kept only in the cell that holds the
     lower corner of the common box, so no duplicate has to be dropped.
     """
-    a = by_cell(left, side, pad, lbox, levels_of(right, side, 0.0, rbox)).withColumnRenamed("own", "lown_")
-    b = by_cell(right, side, 0.0, rbox, levels_of(left, side, pad, lbox)).withColumnRenamed("own", "rown_")
-    a, b, keys = split_hot_cells(a, b, _row_key(a), _row_key(b), cell=("lvl", "cx", "cy", *on))
+    a, b, keys = box_box_cells(left, right, side, pad, lbox, rbox, on)
     lx0, ly0, lx1, ly1 = (F.col(c) for c in lbox)
     rx0, ry0, rx1, ry1 = (F.col(c) for c in rbox)
     touch = (rx0 <= lx1 + pad) & (rx1 >= lx0 - pad) & (ry0 <= ly1 + pad) & (ry1 >= ly0 - pad)

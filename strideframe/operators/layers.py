@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from . import kernels as K
+from .cellwise import metres_inside, near_totals, touched
 from .grid import box_box_pairs, box_point_pairs, cell_side, nearest_pairs
 from .lines import covered_metres, merged_spans
 
@@ -22,6 +23,8 @@ LIGHT_NEAR_M, LIGHT_FAR_M, PARK_LIGHT_M, BENCH_M = 30.0, 50.0, 50.0, 50.0
 FOUNTAIN_BANDS = (100, 200)
 CROSSING_BANDS = (20, 50)
 CRASH_YEARS = 5
+#: positions wished for in a cell whose pairs are measured in one task, and how much wider it may get for them
+GROUP_POINTS, GROUP_SIDES = 2000.0, 16.0
 SHAPE = ("segment_id", "minx", "miny", "maxx", "maxy", "ring")
 ANCHORED = (*SHAPE, "x", "y")
 
@@ -63,11 +66,19 @@ def near_pairs(segments: DataFrame, positions: DataFrame, radius: float, side: f
 
 def corridor_stats(
     segments: DataFrame, points: DataFrame, radius: float, pre: dict[str, Column], post: dict[str, Column],
-    px: str = "px", py: str = "py",
+    px: str = "px", py: str = "py", bands: tuple[float, ...] = (), largest: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Aggregates of the points near each segment, from one join for any number of measures."""
-    pairs = near_pairs(segments, at_positions(points, pre, px, py), radius)
-    return pairs.groupBy("segment_id").agg(*[v.alias(k) for k, v in post.items()])
+    """Aggregates of the points near each segment, from one join for any number of measures.
+
+    The aggregates ``pre`` of a position are summed over the positions near a
+    segment, or the largest is taken (``largest``), in the cell where both meet
+    (see ``cellwise``). ``post`` sees such totals, with the smallest of ``bands``
+    and ``radius`` that holds them as ``dist``.
+    """
+    side = max(100.0, 4 * radius)
+    side = max(side, min(GROUP_SIDES * side, cell_side(points, px, py, per_cell=GROUP_POINTS)))
+    totals = near_totals(outlined(segments).select(*SHAPE), at_positions(points, pre, px, py), "segment_id", (*bands, radius), largest, side)
+    return totals.groupBy("segment_id").agg(*[v.alias(k) for k, v in post.items()])
 
 
 def filled(segments: DataFrame, stats: DataFrame, zeros: tuple[str, ...] = (), falses: tuple[str, ...] = ()) -> DataFrame:
@@ -84,7 +95,7 @@ def count_within(segments: DataFrame, points: DataFrame, bands: dict[str, float]
     """Counts for several radii from the join of the widest one."""
     pre = {"n_": F.count(F.lit(1))}
     post = {name: F.sum(F.when(F.col("dist") <= r, F.col("n_")).otherwise(0)) for name, r in bands.items()}
-    return filled(segments, corridor_stats(segments, points, max(bands.values()), pre, post, px, py), tuple(bands))
+    return filled(segments, corridor_stats(segments, points, max(bands.values()), pre, post, px, py, tuple(bands.values())), tuple(bands))
 
 
 def nearest_point(
@@ -141,6 +152,16 @@ def line_pairs(segments: DataFrame, lines: DataFrame, pad: float, side: float |
     return box_box_pairs(outlined(segments).select(*SHAPE), lines, side or max(200.0, 4 * pad), pad)
 
 
+def line_metres(segments: DataFrame, lines: DataFrame, value: str, radius: float) -> DataFrame:
+    """Metres of the lines of each ``value`` inside a segment (radius 0) or its corridor, in rows that are summed per cell."""
+    return metres_inside(outlined(segments).select(*SHAPE), lines, "segment_id", value, radius, max(200.0, 4 * radius))
+
+
+def with_line_near(segments: DataFrame, lines: DataFrame, radius: float) -> DataFrame:
+    """Keys of the segments with a line within ``radius``."""
+    return touched(outlined(segments).select(*SHAPE), lines, "segment_id", radius, max(400.0, 4 * radius)).distinct()
+
+
 def line_length_inside(segments: DataFrame, lines: DataFrame, radius: float) -> DataFrame:
     """Metres of each line piece inside a segment (radius 0) or its corridor."""
     pairs = line_pairs(segments, lines, radius)
@@ -152,14 +173,14 @@ def line_length_inside(segments: DataFrame, lines: DataFrame, radius: float) ->
 def speed_zone_stats(segments: DataFrame, zones: DataFrame) -> DataFrame:
     """Corridor, overlap and nearest-line statistics of speed zones per segment."""
     zones = zones.filter(F.col("speed_limit_kmh").isNotNull())
-    inside = line_length_inside(segments, zones, CORRIDOR_M)
+    inside = line_metres(segments, zones, "speed_limit_kmh", CORRIDOR_M)
     by_value = inside.groupBy("segment_id", "speed_limit_kmh").agg(F.sum("metres").alias("m_"))
     corridor = by_value.groupBy("segment_id").agg(
         F.max("speed_limit_kmh").alias("speed_corridor_max_kmh"),
         F.max_by("speed_limit_kmh", F.struct(F.round("m_", 6), -F.col("speed_limit_kmh"))).alias("speed_corridor_dominant_kmh"),
         F.sum("m_").alias("speed_corridor_line_m"),
     )
-    overlap = line_length_inside(segments, zones, 0.0).groupBy("segment_id").agg(
+    overlap = line_metres(segments, zones, "speed_limit_kmh", 0.0).groupBy("segment_id").agg(
         F.sum("metres").alias("speed_intersect_overlap_m"), F.max("speed_limit_kmh").alias("speed_intersect_max_kmh")
     )
     near = nearest_line(segments, zones, "zone_id", "speed_limit_kmh", 500.0, 250.0)
@@ -181,7 +202,7 @@ def graffiti_stats(segments: DataFrame, graffiti: DataFrame, run_date: str) -> D
         "graffiti_count_25m_365d": F.sum("rec_"), "graffiti_days_since_last": F.datediff(run, F.max("last_")),
         "graffiti_mean_days_to_remove": F.try_divide(F.sum("dsum_"), F.sum("dn_")),
     }
-    s = corridor_stats(segments, graffiti, CORRIDOR_M, pre, post, "x", "y")
+    s = corridor_stats(segments, graffiti, CORRIDOR_M, pre, post, "x", "y", largest=("last_",))
     return filled(segments, s, ("graffiti_count_25m", "graffiti_offensive_count_25m", "graffiti_count_25m_365d"))
 
 
@@ -198,7 +219,7 @@ def crash_stats(segments: DataFrame, crashes: DataFrame, run_date: str) -> DataF
         "crash_ped_count_25m": F.sum("n_"), "crash_ped_count_25m_5y": F.sum("r_"), "crash_night_count_25m": F.sum("d_"),
         "crash_night_count_25m_5y": F.sum("b_"), "crash_days_since_last": F.datediff(run, F.max("last_")),
     }
-    s = corridor_stats(segments, crashes, CORRIDOR_M, pre, post, "x", "y")
+    s = corridor_stats(segments, crashes, CORRIDOR_M, pre, post, "x", "y", largest=("last_",))
     return filled(segments, s, tuple(list(post)[:4]))
 
 
