@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -202,6 +203,37 @@ def touched(outlines: DataFrame, lines: DataFrame, key: str, radius: float, side
     return together(left, right, keys, step, schema)
 
 
+def first_touching(outlines: DataFrame, lines: DataFrame, key: str, line: str, value: str, side: float) -> DataFrame:
+    """Per outline and cell the line with the smallest ``line`` of those that enter it (at a distance that rounds to 0), and its ``value``.
+
+    Lines are looked at in their order, a few at first, then twice as many, and
+    an outline stops at the first that enters it.
+    """
+    schema = StructType([StructField(key, outlines.schema[key].dataType), *[StructField(c, lines.schema[c].dataType) for c in (line, value)]])
+    left, right, keys = box_box_cells(outlines.select(key, *BOX, "ring"), lines.select(line, value, *ENDS, *RBOX), side)
+
+    def step(a: pa.Table, b: pa.Table) -> pa.Table:
+        # NULL first, as Spark orders it
+        b = b.take(pc.sort_indices(b, sort_keys=[(line, "ascending")], null_placement="at_start"))
+        sides, box, ends, pieces = K._Sides(a.column("ring")), _numbers(a, BOX), _numbers(b, ENDS), _numbers(b, RBOX)
+        live, done, many = np.arange(a.num_rows), 0, 8
+        first = np.full(a.num_rows, b.num_rows)
+        while len(live) and done < b.num_rows:
+            now = min(many, b.num_rows - done)
+            for owner, p in _spread(live, np.full(len(live), done), np.full(len(live), now)):
+                near = (pieces[0][p] <= box[2][owner]) & (pieces[2][p] >= box[0][owner]) & (pieces[1][p] <= box[3][owner]) & (pieces[3][p] >= box[1][owner])
+                owner, p = owner[near], p[near]
+                enters = K.piece_gaps(sides.taken(owner), *(v[p] for v in ends)) < 5e-7
+                np.minimum.at(first, owner[enters], p[enters])
+            live = live[first[live] == b.num_rows]
+            done, many = done + now, many * 2
+        found = np.flatnonzero(first < b.num_rows)
+        of = b.take(pa.array(first[found]))
+        return pa.table({key: a.column(key).take(pa.array(found)), line: of.column(line), value: of.column(value)})
+
+    return together(left, right, keys, step, schema)
+
+
 def metres_inside(outlines: DataFrame, lines: DataFrame, key: str, value: str, radius: float, side: float) -> DataFrame:
     """Metres of the lines of each ``value`` inside an outline (radius 0) or its corridor: one row per outline, value and cell."""
     schema = StructType([StructField(key, outlines.schema[key].dataType), StructField(value, lines.schema[value].dataType), StructField("metres", DoubleType())])

@@ -12,9 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from ..session import settle
 from . import kernels as K
-from .cellwise import metres_inside, near_totals, touched
-from .grid import box_box_pairs, box_point_pairs, cell_side, nearest_pairs
+from .cellwise import first_touching, metres_inside, near_totals, touched
+from .grid import box_box_pairs, box_point_pairs, cell_side, meet, nearest_pairs
 from .lines import covered_metres, merged_spans
 
 # Fixed values of the joins, metres.
@@ -136,15 +137,23 @@ def split_pieces(lines: DataFrame, longest: float) -> DataFrame:
 
 
 def nearest_line(segments: DataFrame, lines: DataFrame, key: str, value: str, max_distance: float, side: float) -> DataFrame:
-    """Distance to the nearest line and its value; ties to the smallest key."""
+    """Distance to the nearest line and its value; ties to the smallest key.
+
+    Where lines are dense most segments are entered by many: the first of them
+    is found in its cells, and only the other segments search around.
+    """
     pieces = split_pieces(lines.select(key, value, "x1", "y1", "x2", "y2"), side)
     ends = [F.col(c) for c in ("x1", "y1", "x2", "y2")]
     dist = F.round(K.ring_piece_distance("ring", *ends), 6)
+    shapes = outlined(segments).select(*ANCHORED).filter("segment_id IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL")
+    entered = first_touching(shapes, pieces, "segment_id", key, value, max(400.0, side))
+    entered = settle(entered.groupBy("segment_id").agg(F.min_by(F.struct(key, value), F.struct(key)).alias("best_")), "entered")  # read twice
     near = nearest_pairs(
-        outlined(segments).select(*ANCHORED), pieces, "segment_id", max_distance, side, dist,
+        meet(shapes, entered.select("segment_id"), "segment_id", "left_anti"), pieces, "segment_id", max_distance, side, dist,
         F.struct(key, value).alias("best_"), F.col(key), anchor=("x", "y"), right_overhang=side / 2 + 1e-6,
     )
-    return near.select("segment_id", F.col("distance").alias("speed_nearest_line_m"), F.col(f"best_.{value}").alias("speed_nearest_line_kmh"))
+    found = near.select("segment_id", "distance", "best_").unionByName(entered.select("segment_id", F.lit(0.0).alias("distance"), "best_"))
+    return found.select("segment_id", F.col("distance").alias("speed_nearest_line_m"), F.col(f"best_.{value}").alias("speed_nearest_line_kmh"))
 
 
 def line_pairs(segments: DataFrame, lines: DataFrame, pad: float, side: float | None = None) -> DataFrame:

@@ -84,3 +84,13 @@ def test_points_near_a_piece_are_those_of_all_pairs(spark, pieces):
     want = C.box_point_cells(boxed, pts, 200.0, 8.0)
     pairs = want[0].join(want[1], want[2]).filter(geo.point_piece_distance("px", "py", "x1", "y1", "x2", "y2") <= 8).select("id", "k").distinct()
     assert sorted(map(str, got.collect())) == sorted(map(str, pairs.collect())) and pairs.count() > 20
+
+
+def test_nearest_line_is_that_of_all_pairs(segs, pieces):
+    lines = pieces.filter("zone_id < 800").unionByName(pieces.filter("zone_id = 800").withColumn("zone_id", F.lit(None).cast("long")))
+    pairs = L.line_pairs(segs, lines, 300.0).withColumn("d", F.round(K.ring_piece_distance("ring", "x1", "y1", "x2", "y2"), 6)).filter("d <= 300 AND segment_id IS NOT NULL")
+    want = pairs.groupBy("segment_id").agg(F.min_by(F.struct("d", "v"), F.struct("d", "zone_id")).alias("b")).select("segment_id", "b.*")
+    got = L.nearest_line(segs, lines, "zone_id", "v", 300.0, 120.0)
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, map(tuple, want.collect())))
+    assert 0 < want.filter("d = 0").count() < want.count()
+    assert "'LeftAnti" in got._jdf.queryExecution().logical().toString() or "LeftAnti" in got._jdf.queryExecution().optimizedPlan().toString()
