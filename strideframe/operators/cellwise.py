@@ -25,6 +25,8 @@ from .grid import BOX, box_box_cells, box_point_cells
 SLICE = 1 << 15
 #: strips that the points of a cell are sorted into, at most
 STRIPS = 64
+#: a gap that still rounds to a distance of 0 fits into it
+SLACK = 1e-6
 ENDS = ("x1", "y1", "x2", "y2")
 RBOX = ("rminx", "rminy", "rmaxx", "rmaxy")
 
@@ -210,12 +212,13 @@ def first_touching(outlines: DataFrame, lines: DataFrame, key: str, line: str, v
     an outline stops at the first that enters it.
     """
     schema = StructType([StructField(key, outlines.schema[key].dataType), *[StructField(c, lines.schema[c].dataType) for c in (line, value)]])
-    left, right, keys = box_box_cells(outlines.select(key, *BOX, "ring"), lines.select(line, value, *ENDS, *RBOX), side)
+    left, right, keys = box_box_cells(outlines.select(key, *BOX, "ring"), lines.select(line, value, *ENDS, *RBOX), side, SLACK)
 
     def step(a: pa.Table, b: pa.Table) -> pa.Table:
         # NULL first, as Spark orders it
         b = b.take(pc.sort_indices(b, sort_keys=[(line, "ascending")], null_placement="at_start"))
-        sides, box, ends, pieces = K._Sides(a.column("ring")), _numbers(a, BOX), _numbers(b, ENDS), _numbers(b, RBOX)
+        sides, ends, pieces = K._Sides(a.column("ring")), _numbers(b, ENDS), _numbers(b, RBOX)
+        box = [v + d for v, d in zip(_numbers(a, BOX), (-SLACK, -SLACK, SLACK, SLACK))]
         live, done, many = np.arange(a.num_rows), 0, 8
         first = np.full(a.num_rows, b.num_rows)
         while len(live) and done < b.num_rows:

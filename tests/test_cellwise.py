@@ -94,3 +94,9 @@ def test_nearest_line_is_that_of_all_pairs(segs, pieces):
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, map(tuple, want.collect())))
     assert 0 < want.filter("d = 0").count() < want.count()
     assert "'LeftAnti" in got._jdf.queryExecution().logical().toString() or "LeftAnti" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_line_that_starts_on_the_edge_up_to_rounding_enters(spark):
+    seg = spark.createDataFrame([(1, 6202.7, 147.0, 7132.7, 149.39999999999998, 6667.7, 148.2)], "segment_id long, minx double, miny double, maxx double, maxy double, x double, y double").withColumn("ring", geo.box_ring("minx", "miny", "maxx", "maxy"))
+    lines = spark.createDataFrame([(3, 100, 6957.4, 149.4, 6757.4, 319.4), (4, 80, 6469.2, 236.1, 6299.2, 136.1)], "zone_id long, v int, x1 double, y1 double, x2 double, y2 double")
+    assert L.nearest_line(seg, lines, "zone_id", "v", 500.0, 250.0).collect() == [(1, 0.0, 100)]
