@@ -1,8 +1,8 @@
 """Lines: pieces, distance along, even samples, and measures between samples.
 
 A line is one array value per row, so its vertices never need a sort across
-tasks. Measures between samples of a route meet on grid cells within the route
-and stop at the first hit (semi join).
+tasks. Measures between samples of a route are taken in the route's row, or meet
+on grid cells within the route and stop at the first hit (semi join).
 """
 
 from __future__ import annotations
@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from ..functions import geo
-from .grid import box_cells, box_point_pairs, meet
+from . import kernels as K
+from .cellwise import _spread
+from .grid import box_box_pairs, box_cells, box_point_pairs, meet
 from .ordering import chunked_total, with_halo
 
 
@@ -111,12 +113,17 @@ def along(lines: DataFrame, key: Sequence[str], line: str = "line") -> DataFrame
     return lines.select(*key, F.explode(_measure(F.col(line))).alias("e")).select(*key, "e.*")
 
 
-def samples(lines: DataFrame, key: Sequence[str], step: float, line: str = "line") -> DataFrame:
+def samples(lines: DataFrame, key: Sequence[str], step: float, line: str = "line", nested: bool = False) -> DataFrame:
     """Points every ``step`` metres from the start, plus the end point.
 
-    Columns: key, ``n`` (0, 1, 2 ...), ``along``, ``px``, ``py``, ``total``.
-    Measured in the row of the line: nothing is shuffled.
+    Columns: key, ``n`` (0, 1, 2 ...), ``along``, ``px``, ``py``, ``total``; or
+    key and all of these in one array ``samples`` per line (``nested``), for
+    measures that need no other line. Measured in the row of the line: nothing
+    is shuffled.
     """
+    if nested:
+        # a nondeterministic function is not evaluated again where its result is filtered
+        return lines.select(*key, _sample.asNondeterministic()(F.col(line), F.lit(float(step))).alias("samples")).filter(F.size("samples") > 0)
     return lines.select(*key, F.explode(_sample(F.col(line), F.lit(float(step)))).alias("s")).select(*key, "s.*")
 
 
@@ -124,13 +131,6 @@ def _cells(df: DataFrame, side: float) -> DataFrame:
     return df.withColumn("cx", F.floor(F.col("px") / side)).withColumn("cy", F.floor(F.col("py") / side))
 
 
-def _around(df: DataFrame, side: float) -> DataFrame:
-    """The row listed in its own and the eight cells around it."""
-    c = _cells(df, side)
-    off = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    return c.withColumn("o_", F.explode(off)).withColumn("cx", F.col("cx") + F.col("o_.i")).withColumn("cy", F.col("cy") + F.col("o_.j")).drop("o_")
-
-
 def listed_near(df: DataFrame, radius: float) -> DataFrame:
     """The row listed in the cells its radius meets: cells ``CELL_RADII`` times as wide, so some two of them and not nine."""
     x, y = F.col("px"), F.col("py")
@@ -153,55 +153,190 @@ def near_any(left: DataFrame, right: DataFrame, key: Sequence[str], radius: floa
     return hit.drop("cx", "cy").distinct()
 
 
-def revisit_ratio(smp: DataFrame, key: Sequence[str], starts: DataFrame, near: float = 15.0, apart: float = 95.0, stub: float = 80.0) -> DataFrame:
-    """Share of the later samples that come back onto ground already walked."""
-    s = smp.join(starts, list(key)).withColumn(
-        "at_start", geo.span(F.col("px") - F.col("sx"), F.col("py") - F.col("sy")) <= stub)
-    scored = s.filter(F.col("along") >= F.col("total") * 0.18)
-    back = (F.col("along") - F.col("r_along") >= apart) & ~(F.col("at_start") & F.col("r_at_start"))
-    hit = near_any(scored.select(*key, "n", "along", "px", "py", "at_start"), s.select(*key, "along", "px", "py", "at_start"), key, near, back)
-    hits = hit.groupBy(*key).agg(F.count(F.lit(1)).alias("hits"))
-    base = s.groupBy(*key).agg(
-        F.count(F.lit(1)).alias("n_all"), F.max("total").alias("total"), F.count_if(F.col("along") >= F.col("total") * 0.18).alias("scored"))
-    out = base.join(hits, list(key), "left")
-    ratio = F.coalesce("hits", F.lit(0)) / F.col("scored")
-    return out.select(*key, F.when((F.col("n_all") < 8) | (F.col("total") < 120) | (F.col("scored") == 0), 1.0).otherwise(ratio).alias("revisit"), "total")
+class _Samples:
+    """Samples of a batch of lines: their line, and the columns of ``samples``."""
+
+    def __init__(self, samples_: pa.Array):
+        samples_ = samples_.combine_chunks() if isinstance(samples_, pa.ChunkedArray) else samples_
+        flat = samples_.flatten()
+        sizes = np.nan_to_num(samples_.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+        self.lines, self.count = len(sizes), sizes
+        self.line = np.repeat(np.arange(len(sizes)), sizes)
+        self.n = flat.field("n").to_numpy(zero_copy_only=False).astype(np.int64)
+        self.along, self.px, self.py, self.total = (flat.field(c).to_numpy(zero_copy_only=False).astype(float) for c in ("along", "px", "py", "total"))
+
+    def from_start(self, sx: pa.Array, sy: pa.Array) -> np.ndarray:
+        """Distance of each sample from the start of its line, NaN without a start."""
+        sx, sy = (v.to_numpy(zero_copy_only=False).astype(float)[self.line] for v in (sx, sy))
+        return np.sqrt((self.px - sx) ** 2 + (self.py - sy) ** 2)
+
+    def per_line(self, value: np.ndarray) -> np.ndarray:
+        return np.bincount(self.line[value], minlength=self.lines)
+
+    def near(self, ask: np.ndarray, radius: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of a sample of ``ask`` and one of the same line that may be within ``radius``, some at a time.
+
+        Samples are sorted into strips of the line, as high as the radius, and by x within.
+        """
+        low_x, low_y = np.full(self.lines, np.inf), np.full(self.lines, np.inf)
+        np.minimum.at(low_x, self.line, self.px)
+        np.minimum.at(low_y, self.line, self.py)
+        x, strip = self.px - low_x[self.line], np.floor((self.py - low_y[self.line]) / radius).astype(np.int64)
+        many = strip.max(initial=0) + 3
+        code = self.line * many + strip + 1
+        strips, rank = np.unique(code, return_inverse=True)
+        jump = x.max(initial=0.0) + 4 * radius
+        place = rank * jump + x
+        order = np.argsort(place, kind="stable")
+        place = place[order]
+        reach = radius + 1e-15 * len(strips) * jump  # rounding of the places
+        for off in (-1, 0, 1):
+            at = np.minimum(np.searchsorted(strips, code[ask] + off), len(strips) - 1)
+            there = np.flatnonzero(strips[at] == code[ask] + off)
+            base, own = at[there] * jump, ask[there]
+            first = np.searchsorted(place, base + np.maximum(x[own] - reach, -radius), "left")
+            last = np.searchsorted(place, base + x[own] + reach, "right")
+            for owner, p in _spread(own, first, np.maximum(last - first, 0)):
+                yield owner, order[p]
+
+
+def _in_rows(smp: DataFrame, key: Sequence[str], starts: DataFrame | None) -> DataFrame:
+    """One row per line with its ``samples`` and start ``sx, sy``; lines of no key or no start are left out."""
+    if "samples" not in smp.columns:
+        smp = smp.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("n", "along", "px", "py", "total"))).alias("samples"))
+    return smp.dropna(subset=list(key)) if starts is None else smp.join(starts, list(key))
+
+
+def revisit_ratio(smp: DataFrame, key: Sequence[str], starts: DataFrame | None = None, near: float = 15.0, apart: float = 95.0, stub: float = 80.0) -> DataFrame:
+    """Share of the later samples that come back onto ground already walked.
+
+    A line is measured in its row: pairs of its samples are no rows. ``smp`` is
+    flat, or ``nested``; without ``starts`` (one per line) its rows have ``sx, sy``.
+    """
+
+    @F.arrow_udf(StructType([StructField(c, LongType()) for c in ("n_all", "scored", "hits")] + [StructField("total", DoubleType())]))
+    def measure(samples_: pa.Array, sx: pa.Array, sy: pa.Array) -> pa.Array:
+        s = _Samples(samples_)
+        gap = s.from_start(sx, sy)
+        at_start, later = gap <= stub, s.along >= s.total * 0.18
+        hit = np.zeros(len(s.line), bool)
+        for p, q in s.near(np.flatnonzero(later & ~np.isnan(gap)), near):
+            fresh = ~hit[p]
+            p, q = p[fresh], q[fresh]
+            dx, dy = s.px[p] - s.px[q], s.py[p] - s.py[q]
+            hit[p[(dx * dx + dy * dy <= near * near) & (s.along[p] - s.along[q] >= apart) & ~(at_start[p] & at_start[q])]] = True
+        total = np.full(s.lines, -np.inf)
+        np.maximum.at(total, s.line, s.total)
+        return pa.StructArray.from_arrays([pa.array(v) for v in (s.count, s.per_line(later), s.per_line(hit), total)], names=["n_all", "scored", "hits", "total"])
+
+    m = _in_rows(smp, key, starts).select(*key, measure.asNondeterministic()("samples", "sx", "sy").alias("m_")).select(*key, "m_.*")
+    ratio = F.col("hits") / F.col("scored")
+    return m.select(*key, F.when((F.col("n_all") < 8) | (F.col("total") < 120) | (F.col("scored") == 0), 1.0).otherwise(ratio).alias("revisit"), "total")
 
 
 def spur_measure(
-    smp: DataFrame, key: Sequence[str], starts: DataFrame, near: float = 15.0, shortest: float = 60.0, longest: float = 160.0, stub: float = 80.0
+    smp: DataFrame, key: Sequence[str], starts: DataFrame | None = None, near: float = 15.0, shortest: float = 60.0, longest: float = 160.0, stub: float = 80.0
 ) -> DataFrame:
-    """Longest and total out-and-back notches of a circuit."""
-    s = smp.join(starts, list(key)).withColumn("off_start", geo.span(F.col("px") - F.col("sx"), F.col("py") - F.col("sy")) > stub)
-    size = s.groupBy(*key).agg(F.count(F.lit(1)).alias("n_all"))
-    live = s.join(size.filter("n_all >= 10"), list(key)).filter("off_start")
-    late = live.filter((F.col("n") >= 2) & (F.col("along") >= stub) & (F.col("along") <= F.col("total") - stub))
-    early = live.filter(F.col("along") >= stub * 0.5)
-    # partners lie 2 x shortest to 2 x longest further along: slices of that width keep circling walkers from meeting themselves
-    slice_ = F.floor(F.col("along") / (2 * longest))
-    e = _cells(early, near).select(*key, "cx", "cy", slice_.alias("slice"), F.col("n").alias("m"), F.col("along").alias("e_along"), F.col("px").alias("ex"), F.col("py").alias("ey"))
-    later = _around(late.select(*key, "n", "along", "px", "py"), near).withColumn("slice", F.explode(F.array(slice_, slice_ - 1)))
-    pair = later.join(e, [*key, "cx", "cy", "slice"])
-    sep = F.col("along") - F.col("e_along")
-    pair = pair.filter((sep >= 2 * shortest) & (sep <= 2 * longest) & (geo.span(F.col("px") - F.col("ex"), F.col("py") - F.col("ey")) <= near))
-    tips = smp.select(*key, F.col("n").alias("t"), F.col("px").alias("tx"), F.col("py").alias("ty"))
-    pair = pair.withColumn("t", F.floor((F.col("n") + F.col("m")) / 2)).join(tips, [*key, "t"])
-    away, spur = geo.span(F.col("tx") - F.col("ex"), F.col("ty") - F.col("ey")), sep / 2
-    real = pair.filter((away >= F.greatest(F.lit(50.0), spur * 0.6)) & (away <= spur * 1.35))
-    best = real.groupBy(*key, "n").agg(F.max_by(F.struct(spur.alias("spur"), F.floor(F.col("e_along") / 50).alias("bucket")), F.col("m")).alias("b"))
-    per = best.groupBy(*key, F.col("b.bucket").alias("bucket")).agg(F.min_by(F.col("b.spur"), F.col("n")).alias("first"), F.max(F.col("b.spur")).alias("worst"))
-    sums = per.groupBy(*key).agg(F.max("worst").alias("worst_spur_m"), F.sum("first").alias("total_spur_m"))
-    return size.select(*key).join(sums, list(key), "left").withColumns(
-        {c: F.coalesce(c, F.lit(0.0)) for c in ("worst_spur_m", "total_spur_m")})
+    """Longest and total out-and-back notches of a circuit.
+
+    A line is measured in its row, as by ``revisit_ratio``. Partners lie 2 x
+    shortest to 2 x longest further along, so a sample meets a few however often
+    the line comes by.
+    """
+
+    @F.arrow_udf(StructType([StructField(c, DoubleType()) for c in ("worst_spur_m", "total_spur_m")]))
+    def measure(samples_: pa.Array, sx: pa.Array, sy: pa.Array) -> pa.Array:
+        s = _Samples(samples_)
+        live = (s.from_start(sx, sy) > stub) & (s.count[s.line] >= 10)
+        late = np.flatnonzero(live & (s.n >= 2) & (s.along >= stub) & (s.along <= s.total - stub))
+        early = np.flatnonzero(live & (s.along >= stub * 0.5))
+        jump = s.along.max(initial=0.0) + 4 * longest
+        place = s.line[early] * jump + s.along[early]
+        early = early[np.argsort(place, kind="stable")]
+        place = s.line[early] * jump + s.along[early]
+        slack = 1e-15 * s.lines * jump  # rounding of the places
+        base = s.line[late] * jump + s.along[late]
+        first = np.searchsorted(place, base - 2 * longest - slack, "left")
+        last = np.searchsorted(place, base - 2 * shortest + slack, "right")
+        steps = s.n.max(initial=0) + 1
+        code = s.line * steps + s.n
+        by_code = np.argsort(code, kind="stable")
+        code = code[by_code]
+        found = [(np.zeros(0, np.int64),) * 2]
+        for p, q in _spread(late, first, np.maximum(last - first, 0)):
+            q = early[q]
+            sep = s.along[p] - s.along[q]
+            ok = (s.line[p] == s.line[q]) & (sep >= 2 * shortest) & (sep <= 2 * longest) & (np.sqrt((s.px[p] - s.px[q]) ** 2 + (s.py[p] - s.py[q]) ** 2) <= near)
+            p, q, spur = p[ok], q[ok], sep[ok] / 2
+            want = s.line[p] * steps + (s.n[p] + s.n[q]) // 2
+            tip = np.minimum(np.searchsorted(code, want), len(code) - 1)
+            there, tip = code[tip] == want, by_code[tip]
+            away = np.sqrt((s.px[tip] - s.px[q]) ** 2 + (s.py[tip] - s.py[q]) ** 2)
+            real = there & (away >= np.maximum(50.0, spur * 0.6)) & (away <= spur * 1.35)
+            found.append((p[real], q[real]))
+        p, q = (np.concatenate(v) for v in zip(*found))
+        # of a sample's partners the last one counts
+        order = np.lexsort((s.n[q], s.n[p], s.line[p]))
+        p, q = p[order], q[order]
+        ends = np.append((s.line[p][1:] != s.line[p][:-1]) | (s.n[p][1:] != s.n[p][:-1]), True)[:len(p)]
+        p, q = p[ends], q[ends]
+        spur, bucket = (s.along[p] - s.along[q]) / 2, np.floor(s.along[q] / 50)
+        worst = np.zeros(s.lines)
+        np.maximum.at(worst, s.line[p], spur)
+        # of a bucket's spurs the first one adds up
+        order = np.lexsort((s.n[p], bucket, s.line[p]))
+        line, bucket = s.line[p][order], bucket[order]
+        firsts = np.append(True, (line[1:] != line[:-1]) | (bucket[1:] != bucket[:-1]))[:len(p)]
+        total = np.bincount(line[firsts], weights=spur[order][firsts], minlength=s.lines)
+        return pa.StructArray.from_arrays([pa.array(worst), pa.array(total)], names=["worst_spur_m", "total_spur_m"])
+
+    return _in_rows(smp, key, starts).select(*key, measure.asNondeterministic()("samples", "sx", "sy").alias("m_")).select(*key, "m_.*")
 
 
 def every_kth(smp: DataFrame, key: Sequence[str], parts: int) -> DataFrame:
-    """Samples thinned to about ``parts`` per line."""
+    """Samples thinned to about ``parts`` per line, ``size_`` before that; nested ones in their row."""
+    if "samples" in smp.columns:
+        k = F.greatest(F.lit(1), F.floor(F.col("size_") / parts))
+        return smp.withColumn("size_", F.size("samples")).withColumn("samples", F.filter("samples", lambda s: s["n"] % k == 0))
     size = smp.groupBy(*key).agg(F.count(F.lit(1)).alias("size_"))
     k = F.greatest(F.lit(1), F.floor(F.col("size_") / parts))
     return smp.join(size, list(key)).filter(F.col("n") % k == 0)
 
 
+@F.arrow_udf(LongType())
+def _near_count(a: pa.Array, b: pa.Array, radius: pa.Array) -> pa.Array:
+    """Points of each first list within the radius of a point of the second one."""
+    out = [np.zeros(0, np.int64)]
+    for k in range(0, len(a), 512):
+        left, right, r = (v.slice(k, 512) for v in (a, b, radius))
+        p, q, r = left.flatten(), right.flatten(), r.to_numpy(zero_copy_only=False)
+        px, py, qx, qy = (v.field(c).to_numpy(zero_copy_only=False) for v in (p, q) for c in ("px", "py"))
+        (row, _), sizes = K._places(K._lengths(left)), K._lengths(right)
+        first = np.cumsum(sizes) - sizes
+        hit = np.zeros(len(row), bool)
+        for i, j in _spread(np.arange(len(row)), first[row], sizes[row]):
+            hit[i[(px[i] - qx[j]) ** 2 + (py[i] - qy[j]) ** 2 <= r[row[i]] ** 2]] = True
+        out.append(np.bincount(row[hit], minlength=len(left)))
+    return pa.array(np.concatenate(out))
+
+
+def sample_overlaps(left: DataFrame, right: DataFrame, key: str, request: str, radius: float, side: float = 2000.0) -> DataFrame:
+    """For lines of one request that come near each other: share of the first line's samples within ``radius`` of one of the second's.
+
+    Both sides are nested samples, one row per line. Lines meet by the boxes of
+    their samples, which travel as arrays: a sample is no row.
+    """
+    other, points = f"{key}_b", F.transform("samples", lambda s: F.struct(s["px"], s["py"]))
+
+    def boxed(df: DataFrame, name: str, array: str, pre: str) -> DataFrame:
+        ends = [f(F.col("samples")[c]).alias(f"{pre}{n}") for f, c, n in ((F.array_min, "px", "minx"), (F.array_min, "py", "miny"), (F.array_max, "px", "maxx"), (F.array_max, "py", "maxy"))]
+        return df.select(F.col(key).alias(name), request, points.alias(array), *ends)
+
+    pairs = box_box_pairs(boxed(left, key, "a_", ""), boxed(right, other, "b_", "r"), side, radius, on=[request]).filter(F.col(key) != F.col(other))
+    hits = pairs.withColumn("hits_", _near_count.asNondeterministic()("a_", "b_", F.lit(float(radius)))).filter("hits_ > 0")
+    return hits.select(key, other, (F.col("hits_") / F.size("a_")).alias("overlap"))
+
+
 def _groups(batch: pa.RecordBatch, key: Sequence[str]) -> np.ndarray:
     """Number of the group that each row of a batch is in, by equal columns ``key``; NULL equals NULL."""
     group = np.zeros(batch.num_rows, np.int64)

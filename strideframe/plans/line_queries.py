@@ -42,16 +42,17 @@ def rq_09(spark, sf):
     return s.select("route_id", "n", F.round("along", 4).alias("along"), F.round("px", 3).alias("px"), F.round("py", 3).alias("py"))
 
 
-def _starts(r):
-    return r.select("route_id", F.col("line")[0]["x"].alias("sx"), F.col("line")[0]["y"].alias("sy"))
+def _sampled(spark, sf):
+    """Samples and start of each route in one row."""
+    r = routes(spark, sf).select("route_id", "line", F.col("line")[0]["x"].alias("sx"), F.col("line")[0]["y"].alias("sy"))
+    return N.samples(r, ["route_id", "sx", "sy"], 28.0, nested=True)
 
 
 @query("rq_04_revisit_ratio", f"""WITH {_SAMPLES}, s AS (SELECT sm.*, sqrt(power(px-sx,2)+power(py-sy,2))<=80 AS a FROM sm JOIN st USING (route_id)),
  h AS (SELECT l.route_id, count(DISTINCT l.n) AS hits FROM s l JOIN s r ON l.route_id=r.route_id AND l.along-r.along>=95 AND l.along>=l.total*0.18 AND NOT (l.a AND r.a) AND power(l.px-r.px,2)+power(l.py-r.py,2)<=225 GROUP BY 1)
 SELECT route_id, round(CASE WHEN count(*)<8 OR max(total)<120 THEN 1 ELSE coalesce(max(hits),0)/count(*) FILTER (WHERE along>=total*0.18) END,6) AS revisit FROM s LEFT JOIN h USING (route_id) GROUP BY 1""")
 def rq_04(spark, sf):
-    r = routes(spark, sf)
-    v = N.revisit_ratio(N.samples(r, ["route_id"], 28.0), ["route_id"], _starts(r))
+    v = N.revisit_ratio(_sampled(spark, sf), ["route_id"])
     return v.select("route_id", F.round("revisit", 6).alias("revisit"))
 
 
@@ -77,8 +78,7 @@ def rq_05(spark, sf):
  k AS (SELECT route_id, bucket, arg_min(spur,n) AS f, max(spur) AS w FROM b GROUP BY 1,2), z AS (SELECT route_id, max(w) AS w, sum(f) AS t FROM k GROUP BY 1)
 SELECT route_id, round(coalesce(w,0),4) AS worst_spur_m, round(coalesce(t,0),4) AS total_spur_m FROM c LEFT JOIN z USING (route_id)""")
 def rq_07(spark, sf):
-    r = routes(spark, sf)
-    v = N.spur_measure(N.samples(r, ["route_id"], 28.0), ["route_id"], _starts(r))
+    v = N.spur_measure(_sampled(spark, sf), ["route_id"])
     return v.select("route_id", F.round("worst_spur_m", 4).alias("worst_spur_m"), F.round("total_spur_m", 4).alias("total_spur_m"))
 
 
@@ -88,16 +88,11 @@ def rq_07(spark, sf):
 SELECT a.route_id AS route_a, b.route_id AS route_b, round(count(DISTINCT a.n)/max(k),6) AS overlap FROM a JOIN b ON a.req=b.req AND a.route_id<>b.route_id AND power(a.px-b.px,2)+power(a.py-b.py,2)<=3025 JOIN na ON na.route_id=a.route_id GROUP BY 1,2""")
 def rq_06(spark, sf):
     """Only pairs that come near each other appear; all others overlap by nothing."""
-    s = N.samples(routes(spark, sf), ["route_id"], 28.0)
+    s = N.samples(routes(spark, sf), ["route_id"], 28.0, nested=True)
+    s = s.withColumn("req", (F.col("route_id") % 63) * 100000 + F.floor(F.col("route_id") / 252))
     a, b = N.every_kth(s, ["route_id"], 16).filter("size_ >= 4"), N.every_kth(s, ["route_id"], 20).filter("size_ >= 4")
-    req = (F.col("route_id") % 63) * 100000 + F.floor(F.col("route_id") / 252)
-    left = N._around(a.select("route_id", "n", "px", "py", req.alias("req")), 55.0)
-    right = N._cells(b.select(F.col("route_id").alias("route_b"), F.col("px").alias("qx"), F.col("py").alias("qy"), req.alias("req"), "px", "py"), 55.0).drop("px", "py")
-    near = left.join(right, ["req", "cx", "cy"]).filter("route_id <> route_b").filter(
-        (F.col("px") - F.col("qx")) ** 2 + (F.col("py") - F.col("qy")) ** 2 <= 3025)
-    hits = near.select("route_id", "route_b", "n").distinct().groupBy("route_id", "route_b").agg(F.count(F.lit(1)).alias("h"))
-    size = a.groupBy("route_id").agg(F.count(F.lit(1)).alias("k"))
-    return hits.join(size, "route_id").select(F.col("route_id").alias("route_a"), "route_b", F.round(F.col("h") / F.col("k"), 6).alias("overlap"))
+    near = N.sample_overlaps(a, b, "route_id", "req", 55.0)
+    return near.select(F.col("route_id").alias("route_a"), F.col("route_id_b").alias("route_b"), F.round("overlap", 6).alias("overlap"))
 
 
 _SEGS = """sg AS (SELECT *, CASE WHEN segment_id%7=0 THEN NULL ELSE 40e0+segment_id%50 END AS day_index_score, CASE WHEN segment_id%5=0 THEN NULL ELSE 30e0+segment_id%61 END AS night_index_score, 20e0+segment_id%71 AS accessibility_score FROM segments)"""
