@@ -41,10 +41,23 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & F.forall(vector, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")), F.lit(False)))
 
 
+def _first_by_hash(vectors: DataFrame, sample: int) -> list:
+    """The first ``sample`` vectors in order of their key's hash.
+
+    Few more than those are sorted, and one task of an executor merges them: a
+    limit that is collected brings that many rows of every partition to the driver.
+    """
+    keyed = vectors.select(F.xxhash64("vec_id").alias("h"), "vec_id", "v")
+    share = 4 * sample / max(1, vectors.count())
+    while share < 1 and (low := keyed.filter(F.col("h") < int(-(2**63) + share * 2**64))).count() < sample:
+        share *= 4
+    pool = settle((low if share < 1 else keyed).orderBy("h", "vec_id", "v").limit(sample), "pivot-pool")
+    return [r.v for r in sorted(pool.collect(), key=lambda r: (r.h, r.vec_id, r.v))]
+
+
 def choose_pivots(vectors: DataFrame, count: int = PIVOTS, sample: int = PIVOT_SAMPLE) -> np.ndarray:
     """Pivots far from one another, among at most ``sample`` vectors in a fixed shuffled order."""
-    rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(sample).toPandas()["v"]
-    pool = _matrix(list(rows))
+    pool = _matrix(_first_by_hash(vectors, sample))
     if not len(pool):
         return pool
     chosen, far = [0], np.linalg.norm(pool - pool[0], axis=1)
@@ -143,6 +156,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_i
                 got = [(int(i), v, s) for i, a, b in zip(q_ids, q, q_far, strict=True) for v, s in block_top(a, b, int(i), x, far, norm, ids, k)]
                 yield pa.RecordBatch.from_arrays([pa.array([g[j] for g in got], pa.int64()) for j in range(3)], names=["query_id", "vec_id", "score"])
 
-    found = ask.join(rows, "row_block").select("ids", "width", "m", "far", "q_ids", "q_width", "q_m", "q_far").mapInArrow(meet, "query_id long, vec_id long, score long")
+    # Spark would count the query blocks before they are repeated, and broadcast every copy
+    found = ask.join(rows.hint("merge"), "row_block").select("ids", "width", "m", "far", "q_ids", "q_width", "q_m", "q_far").mapInArrow(meet, "query_id long, vec_id long, score long")
     place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -56,3 +56,17 @@ def test_odd_rows(spark):
 def test_extra_columns_do_not_matter(spark):
     df = spark.createDataFrame([(0, [1.0], 5, "x"), (1, [2.0], 6, "y")], "vec_id long, embedding array<float>, v int, score string")
     assert [tuple(r) for r in ps.top_k(df, F.col("vec_id") % 50 == 0).collect()] == [(0, 1, 1, 256 * 512)]
+
+
+def test_copies_of_query_blocks_are_not_broadcast(spark):
+    df = spark.range(400).select(F.col("id").alias("vec_id"), F.array(*[F.rand(k).cast("float") for k in range(4)]).alias("embedding"))
+    plan = ps.top_k(df, F.col("vec_id") % 50 == 0, block_rows=8)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan  # the blocks are small as files, but there is a copy for every block of rows
+
+
+def test_vectors_of_the_pivots_are_the_first_by_hash(spark):
+    df = spark.range(4000).select((F.col("id") % 700).alias("vec_id"), F.array((F.col("id") % 900).cast("double")).alias("v"))
+    few = df.unionByName(spark.range(5000).select(F.lit(9999).alias("vec_id"), F.array(F.lit(1.0)).alias("v")))
+    for rows, n in ((df, 50), (df, 5000), (few, 300), (df.limit(0), 5)):
+        want = [r.v for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(n).collect()]
+        assert ps._first_by_hash(rows, n) == want
