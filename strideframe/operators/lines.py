@@ -515,6 +515,8 @@ def sample_class_share(smp: DataFrame, probes: DataFrame, key: Sequence[str], pr
     key = list(key)
     boxed = probes.select(probe, is_road, "x1", "y1", "x2", "y2", F.least("x1", "x2").alias("minx"), F.least("y1", "y2").alias("miny"), F.greatest("x1", "x2").alias("maxx"), F.greatest("y1", "y2").alias("maxy"))
     near = nearest_piece(boxed, smp.select(*key, "n", "px", "py"), [*key, "n"], probe, is_road, radius, side)
+    # a sample has one row per level and share of its cell
+    near = first_rows(near, [*key, "n"], ["gap_", probe])
     known = near.groupBy(*key, "n").agg(F.min_by(is_road, F.struct("gap_", probe)).alias("road_"))
     per = known.groupBy(*key).agg(F.count(F.lit(1)).alias("known"), F.count_if("road_").alias("roads_"))
     lines_ = meet(smp.select(*key).distinct(), per, key, "left")
